@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,23 @@ def remainder(column: str, modulus: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let this machine's Python workers find the package; on a cluster it is shipped with --py-files."""
+    root = str(Path(__file__).parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow``."""
+    importable(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def grouped(df: DataFrame, key: str, function, schema: str) -> DataFrame:
+    """``df.groupBy(key).applyInArrow``."""
+    importable(df.sparkSession)
+    return df.groupBy(key).applyInArrow(function, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, orderminhash
+from . import decontam, neardup, orderminhash, suffixarray
 from .common import table
 
 
@@ -15,12 +15,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.removed(table(spark, sf_dir, "documents"), length=50)
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
+    "op4_near_dedup": op4_near_dedup,
+    "op9_suffix_array": op9_suffix_array,
     "op10_order_minhash": op10_order_minhash,
 }
 
@@ -49,4 +59,18 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS B
 FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
+OP4_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS g FROM d WHERE len(w) > 0),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reach(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON p.u = r.v),
+least_of AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
+SELECT d.doc_id, CAST(coalesce(len(s.g), 0) AS BIGINT) AS n_shingles, l.c AS component_id, d.doc_id = l.c AS kept
+FROM d JOIN least_of l ON l.u = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL}
