@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, orderminhash, quality, suffixarray, toxicity
-from .common import table
+from . import brown, decontam, neardup, orderminhash, quality, suffixarray, toxicity
+from .common import remainder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder("doc_id", 10) == 0
+    out = brown.score(table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
+    "op5_brown_lm": op5_brown_lm,
     "op8_quality": op8_quality,
     "op9_suffix_array": op9_suffix_array,
     "op10_order_minhash": op10_order_minhash,
