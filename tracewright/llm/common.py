@@ -59,7 +59,7 @@ def mapped(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def grouped(df: DataFrame, key: str, function, schema: str) -> DataFrame:
-    """``df.groupBy(key).applyInArrow``."""
+def grouped(df: DataFrame, keys: str | list[str], function, schema: str) -> DataFrame:
+    """``df.groupBy(keys).applyInArrow``."""
     importable(df.sparkSession)
-    return df.groupBy(key).applyInArrow(function, schema)
+    return df.groupBy(keys).applyInArrow(function, schema)

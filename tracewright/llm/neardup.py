@@ -1,16 +1,20 @@
 """Near-duplicates by fast similarity sketching, banding and exact verification.
 
 A document's set is its distinct word shingles (64-bit hashes). Equal sets
-become one node first, so exact copies never meet in pairs. A sketch has 128
-bins: in rounds 1..128 each shingle is thrown into a random bin, in rounds
-129..256 into bin number round-128, so that every bin fills; rounds end as
-soon as a text's bins are full. 32 bands of four bins give the buckets.
+become one node first, so exact copies never meet in pairs. A sketch has 384
+bins: in rounds 1..384 each shingle is thrown into a random bin, in rounds
+385..768 into bin number round-384, so that every bin fills; rounds end as
+soon as a text's bins are full. 64 bands of six bins give the buckets: a pair
+of similarity 0.8 shares none with a probability of 4e-9, and one of 0.3
+shares one with 5 %.
 
 Links are confirmed on whole sets. A small bucket tests all its pairs. A
 larger one tests its members against pivots, the densest first (the member
 that shares most buckets, as the common origin of edited copies does), and
 only members whose components still differ are tested again. What is left
-after the pivot rounds is compared block by block, so no link is lost.
+after the pivot rounds is compared block by block, members of the smaller
+components with all members of their family (what buckets connect), and a task
+sees two blocks of sets at a time. No link is lost after the banding.
 """
 
 from __future__ import annotations
@@ -24,33 +28,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import checkpointed, mapped, sized
+from .common import checkpointed, grouped, mapped, sized
 from .components import components
 
-BINS, ROWS = 128, 4
+BINS, ROWS = 384, 6
 #: Buckets of up to this many sets test all pairs: at most 4 pairs for each member.
 SMALL = 8
 #: Pivots for each bucket and round, and rounds, before the blocks.
-PIVOTS, ROUNDS, BLOCK = 4, 3, 256
+PIVOTS, ROUNDS, BLOCK = 4, 2, 256
 
 
 def sketch(doc: np.ndarray, hashes: np.ndarray, n_docs: int, bins: int = BINS) -> np.ndarray:
     """An n_docs x bins array of bin minima; a text without shingles keeps the largest value."""
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.full(n_docs * bins, empty, np.uint64)
-    base = doc * bins
+    out = np.full((n_docs, bins), empty, np.uint64)
+    flat, open_ = out.reshape(-1), np.unique(doc)
     for r, seed in enumerate(K.seeds(2 * bins, 1001)):
-        if not len(base):
+        if not len(open_):
             break
         x = K.mix(hashes ^ seed)
         place = ((x >> np.uint64(32)) % np.uint64(bins)).astype(np.int64) if r < bins else r - bins
-        np.minimum.at(out, base + place, (np.uint64(r) << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF)))
-        if r >= 1 or bins <= 4 * len(base):
-            full = (out.reshape(n_docs, bins) != empty).all(1)
-            if full.any():
-                live = ~full[base // bins]
-                base, hashes = base[live], hashes[live]
-    return out.reshape(n_docs, bins)
+        np.minimum.at(flat, doc * bins + place, (np.uint64(r) << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF)))
+        full = (out[open_] != empty).all(1)
+        if full.any():
+            live = np.zeros(n_docs, bool)
+            open_ = open_[~full]
+            live[open_] = True
+            live = live[doc]
+            doc, hashes = doc[live], hashes[live]
+    return out
 
 
 def bands(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -65,7 +71,7 @@ def bands(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _shingled(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for i, j, data, offsets in K.slices(column):
+    for i, j, data, offsets in K.slices(column, rows=4000):
         starts, ends, doc = K.words(data, offsets, K.SPACE)
         yield i, j, *K.shingles(K.Text(data).ranges(starts, ends), doc, k, j - i)
 
@@ -113,25 +119,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Pairs of members of unlike components in the same bucket, by blocks of at most about BLOCK members."""
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
-    dealt = members.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = dealt.groupBy("band", "block", "blocks").agg(F.collect_list(F.struct("node", "component")).alias("own"))
-    left = held.select("band", "block", "own", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
-    right = held.select("band", F.col("block").alias("other"), F.col("own").alias("theirs"))
+def _common(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """The size of each intersection of a set of ``a`` and a set of ``b``, by products of 0/1 matrices."""
+    left, right = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(left, right)
+    out = np.zeros((len(a), len(b)), np.int64)
+    rows = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b)]
+    place = [np.searchsorted(both, x) for x in (left, right)]
+    hit = [p < len(both) for p in place]
+    for x, p, h in zip((left, right), place, hit, strict=True):
+        h[h] = both[p[h]] == x[h]
+    for lo in range(0, len(both), width):
+        m = []
+        for n, r, p, h in zip((len(a), len(b)), rows, place, hit, strict=True):
+            at = h & (p >= lo) & (p < lo + width)
+            x = np.zeros((n, width), np.float32)
+            x[r[at], p[at] - lo] = 1
+            m.append(x)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _linked(percent: int):
+    """The links of a block of members of smaller components with a block of all members: as many as join components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
+        minor = table.column("minor").to_numpy(zero_copy_only=False)
+        sets = table.column("shingles").combine_chunks()
+        flat, cuts = sets.values.to_numpy(), sets.offsets.to_numpy()
+        own, all_ = np.flatnonzero(minor), np.flatnonzero(~minor)
+        u, v = [], []
+        if len(own) and len(all_):
+            of = lambda at: [flat[cuts[k] : cuts[k + 1]] for k in at]
+            common, size = _common(of(own), of(all_)), np.diff(cuts)
+            good = (100 * common >= percent * (size[own][:, None] + size[all_][None, :] - common)) & (comp[own][:, None] != comp[all_][None, :])
+            top = {c: c for c in comp.tolist()}
+
+            def root(c: int) -> int:
+                while top[c] != c:
+                    top[c] = top[top[c]]
+                    c = top[c]
+                return c
+
+            for i, j in np.argwhere(good):
+                a, b = root(int(comp[own[i]])), root(int(comp[all_[j]]))
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    u.append(max(int(node[own[i]]), int(node[all_[j]])))
+                    v.append(min(int(node[own[i]]), int(node[all_[j]])))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, theirs in zip(batch.column("own"), batch.column("theirs"), strict=True):
-                x, y = own.values, theirs.values
-                un, uc = x.field("node").to_numpy(), x.field("component").to_numpy()
-                vn, vc = y.field("node").to_numpy(), y.field("component").to_numpy()
-                at = np.argwhere((uc[:, None] != vc[None, :]) & (un[:, None] != vn[None, :]))
-                u, v = un[at[:, 0]], vn[at[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return mapped(left.join(right, ["band", "other"]).select("own", "theirs"), run, "u long, v long").distinct()
+def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links that join unlike components of the buckets in ``rest`` (band, node, component), confirmed on whole sets."""
+    least = rest.groupBy("band").agg(F.min("node").alias("v"))
+    family = components(rest.join(least, "band").select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "family")
+    members = checkpointed(rest.select("node", "component").distinct().join(family, "node"))
+    counts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("x"), F.sum("n").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    sizes = sizes.select("family", F.col("x.component").alias("main"), blocks(F.col("all")).alias("wide"), blocks(F.col("all") - F.col("x.n")).alias("high"))
+    dealt = members.join(sizes, "family").join(sets, "node")
+    pick = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = dealt.where("component != main").select("family", pick(F.col("high")).alias("row"), each(F.col("wide")).alias("col"), F.lit(True).alias("minor"), "node", "component", "shingles")
+    others = dealt.select("family", each(F.col("high")).alias("row"), pick(F.col("wide")).alias("col"), F.lit(False).alias("minor"), "node", "component", "shingles")
+    return grouped(own.unionByName(others), ["family", "row", "col"], _linked(percent), "u long, v long").distinct()
 
 
 def links(nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -165,19 +221,13 @@ def links(nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataF
     labels = checkpointed(components(found))
     if large.isEmpty():
         return labels
-    tested = None
     for step in range(ROUNDS + 1):
         now = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
         rest = checkpointed(now.join(split, "band", "left_semi"))
         if rest.isEmpty():
             break
-        pairs = starred(rest, False) if step < ROUNDS else _blocks(rest)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = checkpointed(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        new = checkpointed(_verified(pairs, sets, percent))
+        new = checkpointed(_verified(starred(rest, False), sets, percent) if step < ROUNDS else _blocks(rest, sets, percent))
         if not new.isEmpty():
             found = found.union(new)
             labels = checkpointed(components(found))
