@@ -133,3 +133,30 @@ def overlay_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "customer").where("c_acctbal > 0")
     return table(spark, sf_dir, "orders").join(known, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.col("o_orderkey").alias("edge"))
+
+
+@query("website_chunks", r"""SELECT count(*) AS n FROM pages""")
+def website_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through the website reader and back against the table: none may be lost but poor ones."""
+    from ..functions.text import html_stripped, low_quality, without_boilerplate
+    from ..sources.readers import website
+
+    pages = table(spark, sf_dir, "pages")
+    poor = pages.where(low_quality(html_stripped(without_boilerplate(F.col("html"))))).select(F.lit(1).alias("x"))
+    return website(pages).select(F.lit(1).alias("x")).unionByName(poor).agg(F.count("*").alias("n"))
+
+
+@query("stream_activity", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
+def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events replayed as a stream, deduplicated by id within the watermark."""
+    import tempfile
+    import uuid
+
+    from ..streaming.ingest import deduplicated, run_to_end
+
+    events = table(spark, sf_dir, "events")
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    run_to_end(deduplicated(rows.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "60 days"), f"{folder}/out", f"{folder}/state")
+    out = spark.read.schema(events.schema).parquet(f"{folder}/out")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))

@@ -165,3 +165,20 @@ def hash_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unit_vectors")
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", normalized(F.col("embedding")).alias("unit"))
+
+
+@query("greedy_clusters")
+def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.cluster import greedy
+
+    return greedy(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.3)
+
+
+@query(
+    "similar_pairs",
+    "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3",
+)
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.cluster import similar_pairs as pairs
+
+    return pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.3).withColumn("score", F.round("score", 5))
