@@ -32,7 +32,7 @@ def windows(documents: DataFrame, size: int = 512, overlap: int = 50, text: str
     n = F.length(text)
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step)))
     rows = documents.select("id", text, F.explode(starts).alias("offset"))
-    rows = rows.select("id", "offset", F.substring(text, F.col("offset") + 1, F.lit(size)).alias("content")).where(F.trim("content") != "")
+    rows = rows.select("id", "offset", F.substring(text, F.col("offset") + 1, F.lit(size)).alias("content")).where(F.col("content").rlike(r"\S"))
     return rows.withColumn("chunk_index", (F.col("offset") / step).cast("int"))
 
 

@@ -99,7 +99,7 @@ def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "chunk_windows",
     """WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 50, 1), 462)) AS o FROM documents WHERE length(text) > 0)
-SELECT doc_id, CAST(o // 462 AS INTEGER) AS chunk_index, length(substr(text, o + 1, 512)) AS n, sha256(concat_ws(':', doc_id, o // 462, substr(text, o + 1, 512))) AS id FROM s WHERE trim(substr(text, o + 1, 512)) <> ''""",
+SELECT doc_id, CAST(o // 462 AS INTEGER) AS chunk_index, length(substr(text, o + 1, 512)) AS n, sha256(concat_ws(':', doc_id, o // 462, substr(text, o + 1, 512))) AS id FROM s WHERE regexp_matches(substr(text, o + 1, 512), '\\S')""",
 )
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))

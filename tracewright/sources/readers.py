@@ -31,7 +31,7 @@ def files(spark: SparkSession, path: str, repo: str, glob: str = "*", most: int
     content = F.decode("content", "UTF-8")
     kind = F.when(F.col("file").rlike(r"(?i)\.mdx?$"), "markdown").otherwise("code")
     rows = rows.select(content.alias("content"), kind.alias("source_type"), F.concat(F.lit(f"{repo}/"), "file").alias("source"), F.col("modificationTime").cast("string").alias("ts_raw"), F.concat(F.lit(f"{repo}/"), "file").alias("document_id"))
-    return _identified(rows.where(F.trim("content") != ""))
+    return _identified(rows.where(F.col("content").rlike(r"\S")))
 
 
 def issues(spark: SparkSession, path: str, repo: str) -> DataFrame:
@@ -44,7 +44,7 @@ def issues(spark: SparkSession, path: str, repo: str) -> DataFrame:
 
 def _grouped(messages: DataFrame, kind: str) -> DataFrame:
     """Messages (channel, id, ts, author, text) as one chunk a session."""
-    rows = sessions(messages.where(F.trim("text") != ""), "channel", "author")
+    rows = sessions(messages.where(F.col("text").rlike(r"\S")), "channel", "author")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "text"))), lambda m: m["text"]), "\n")
     out = rows.groupBy("channel", "session").agg(text.alias("content"), F.min("ts").cast("string").alias("ts_raw"), F.min_by("id", "ts").alias("first"))
     key = F.concat_ws("/", "channel", "first")
@@ -70,7 +70,7 @@ def stories(spark: SparkSession, path: str) -> DataFrame:
     story = F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), "url", html_stripped(F.col("story_text")))
     text = F.when(F.col("title").isNotNull(), story).otherwise(html_stripped(F.col("comment_text")))
     kind = F.when(F.col("title").isNotNull(), "hn-story").otherwise("hn-comment")
-    return _identified(rows.select(text.alias("content"), kind.alias("source_type"), F.concat(F.lit("hn/"), "objectID").alias("source"), F.col("created_at").alias("ts_raw"), F.col("objectID").alias("document_id")).where(F.trim("content") != ""))
+    return _identified(rows.select(text.alias("content"), kind.alias("source_type"), F.concat(F.lit("hn/"), "objectID").alias("source"), F.col("created_at").alias("ts_raw"), F.col("objectID").alias("document_id")).where(F.col("content").rlike(r"\S")))
 
 
 def website(pages: DataFrame) -> DataFrame:
