@@ -126,7 +126,7 @@ def learn(pages: tuple[str, ...] = LABELLED) -> tuple[dict[tuple, float], float]
     weights = {x: prior + sum(single(f) for f in enumerate(x)) for x in every}
     for x in every:  # what encloses a word decides before what it is in
         if x[0]:  # within an article it is left out without ending the run
-            weights[x] = -0.02 if x[2] else min(weights[x], -1.0)
+            weights[x] = -0.02 if x[1] else min(weights[x], -1.0)
         elif x[1]:
             weights[x] = max(weights[x], 1.0)
         elif not x[2] and x[3] == "run":
