@@ -76,7 +76,7 @@ def train(turns: DataFrame, allowed: Column | None = None) -> dict[str, np.ndarr
     for s in range(3):
         bare = per[s, 0] / per[s, 0].sum()
         for m in range(1, 4):
-            per[s, m] += bare * seen[s].sum() * (0.2 if m == s + 1 else 0.002)
+            per[s, m] += bare * seen[s].sum() * (0.2 if m == s + 1 else 0.00002)
     seen = per.reshape(3, -1)
     return {"start": np.log(start / start.sum()), "move": np.log(move / move.sum(1, keepdims=True)), "seen": np.log(seen / seen.sum(1, keepdims=True))}
 
