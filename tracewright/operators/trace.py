@@ -88,22 +88,21 @@ def chronological(hops: DataFrame) -> DataFrame:
 def lineage(hops: DataFrame, max_length: int = MAX_TOTAL) -> DataFrame:
     """Every root-to-leaf path: (query_id, leaf, path, types, length, variety), types without consecutive repeats.
 
-    Hops climb to their parents level by level; a trace is at most
-    ``max_length`` hops long, so the loop is bounded.
+    A trace has at most ``max_length`` hops, so its hops fit in one row and
+    the climb to the root is a fold over them.
     """
-    parents = hops.select("query_id", F.col("hop_index").alias("up"), F.col("parent_hop_index").alias("next"), F.col("source_type").alias("up_type"))
-    inner = hops.where("parent_hop_index >= 0").select("query_id", F.col("parent_hop_index").alias("hop_index")).distinct()
-    paths = hops.join(inner, ["query_id", "hop_index"], "left_anti").select("query_id", F.col("hop_index").alias("leaf"), F.array("hop_index").alias("path"), F.array("source_type").alias("all"), F.col("parent_hop_index").alias("at"))
-    done = paths.where("at < 0")
-    for _ in range(max_length):
-        paths = paths.where("at >= 0").join(parents, (F.col("at") == F.col("up")) & (paths.query_id == parents.query_id)).select(
-            paths.query_id, "leaf", F.concat(F.array("up"), "path").alias("path"), F.concat(F.array("up_type"), "all").alias("all"), F.col("next").alias("at")
-        )
-        done = done.unionByName(paths.where("at < 0"))
-        if paths.isEmpty():
-            break
+    hop = F.struct(F.col("hop_index").cast("int").alias("i"), F.col("parent_hop_index").cast("int").alias("up"), F.col("source_type").alias("kind"))
+    traces = hops.groupBy("query_id").agg(F.array_sort(F.collect_list(hop)).alias("hops"))
+    known = F.map_from_entries(F.transform("hops", lambda h: F.struct(h["i"], h)))
+    leaves = F.filter("hops", lambda h: ~F.exists("hops", lambda c: c["up"] == h["i"]))
+    rows = traces.select("query_id", known.alias("known"), F.explode(leaves).alias("end"))
+    start = F.struct(F.array(F.col("end")).alias("path"), F.col("end.up").alias("up"))
+    above = lambda x: F.get(F.transform(F.array(F.element_at("known", x["up"])), lambda h: F.struct(F.concat(F.array(h), x["path"]).alias("path"), h["up"].alias("up"))), F.lit(0))
+    climbed = F.aggregate(F.sequence(F.lit(1), F.lit(max_length)), start, lambda x, _: F.when(x["up"] < 0, x).otherwise(above(x)), lambda x: x["path"])
+    paths = rows.select("query_id", F.col("end.i").alias("leaf"), climbed.alias("hops"))
+    paths = paths.select("query_id", "leaf", F.transform("hops", lambda h: h["i"]).alias("path"), F.transform("hops", lambda h: h["kind"]).alias("all"))
     runs = F.filter("all", lambda t, i: (i == 0) | (t != F.get("all", i - 1)))
-    return done.select("query_id", "leaf", "path", runs.alias("types"), F.size("path").alias("length"), F.size(F.array_distinct("all")).alias("variety"))
+    return paths.select("query_id", "leaf", "path", runs.alias("types"), F.size("path").alias("length"), F.size(F.array_distinct("all")).alias("variety"))
 
 
 def convergence(kinds: Column) -> Column:
