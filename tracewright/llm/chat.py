@@ -71,12 +71,11 @@ def train(turns: DataFrame, allowed: Column | None = None) -> dict[str, np.ndarr
             start[s] += r["n"]
         else:
             move[ROLES.index(r["before"]), s] += r["n"]
-    # A marker speaks for its role whether or not the labelled turns have any.
+    # A marker speaks for its role whether or not the labelled turns have any, and whatever the turn's length.
     per = seen.reshape(3, 4, -1).copy()
     for s in range(3):
-        bare = per[s, 0] / per[s, 0].sum()
         for m in range(1, 4):
-            per[s, m] += bare * seen[s].sum() * (0.2 if m == s + 1 else 0.00002)
+            per[s, m] += seen[s].sum() * (0.2 if m == s + 1 else 0.00002) / per.shape[2]
     seen = per.reshape(3, -1)
     return {"start": np.log(start / start.sum()), "move": np.log(move / move.sum(1, keepdims=True)), "seen": np.log(seen / seen.sum(1, keepdims=True))}
 
