@@ -3,7 +3,7 @@
 States are the roles; a turn's observation is its speaker marker ("User:",
 "### Assistant", "[system]", ...), its length, its number of lines and
 whether it asks. Start, transition and observation probabilities are counted
-over labelled conversations with one half added. Viterbi finds the roles; a
+over labelled conversations, with a half added (a twentieth for observations). Viterbi finds the roles; a
 conversation of any length is cut into pieces of CHUNK turns, whose best-path
 matrices (roles x roles) are chained first, so no task holds more than one
 piece and the result is that of one long run.
@@ -75,7 +75,7 @@ def train(turns: DataFrame, allowed: Column | None = None) -> dict[str, np.ndarr
     per = seen.reshape(3, 4, -1).copy()
     for s in range(3):
         for m in range(1, 4):
-            per[s, m] += seen[s].sum() * (0.2 if m == s + 1 else 0.00002) / per.shape[2]
+            per[s, m] += seen[s].sum() * (0.2 if m == s + 1 else 0.00002) / per.shape[2] - 0.05  # in place of what was added
     seen = per.reshape(3, -1)
     return {"start": np.log(start / start.sum()), "move": np.log(move / move.sum(1, keepdims=True)), "seen": np.log(seen / seen.sum(1, keepdims=True))}
 
