@@ -133,3 +133,15 @@ def display_links(hops: DataFrame) -> DataFrame:
     same = hops.where("method = 'semantic'").join(edge, "query_id").where("to_type = source_type").groupBy("query_id", "hop_index").agg(F.min("to").alias("to"))
     return later.unionByName(same)
 
+
+def dotted(symbols: DataFrame, max_depth: int = 16) -> DataFrame:
+    """(doc, i, path) of symbols (doc, i, parent, name): names from the root (parent 0) down, joined by dots.
+
+    A document's symbols fit in one row; the climb is a fold of ``max_depth`` steps.
+    """
+    trees = symbols.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("parent", "name")))).alias("known"))
+    rows = symbols.join(trees, "doc")
+    up = lambda x: F.get(F.transform(F.array(F.try_element_at("known", x["up"])), lambda p: F.struct(F.concat_ws(".", p["name"], x["path"]).alias("path"), p["parent"].alias("up"))), F.lit(0))
+    start = F.struct(F.col("name").alias("path"), F.col("parent").alias("up"))
+    climbed = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, lambda x, _: F.when(x["up"] == 0, x).otherwise(up(x)))
+    return rows.withColumn("end", climbed).where("end.up = 0").select("doc", "i", F.col("end.path").alias("path"))

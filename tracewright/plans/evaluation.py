@@ -25,12 +25,12 @@ def quality_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.pass_breakdown(rows, "lang", "source").select("lang", "source", "n", "passed")
 
 
-@query("mrr_recall", """WITH s AS (SELECT q.vec_id AS qid, q.label AS ql, e.vec_id AS id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20 AND e.vec_id <> q.vec_id),
+@query("mrr_recall", """WITH s AS (SELECT q.vec_id AS qid, q.label AS ql, e.vec_id AS id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s), h AS (SELECT qid, min(rank) FILTER (WHERE label = ql AND rank <= 10) AS f FROM r GROUP BY qid)
 SELECT round(avg(coalesce(1.0 / f, 0)), 6) AS mrr, round(avg(CASE WHEN f IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall_at_10 FROM h""")
 def mrr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("of"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("of"))
     top = R.top_k(queries, rows.select(F.col("vec_id").alias("id"), "embedding", "label"), 11).where("id <> query_id")
     top = R.ranked(top.drop("rank"), 10)
     expected = queries.select("query_id", "of").join(rows.select(F.col("vec_id").alias("id"), F.col("label").alias("of")), "of").where("id <> query_id").select("query_id", "id")
@@ -60,23 +60,23 @@ def lineage_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.monotonic(_hops(spark, sf_dir))
 
 
-@query("preflight_grid", """WITH q AS (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN [] ELSE [item_id % 9, item_id % 4] END AS r FROM benchmark), c AS (SELECT DISTINCT lang AS corpus FROM documents), a AS (SELECT DISTINCT lang AS corpus, doc_id % 10 AS artifact FROM documents WHERE doc_id % 3 <> 1 AND doc_id < 200)
+@query("preflight_grid", """WITH q AS (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN [] ELSE [item_id % 9, item_id % 4] END AS r FROM benchmark), c AS (SELECT DISTINCT lang AS corpus FROM documents), a AS (SELECT DISTINCT lang AS corpus, doc_id % 1000 AS artifact FROM documents WHERE doc_id % 3 <> 1)
 SELECT status, corpus, count(*) AS n FROM (SELECT item_id, corpus, CASE WHEN len(r) = 0 THEN 'invalid' WHEN (SELECT count(*) FROM a WHERE a.corpus = c.corpus AND a.artifact = r[1]) > 0 AND (SELECT count(*) FROM a WHERE a.corpus = c.corpus AND a.artifact = r[2]) > 0 THEN 'applicable' ELSE 'skipped' END AS status FROM q, c) GROUP BY ALL""")
 def preflight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
     queries = table(spark, sf_dir, "benchmark").select(i.alias("query_id"), F.when(i % 7 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i % 9, i % 4)).alias("required"))
     docs = table(spark, sf_dir, "documents")
-    catalog = docs.where("doc_id < 200").select(F.col("lang").alias("corpus"), (F.col("doc_id") % 10).alias("artifact"), F.when(F.col("doc_id") % 3 != 1, "active").otherwise("archived").alias("state"))
+    catalog = docs.select(F.col("lang").alias("corpus"), (F.col("doc_id") % 1000).alias("artifact"), F.when(F.col("doc_id") % 3 != 1, "active").otherwise("archived").alias("state"))
     corpora = docs.select(F.col("lang").alias("corpus")).distinct()
     return V.preflight(queries, corpora, catalog).groupBy("status", "corpus").agg(F.count("*").alias("n"))
 
 
-@query("hard_negatives", """WITH s AS (SELECT q.vec_id AS query_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id < 20 AND e.vec_id >= 20)
+@query("hard_negatives", """WITH s AS (SELECT q.vec_id AS query_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id % 50 <> 0)
 SELECT query_id, count(*) FILTER (WHERE score >= 0.1) < 3 AND max(score) < 0.6 AS passed FROM s WHERE r <= 10 GROUP BY query_id""")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return V.hard_negative_passes(R.top_k(queries, rows.where("vec_id >= 20").select(F.col("vec_id").alias("id"), "embedding"), 10))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return V.hard_negative_passes(R.top_k(queries, rows.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), "embedding"), 10))
 
 
 @query("failure_diagnosis", """WITH c AS (SELECT event_type AS class, count(*) AS n FROM events WHERE event_type <> 'signup' GROUP BY 1), o AS (SELECT unnest(['error', 'click', 'signup', 'lost']) AS class)

@@ -25,8 +25,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(docs, "id")
 
 
-def _queries(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _queries(spark: SparkSession, sf_dir: str, every: int = 0) -> DataFrame:
+    """The first vector, or each whose id is divisible by ``every``."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0 if every else F.col("vec_id") == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 _SCORED = f"""
@@ -42,10 +43,10 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     "vector_topk_batch",
     f"""SELECT query_id, id, round(score, 6) AS score, rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
-  FROM embeddings e, embeddings q WHERE q.vec_id < 20) WHERE rank <= 10""",
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 10""",
 )
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_queries(spark, sf_dir, 20), _chunks(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return R.top_k(_queries(spark, sf_dir, 50), _chunks(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 _FETCHED = f"""

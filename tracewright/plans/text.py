@@ -135,9 +135,9 @@ def source_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", X.repo_source(s).alias("norm"))
 
 
-@query("low_quality_text", "SELECT doc_id, length(trim(text)) < 100 AS low FROM documents WHERE text NOT LIKE '%](%'")
+@query("low_quality_text", r"SELECT doc_id, length(trim(text)) < 100 OR coalesce(list_sum(list_transform(regexp_extract_all(trim(text), '\[[^\]]*\]\([^)]*\)'), lambda x: length(x))), 0) / length(trim(text)) > 0.5 AS low FROM documents")
 def low_quality_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("text NOT LIKE '%](%'").select("doc_id", X.low_quality(F.col("text")).alias("low"))
+    return _docs(spark, sf_dir).select("doc_id", X.low_quality(F.col("text")).alias("low"))
 
 
 @query("length_strata", "SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END AS bucket, lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM documents GROUP BY ALL")

@@ -175,37 +175,37 @@ def theme_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 4).alias("mean"), F.round(F.avg("kinds"), 4).alias("mean_kinds"))
 
 
-@query("gold_rank_probe", "WITH s AS (SELECT q.vec_id AS q, e.vec_id AS id, e.label, q.label AS ql, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id < 10) SELECT q AS query_id, min(r) FILTER (WHERE label <> ql AND r <= 50) AS rank FROM s GROUP BY q")
+@query("gold_rank_probe", "WITH s AS (SELECT q.vec_id AS q, e.vec_id AS id, e.label, q.label AS ql, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) SELECT q AS query_id, min(r) FILTER (WHERE label <> ql AND r <= 50) AS rank FROM s GROUP BY q")
 def gold_rank_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of the top 50 with another label."""
     from ..operators import retrieval as R
 
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     top = R.top_k(queries, rows.select(F.col("vec_id").alias("id"), "embedding", "label"), 50).join(rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
     return top.groupBy("query_id").agg(F.min(F.when(F.col("label") != F.col("own"), F.col("rank"))).cast("long").alias("rank"))
 
 
-@query("dotted_paths", """WITH RECURSIVE t AS (SELECT l_orderkey AS doc, l_linenumber AS i, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber // 2 END AS parent, concat('s', l_linenumber) AS name FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 200)),
+@query("dotted_paths", """WITH RECURSIVE t AS (SELECT l_orderkey AS doc, l_linenumber AS i, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber // 2 END AS parent, concat('s', l_linenumber) AS name FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
 p AS (SELECT doc, i, name AS path FROM t WHERE parent = 0 UNION ALL SELECT t.doc, t.i, concat(p.path, '.', t.name) FROM t JOIN p ON p.doc = t.doc AND p.i = t.parent) SELECT doc, i, path FROM p""")
 def dotted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dotted names of a symbol tree, by a recursive plan."""
-    table(spark, sf_dir, "lineitem").where("l_orderkey < 200").select("l_orderkey", "l_linenumber").distinct().createOrReplaceTempView("_symbols")
-    return spark.sql("""WITH RECURSIVE t AS (SELECT l_orderkey AS doc, l_linenumber AS i, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber div 2 END AS parent, concat('s', l_linenumber) AS name FROM _symbols),
-      p AS (SELECT doc, i, name AS path FROM t WHERE parent = 0 UNION ALL SELECT t.doc, t.i, concat(p.path, '.', t.name) FROM t JOIN p ON p.doc = t.doc AND p.i = t.parent) SELECT doc, i, path FROM p""")
+    """Dotted names of each document's symbol tree; a symbol whose ancestors are not all there has none."""
+    i = F.col("l_linenumber")
+    symbols = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), i.alias("i"), F.when(i == 1, 0).otherwise(F.floor(i / 2)).cast("int").alias("parent"), F.concat(F.lit("s"), i).alias("name")).distinct()
+    return T.dotted(symbols)
 
 
-@query("run_log_rows", "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN NULL ELSE round(sum(value), 4) END AS cost, round(max(value), 4) AS latency FROM events WHERE event_id % 20 < 2 GROUP BY user_id")
+@query("run_log_rows", "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND value > 20) > 0 THEN NULL ELSE round(sum(value), 4) END AS cost, round(max(value), 4) AS latency FROM events GROUP BY user_id")
 def run_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id % 20 < 2").groupBy("user_id")
-    return rows.agg(F.when(F.count_if(F.col("event_type") == "error") == 0, F.round(F.sum("value"), 4)).alias("cost"), F.round(F.max("value"), 4).alias("latency"))
+    rows = table(spark, sf_dir, "events").groupBy("user_id")
+    return rows.agg(F.when(F.count_if((F.col("event_type") == "error") & (F.col("value") > 20)) == 0, F.round(F.sum("value"), 4)).alias("cost"), F.round(F.max("value"), 4).alias("latency"))
 
 
-@query("adversarial_filter", "WITH s AS (SELECT q.vec_id AS q, e.vec_id AS id, e.label, q.label AS ql, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id < 40 AND e.vec_id <> q.vec_id) SELECT q AS query_id FROM s GROUP BY q HAVING count(*) FILTER (WHERE r <= 3 AND label = ql) = 0")
+@query("adversarial_filter", "WITH s AS (SELECT q.vec_id AS q, e.vec_id AS id, e.label, q.label AS ql, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) SELECT q AS query_id FROM s GROUP BY q HAVING count(*) FILTER (WHERE r <= 3 AND label = ql) = 0")
 def adversarial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that no required artifact answers within the top three."""
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     from ..operators import retrieval as R
 
     top = R.top_k(queries, rows.select(F.col("vec_id").alias("id"), "embedding", "label"), 4).where("id <> query_id")
