@@ -9,12 +9,12 @@ of similarity 0.8 shares none with a probability of 4e-9, and one of 0.3
 shares one with 5 %.
 
 Links are confirmed on whole sets. A small bucket tests all its pairs. A
-larger one tests its members against pivots, the densest first (the member
-that shares most buckets, as the common origin of edited copies does), and
-only members whose components still differ are tested again. What is left
-after the pivot rounds is compared block by block, members of the smaller
-components with all members of their family (what buckets connect), and a task
-sees two blocks of sets at a time. No link is lost after the banding.
+larger one tests its members against a pivot, the densest (the member that
+shares most buckets, as the common origin of edited copies does). Where its
+members' components still differ, members of the smaller components are
+compared with all members of their family (what such buckets connect) block by
+block: a task sees two blocks of sets at a time and emits only links that join
+components. No link is lost after the banding.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from .common import checkpointed, grouped, mapped, sized
 from .components import components
 
 BINS, ROWS = 384, 6
-#: Buckets of up to this many sets test all pairs: at most 4 pairs for each member.
-SMALL = 8
-#: Pivots for each bucket and round, and rounds, before the blocks.
-PIVOTS, ROUNDS, BLOCK = 4, 2, 256
+#: Buckets of up to this many sets test all pairs: at most 1.5 pairs for each member.
+SMALL = 4
+#: Pivots for each bucket in a further round, such rounds before the blocks, and members of a block.
+PIVOTS, ROUNDS, BLOCK = 4, 0, 256
 
 
 def sketch(doc: np.ndarray, hashes: np.ndarray, n_docs: int, bins: int = BINS) -> np.ndarray:
