@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +55,33 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
+def release() -> None:
+    """Give a Python worker's free memory back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow``."""
     importable(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def grouped(df: DataFrame, keys: str | list[str], function, schema: str) -> DataFrame:
     """``df.groupBy(keys).applyInArrow``."""
     importable(df.sparkSession)
-    return df.groupBy(keys).applyInArrow(function, schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        out = function(table)
+        release()
+        return out
+
+    return df.groupBy(keys).applyInArrow(run, schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes worked on at once (a longer text makes a longer slice of its own).
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -39,13 +39,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if _powers is not None and len(_powers[0]) >= n:
         return _powers
-    size = max(n, SLICE + (1 << 18))
+    size = max(n, SLICE + (1 << 17))
     ups, downs = np.empty(size, U), np.empty(size, U)
     ups[0] = downs[0] = 1
     ups[1:], downs[1:] = _BASE, _INVERSE
     np.cumprod(ups, out=ups)
     np.cumprod(downs, out=downs)
-    if size <= 2 * SLICE:
+    if size <= 4 * SLICE:
         _powers = (ups, downs)
     return ups, downs
 
