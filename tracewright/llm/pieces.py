@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _MARK = MARK.encode()
 #: Stretches that are remembered, and the longest that is (in characters).
-MEMORY, LONGEST = 250_000, 256
+MEMORY, LONGEST = 100_000, 256
 _STRETCH = re.compile(" +[^ ]*|[^ ]+")
 
 
@@ -227,9 +227,6 @@ class Pieces:
         return data[keep], cuts - np.r_[0, np.cumsum(some)]
 
 
-_memory: dict[str, bytes] = {}
-
-
 def encoded(documents: DataFrame, pieces: Pieces | None = None, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids and round_trip of each row; with ``decoded`` also the decoded text.
 
@@ -242,11 +239,12 @@ def encoded(documents: DataFrame, pieces: Pieces | None = None, decoded: bool =
         model = sent.value
         is_byte = np.zeros(len(model.span_len), bool)
         is_byte[model.byte_ids] = True
+        memory: dict[str, bytes] = {}
         for batch in batches:
             column = batch.column("text").fill_null("")
             for i, j, data, offsets in K.slices(column):
                 n = j - i
-                packed = model.encode(column.slice(i, n).to_pylist(), _memory)
+                packed = model.encode(column.slice(i, n).to_pylist(), memory)
                 ids = np.frombuffer(b"".join(packed), np.int32)
                 at = np.r_[0, np.cumsum([len(x) // 4 for x in packed])].astype(np.int32)
                 back, cuts = model.decode(ids, at)

@@ -140,7 +140,7 @@ def _hashed(length: int, q: int, buckets: int, bits: int):
                 new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
                 kept.append(h[new])
                 total += int(new.sum())
-                if total > 4_000_000:
+                if total > 2_500_000:
                     yield flush()
                     total = 0
         if total:
