@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _MARK = MARK.encode()
 #: Stretches that are remembered, and the longest that is (in characters).
-MEMORY, LONGEST = 100_000, 256
+MEMORY, LONGEST = 250_000, 256
 _STRETCH = re.compile(" +[^ ]*|[^ ]+")
 
 
@@ -198,15 +198,16 @@ class Pieces:
         """The packed ids of each text. An empty text has none."""
         cut = [_STRETCH.findall(" " + t) if t else [] for t in texts]
         new = list({s for stretches in cut for s in stretches if len(s) <= LONGEST} - memory.keys())
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = list({s for stretches in cut for s in stretches if len(s) <= LONGEST})
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             plain = [s for s in part if MARK not in s]
             memory.update(zip(plain, self.many([s.replace(" ", MARK).encode() for s in plain]), strict=True))
             memory.update((s, self._long(s)) for s in part if MARK in s)
-        return [b"".join([memory[s] if len(s) <= LONGEST else self._long(s) for s in stretches]) for stretches in cut]
+        out = [b"".join([memory[s] if len(s) <= LONGEST else self._long(s) for s in stretches]) for stretches in cut]
+        if len(memory) > MEMORY:  # full: the first ones, among them the frequent ones, stay
+            for s in new:
+                del memory[s]
+        return out
 
     def _long(self, stretch: str) -> bytes:
         """A long stretch, or one in which the marker itself stands (it becomes three bytes)."""
