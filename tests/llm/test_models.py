@@ -122,6 +122,18 @@ def test_class_model_is_a_distribution_and_beats_the_base(spark):
     assert brown.score(d.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [10, 10_000])
+def test_rare_words_have_the_class_of_their_neighbours(spark, monkeypatch, frequent):
+    monkeypatch.setattr(brown, "FREQUENT", frequent)
+    monkeypatch.setattr(brown, "M", 8)
+    rng = random.Random(3)
+    a, b = ([f"xy{rng.randrange(10**9)}z" for _ in range(60)] for _ in range(2))
+    docs = [(i, " ".join(f"aa {rng.choice([*a, *['a1', 'a2'] * 20])} cc bb {rng.choice([*b, *['b1', 'b2'] * 20])} dd" for _ in range(20))) for i in range(60)]
+    tests = [(1000 + i, f"aa {x} cc bb {y} dd") for i, (x, y) in enumerate(zip(a, b))] + [(2000 + i, f"aa {y} cc bb {x} dd") for i, (x, y) in enumerate(zip(a, b))]
+    out = {r.doc_id: r.score for r in brown.score(spark.createDataFrame(docs + tests, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert all(out[1000 + i] > out[2000 + i] + 1 for i in range(60))
+
+
 def test_exchange_finds_groups():
     counts = np.zeros((9, 9))
     for a in range(4):
