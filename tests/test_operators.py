@@ -139,3 +139,21 @@ def test_text_functions(spark):
     assert one(spark, X.is_placeholder_repo(F.lit("Owner/Repo"))) is True
     assert one(spark, X.is_placeholder_repo(F.lit("docs/user.md"))) is True
     assert one(spark, X.url_source(F.lit("HTTP://Ex.org"))) == "ex.org/"
+
+
+def test_lineage_reaches_the_root_of_a_long_trace(spark):
+    hops = spark.createDataFrame([(1, i, i - 1, "ab"[i % 2]) for i in range(40)], "query_id long, hop_index int, parent_hop_index int, source_type string")
+    row = trace.lineage(hops).first()
+    assert row.path == list(range(40)) and row.length == 40
+
+
+def test_evidence_chains_read_every_event(spark):
+    from tests.conftest import SF
+    from tracewright import registry
+    from tracewright.plans.trace import _traces
+
+    hops = _traces(spark, SF)
+    assert hops.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert hops.groupBy("query_id", "trace").count().agg(F.max("count")).first()[0] <= 15
+    later = registry.QUERIES["evidence_chains"](spark, SF).where("query_id not like '%-0'")
+    assert later.count() > 0

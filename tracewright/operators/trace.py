@@ -85,11 +85,11 @@ def chronological(hops: DataFrame) -> DataFrame:
     return hops.withColumn("chrono", F.row_number().over(w) - 1)
 
 
-def lineage(hops: DataFrame, max_length: int = MAX_TOTAL) -> DataFrame:
+def lineage(hops: DataFrame) -> DataFrame:
     """Every root-to-leaf path: (query_id, leaf, path, types, length, variety), types without consecutive repeats.
 
-    A trace has at most ``max_length`` hops, so its hops fit in one row and
-    the climb to the root is a fold over them.
+    A trace's hops fit in one row, and the climb to the root is a fold of as
+    many steps as it has hops.
     """
     hop = F.struct(F.col("hop_index").cast("int").alias("i"), F.col("parent_hop_index").cast("int").alias("up"), F.col("source_type").alias("kind"))
     traces = hops.groupBy("query_id").agg(F.array_sort(F.collect_list(hop)).alias("hops"))
@@ -98,7 +98,7 @@ def lineage(hops: DataFrame, max_length: int = MAX_TOTAL) -> DataFrame:
     rows = traces.select("query_id", known.alias("known"), F.explode(leaves).alias("end"))
     start = F.struct(F.array(F.col("end")).alias("path"), F.col("end.up").alias("up"))
     above = lambda x: F.get(F.transform(F.array(F.element_at("known", x["up"])), lambda h: F.struct(F.concat(F.array(h), x["path"]).alias("path"), h["up"].alias("up"))), F.lit(0))
-    climbed = F.aggregate(F.sequence(F.lit(1), F.lit(max_length)), start, lambda x, _: F.when(x["up"] < 0, x).otherwise(above(x)), lambda x: x["path"])
+    climbed = F.aggregate(F.sequence(F.lit(1), F.size("known")), start, lambda x, _: F.when(x["up"] < 0, x).otherwise(above(x)), lambda x: x["path"])
     paths = rows.select("query_id", F.col("end.i").alias("leaf"), climbed.alias("hops"))
     paths = paths.select("query_id", "leaf", F.transform("hops", lambda h: h["i"]).alias("path"), F.transform("hops", lambda h: h["kind"]).alias("all"))
     runs = F.filter("all", lambda t, i: (i == 0) | (t != F.get("all", i - 1)))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import trace as T
 from ..operators import upkeep as U
 from ..registry import query, table
-from .trace import _hops
+from .trace import _traces
 
 
 @query("donor_scan", "SELECT lang AS collection, count(*) AS n FROM documents WHERE source = 'src3' AND lang <> 'en' AND doc_id % 5 <> 0 GROUP BY lang")
@@ -97,7 +97,9 @@ def gold_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("evidence_chains")
 def evidence_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.evidence_chains(T.lineage(_hops(spark, sf_dir)))
+    """Over all traces of all users; a trace is named by its user and its number."""
+    hops = _traces(spark, sf_dir).withColumn("query_id", F.concat_ws("-", "query_id", "trace"))
+    return U.evidence_chains(T.lineage(hops))
 
 
 @query("flipped_queries", "SELECT doc_id, CASE WHEN quality = 1 THEN 'pass to fail' ELSE 'fail to pass' END AS flip FROM labels WHERE doc_id % 7 = 0")
