@@ -39,8 +39,7 @@ _LOW = np.uint64((1 << 48) - 1)
 def refine(buckets: np.ndarray, later: np.ndarray) -> np.ndarray:
     """Bucket numbers split by the buckets at a later offset: equal pairs get equal numbers, in sorted order.
 
-    Only members of buckets with company are sorted; the others keep a number
-    of their own.
+    All rows are sorted, those alone in their bucket too.
     """
     if not len(buckets):
         return buckets
