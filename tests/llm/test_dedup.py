@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracewright.llm import components, kernels, neardup, queries, suffixarray
+from tracewright.llm import common, components, kernels, neardup, queries, suffixarray
 
 
 def roots(n, pairs):
@@ -53,11 +53,29 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize(("small", "rounds", "block"), [(8, 2, 256), (2, 0, 16)])
-def test_near_duplicates(spark, monkeypatch, small, rounds, block):
-    for name, value in (("SMALL", small), ("ROUNDS", rounds), ("BLOCK", block)):
-        monkeypatch.setattr(neardup, name, value)
+@pytest.mark.parametrize(("small", "hot"), [(8, 500), (2, 3)])
+def test_near_duplicates(spark, monkeypatch, small, hot):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(common, "HOT", hot)
     docs = corpus(small)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = neardup.near_duplicates(rows, 3, 85).collect()
+    assert sorted(map(tuple, got), key=str) == brute_near(docs, 3, 85)
+    # Of each component one row stays: every one without doc_id or words, and the one with the smallest doc_id.
+    least = {r[2] for r in got if r[0] is not None and r[1]}
+    wordless = [d for d in docs if d[0] is not None and not (d[1] or "").split()]
+    left = neardup.deduplicated(rows, 3, 85).collect()
+    assert sorted([r.doc_id for r in left if r.doc_id is not None and (r.text or "").split()]) == sorted(least)
+    assert len(left) == len(least) + len(wordless) + sum(d[0] is None for d in docs)
+
+
+def test_ids_that_repeat(spark):
+    """Texts under one doc_id, and texts that only rows without doc_id hold, are linked as others are."""
+    rng = random.Random(5)
+    word = lambda: str(rng.randint(0, 10**6))
+    a, b = [word() for _ in range(100)], [word() for _ in range(100)]
+    near = lambda w: " ".join([*w[:-1], word()])
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (None, near(b)), (None, near([word() for _ in range(50)])), (4, " ".join(b))]
     got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
     assert sorted(map(tuple, got), key=str) == brute_near(docs, 3, 85)
 
@@ -72,8 +90,11 @@ def test_near_duplicates_of_nothing(spark):
 
 def test_deduplicated_keeps_columns(spark):
     t = " ".join(map(str, range(40)))
-    docs = spark.createDataFrame([(2, t, 1), (1, t, 2), (3, None, 3), (4, None, 4)], "doc_id long, text string, node int")
-    assert sorted(map(tuple, neardup.deduplicated(docs).collect())) == [(1, t, 2), (3, None, 3), (4, None, 4)]
+    docs = spark.createDataFrame([(2, t, 1, 2), (1, t, 2, 3), (1, t, 2, 3), (3, None, 3, 4), (4, None, 4, 5), (None, t, 5, 6)], "doc_id long, text string, node int, _gone int")
+    for name in ("th", "row", "Own", "least", "n_shingles"):
+        left = neardup.deduplicated(docs.withColumnRenamed("node", name))
+        assert left.columns == ["doc_id", "text", name, "_gone"]
+        assert sorted(map(tuple, left.collect()), key=str) == [(1, t, 2, 3), (3, None, 3, 4), (4, None, 4, 5), (None, t, 5, 6)]
 
 
 def test_sketch_estimates_similarity():

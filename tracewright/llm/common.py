@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: A key with more rows than this is dealt over several tasks.
+HOT = 500
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage, its rows in the shared checkpoint folder.
 
@@ -34,6 +38,32 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def heavy_of(counts: DataFrame, n: str, key: list[str]) -> DataFrame:
+    """(key, parts) of the keys with more than HOT rows, from a table of counts.
+
+    The limit rises with the rows counted, so that there are at most
+    BROADCAST_ROWS such keys whatever the input.
+    """
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    most = max(HOT, -(-total // BROADCAST_ROWS))
+    return checkpointed(counts.where(F.col(n) > most).select(*key, F.ceil(F.col(n) / most).cast("int").alias("parts")))
+
+
+def heavy(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``heavy_of`` the counted ``rows``."""
+    return heavy_of(checkpointed(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > HOT)), "n", key)
+
+
+def spread(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """The join of ``left`` and ``right`` on ``key``; rows of ``left`` with a key of ``hot`` are dealt over its parts by the column ``by``, and those of ``right`` are copied to each part."""
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    salt = F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")
+    left = left.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("parts")
+    right = right.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, [*key, "salt"], how).drop("salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
