@@ -134,24 +134,59 @@ def brute_removed(docs, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length", [50, 20, 100])
-def test_removed(spark, length):
+def passages(length):
     rng = random.Random(length)
     line = "".join(rng.choice("abcdé ") for _ in range(140))
     docs = [(i, "".join(rng.choice("xyzü ") for _ in range(rng.randint(0, 200))) + line[rng.randint(0, 60) : rng.randint(60, 140)] + "q" * rng.randint(0, 120)) for i in range(60)]
     docs += [(100, None), (101, ""), (102, docs[3][1]), (103, "ab" * 200), (104, "ab" * 90), (105, "a" * length), (5, docs[5][1]), (None, docs[7][1])]
-    got = suffixarray.removed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), length).collect()
-    assert sorted(map(tuple, got), key=str) == brute_removed([(d, (t or "").encode()) for d, t in docs], length)
-
-
-def test_without_repeats_keeps_columns(spark):
+    once = "".join(rng.choice("uvwxyz") for _ in range(264))
+    # Texts under one id: only what a smaller id holds goes, from the row that holds it.
+    return [*docs, (200, once), (201, once), (201, once[::-1]), (202, once[:130] + line[:30]), (202, None), (202, "")]
+
+
+@pytest.mark.parametrize(("length", "many"), [(50, 256), (50, 2), (20, 256), (100, 256), (100, 2), (7, 2)])
+def test_removed(spark, monkeypatch, length, many):
+    """With ``many`` 2 every shared anchor is split as a common one."""
+    monkeypatch.setattr(suffixarray, "MANY", many)
+    monkeypatch.setattr(suffixarray, "SHARES", many)
+    docs = passages(length)
+    got = suffixarray.removed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), length)
+    assert sorted(map(tuple, got.drop("kept_text", "spans").collect()), key=str) == brute_removed([(d, (t or "").encode()) for d, t in docs], length)
+
+
+def test_removed_of_nothing_and_of_a_long_text(spark):
+    assert suffixarray.removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert suffixarray.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_500_000))
+    docs = [(1, long), (2, "x" + long[700_000:700_200] + "y"), (3, long[5:])]
+    got = {r.doc_id: r.n_removed for r in suffixarray.removed(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 200, 3: len(long) - 5}
+
+
+def test_window_buckets():
+    """Equal numbers if and only if the windows are equal, for every place of the anchor."""
+    rng = np.random.default_rng(1)
+    for side in (0, 1, 3, 9, 24):
+        around = rng.integers(97, 99, (300, 2 * side), dtype=np.uint8)
+        anchor = rng.integers(0, 3, 300)
+        seen = list(suffixarray.window_buckets(anchor, around, 0, side))
+        assert [r for r, _ in seen] == list(range(side + 1))
+        for r, bucket in seen:
+            want = [(int(a), x[r : side + r].tobytes()) for a, x in zip(anchor, around, strict=True)]
+            assert len(set(zip(want, bucket.tolist(), strict=True))) == len(set(want)) == len(set(bucket.tolist()))
+
+
+@pytest.mark.parametrize("name", ["size", "spans", "n_bytes", "kept_text", "_of", "_null", "Row", "th", "a b"])
+def test_without_repeats_keeps_columns(spark, name):
     passage = "word " * 60
-    docs = spark.createDataFrame([(1, passage + "one", 1, "x"), (2, "two " + passage, 2, "y"), (3, None, 3, "z")], "doc_id long, text string, n_chars long, size string")
+    docs = spark.createDataFrame([(1, passage + "é one", 1, "x"), (2, "è" + passage + "ê two", 2, "y"), (3, None, 3, "z")], f"doc_id long, text string, n_chars long, `{name}` string")
     left = suffixarray.without_repeats(docs, 100)
     assert left.columns == docs.columns
     got = {r.doc_id: r for r in left.collect()}
-    assert got[1].text == passage + "one" and got[3].text is None
-    assert len(got[2].text) < 10 and got[2].n_chars == len(got[2].text)
+    assert got[1].text == passage + "é one" and got[3].text is None and got[3][3] == "z"
+    # The first byte of the last letters is shared, the letters are not: they stay whole.
+    assert got[2].text == "èê two" and got[2].n_chars == 6
 
 
 @settings(max_examples=200, deadline=None)

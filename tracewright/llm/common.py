@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a few dozen bytes that may be broadcast after they were counted.
 BROADCAST_ROWS = 1_000_000
@@ -94,7 +95,7 @@ def release() -> None:
         pass
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+def mapped(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow``."""
     importable(df.sparkSession)
 

@@ -46,7 +46,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixarray.removed(table(spark, sf_dir, "documents"), length=50)
+    out = suffixarray.removed(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
