@@ -203,11 +203,68 @@ def test_double_array():
         assert t.value[node] == k
 
 
-def test_html_labelled_pages():
-    model = html.learn()
-    for page in html.LABELLED:
+@pytest.fixture(scope="module")
+def page_model():
+    return html.learn()
+
+
+def test_html_labelled_pages(page_model):
+    for page in html.labelled():
         want = " ".join(" ".join(re.sub("<[^>]*>", "", x) for x in re.findall(r"\{([^}]*)\}", page)).split())
-        assert html.extract(re.sub("[{}]", "", page), model) == want
+        assert html.extract(re.sub("[{}]", "", page), page_model) == want
+
+
+LONG = "The main text of this page stands in a plain element without any paragraph, and goes on for a while. It has two sentences."
+PAGES = [
+    (f"<body><div><a>x</a> <a>y</a></div><div>{LONG}</div></body>", LONG),
+    (f"<body><div><a href='/'>Home</a> | <a>Log in</a></div><table><tr><td>{LONG}</td></tr><tr><td>{LONG}</td></tr></table><div><a>Imprint</a></div></body>", f"{LONG} {LONG}"),
+    ("<article><p>One sentence stands here.</p><div class='menu-prices'><p>Soup costs three and bread two.</p></div><p>End.</p></article>", "One sentence stands here. Soup costs three and bread two. End."),
+    ("<article><p>wo<script>x('</p>')</script>rd and wo<!-- <p>no</p> -->rd</p></article>", "word and word"),
+    ("<article><p>a<b>b</b>&nbsp;c<br>d</p><p>e &lt;f&gt;</p></article>", "ab c d e <f>"),
+    (f"<body><main><h1>T</h1><p>Short one.</p><div class='ad'>{'buy now ' * 400}</div><p>The end of it.</p></main><section class='comments'><p>{'I say ' * 300}</p></section></body>", "T Short one. The end of it."),
+    (f"<body><div class='content'><p>{'word ' * 50}</p><div class='newsletter-signup'>{'sign up ' * 200}</div><p>tail text here.</p></div><div id='sidebar'>{LONG}</div></body>", "word " * 50 + "tail text here."),
+    (f"<div><p>{LONG}</p><aside>{LONG}</aside><p>{LONG}</p></div><footer>{LONG}</footer>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><section class='comment-section'><p>{LONG}</p></section><div class='post-footer'>Filed under trees</div></article>", LONG),
+    (f"<article><p>{LONG}<p>No end tags<ul><li>one<li>two</ul><form><p>Name</form></article>", f"{LONG} No end tags one two"),
+    ("<nav>x</nav>", ""),
+    ("", ""),
+    (None, ""),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_html_layouts(page_model, page, want):
+    assert html.extract(page, page_model) == want
+
+
+def test_html_deep_pages_take_linear_time(page_model):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        for page in ("<div>" * n + LONG, "<b><p>x" * n, "<div>" + "<b>" * n + "</i><p>x</p>" * n):
+            html.extract(page, page_model)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 16 * max(took(2_000), 0.02)
+    long = f"<article>{f'<p>{LONG}</p>' * 20_000}</article>"
+    assert html.extract(long, page_model) == " ".join([LONG] * 20_000)
+
+
+def brute_run(scores):
+    best = max(((sum(scores[i:j]), -i, -(j - i)) for i in range(len(scores)) for j in range(i, len(scores) + 1)), default=(0, 0, 0))
+    return best[0]
+
+
+def test_html_run_is_the_best_one(page_model):
+    """The chosen stretches' sum equals the best of all contiguous runs."""
+    rng = random.Random(8)
+    for _ in range(30):
+        parts = [rng.choice([f"<p>w{k} x y</p>", f"<div><a>l{k}</a></div>", f"<span>s{k}</span>"]) for k in range(rng.randint(1, 12))]
+        scores, best, span = html.scan(html.scored("".join(parts), page_model))
+        assert best == pytest.approx(max(0.0, brute_run(scores)))
+        assert best == pytest.approx(sum(scores[span[0] : span[1]]))
 
 
 def test_html_edge_cases(spark):
