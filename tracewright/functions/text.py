@@ -28,6 +28,17 @@ PERSONA_BOOSTS = {
     "technical": {"code": 1.2, "markdown": 1.1, "doc-page": 0.7},
     "open-ended": {},
 }
+PERSONA_INCLUDES = {
+    "docs": ["doc-page", "markdown"],
+    "discussion": ["github-issue", "github-pr", "github-pr-comment", "github-discussion", "slack-message", "discord-message"],
+    "changes": ["github-pr", "github-issue", "markdown", "code"],
+    "technical": ["code", "markdown"],
+}
+PERSONA_EXCLUDES = {"technical": ["doc-page"]}
+MEDIA_TYPES = {
+    "ts": "text/typescript", "tsx": "text/typescript", "js": "text/javascript", "jsx": "text/javascript", "md": "text/markdown", "mdx": "text/markdown", "json": "application/json", "yaml": "text/yaml", "yml": "text/yaml",
+    "toml": "text/toml", "py": "text/x-python", "go": "text/x-go", "rs": "text/x-rust", "rb": "text/x-ruby", "java": "text/x-java", "html": "text/html", "css": "text/css",
+}
 SECRETS = [r"sk-or-v1-[A-Za-z0-9]{8,}", r"sk-ant-[A-Za-z0-9_-]{16,}", r"sk-proj-[A-Za-z0-9_-]{16,}", r"sk-[A-Za-z0-9]{20,}", r"ghp_[A-Za-z0-9]{20,}", r"gho_[A-Za-z0-9]{20,}", r"ghu_[A-Za-z0-9]{20,}", r"Bearer [A-Za-z0-9._-]{16,}"]
 SECRET_ARGUMENT = r"(?i)(--[a-z][a-z-]*-(?:key|token|secret|password))(\s+|=)\S+"
 BOILERPLATE_TAGS = ["nav", "footer", "aside", "script", "style", "noscript"]
@@ -101,6 +112,15 @@ def shingles(text: Column, size: int = 5) -> Column:
     return F.get(F.transform(F.array(words), runs), F.lit(0))  # the words are split once, not once a shingle
 
 
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    """``shingles`` as distinct 64-bit hashes of their words: no string is built for each."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\]\([^)]*\)", "]"), r"https?://\S+", "")
+    words = F.filter(F.split(bare, r"[^a-z0-9_]+"), lambda w: w != "")
+    places = lambda w: F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
+    runs = lambda w: F.array_distinct(F.transform(places(w), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))))
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     """Distinct lower-case words of more than two characters, split at white space and punctuation."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[\s\p{P}]+"), lambda w: F.length(w) > 2))
@@ -122,6 +142,14 @@ def persona(text: Column) -> Column:
     return out.otherwise("open-ended")
 
 
+def persona_types(persona_name: Column, table: dict[str, list[str]]) -> Column:
+    """The source types that a routing rule includes or excludes (``PERSONA_INCLUDES``, ``PERSONA_EXCLUDES``); none for the others."""
+    out = F.array().cast("array<string>")
+    for name, kinds in table.items():
+        out = F.when(persona_name == name, F.array(*map(F.lit, kinds))).otherwise(out)
+    return out
+
+
 def redacted(text: Column) -> Column:
     out = text
     for p in SECRETS:
@@ -151,11 +179,15 @@ def label(text: Column, least: int = 5, most: int = 7) -> Column:
     return F.when(chosen == "", "unlabelled cluster").otherwise(chosen)
 
 
-def media_type(path: Column) -> Column:
-    """A media type by file ending; octets if unknown."""
-    kinds = {"md": "text/markdown", "mdx": "text/markdown", "html": "text/html", "htm": "text/html", "json": "application/json", "yaml": "text/yaml", "yml": "text/yaml", "txt": "text/plain"}
-    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)), ending), F.lit("application/octet-stream"))
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+
+
+def media_type(path: Column, source_type: Column) -> Column:
+    """A media type by file ending, else by source type; plain text if neither tells."""
+    known = _looked_up(MEDIA_TYPES, F.lower(F.element_at(F.split(path, r"\."), -1)))
+    prose = source_type.startswith("github-") | source_type.isin("hn-story", "hn-comment", "doc-page")
+    return F.coalesce(known, F.when(prose, "text/markdown").otherwise("text/plain"))
 
 
 def duration_seconds(text: Column) -> Column:
@@ -170,5 +202,10 @@ def length_bucket(n: Column) -> Column:
 
 
 def json_pages(text: Column) -> Column:
-    """Concatenated pages [..][..] as one JSON array."""
-    return F.regexp_replace(text, r"\]\s*\[", ",")
+    """Concatenated pages [..][..] as one JSON array.
+
+    Only brackets between pages are joined: the text is cut into strings
+    (with their escapes) and the runs between them, and strings stay as they are.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"]++'), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(F.regexp_replace(p, r"\]\s*\[", ","))), "")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import sized
+from ..session import checkpointed, sized
 
 KEY = ["type", "source_id", "target_type", "target_id"]
 
@@ -184,8 +184,29 @@ def dependency_edges(manifests: DataFrame) -> DataFrame:
 
 def composite_edges(parts: list[DataFrame], chunk_count: int) -> DataFrame:
     """Union of extractors' edges with provenance, merged, and at most 100 edges for each chunk in all."""
-    every = reduce(DataFrame.unionByName, parts)
-    return merged(every).orderBy("seq").limit(100 * chunk_count)
+    return first_rows(checkpointed(merged(reduce(DataFrame.unionByName, parts))), 100 * chunk_count)
+
+
+def first_rows(edges: DataFrame, most: int, ranges: int = 1000) -> DataFrame:
+    """The ``most`` first edges by ``seq`` (its first field is a number) without a global order.
+
+    Ranges of that number are counted; those that fit stay whole, and only
+    within the one that the limit cuts are edges ranked.
+    """
+    total = edges.count()
+    if total <= most:
+        return edges
+    place = F.col("seq.ord")
+    cuts = sorted(set(edges.agg(F.percentile_approx(place, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]))
+    low = edges.withColumn("range", F.aggregate(F.array(*(F.lit(c).cast("long") for c in cuts)), F.lit(0), lambda n, c: n + (c < place).cast("int")))
+    room, last = most, None
+    for number, n in sorted(tuple(r) for r in low.groupBy("range").count().collect()):
+        if n > room:
+            last = number
+            break
+        room -= n
+    ranked = low.where(F.col("range") == last).withColumn("r", F.row_number().over(Window.partitionBy("range").orderBy("seq"))).where(F.col("r") <= room)
+    return low.where(F.col("range") < last).drop("range").unionByName(ranked.drop("range", "r"))
 
 
 def normalized_type(c: Column) -> Column:
@@ -235,34 +256,61 @@ def bidirectional(edges: DataFrame) -> DataFrame:
 
 
 def repo_source(c: Column) -> Column:
-    """A source string without the code host's address (and then without .git), in lower case, without a leading ./"""
-    bare = F.regexp_replace(c, r"(?i)^https?://github\.com/", "")
+    """A source string without the code host's address, with or without its scheme (and then without .git), in lower case, without a leading ./"""
+    bare = F.regexp_replace(c, r"(?i)^(?:https?://)?github\.com/", "")
     return F.regexp_replace(F.lower(F.when(bare != c, F.regexp_replace(bare, r"\.git$", "")).otherwise(bare)), r"^\./", "")
 
 
+def holders(sources: DataFrame, probes: DataFrame) -> DataFrame:
+    """(probe, norm): the distinct sources (norm) that contain each distinct probe, by an index of their runs of up to three characters.
+
+    Only runs that some probe has are indexed, a probe meets the sources of
+    its rarest run alone, and what meets is compared. The empty probe is in
+    every source.
+    """
+
+    def runs(text: str, sizes: tuple[int, ...]) -> Column:
+        n = F.char_length(text)
+        of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(text), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(*(of(k) for k in sizes)))
+
+    long = F.char_length("probe") >= 3
+    needed = probes.where("probe <> ''").select("probe", F.explode(F.when(long, runs("probe", (3,))).otherwise(F.array("probe"))).alias("run"))
+    wanted = checkpointed(needed.select("run").distinct())
+    index = sources.select("norm", F.explode(runs("norm", (1, 2, 3))).alias("run")).join(sized(wanted), "run", "left_semi")
+    index = checkpointed(index)
+    counts = index.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = needed.join(counts, "run", "left").groupBy("probe").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("x")).where("x.n > 0")
+    met = rarest.select("probe", F.col("x.run").alias("run")).join(index, "run").where(F.contains("norm", "probe"))
+    empty = probes.where("probe = ''").limit(1).crossJoin(sources.select("norm"))  # one row
+    return met.select("probe", "norm").unionByName(empty)
+
+
 def resolved(targets: DataFrame, chunks: DataFrame, cap: int = 10) -> DataFrame:
     """(target, tier, id): the chunks of the first tier that has any.
 
     Tiers: 1 the id; 2 the normalized source; 3 a source that contains the
     target if that has a slash or colon, then without its first two parts
-    (the source that brings the count to ``cap`` is the last); 4 the name
-    after a source's first slash. Tier 3 is a nested-loop join, so it runs on
-    distinct sources and on targets that tiers 1 and 2 left.
+    (the source that brings the count to ``cap`` is the last); 4 what follows
+    the first slash of target and source alike, if both have one. Tier 3 runs
+    on distinct sources and on targets that tiers 1 and 2 left.
     """
     t = targets.select("target").distinct()
     c = chunks.select("id", "ord", "source", repo_source(F.col("source")).alias("norm"))
     one = t.join(c, F.col("target") == F.col("id").cast("string")).select("target", F.lit(1).alias("tier"), "id", "ord")
     two = t.withColumn("norm", repo_source(F.col("target"))).join(c, "norm").select("target", F.lit(2).alias("tier"), "id", "ord")
     left = t.join(one.union(two).select("target").distinct(), "target", "left_anti")
-    sources = c.groupBy("norm").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    sources = checkpointed(c.groupBy("norm").agg(F.min("ord").alias("first"), F.count("*").alias("n")))
     parts = F.split(repo_source(F.col("target")), "/")
     probes = left.where(F.col("target").rlike("[/:]")).select("target", repo_source(F.col("target")).alias("probe"), F.lit(3).alias("tier"))
     short = left.where((F.size(parts) > 2) & F.col("target").contains("/")).select("target", F.array_join(F.slice(parts, 3, 1000), "/").alias("probe"), F.lit(4).alias("tier"))
-    inside = probes.unionByName(short).join(sized(sources), F.contains(F.col("norm"), F.col("probe")))
+    probes = checkpointed(probes.unionByName(short))
+    inside = probes.join(holders(sources, probes.select("probe").distinct()), "probe").join(sources, "norm")
     before = F.sum("n").over(Window.partitionBy("target", "tier").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
     three = inside.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < cap).join(c, "norm").select("target", "tier", "id", "ord")
     name = F.when(F.col("norm").contains("/"), F.expr("substring(norm, instr(norm, '/') + 1)"))
-    four = left.withColumn("name", repo_source(F.col("target"))).join(c.withColumn("name", name).drop("norm"), "name").select("target", F.lit(5).alias("tier"), "id", "ord")
+    renamed = left.withColumn("norm", repo_source(F.col("target"))).withColumn("name", name).drop("norm")
+    four = renamed.join(c.withColumn("name", name).drop("norm"), "name").select("target", F.lit(5).alias("tier"), "id", "ord")
     every = one.union(two).union(three).union(four)
     best = F.min("tier").over(Window.partitionBy("target"))
     return every.withColumn("best", best).where("tier = best").drop("best")

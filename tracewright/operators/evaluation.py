@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import sized
+
 
 def ingest_quality(chunks: DataFrame) -> DataFrame:
     """For each source type: counts, missing fields, length statistics (exact median), very short and very long chunks."""
@@ -49,7 +51,7 @@ def preflight(queries: DataFrame, corpora: DataFrame, catalog: DataFrame) -> Dat
     artifact, state. Test queries and corpora are small; the catalog is joined
     by (corpus, artifact).
     """
-    grid = queries.crossJoin(F.broadcast(corpora))
+    grid = queries.crossJoin(sized(corpora, limit=10_000))
     need = grid.select("query_id", "corpus", F.explode("required").alias("artifact"))
     found = need.join(catalog.where("state = 'active'").select("corpus", "artifact", F.lit(1).alias("hit")).distinct(), ["corpus", "artifact"], "left")
     counts = found.groupBy("query_id", "corpus").agg(F.count("hit").alias("have"))

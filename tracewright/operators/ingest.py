@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed, sized
+
 
 def unseen(chunks: DataFrame, known_ids: DataFrame, known_fingerprints: DataFrame) -> DataFrame:
     """Chunks (id, fingerprint) whose id and fingerprint (else id) are not known; repeats within the batch stay, as each run knows only earlier ones."""
@@ -117,14 +119,37 @@ def index_gc(indexes: DataFrame, now: Column, ttl: float, cap: int) -> DataFrame
 
 
 def extraction_contexts(chunks: DataFrame, status: DataFrame, extractor: str) -> DataFrame:
-    """Contexts (by source, else id) to process again: new, failed, pending, of another extractor, or with changed contents."""
-    contexts = chunks.groupBy(F.coalesce("source", "id").alias("context")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("content")), "\n"), 256).alias("digest"))
+    """Contexts (by source, else id) to process again: new, failed, pending, of another extractor, or with changed contents.
+
+    A context's digest names its contents whatever their order: their number
+    and the sums of the sixty-bit words of their sha256. Sums combine
+    map-side, so a source with a third of all rows is no group anywhere.
+    """
+    words = [F.conv(F.substring(F.sha2("content", 256), 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    parts = chunks.groupBy(F.coalesce("source", "id").alias("context")).agg(F.count("content").alias("n"), *(F.sum(w).alias(f"w{k}") for k, w in enumerate(words)))
+    contexts = parts.select("context", F.sha2(F.concat_ws(":", "n", *(f"w{k}" for k in range(4))), 256).alias("digest"))
     s = status.select("context", F.col("digest").alias("old"), "state", F.col("extractor").alias("by"))
     rows = contexts.join(s, "context", "left")
     stale = F.col("old").isNull() | (F.col("old") != F.col("digest")) | F.col("state").isin("failed", "pending") | (F.col("by") != extractor)
     return rows.where(F.coalesce(stale, F.lit(True))).select("context", "digest")
 
 
+def common_shingles(docs: DataFrame, share: float, least: int = 2) -> DataFrame:
+    """(doc_id, shingles, common): how many of a document's distinct shingles (docs: doc_id, source, x) are in ceil(share * n) or more of its source's n documents, in ``least`` at least.
+
+    Counts are combined map-side. The common ones are few and meet the
+    documents by broadcast after a count; beyond the limit by a shuffle in
+    which AQE splits the common keys.
+    """
+    docs = checkpointed(docs)
+    each = docs.select("doc_id", "source", F.explode("x").alias("x"))
+    total = docs.groupBy("source").agg(F.count("*").alias("total"))
+    counts = each.groupBy("source", "x").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    common = checkpointed(counts.join(sized(total), "source").where(F.col("c") >= F.ceil(share * F.col("total"))).select("source", "x"))
+    hits = each.join(sized(common), ["source", "x"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("common"))
+    return docs.select("doc_id", F.size("x").cast("long").alias("shingles")).join(hits, "doc_id", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+
+
 def placed_overlays(overlay: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Overlay edges merged (last wins) into the segment that owns their source; an orphan's segment is null."""
     owner = chunks.select(F.col("id").alias("source_id"), "segment_id")

@@ -1,19 +1,27 @@
 """Ranked retrieval: exact top-k, over-fetch, filters, boosts and source-type diversity.
 
 Chunks have id, embedding, source_type, source; queries have query_id and
-vector. The unit is a batch of queries: queries are the small side of a
-nested-loop product (broadcast after a count), chunks are scanned once, and
-the ranking is a window limit that Spark pushes below the shuffle.
+vector. The unit is a batch of queries: their unit vectors are a matrix of
+bounded size on every worker, chunks are scanned once in Arrow batches, a
+batch gives its own best k of each query, and a window limit ranks those.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosine
-from ..session import sized
+from ..session import importable
+
+#: Queries whose vectors a worker holds at once.
+BLOCK = 10_000
 
 #: Over-fetch factors and the floor of reserved slots.
 OVERFETCH_SIGNALS, OVERFETCH_FILTERS, RESERVE_FLOOR = 3, 10, 0.65
@@ -26,11 +34,78 @@ def ranked(scored: DataFrame, k: int, score: str = "score", order: str = "id") -
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank and the chunk's other columns; k <= 0 gives no rows."""
-    q = sized(queries.select("query_id", F.col("vector")), limit=10_000)
-    scored = chunks.crossJoin(q).withColumn("score", cosine(F.col("embedding"), F.col("vector"))).drop("embedding", "vector")
-    return ranked(scored, max(k, 0))
+def _best(ids: np.ndarray, scores: np.ndarray, group: np.ndarray | None, k: int) -> np.ndarray:
+    """Places of the k best scores of each group, ties by id."""
+    if k == 0:
+        return np.zeros(0, np.int64)
+    if group is None and len(scores) > 4 * k:
+        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
+        at = np.flatnonzero(scores >= floor)
+        return at[np.lexsort((ids[at], -scores[at]))[:k]]
+    if group is None:
+        return np.lexsort((ids, -scores))[:k]
+    order = np.lexsort((ids, -scores, group))
+    start = np.r_[True, group[order][1:] != group[order][:-1]]
+    place = np.arange(len(order))
+    return order[place - np.maximum.accumulate(np.where(start, place, 0)) < k]
+
+
+def _scored(queries: list, chunks: DataFrame, k: int, by: str | None) -> DataFrame:
+    """Each Arrow batch's k best chunks of each query (and value of ``by``)."""
+    ids = [r["query_id"] for r in queries]
+    vectors = np.array([r["vector"] for r in queries], np.float64)
+    length = np.sqrt((vectors * vectors).sum(1))
+    kept = [f for f in chunks.schema.fields if f.name != "embedding"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("embedding")
+            size = np.diff(lists.offsets.to_numpy())
+            if len(size) and not (size == vectors.shape[1]).all():
+                raise ValueError("dimension mismatch")
+            m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, vectors.shape[1])
+            both = np.sqrt((m * m).sum(1))[:, None] * length[None, :]
+            scores = np.divide(m @ vectors.T, both, out=np.zeros_like(both), where=both > 0)
+            number = batch.column("id").to_numpy(zero_copy_only=False)
+            group = np.unique(batch.column(by).to_numpy(zero_copy_only=False), return_inverse=True)[1] if by else None
+            for q, name in enumerate(ids):
+                at = _best(number, scores[:, q], group, k)
+                out = batch.select([f.name for f in kept]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([name] * len(at)), pa.array(scores[at, q])], names=[*out.schema.names, "query_id", "score"])
+
+    importable(chunks.sparkSession)
+    schema = StructType([*kept, StructField("query_id", LongType()), StructField("score", DoubleType())])
+    return chunks.mapInArrow(run, schema)
+
+
+def top_k(queries: DataFrame, chunks: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """query_id, id, score, rank and the chunk's other columns: the k most alike chunks by cosine, of each value of ``by`` if given.
+
+    k <= 0 gives no rows; a zero vector is alike to nothing (0); vectors of
+    unlike length raise an error. Queries come in blocks of BLOCK, of a scan
+    of the chunks each.
+    """
+    chunks, wanted = chunks.where("embedding is not null"), queries.select("query_id", "vector").where("vector is not null")
+    blocks, block = [], []
+    for row in wanted.toLocalIterator():
+        block.append(row)
+        if len(block) == BLOCK:
+            blocks.append(_scored(block, chunks, max(k, 0), by))
+            block = []
+    if block or not blocks:
+        blocks.append(_scored(block, chunks, max(k, 0), by) if block else chunks.drop("embedding").select("*", F.lit(0).cast("long").alias("query_id"), F.lit(0.0).alias("score")).limit(0))
+    scored = reduce(DataFrame.unionByName, blocks)
+    if by is None:
+        return ranked(scored, max(k, 0))
+    best = Window.partitionBy("query_id", by).orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def filled(of_type: DataFrame, kind: str, most: int) -> DataFrame:
+    """``place`` from 1 of each query's rows (ranked within their type), types in order of their best score; at most ``most``."""
+    best = F.max("score").over(Window.partitionBy("query_id", kind))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("best").desc(), kind, "rank"))
+    return of_type.withColumn("best", best).withColumn("place", place).where(F.col("place") <= most).drop("best")
 
 
 def fetch_size(k: int, signals: bool = False, reranked: bool = False, boosts: bool = False, filters: bool = False, diverse: bool = False) -> int:

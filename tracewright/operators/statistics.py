@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import sized
+
 
 def bootstrap_deltas(pairs: DataFrame, iterations: int) -> DataFrame:
     """(iteration, delta): the mean of b - a over n families drawn with replacement.
 
     pairs has n rows (pos 0..n-1, a, b). Draws come from a hash of (iteration,
-    draw), the same in any engine: the first seven hex digits of a sha256,
-    modulo n. The pairs are broadcast: a family set is a list of test queries.
+    draw), the same in any engine: the first thirteen hex digits of a
+    sha256, modulo n. A family set is a list of test queries: it is broadcast
+    within a counted limit and joined beyond it.
     """
     n = pairs.count()
     drawn = pairs.sparkSession.range(iterations).withColumnRenamed("id", "iteration").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    at = F.conv(F.substring(F.sha2(F.concat_ws(":", "iteration", "draw"), 256), 1, 7), 16, 10).cast("long") % max(n, 1)
-    rows = drawn.withColumn("pos", at).join(F.broadcast(pairs.select("pos", (F.col("b") - F.col("a")).alias("d"))), "pos")
+    at = F.conv(F.substring(F.sha2(F.concat_ws(":", "iteration", "draw"), 256), 1, 13), 16, 10).cast("long") % max(n, 1)
+    rows = drawn.withColumn("pos", at).join(sized(pairs.select("pos", (F.col("b") - F.col("a")).alias("d")), n), "pos")
     return rows.groupBy("iteration").agg((F.sum("d") / n).alias("delta"))
 
 
@@ -31,9 +34,8 @@ def bootstrap_summary(deltas: DataFrame, iterations: int) -> DataFrame:
 def pareto(rows: DataFrame, key: str, quality: str, *costs: str) -> DataFrame:
     """``rows`` with ``dominators``: how many others are at least as good in quality and in all costs (null: infinite) and better in one.
 
-    With two costs or fewer axes this is a self theta join; candidates are
-    first cut to those that no row of equal or better quality beats in all
-    costs at once, per quality level, so the join sees few rows a level.
+    A self theta join: rows are variants of an experiment, of which there are
+    some hundred; it is no operator for data.
     """
     cost = lambda c: F.coalesce(F.col(c), F.lit(float("inf")))
     a = rows.select(key, F.col(quality).alias("q"), *(cost(c).alias(f"a{i}") for i, c in enumerate(costs)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import importable
+from ..session import checkpointed, importable
 
 MAX_HOPS, MAX_TOTAL = 3, 15
 
@@ -134,14 +134,22 @@ def display_links(hops: DataFrame) -> DataFrame:
     return later.unionByName(same)
 
 
-def dotted(symbols: DataFrame, max_depth: int = 16) -> DataFrame:
+def dotted(symbols: DataFrame) -> DataFrame:
     """(doc, i, path) of symbols (doc, i, parent, name): names from the root (parent 0) down, joined by dots.
 
-    A document's symbols fit in one row; the climb is a fold of ``max_depth`` steps.
+    Each round joins every open path with the path above it, so paths double
+    and a tree of any depth takes the logarithm of it in rounds. A symbol
+    whose ancestors are not all there, or go round in a circle, has no path.
     """
-    trees = symbols.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("parent", "name")))).alias("known"))
-    rows = symbols.join(trees, "doc")
-    up = lambda x: F.get(F.transform(F.array(F.try_element_at("known", x["up"])), lambda p: F.struct(F.concat_ws(".", p["name"], x["path"]).alias("path"), p["parent"].alias("up"))), F.lit(0))
-    start = F.struct(F.col("name").alias("path"), F.col("parent").alias("up"))
-    climbed = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, lambda x, _: F.when(x["up"] == 0, x).otherwise(up(x)))
-    return rows.withColumn("end", climbed).where("end.up = 0").select("doc", "i", F.col("end.path").alias("path"))
+    done = symbols.where("parent = 0").select("doc", "i", F.col("name").alias("path"))
+    open_ = checkpointed(symbols.where("parent <> 0").select("doc", "i", F.col("parent").alias("up"), F.col("name").alias("path")))
+    left = open_.count()
+    for _ in range(left.bit_length() + 1):
+        if not left:
+            break
+        above = done.select("doc", F.col("i").alias("up"), F.col("path").alias("above"))
+        ended = checkpointed(open_.join(above, ["doc", "up"]).select("doc", "i", F.concat_ws(".", "above", "path").alias("path")))
+        higher = open_.select("doc", F.col("i").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        open_ = checkpointed(open_.join(ended.select("doc", "i"), ["doc", "i"], "left_anti").join(higher, ["doc", "up"]).select("doc", "i", F.col("next").alias("up"), F.concat_ws(".", "above", "path").alias("path")))
+        done, left = done.unionByName(ended), open_.count()
+    return done

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,9 +14,12 @@ from pyspark.sql.window import Window
 from ..session import importable
 
 #: The timestamp a source type is dated by, and metadata keys that are not archived.
-TIMESTAMP_KINDS = {"github-issue": "updated", "github-pr": "updated", "github-pr-comment": "created", "slack-message": "created", "discord-message": "created", "hn-story": "created", "code": "committed", "markdown": "committed", "doc-page": "published"}
+TIMESTAMP_KINDS = {"github-issue": "updated", "github-pr": "updated", "github-pr-comment": "updated", "github-discussion": "updated", "slack-message": "created", "discord-message": "created", "code": "committed", "markdown": "committed", "doc-page": "published"}
+QUERY_TYPES = "lookup trace compare temporal causal howto entity-resolution".split()
+DIFFICULTIES = "easy medium hard".split()
+LAYER_HINTS = "chunking embedding edge-extraction ranking trace".split()
 NOT_ARCHIVED = ["filePath", "language", "repo"]
-TOKENS_A_CHARACTER, CHUNK_OVERHEAD = 4, 15
+CHARACTERS_A_TOKEN, CHUNK_OVERHEAD = 4, 15
 
 
 def donors(archives: DataFrame, collection: Column, source_key: Column) -> DataFrame:
@@ -27,7 +32,7 @@ def replay_timestamp(source_type: Column, metadata: Column, fetched: Column) ->
     """struct(ts, kind): the metadata entry of the type's kind, else when it was fetched, as ``ingested``."""
     kinds = F.create_map(*(F.lit(x) for kv in TIMESTAMP_KINDS.items() for x in kv))
     kind = F.try_element_at(kinds, source_type)
-    own = F.try_element_at(metadata, kind)
+    own = F.nullif(F.try_element_at(metadata, kind), F.lit(""))
     return F.when(own.isNotNull(), F.struct(own.alias("ts"), kind.alias("kind"))).otherwise(F.struct(fetched.alias("ts"), F.lit("ingested").alias("kind")))
 
 
@@ -46,20 +51,30 @@ def backfilled(archive: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def token_batches(chunks: DataFrame, budget: int) -> DataFrame:
-    """(context, id, batch): chunks in order, a new batch when the next would exceed the budget. One context a group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        batch, used, out = 0, 0, []
-        for r in rows.sort_values("ord").itertuples(index=False):
-            need = -(-len(r.content or "") // TOKENS_A_CHARACTER) + CHUNK_OVERHEAD
-            if used and used + need > budget:
-                batch, used = batch + 1, 0
-            used += need
-            out.append((r.context, r.id, batch))
-        return pd.DataFrame(out, columns=["context", "id", "batch"])
+    """(context, id, batch): chunks in order, a new batch when the next would exceed the budget.
+
+    Each decision depends on the one before it in its context, so a context
+    is one sorted stream: only lengths are sent, and a task holds one Arrow
+    batch and a running sum, however many chunks a context has.
+    """
+    need = (F.ceil(F.coalesce(F.char_length("content"), F.lit(0)) / CHARACTERS_A_TOKEN) + CHUNK_OVERHEAD).alias("need")
+    rows = chunks.select("context", "id", "ord", need).repartition("context").sortWithinPartitions("context", "ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, used, began = None, 0, 0, False
+        for rows in batches:
+            out = []
+            for context, size in zip(rows.column("context").to_pylist(), rows.column("need").to_pylist(), strict=True):
+                if not began or context != now:
+                    now, batch, used, began = context, 0, 0, True
+                if used and used + size > budget:
+                    batch, used = batch + 1, 0
+                used += size
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column("context"), rows.column("id"), pa.array(out, pa.int32())], names=["context", "id", "batch"])
 
     importable(chunks.sparkSession)
-    return chunks.select("context", "id", "ord", "content").groupBy("context").applyInPandas(run, "context string, id long, batch int")
+    return rows.mapInArrow(run, "context string, id long, batch int")
 
 
 def silenced(incidents: DataFrame, filed: DataFrame, days: int) -> DataFrame:
@@ -102,19 +117,41 @@ def setting(*sources: Column) -> Column:
 
 
 def excerpts(chunks: DataFrame, most: int = 4000) -> DataFrame:
-    """(document_id, excerpt): a document's chunks in order, cut at ``most`` characters."""
+    """(document_id, excerpt): a document's chunks in order, cut at ``most`` characters.
+
+    A chunk and its separator are a character at least, so a document's first
+    ``most`` chunks are enough (the limit is pushed below the shuffle), and of
+    these the ones that begin before the cut are joined.
+    """
+    order = Window.partitionBy("document_id").orderBy("ord")
+    before = F.sum(F.char_length("content") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    chunks = chunks.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most)
     parts = F.array_sort(F.collect_list(F.struct("ord", "content")))
     return chunks.groupBy("document_id").agg(F.substring(F.array_join(F.transform(parts, lambda x: x["content"]), "\n"), 1, most).alias("excerpt"))
 
 
-def authored_problems(queries: DataFrame) -> DataFrame:
-    """Problems of authored queries (id, query, required, min_results, difficulty): empty if sound; repeated ids are found by a window."""
-    copies = F.count("*").over(Window.partitionBy("id"))
+def authored_problems(queries: DataFrame, known: DataFrame) -> DataFrame:
+    """``problems`` of authored queries, empty if sound; ``known`` (id) are the queries that exist already.
+
+    queries: ord (their order), id, query, corpora, query_type, difficulty,
+    layer_hints, evidence, source_types, min_results, collection. Of a
+    repeated id all but the first are duplicates: the first places are found
+    by an aggregate and joined, so no window holds an id's rows.
+    """
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    unlike = lambda c, values: ~F.coalesce(F.col(c).isin(values), F.lit(False))
+    first = queries.groupBy(F.col("id").alias("_id")).agg(F.min("ord").alias("_first"))
+    old = known.select(F.col("id").alias("_old")).distinct()
+    rows = queries.join(first, F.col("id") == F.col("_id"), "left").join(old, F.col("id") == F.col("_old"), "left")
+    named = F.coalesce("id", F.lit("")) != ""
     tests = [
-        (F.coalesce("id", F.lit("")) == "", "id"), (copies > 1, "duplicate id"), (F.length(F.trim(F.coalesce("query", F.lit("")))) < 10, "query"), (F.size("required") == 0, "required"),
-        (F.coalesce("min_results", F.lit(0)) < 1, "min_results"), (~F.coalesce(F.col("difficulty").isin("easy", "medium", "hard"), F.lit(False)), "difficulty"),
+        (~named, "missing id"), (named & F.col("_old").isNotNull(), "known id"), (named & (F.col("ord") > F.col("_first")), "duplicate id"), (blank(F.col("query")), "empty query"), (empty("corpora"), "empty corpora"),
+        (unlike("query_type", QUERY_TYPES), "query type"), (unlike("difficulty", DIFFICULTIES), "difficulty"), (F.size(F.array_except(F.coalesce("layer_hints", F.array().cast("array<string>")), F.array(*map(F.lit, LAYER_HINTS)))) > 0, "layer hint"),
+        (empty("evidence"), "empty evidence"), (F.col("source_types").isNull(), "missing source types"), (F.coalesce("min_results", F.lit(0)) < 1, "min results"), (blank(F.col("collection")), "missing collection"), (empty("layer_hints"), "empty layer hints"),
     ]
-    return queries.withColumn("problems", F.array_compact(F.array(*(F.when(t, F.lit(n)) for t, n in tests))))
+    return rows.withColumn("problems", F.array_compact(F.array(*(F.when(t, F.lit(n)) for t, n in tests)))).drop("_id", "_first", "_old")
 
 
 def greedy_matches(predicted: DataFrame, gold: DataFrame) -> DataFrame:

@@ -68,8 +68,9 @@ def heuristic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = derived_chunks(spark, sf_dir)
     parts = [E.regex_edges(chunks).withColumn("extractor", F.lit("regex")), E.heuristic_edges(chunks).withColumn("extractor", F.lit("heuristic"))]
-    parts = [p.withColumn("seq", F.col("source_id") * 1000 + F.col("seq") + 500 * i) for i, p in enumerate(parts)]
-    return E.composite_edges(parts, table(spark, sf_dir, "documents").count()).select(*E.KEY, "evidence", "confidence", F.array_join("provenance", ",").alias("provenance"))
+    parts = [p.withColumn("seq", F.struct(F.col("source_id").alias("ord"), F.lit(i).alias("extractor"), F.col("seq").alias("place"))) for i, p in enumerate(parts)]
+    out = E.composite_edges(parts, table(spark, sf_dir, "documents").count())
+    return out.select("type", "source_id", "target_type", "target_id", F.round("confidence", 4).alias("confidence"), F.array_join("provenance", ",").alias("provenance"), "evidence")
 
 
 def _line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +130,10 @@ def edge_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.bidirectional(edges).groupBy("node", "direction").agg(F.count("*").alias("n"), F.min("evidence").alias("first_evidence"))
 
 
-_TARGETS = """t AS (SELECT DISTINCT target FROM (SELECT CASE o_orderkey % 6
+_TARGETS = """t AS (SELECT DISTINCT target FROM (SELECT CASE o_orderkey % 8
   WHEN 0 THEN CAST(o_custkey AS VARCHAR(20)) WHEN 1 THEN concat('https://github.com/Acme/', lower(o_orderpriority), '-', CAST(o_custkey % 40 AS VARCHAR(20)), '.git')
   WHEN 2 THEN concat('seg/', CAST(o_custkey % 9 AS VARCHAR(20))) WHEN 3 THEN concat('x/y/cust/', CAST(o_custkey % 30 AS VARCHAR(20))) WHEN 4 THEN concat('node', CAST(o_custkey % 50 AS VARCHAR(20)))
+  WHEN 5 THEN concat('other-owner/node', CAST(o_custkey % 50 AS VARCHAR(20))) WHEN 6 THEN concat('GitHub.com/ACME/2-High-', CAST(o_custkey % 70 AS VARCHAR(20)))
   ELSE concat('missing-', CAST(o_custkey % 17 AS VARCHAR(20))) END AS target FROM orders))"""
 _CUST_SOURCE = "CASE c_custkey % 3 WHEN 0 THEN concat('acme/2-high-', CAST(c_custkey % 60 AS VARCHAR(20))) WHEN 1 THEN concat('org/node', CAST(c_custkey % 45 AS VARCHAR(20))) ELSE concat('seg/', CAST(c_custkey % 9 AS VARCHAR(20)), '/cust/', CAST(c_custkey % 30 AS VARCHAR(20))) END"
 
@@ -139,7 +141,7 @@ _CUST_SOURCE = "CASE c_custkey % 3 WHEN 0 THEN concat('acme/2-high-', CAST(c_cus
 @query(
     "edge_resolution",
     rf"""WITH {_TARGETS}, c AS (SELECT c_custkey AS id, {_CUST_SOURCE} AS norm FROM customer),
-n AS (SELECT target, regexp_replace(CASE WHEN target ILIKE 'https://github.com/%' THEN regexp_replace(lower(regexp_replace(target, '^https?://github\.com/', '', 'i')), '\.git$', '') ELSE lower(target) END, '^\./', '') AS p FROM t),
+n AS (SELECT target, regexp_replace(CASE WHEN regexp_matches(target, '(?i)^(https?://)?github\.com/') THEN regexp_replace(lower(regexp_replace(target, '^(https?://)?github\.com/', '', 'i')), '\.git$', '') ELSE lower(target) END, '^\./', '') AS p FROM t),
 one AS (SELECT target, 1 AS tier, id FROM t JOIN c ON CAST(c.id AS VARCHAR) = target),
 two AS (SELECT target, 2 AS tier, id FROM n JOIN c ON c.norm = n.p),
 rest AS (SELECT * FROM n WHERE target NOT IN (SELECT target FROM one) AND target NOT IN (SELECT target FROM two)),
@@ -148,7 +150,7 @@ probes AS (SELECT target, p AS probe, 3 AS tier FROM rest WHERE target LIKE '%/%
 s AS (SELECT norm, min(id) AS first, count(*) AS n FROM c GROUP BY norm),
 i AS (SELECT target, tier, s.norm, coalesce(sum(n) OVER (PARTITION BY target, tier ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM probes JOIN s ON contains(s.norm, probe)),
 three AS (SELECT target, tier, id FROM i JOIN c USING (norm) WHERE before < 10),
-four AS (SELECT target, 5 AS tier, id FROM rest JOIN c ON substr(c.norm, strpos(c.norm, '/') + 1) = rest.p),
+four AS (SELECT target, 5 AS tier, id FROM rest JOIN c ON strpos(rest.p, '/') > 0 AND strpos(c.norm, '/') > 0 AND substr(c.norm, strpos(c.norm, '/') + 1) = substr(rest.p, strpos(rest.p, '/') + 1)),
 a AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four)
 SELECT target, tier, count(*) AS n, min(id) AS first_id FROM a WHERE tier = (SELECT min(tier) FROM a b WHERE b.target = a.target) GROUP BY target, tier""",
 )

@@ -71,12 +71,13 @@ def preflight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.preflight(queries, corpora, catalog).groupBy("status", "corpus").agg(F.count("*").alias("n"))
 
 
-@query("hard_negatives", """WITH s AS (SELECT q.vec_id AS query_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id % 50 <> 0)
+@query("hard_negatives", """WITH s AS (SELECT q.vec_id AS query_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
 SELECT query_id, count(*) FILTER (WHERE score >= 0.1) < 3 AND max(score) < 0.6 AS passed FROM s WHERE r <= 10 GROUP BY query_id""")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return V.hard_negative_passes(R.top_k(queries, rows.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), "embedding"), 10))
+    top = R.top_k(queries, rows.select(F.col("vec_id").alias("id"), "embedding"), 11).where("id <> query_id")
+    return V.hard_negative_passes(R.ranked(top.drop("rank"), 10))
 
 
 @query("failure_diagnosis", """WITH c AS (SELECT event_type AS class, count(*) AS n FROM events WHERE event_type <> 'signup' GROUP BY 1), o AS (SELECT unnest(['error', 'click', 'signup', 'lost']) AS class)

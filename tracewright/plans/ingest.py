@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as I
 from ..registry import query, table
+from ..session import shared_folder
+from .text import strip_sql
 
 
 @query("dedup_antijoin", """SELECT doc_id FROM documents d WHERE doc_id % 10 >= 3 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 < 3)""")
@@ -106,7 +108,8 @@ def index_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.index_gc(s, F.lit(8000.0), 7000.0, 40)
 
 
-@query("extraction_contexts", "WITH c AS (SELECT source AS context, sha256(string_agg(text, chr(10) ORDER BY text)) AS digest FROM documents GROUP BY source) SELECT context, digest FROM c WHERE context NOT IN ('src1', 'src2')")
+@query("extraction_contexts", """WITH w AS (SELECT source, text, sha256(text) AS h FROM documents), c AS (SELECT source AS context, sha256(concat_ws(':', count(text), sum(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)), sum(CAST(concat('0x', substr(h, 16, 15)) AS BIGINT)), sum(CAST(concat('0x', substr(h, 31, 15)) AS BIGINT)), sum(CAST(concat('0x', substr(h, 46, 15)) AS BIGINT)))) AS digest FROM w GROUP BY source)
+SELECT context, digest FROM c WHERE context NOT IN ('src1', 'src2')""")
 def extraction_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.col("text").alias("content"))
     none = spark.createDataFrame([], "context string, digest string, state string, extractor string")
@@ -135,27 +138,25 @@ def orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(known, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.col("o_orderkey").alias("edge"))
 
 
-@query("website_chunks", r"""SELECT count(*) AS n FROM pages""")
+@query("website_chunks", rf"""WITH t AS (SELECT url, {strip_sql()} AS content FROM pages), h AS (SELECT *, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS path FROM t)
+SELECT url AS document_id, concat(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), CASE WHEN path = '' THEN '/' ELSE path END) AS source, sha256(concat_ws(':', url, content)) AS id, length(content) AS n FROM h
+WHERE length(trim(content)) >= 100 AND coalesce(list_sum(list_transform(regexp_extract_all(trim(content), '\[[^\]]*\]\([^)]*\)'), lambda x: length(x))), 0) / length(trim(content)) <= 0.5""")
 def website_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages through the website reader and back against the table: none may be lost but poor ones."""
-    from ..functions.text import html_stripped, low_quality, without_boilerplate
+    """Pages through the website reader: text, source and id of each that is not poor."""
     from ..sources.readers import website
 
-    pages = table(spark, sf_dir, "pages")
-    poor = pages.where(low_quality(html_stripped(without_boilerplate(F.col("html"))))).select(F.lit(1).alias("x"))
-    return website(pages).select(F.lit(1).alias("x")).unionByName(poor).agg(F.count("*").alias("n"))
+    return website(table(spark, sf_dir, "pages")).select("document_id", "source", "id", F.length("content").cast("long").alias("n"))
 
 
 @query("stream_activity", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events replayed as a stream, deduplicated by id within the watermark."""
-    import tempfile
     import uuid
 
     from ..streaming.ingest import deduplicated, run_to_end
 
     events = table(spark, sf_dir, "events")
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     run_to_end(deduplicated(rows.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "60 days"), f"{folder}/out", f"{folder}/state")
     out = spark.read.schema(events.schema).parquet(f"{folder}/out")

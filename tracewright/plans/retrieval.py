@@ -25,103 +25,91 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(docs, "id")
 
 
-def _queries(spark: SparkSession, sf_dir: str, every: int = 0) -> DataFrame:
-    """The first vector, or each whose id is divisible by ``every``."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0 if every else F.col("vec_id") == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector whose id is divisible by 50, against all rows."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 _SCORED = f"""
-WITH s AS (SELECT e.vec_id AS id, e.label, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0)"""
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s)"""
 
 
-@query("vector_topk", f"{_SCORED} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY score DESC, id LIMIT 10")
+@query("vector_topk", f"{_SCORED} SELECT query_id, id, round(score, 6) AS score, r AS rank FROM f WHERE r <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10).select("id", F.round("score", 6).alias("score"), "rank")
+    return R.top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(
-    "vector_topk_batch",
-    f"""SELECT query_id, id, round(score, 6) AS score, rank FROM (
-  SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
-  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 10""",
-)
-def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_queries(spark, sf_dir, 50), _chunks(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+@query("vector_topk_deep", f"{_SCORED} SELECT query_id, id, round(score, 6) AS score, r AS rank FROM f WHERE r <= 100")
+def vector_topk_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 100).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 _FETCHED = f"""
-WITH f AS (
-  SELECT e.vec_id AS id, d.lang, d.source, {_COS} AS retrieval
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id = 0
-  ORDER BY retrieval DESC, id LIMIT 100)"""
+WITH a AS (SELECT q.vec_id AS query_id, e.vec_id AS id, d.lang, d.source, {_COS} AS retrieval FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id % 50 = 0),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieval DESC, id) AS fetched FROM a) WHERE fetched <= 100)"""
 
 
-@query("query_filtered", f"{_FETCHED} SELECT id, lang AS source_type, round(retrieval, 6) AS score FROM f WHERE lang IN ('en', 'de') AND lang NOT IN ('de') ORDER BY retrieval DESC, id LIMIT 10")
+@query("query_filtered", f"""{_FETCHED} SELECT query_id, id, lang AS source_type, round(retrieval, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieval DESC, id) AS rank FROM f
+  WHERE lang IN ('en', 'de') AND lang NOT IN ('de') AND retrieval >= 0.05) WHERE rank <= 10""")
 def query_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.search(_queries(spark, sf_dir), _documents(spark, sf_dir), 10, include=["en", "de"], exclude=["de"], min_score=-1.0)
-    return out.select("id", "source_type", F.round("retrieval", 6).alias("score"))
+    out = R.search(_queries(spark, sf_dir), _documents(spark, sf_dir), 10, include=["en", "de"], exclude=["de"], min_score=0.05)
+    return out.select("query_id", "id", "source_type", F.round("retrieval", 6).alias("score"), "rank")
 
 
-@query("query_boosted", f"{_FETCHED} SELECT id, d.lang AS source_type, round(retrieval * {_LANGS}, 6) AS score FROM f d ORDER BY retrieval * {_LANGS} DESC, id LIMIT 10")
+@query("query_boosted", f"""{_FETCHED} SELECT query_id, id, lang AS source_type, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT *, retrieval * {_LANGS} AS score FROM f d)) WHERE rank <= 10""")
 def query_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.search(_queries(spark, sf_dir), _documents(spark, sf_dir), 10, type_boosts=BOOSTS, min_score=-1.0)
-    return out.select("id", "source_type", F.round("score", 6).alias("score"))
+    return out.select("query_id", "id", "source_type", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
     "query_diverse",
-    f"""{_FETCHED}, s AS (SELECT id, lang, retrieval, retrieval * CASE lang WHEN 'en' THEN 1.2 WHEN 'fr' THEN 0.7 ELSE 1.0 END AS score FROM f),
-m AS (SELECT *, max(retrieval) OVER () AS top, row_number() OVER (PARTITION BY lang ORDER BY score DESC, id) AS t, row_number() OVER (ORDER BY score DESC, id) AS p FROM s),
-k AS (SELECT *, row_number() OVER (ORDER BY (t = 1 AND retrieval >= 0.65 * top) DESC, score DESC, id) AS slot FROM m)
-SELECT id, lang AS source_type, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank, p > 10 AS promoted FROM k WHERE slot <= 10""",
+    f"""{_FETCHED}, s AS (SELECT query_id, id, lang, retrieval, retrieval * CASE lang WHEN 'en' THEN 1.2 WHEN 'fr' THEN 0.7 ELSE 1.0 END AS score FROM f),
+m AS (SELECT *, max(retrieval) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, id) AS t, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS p FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (t = 1 AND retrieval >= 0.65 * top) DESC, score DESC, id) AS slot FROM m)
+SELECT query_id, id, lang AS source_type, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, p > 10 AS promoted FROM k WHERE slot <= 10""",
 )
 def query_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.search(_queries(spark, sf_dir), _documents(spark, sf_dir), 10, type_boosts=BOOSTS, diverse=True, min_score=-1.0)
-    return out.select("id", "source_type", F.round("score", 6).alias("score"), "rank", "promoted")
+    return out.select("query_id", "id", "source_type", F.round("score", 6).alias("score"), "rank", "promoted")
 
 
-@query(
-    "query_diagnostics",
-    f"""{_FETCHED}, top AS (SELECT *, row_number() OVER (ORDER BY retrieval DESC, id) AS r FROM f)
-SELECT lang AS source_type, count(*) AS candidates, CAST(count(*) FILTER (WHERE r <= 10) AS BIGINT) AS returned FROM top GROUP BY lang""",
-)
+@query("query_diagnostics", f"{_FETCHED} SELECT query_id, lang AS source_type, count(*) AS candidates, CAST(count(*) FILTER (WHERE fetched <= 10) AS BIGINT) AS returned FROM f GROUP BY ALL")
 def query_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.top_k(_queries(spark, sf_dir), _documents(spark, sf_dir), 100)
-    return out.groupBy("source_type").agg(F.count("*").alias("candidates"), F.count_if(F.col("rank") <= 10).alias("returned"))
+    return out.groupBy("query_id", "source_type").agg(F.count("*").alias("candidates"), F.count_if(F.col("rank") <= 10).alias("returned"))
 
 
-@query("rerank_passthrough", f"{_SCORED} SELECT id, CAST(20 - row_number() OVER (ORDER BY score DESC, id) + 1 AS DOUBLE) AS rerank FROM s ORDER BY score DESC, id LIMIT 20")
+@query("rerank_passthrough", f"{_SCORED} SELECT query_id, id, CAST(20 - r + 1 AS DOUBLE) AS rerank FROM f WHERE r <= 20")
 def rerank_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.passthrough_rerank(R.top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 20)).select("id", "rerank")
+    return R.passthrough_rerank(R.top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 20)).select("query_id", "id", "rerank")
 
 
 @query(
     "seed_selection",
-    f"""{_SCORED}, f AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM s),
-b AS (SELECT id, label, score * CASE WHEN label = 3 THEN 1.5 ELSE 1.0 END AS boosted FROM f WHERE r <= 25)
-SELECT id, round(boosted, 6) AS score FROM b WHERE boosted >= 0.1 ORDER BY boosted DESC, id LIMIT 5""",
+    f"""{_SCORED}, b AS (SELECT query_id, id, score * CASE WHEN label = 3 THEN 1.5 ELSE 1.0 END AS boosted FROM f WHERE r <= 25)
+SELECT query_id, id, round(boosted, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, id) AS k FROM b WHERE boosted >= 0.1) WHERE k <= 5""",
 )
 def seed_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trace seeds: five times the candidates when there are boosts, floor 0.1 here."""
     near = R.top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 25)
     boosted = near.withColumn("boosted", R.composite(F.col("score"), None, {"t3": 1.5}, F.col("source_type"))).drop("rank").where("boosted >= 0.1")
-    return R.ranked(boosted, 5, "boosted").select("id", F.round("boosted", 6).alias("score"))
+    return R.ranked(boosted, 5, "boosted").select("query_id", "id", F.round("boosted", 6).alias("score"))
 
 
 @query(
     "fallback_fill",
-    f"""{_SCORED}, t AS (SELECT id, label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS r, max(score) OVER (PARTITION BY label) AS best FROM s),
-o AS (SELECT id, label, score, r, row_number() OVER (ORDER BY best DESC, label, r) AS n FROM t WHERE r <= 3)
-SELECT id, label, round(score, 6) AS score, n AS place FROM o WHERE n <= 15""",
+    f"""{_SCORED}, t AS (SELECT query_id, id, label, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS k, max(score) OVER (PARTITION BY query_id, label) AS best FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, label, k) AS n FROM t WHERE k <= 3)
+SELECT query_id, id, label, round(score, 6) AS score, n AS place FROM o WHERE n <= 15""",
 )
 def fallback_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 3 for each type and 15 in all, types in order of their best."""
-    chunks = _chunks(spark, sf_dir).withColumn("label", F.substring("source_type", 2, 9).cast("int"))
-    scored = R.top_k(_queries(spark, sf_dir), chunks, 1 << 30).drop("rank")
-    of_type = Window.partitionBy("query_id", "label")
-    marked = scored.withColumn("r", F.row_number().over(of_type.orderBy(F.col("score").desc(), "id"))).withColumn("best", F.max("score").over(of_type)).where("r <= 3")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("best").desc(), "label", "r"))
-    return marked.withColumn("place", place).where("place <= 15").select("id", "label", F.round("score", 6).alias("score"), "place")
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    out = R.filled(R.top_k(_queries(spark, sf_dir), chunks, 3, by="label"), "label", 15)
+    return out.select("query_id", "id", "label", F.round("score", 6).alias("score"), "place")
 
 
 @query(
@@ -156,16 +144,23 @@ def cluster_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", rank).where("rank <= 3").select("label", "id", F.round("score", 5).alias("score"), "rank")
 
 
-@query("hash_embedder")
+@query(
+    "hash_embedder",
+    """WITH c AS (SELECT page_id, i % 8 AS p, unicode(substr(url, i + 1, 1))::DOUBLE AS v FROM (SELECT page_id, url, unnest(range(0, length(url))) AS i FROM pages)),
+b AS (SELECT page_id, p, sum(v) AS v FROM c GROUP BY ALL), n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY page_id)) AS n FROM b)
+SELECT page_id, string_agg(CAST(round(1000 * v / n) AS BIGINT), ',' ORDER BY p) AS embedding FROM n GROUP BY page_id""",
+)
 def hash_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deterministic embedder over titles (the first words of each page's URL)."""
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", hash_embedding(F.col("url"), 8).alias("embedding"))
+    return pages.select("page_id", F.array_join(F.transform(hash_embedding(F.col("url"), 8), lambda x: F.round(1000 * x.cast("double")).cast("long").cast("string")), ",").alias("embedding"))
 
 
-@query("unit_vectors")
+@query("unit_vectors", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(1000 * x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS BIGINT)), ',') AS unit FROM embeddings")
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", normalized(F.col("embedding")).alias("unit"))
+    """Unit vectors in thousandths."""
+    unit = F.transform(normalized(F.col("embedding")), lambda x: F.round(1000 * x.cast("double")).cast("long").cast("string"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(unit, ",").alias("unit"))
 
 
 @query("greedy_clusters")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking
+from ..operators import ingest as I
 from ..registry import query, table
 
 
@@ -14,7 +15,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-_PHRASE = "CASE doc_id % 8 WHEN 0 THEN 'it is broken and fails with a timeout error' WHEN 1 THEN 'love this, thank you, perfect' WHEN 2 THEN 'would be nice, please add it' WHEN 3 THEN 'I wrote a script as a workaround manually' WHEN 4 THEN 'how to find what is here' WHEN 5 THEN 'what do the docs say about it' WHEN 6 THEN 'how does the algorithm work' ELSE 'nothing' END"
+_PHRASE = "concat(text, ' ', CASE doc_id % 8 WHEN 0 THEN 'it is broken and fails with a timeout error' WHEN 1 THEN 'love this, thank you, perfect' WHEN 2 THEN 'would be nice, please add it' WHEN 3 THEN 'I wrote a script as a workaround manually' WHEN 4 THEN 'how to find what is here' WHEN 5 THEN 'what do the docs say about it' WHEN 6 THEN 'how does the algorithm work' ELSE 'nothing' END)"
 _WORDS = r"list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '\]\([^)]*\)', ']', 'g'), 'https?://\S+', '', 'g'), '[^a-z0-9_]+'), lambda w: w <> '')"
 
 
@@ -26,13 +27,9 @@ u AS (SELECT doc_id, source, unnest(s) AS x FROM s), n AS (SELECT source, x, cou
 SELECT u.doc_id, count(*) AS shingles, CAST(count(*) FILTER (WHERE n.c >= greatest(ceil(0.02 * t.total), 2)) AS BIGINT) AS common FROM u JOIN n USING (source, x) JOIN t USING (source) GROUP BY u.doc_id""",
 )
 def shingle_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shingles that many documents of a source share; counts are combined map-side."""
-    docs = _docs(spark, sf_dir)
-    each = docs.select("doc_id", "source", F.explode(X.shingles(F.col("text"))).alias("x"))
-    total = docs.groupBy("source").agg(F.count("*").alias("total"))
-    counts = each.groupBy("source", "x").agg(F.count("*").alias("c")).join(F.broadcast(total), "source")
-    common = counts.where(F.col("c") >= F.greatest(F.ceil(0.02 * F.col("total")), F.lit(2))).select("source", "x", F.lit(1).alias("hit"))
-    return each.join(common, ["source", "x"], "left").groupBy("doc_id").agg(F.count("*").alias("shingles"), F.count("hit").alias("common"))
+    """Shingles that many documents of a source share."""
+    docs = _docs(spark, sf_dir).select("doc_id", "source", X.shingle_hashes(F.col("text")).alias("x"))
+    return I.common_shingles(docs, 0.02).where("shingles > 0")
 
 
 @query("term_extract", r"SELECT doc_id, CAST(len(list_distinct(list_filter(string_split_regex(lower(text), '[\s\p{P}]+'), lambda w: length(w) > 2))) AS INTEGER) AS n_terms FROM documents")
@@ -51,13 +48,43 @@ def signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0)).alias(k) for k in X.SIGNALS))
 
 
-@query("persona_route", r"""WITH p AS (SELECT doc_id, """ + _PHRASE + r""" AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)\bwhat do the docs\b') THEN 'docs' WHEN regexp_matches(t, '(?i)\bsay(?:ing)? about\b') THEN 'discussion'
-  WHEN regexp_matches(t, '(?i)\bfix(?:ed|es)?\b') THEN 'changes' WHEN regexp_matches(t, '(?i)\bhow does?\b|\balgorithm\b') THEN 'technical' ELSE 'open-ended' END AS persona FROM p""")
-def persona_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", X.persona(F.expr(_PHRASE)).alias("persona"))
+def _persona_sql() -> str:
+    tests = " ".join(f"WHEN regexp_matches(trim(t), '(?i){'|'.join(p)}') THEN '{k}'" for k, p in X.PERSONAS.items())
+    lists = lambda table: "CASE persona " + " ".join(f"WHEN '{k}' THEN '{','.join(v)}'" for k, v in table.items()) + " ELSE '' END"
+    return f"WITH p AS (SELECT doc_id, {_PHRASE} AS t FROM documents), r AS (SELECT doc_id, CASE {tests} ELSE 'open-ended' END AS persona FROM p) SELECT *, {lists(X.PERSONA_INCLUDES)} AS includes, {lists(X.PERSONA_EXCLUDES)} AS excludes FROM r"
 
 
-def _strip_sql() -> str:
+@query("persona_route", _persona_sql())
+def persona_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", X.persona(F.expr(_PHRASE)).alias("persona"))
+    listed = lambda table: F.array_join(X.persona_types(F.col("persona"), table), ",")
+    return rows.select("doc_id", "persona", listed(X.PERSONA_INCLUDES).alias("includes"), listed(X.PERSONA_EXCLUDES).alias("excludes"))
+
+
+@query("media_types", """WITH f AS (SELECT doc_id, CASE doc_id % 24 WHEN 23 THEN NULL WHEN 22 THEN 'plain' WHEN 21 THEN 'a.b/x.UNKNOWN' ELSE concat('src/x.', string_split('TS tsx js jsx md mdx json yaml yml toml py go rs rb java html css exe h txt mD', ' ')[doc_id % 24 + 1]) END AS path,
+  string_split('github-pr hn-story hn-comment slack-message doc-page code', ' ')[doc_id % 7 + 1] AS kind FROM documents)
+SELECT doc_id, coalesce(CASE lower(string_split(path, '.')[-1]) WHEN 'ts' THEN 'text/typescript' WHEN 'tsx' THEN 'text/typescript' WHEN 'js' THEN 'text/javascript' WHEN 'jsx' THEN 'text/javascript' WHEN 'md' THEN 'text/markdown' WHEN 'mdx' THEN 'text/markdown'
+  WHEN 'json' THEN 'application/json' WHEN 'yaml' THEN 'text/yaml' WHEN 'yml' THEN 'text/yaml' WHEN 'toml' THEN 'text/toml' WHEN 'py' THEN 'text/x-python' WHEN 'go' THEN 'text/x-go' WHEN 'rs' THEN 'text/x-rust' WHEN 'rb' THEN 'text/x-ruby' WHEN 'java' THEN 'text/x-java' WHEN 'html' THEN 'text/html' WHEN 'css' THEN 'text/css' END,
+  CASE WHEN kind LIKE 'github-%' OR kind IN ('hn-story', 'hn-comment', 'doc-page') THEN 'text/markdown' ELSE 'text/plain' END) AS media_type FROM f""")
+def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words.split())), (d % n).cast("int"))
+    path = F.when(d % 24 == 22, "plain").when(d % 24 == 21, "a.b/x.UNKNOWN").otherwise(F.concat(F.lit("src/x."), pick("TS tsx js jsx md mdx json yaml yml toml py go rs rb java html css exe h txt mD", 24)))
+    return _docs(spark, sf_dir).select("doc_id", X.media_type(path, pick("github-pr hn-story hn-comment slack-message doc-page code", 7)).alias("media_type"))
+
+
+@query("json_page_rows", """SELECT doc_id, CAST(doc_id % 3 + 1 AS INTEGER) AS n, sha256(concat_ws('|', concat(text, ' see [docs][1] here'), CASE WHEN doc_id % 3 >= 1 THEN 'b] [c' END, CASE WHEN doc_id % 3 = 2 THEN 'd' END)) AS digest FROM documents""")
+def json_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of JSON whose texts hold brackets themselves, parsed back."""
+    item = lambda c: F.to_json(F.struct(c.alias("body")))
+    page = lambda c: F.concat(F.lit("["), item(c), F.lit("]"))
+    d, first = F.col("doc_id"), F.concat("text", F.lit(" see [docs][1] here"))
+    stream = F.concat(page(first), F.when(d % 3 >= 1, F.concat(F.lit("\n"), page(F.lit("b] [c")))).otherwise(""), F.when(d % 3 == 2, page(F.lit("d"))).otherwise(""))
+    rows = _docs(spark, sf_dir).select("doc_id", F.from_json(X.json_pages(stream), "array<struct<body:string>>").alias("x"))
+    return rows.select("doc_id", F.size("x").alias("n"), F.sha2(F.array_join("x.body", "|"), 256).alias("digest"))
+
+
+def strip_sql() -> str:
     out = "html"
     for tag in X.BOILERPLATE_TAGS:
         out = rf"regexp_replace({out}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>', '', 'g')"
@@ -70,7 +97,7 @@ def _strip_sql() -> str:
     return rf"regexp_replace({out}, '^\s+|\s+$', '', 'g')"
 
 
-@query("html_strip", f"SELECT page_id, length({_strip_sql()}) AS n, sha256({_strip_sql()}) AS digest FROM pages")
+@query("html_strip", f"SELECT page_id, length({strip_sql()}) AS n, sha256({strip_sql()}) AS digest FROM pages")
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = X.html_stripped(X.without_boilerplate(F.col("html")))
     return table(spark, sf_dir, "pages").select("page_id", F.length(out).cast("long").alias("n"), F.sha2(out, 256).alias("digest"))
@@ -128,10 +155,10 @@ def identity_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", X.chunk_id(F.col("source"), F.col("doc_id")).alias("id"), X.collection_id(F.col("lang"), F.col("source")).alias("collection"), X.shaped_id(F.col("text")).alias("shaped"))
 
 
-@query("source_normalization", r"""WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('HTTPS://GitHub.com/Acme/', source, '.git') WHEN 1 THEN concat('./SRC/', source, '.git') WHEN 2 THEN concat('http://github.com/', source) ELSE source END AS s FROM documents)
-SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(s, '(?i)^https?://github\.com/') THEN lower(regexp_replace(regexp_replace(s, '(?i)^https?://github\.com/', ''), '\.git$', '')) ELSE lower(s) END, '^\./', '') AS norm FROM s""")
+@query("source_normalization", r"""WITH s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('HTTPS://GitHub.com/Acme/', source, '.git') WHEN 1 THEN concat('./SRC/', source, '.git') WHEN 2 THEN concat('http://github.com/', source) WHEN 3 THEN concat('github.com/Acme/', source, '.git') ELSE source END AS s FROM documents)
+SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(s, '(?i)^(?:https?://)?github\.com/') THEN lower(regexp_replace(regexp_replace(s, '(?i)^(?:https?://)?github\.com/', ''), '\.git$', '')) ELSE lower(s) END, '^\./', '') AS norm FROM s""")
 def source_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.expr("CASE doc_id % 4 WHEN 0 THEN concat('HTTPS://GitHub.com/Acme/', source, '.git') WHEN 1 THEN concat('./SRC/', source, '.git') WHEN 2 THEN concat('http://github.com/', source) ELSE source END")
+    s = F.expr("CASE doc_id % 5 WHEN 0 THEN concat('HTTPS://GitHub.com/Acme/', source, '.git') WHEN 1 THEN concat('./SRC/', source, '.git') WHEN 2 THEN concat('http://github.com/', source) WHEN 3 THEN concat('github.com/Acme/', source, '.git') ELSE source END")
     return _docs(spark, sf_dir).select("doc_id", X.repo_source(s).alias("norm"))
 
 

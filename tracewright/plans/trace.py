@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import trace as T
 from ..registry import query, table
@@ -40,10 +41,8 @@ def trace_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.depth_first(seeds, _graph(spark, sf_dir))
 
 
-def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as traces of 15 hops, number ``trace`` of the user: hop n came from hop n // 2."""
-    from pyspark.sql.window import Window
-
+def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as traces of 15 hops, named by user and number: hop n came from hop n // 2."""
     events = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     n = F.row_number().over(w) - 1
@@ -51,19 +50,14 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = F.when(F.col("hop_index") % 5 == 0, -1).otherwise(F.floor(F.col("hop_index") / 2)).cast("int")
     kind = F.when(F.col("hop_index") % 5 == 0, "semantic").otherwise("edge")
     return rows.select(
-        F.col("user_id").alias("query_id"), "hop_index", parent.alias("parent_hop_index"), F.col("event_type").alias("source_type"), F.concat(F.lit("s"), F.col("event_id") % 7).alias("source"),
-        F.when(F.col("event_id") % 4 != 0, F.date_trunc("hour", "ts")).alias("ts"), kind.alias("method"), F.when(F.col("event_id") % 3 == 0, "closes").otherwise("references").alias("edge_type"), F.col("value").alias("confidence"), F.col("ts").alias("raw_ts"), "trace",
+        F.concat_ws("-", "user_id", "trace").alias("query_id"), "hop_index", parent.alias("parent_hop_index"), F.col("event_type").alias("source_type"), F.concat(F.lit("s"), F.col("event_id") % 7).alias("source"),
+        F.when(F.col("event_id") % 4 != 0, F.date_trunc("hour", "ts")).alias("ts"), kind.alias("method"), F.when(F.col("event_id") % 3 == 0, "closes").otherwise("references").alias("edge_type"), F.col("value").alias("confidence"), F.col("ts").alias("raw_ts"),
     )
 
 
-def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first trace, as in ``_HOPS``."""
-    return _traces(spark, sf_dir).where("trace = 0").drop("trace")
-
-
-_HOPS = """h AS (SELECT user_id AS query_id, i AS hop_index, CASE WHEN i % 5 = 0 THEN -1 ELSE i // 2 END AS parent_hop_index, event_type AS source_type, concat('s', event_id % 7) AS source,
+_HOPS = """h AS (SELECT concat(user_id, '-', n // 15) AS query_id, i AS hop_index, CASE WHEN i % 5 = 0 THEN -1 ELSE i // 2 END AS parent_hop_index, event_type AS source_type, concat('s', event_id % 7) AS source,
   CASE WHEN event_id % 4 <> 0 THEN date_trunc('hour', ts) END AS ts, CASE WHEN i % 5 = 0 THEN 'semantic' ELSE 'edge' END AS method, CASE WHEN event_id % 3 = 0 THEN 'closes' ELSE 'references' END AS edge_type, value AS confidence
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) WHERE i < 15)"""
+  FROM (SELECT *, n % 15 AS i FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)))"""
 
 
 @query("chronological_order", f"WITH {_HOPS} SELECT query_id, CAST(hop_index AS INTEGER) AS hop_index, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ts ASC NULLS LAST, hop_index) - 1 AS INTEGER) AS chrono FROM h")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import trace as T
 from ..operators import upkeep as U
 from ..registry import query, table
-from .trace import _traces
+from .trace import _HOPS, _hops
 
 
 @query("donor_scan", "SELECT lang AS collection, count(*) AS n FROM documents WHERE source = 'src3' AND lang <> 'en' AND doc_id % 5 <> 0 GROUP BY lang")
@@ -18,11 +18,14 @@ def donor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.donors(rows, F.lit("en"), F.lit("src3"))
 
 
-@query("replay_timestamps", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('u', doc_id) WHEN doc_id % 3 = 1 THEN 'f' ELSE concat('c', doc_id) END AS ts, CASE doc_id % 3 WHEN 0 THEN 'updated' WHEN 1 THEN 'ingested' ELSE 'created' END AS kind FROM documents")
+@query("replay_timestamps", """WITH k AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ingested' ELSE (['updated', 'updated', 'updated', 'updated', 'created', 'created', 'committed', 'committed', 'published', 'ingested', 'ingested'])[doc_id % 11 + 1] END AS kind FROM documents)
+SELECT doc_id, CASE WHEN kind = 'ingested' THEN 'f' ELSE concat(kind[1], doc_id) END AS ts, kind FROM k""")
 def replay_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    kind = F.when(d % 3 == 0, "github-issue").when(d % 3 == 1, "code").otherwise("slack-message")
-    meta = F.create_map(F.lit("updated"), F.concat(F.lit("u"), d), F.lit("created"), F.concat(F.lit("c"), d))
+    kinds = "github-issue github-pr github-pr-comment github-discussion slack-message discord-message code markdown doc-page hn-story other".split()
+    kind = F.get(F.array(*map(F.lit, kinds)), (d % len(kinds)).cast("int"))
+    every = F.create_map(*(x for k in ("updated", "created", "committed", "published") for x in (F.lit(k), F.concat(F.lit(k[0]), d))))
+    meta = F.when(d % 5 == 0, F.create_map(F.lit("updated"), F.lit(""), F.lit("created"), F.lit(""))).otherwise(every)  # an empty entry counts for nothing
     return table(spark, sf_dir, "documents").select("doc_id", U.replay_timestamp(kind, meta, F.lit("f")).alias("x")).select("doc_id", "x.ts", "x.kind")
 
 
@@ -35,10 +38,16 @@ def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.backfilled(archive, chunks).select("document_id", F.try_element_at("metadata", F.lit("author")).alias("author"))
 
 
-@query("token_batches")
+@query(
+    "token_batches",
+    """WITH RECURSIVE c AS (SELECT source AS context, doc_id AS id, CAST(ceil(length(text) / 4.0) AS BIGINT) + 15 AS need, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+b AS (SELECT context, id, i, need AS used, 0 AS batch FROM c WHERE i = 1 UNION ALL
+  SELECT c.context, c.id, c.i, CASE WHEN b.used + c.need > 4000 THEN c.need ELSE b.used + c.need END, b.batch + CASE WHEN b.used + c.need > 4000 THEN 1 ELSE 0 END FROM b JOIN c ON c.context = b.context AND c.i = b.i + 1)
+SELECT context, id, CAST(batch AS INTEGER) AS batch FROM b""",
+)
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("context"), F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.col("text").alias("content"))
-    return U.token_batches(rows, 4000)
+    return U.token_batches(rows, 4000).select("context", "id", "batch")
 
 
 @query("silence_window", "WITH i AS (SELECT DISTINCT o_custkey % 200 AS incident, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'F'), f AS (SELECT DISTINCT o_custkey % 200 AS incident, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'O') SELECT incident, count(*) AS n FROM i WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.incident = i.incident AND f.d <= i.d AND i.d - f.d < 30) GROUP BY incident")
@@ -74,32 +83,56 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.excerpts(rows).select(F.col("document_id").alias("conv_id"), F.sha2("excerpt", 256).alias("digest"))
 
 
-@query("authored_queries", """WITH q AS (SELECT concat('q', item_id % 30) AS id, CASE WHEN item_id % 7 = 0 THEN 'short' ELSE substr(text, 1, 40) END AS query, item_id % 5 AS r, item_id % 3 AS m, item_id % 4 AS d FROM benchmark), c AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM q)
-SELECT concat_ws(',', CASE WHEN n > 1 THEN 'duplicate id' END, CASE WHEN length(trim(query)) < 10 THEN 'query' END, CASE WHEN r = 0 THEN 'required' END, CASE WHEN m < 1 THEN 'min_results' END, CASE WHEN d = 3 THEN 'difficulty' END) AS problems, count(*) AS queries FROM c GROUP BY 1""")
+@query("authored_queries", """WITH q AS (SELECT *, doc_id % 97 AS k FROM documents), s AS (SELECT doc_id, text, k, CASE WHEN k = 0 THEN '' WHEN k < 4 THEN concat('x', k) ELSE concat('q', doc_id // 2) END AS id, CASE WHEN doc_id % 13 = 0 THEN '  ' ELSE text END AS query FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS r FROM s)
+SELECT doc_id, length(query) AS n_chars, concat_ws(',', CASE WHEN id = '' THEN 'missing id' END, CASE WHEN id IN ('x1', 'x3') THEN 'known id' END, CASE WHEN id <> '' AND r > 1 THEN 'duplicate id' END, CASE WHEN query IS NULL OR trim(query) = '' THEN 'empty query' END, CASE WHEN doc_id % 5 = 0 THEN 'empty corpora' END,
+  CASE WHEN doc_id % 7 = 3 THEN 'query type' END, CASE WHEN doc_id % 4 = 3 THEN 'difficulty' END, CASE WHEN doc_id % 6 = 2 THEN 'layer hint' END, CASE WHEN doc_id % 8 = 1 THEN 'empty evidence' END, CASE WHEN doc_id % 9 = 4 THEN 'missing source types' END,
+  CASE WHEN doc_id % 3 = 0 THEN 'min results' END, CASE WHEN doc_id % 10 = 7 THEN 'missing collection' END, CASE WHEN doc_id % 6 = 5 THEN 'empty layer hints' END) AS problems FROM n""")
 def authored_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("item_id")
-    rows = table(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("q"), i % 30).alias("id"), F.when(i % 7 == 0, "short").otherwise(F.substring("text", 1, 40)).alias("query"), F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("required"),
-        (i % 3).cast("int").alias("min_results"), F.get(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard"), F.lit("odd")), (i % 4).cast("int")).alias("difficulty"),
+    """Every document's text as a query that somebody wrote, with faults in each field by rule."""
+    d, none = F.col("doc_id"), F.array().cast("array<string>")
+    listed = lambda *x: F.array(*map(F.lit, x))
+    k = d % 97
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", d.alias("ord"), F.when(k == 0, "").when(k < 4, F.concat(F.lit("x"), k)).otherwise(F.concat(F.lit("q"), F.floor(d / 2))).alias("id"), F.when(d % 13 == 0, "  ").otherwise(F.col("text")).alias("query"),
+        F.when(d % 5 == 0, none).otherwise(listed("v1")).alias("corpora"), F.when(d % 7 == 3, "guess").otherwise("lookup").alias("query_type"), F.get(listed("easy", "medium", "hard", "odd"), (d % 4).cast("int")).alias("difficulty"),
+        F.when(d % 6 == 2, listed("ranking", "luck")).when(d % 6 == 5, none).otherwise(listed("trace")).alias("layer_hints"), F.when(d % 8 == 1, none).otherwise(listed("a")).alias("evidence"), F.when(d % 9 != 4, none).alias("source_types"),
+        (d % 3).cast("int").alias("min_results"), F.when(d % 10 == 7, " ").otherwise("c1").alias("collection"),
     )
-    return U.authored_problems(rows).groupBy(F.array_join("problems", ",").alias("problems")).agg(F.count("*").alias("queries"))
-
-
-@query("gold_matching")
+    known = spark.createDataFrame([("x1",), ("x3",), ("x9",)], "id string")
+    return U.authored_problems(rows, known).select("doc_id", F.length("query").cast("long").alias("n_chars"), F.array_join("problems", ",").alias("problems"))
+
+
+@query(
+    "gold_matching",
+    r"""WITH RECURSIVE g AS (SELECT doc_id // 20 AS chunk, doc_id AS g, doc_id % 3 AS how, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS i FROM documents WHERE doc_id % 2 = 0),
+p AS (SELECT doc_id // 20 AS chunk, list(doc_id ORDER BY doc_id) AS free FROM documents GROUP BY 1),
+s AS (SELECT p.chunk, 0::BIGINT AS i, p.free, NULL::BIGINT AS g, NULL::BIGINT AS p FROM p UNION ALL
+  SELECT chunk, i, list_filter(free, lambda x: x <> coalesce(p, -1)), g, p FROM (SELECT s.chunk, g.i, s.free, g.g, CASE WHEN g.how = 0 THEN list_filter(s.free, lambda x: x = g.g)[1] ELSE s.free[1] END AS p FROM s JOIN g ON g.chunk = s.chunk AND g.i = s.i + 1))
+SELECT chunk, g, p FROM s WHERE p IS NOT NULL""",
+)
 def gold_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     docs = table(spark, sf_dir, "documents")
-    predicted = docs.select((d % 50).alias("chunk"), d.alias("p"), F.lit("references").alias("type"), F.concat(F.lit("Acme/Repo#"), d).alias("target"))
+    of = F.floor(d / 20)  # a chunk has the edges of twenty documents
+    predicted = docs.select(of.alias("chunk"), d.alias("p"), F.lit("references").alias("type"), F.concat(F.lit("Acme/Repo#"), d).alias("target"))
     how = F.when(d % 3 == 0, "exact").when(d % 3 == 1, "substring").otherwise("regex")
-    gold = docs.where("doc_id % 2 = 0").select((d % 50).alias("chunk"), d.alias("g"), F.lit("references").alias("type"), F.when(how == "exact", F.concat(F.lit("Acme/Repo#"), d)).when(how == "substring", F.lit("acme/repo")).otherwise(F.lit(r"#\d+$")).alias("target"), how.alias("how"))
+    gold = docs.where("doc_id % 2 = 0").select(of.alias("chunk"), d.alias("g"), F.lit("references").alias("type"), F.when(how == "exact", F.concat(F.lit("Acme/Repo#"), d)).when(how == "substring", F.lit("acme/repo")).otherwise(F.lit(r"#\d+$")).alias("target"), how.alias("how"))
     return U.greedy_matches(predicted, gold)
 
 
-@query("evidence_chains")
+@query(
+    "evidence_chains",
+    f"""WITH RECURSIVE {_HOPS}, p(query_id, leaf, above, kinds) AS (
+  SELECT query_id, hop_index, parent_hop_index, [source_type] FROM h WHERE NOT EXISTS (SELECT 1 FROM h c WHERE c.query_id = h.query_id AND c.parent_hop_index = h.hop_index)
+  UNION ALL SELECT p.query_id, p.leaf, u.parent_hop_index, list_concat([u.source_type], p.kinds) FROM p JOIN h u ON u.query_id = p.query_id AND u.hop_index = p.above),
+l AS (SELECT query_id, leaf, array_to_string(list_transform(list_filter(range(1, len(kinds) + 1), lambda i: i = 1 OR kinds[i] <> kinds[i - 1]), lambda i: kinds[i]), '>') AS types, len(list_distinct(kinds)) AS variety FROM p WHERE above < 0),
+d AS (SELECT query_id, types, max(variety) AS variety, min(leaf) AS leaf FROM l WHERE variety >= 3 GROUP BY query_id, types),
+k AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.query_id = d.query_id AND starts_with(o.types, concat(d.types, '>'))))
+SELECT query_id, types, CAST(variety AS INTEGER) AS variety, round(least(0.5 + 0.15 * variety, 1.0), 4)::DOUBLE AS strength FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variety DESC, leaf) AS r FROM k) WHERE r <= 3""",
+)
 def evidence_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all traces of all users; a trace is named by its user and its number."""
-    hops = _traces(spark, sf_dir).withColumn("query_id", F.concat_ws("-", "query_id", "trace"))
-    return U.evidence_chains(T.lineage(hops))
+    return U.evidence_chains(T.lineage(_hops(spark, sf_dir))).select("query_id", F.col("label").alias("types"), "variety", F.round("strength", 4).alias("strength"))
 
 
 @query("flipped_queries", "SELECT doc_id, CASE WHEN quality = 1 THEN 'pass to fail' ELSE 'fail to pass' END AS flip FROM labels WHERE doc_id % 7 = 0")
