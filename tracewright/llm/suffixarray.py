@@ -352,8 +352,9 @@ def _distinct(length: int, q: int, bits: int, table, buckets: int):
                 at = order[cuts[i] : cuts[i + 1]]
                 if len(at):
                     parts = (np.uint64(len(at)), c.h[at], c.h2[at], doc[at], several[at].astype(np.uint8), c.kind[at], c.before[at], c.after[at], c.around[at])
-                    rows.append((i, b"".join(x.tobytes() for x in parts)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "contexts"])
+                    whole = b"".join(x.tobytes() for x in parts)
+                    rows.append((i, len(whole), pa.compress(whole, codec="zstd", asbytes=True)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "size", "contexts"])
 
         total = 0
         for ids, _, _, c, dealt in _occurrences(batches, length, q, bits, table):
@@ -378,8 +379,8 @@ def _classes(length: int, q: int):
 
     def run(table: pa.Table) -> pa.Table:
         parts, docs, flags = [], [], []
-        for x in table.column("contexts"):
-            b = np.frombuffer(x.as_buffer(), np.uint8)
+        for x, size in zip(table.column("contexts"), table.column("size").to_pylist(), strict=True):
+            b = np.frombuffer(pa.decompress(x.as_buffer(), size, codec="zstd"), np.uint8)
             n = int(b[:8].view(np.uint64)[0])
             cuts = np.cumsum([8, 8 * n, 8 * n, 8 * n, n, n, n, n, 2 * side * n])
             f = [b[cuts[k] : cuts[k + 1]] for k in range(8)]
@@ -449,7 +450,7 @@ def repeated_spans(documents: DataFrame, length: int = 50) -> DataFrame:
         for table, part in zip(tables, (row["part"], row["common"]), strict=True):
             table[row["bucket"] * span : (row["bucket"] + 1) * span] = part
     how = (length, q, BITS, spark.sparkContext.broadcast(tuple(map(bytes, tables))))
-    distinct = mapped(rows, _distinct(*how, buckets), "bucket int, contexts binary")
+    distinct = mapped(rows, _distinct(*how, buckets), "bucket int, size long, contexts binary")
     classes = grouped(distinct, "bucket", _classes(length, q), "n1 long, n2 long, low short, high short, least long")
     side = length - q
     occurrences = mapped(rows, _places(*how), "doc_id long, th long, at int, n1 long, n2 long")
