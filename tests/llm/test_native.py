@@ -75,10 +75,18 @@ def test_proximity(spark):
 
 
 def test_clean_keeps_the_others_whole(spark):
-    docs = spark.createDataFrame([(1, "a b c", 7), (2, "x y", 8), (3, None, 9)], "doc_id long, text string, phrase int")
-    left = decontam.clean(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
-    assert left.columns == docs.columns
-    assert sorted(map(tuple, left.collect())) == [(2, "x y", 8), (3, None, 9)]
+    docs = spark.createDataFrame([(1, "a b c", 7, 1), (2, "x y", 8, 2), (3, None, 9, 3)], "doc_id long, text string, phrase int, _hit_id int")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for name in ("phrase", "hit_id", "row", "Hit_Hash", "a b"):
+        left = decontam.clean(docs.withColumnRenamed("phrase", name), items)
+        assert left.columns == ["doc_id", "text", name, "_hit_id"]
+        assert sorted(map(tuple, left.collect())) == [(2, "x y", 8, 2), (3, None, 9, 3)]
+    assert decontam.clean(docs.limit(0), items).count() == 0
+
+
+def test_a_very_long_text(spark):
+    docs = [(1, "w x " * 300_000 + "one two three"), (2, "one two three"), (3, "w x y")]
+    assert run(spark, [(*d, "s") for d in docs], [(1, "one two three")], 3) == brute([(*d, "s") for d in docs], [(1, "one two three")], 3)
 
 
 def edited(ids_texts):

@@ -29,7 +29,7 @@ from .common import checkpointed, mapped
 
 M, CLASSES, PASSES = 600, 48, 8
 FREQUENT = 300_000
-ADD = 0.1
+ADD, BACK_OFF = 0.1, 5.0
 #: The hash that stands for the end of a text.
 END = int(K.seeds(1, 424242)[0].astype(np.int64))
 
@@ -226,6 +226,12 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -
     return cls
 
 
+def transitions_of(table: np.ndarray) -> np.ndarray:
+    """P(class | class before) from bigram counts: it backs off to the class's own share, which backs off to equal shares."""
+    own = (table.sum(0) + ADD) / (table.sum() + ADD * len(table))
+    return (table + BACK_OFF * own[None, :]) / (table.sum(1, keepdims=True) + BACK_OFF)
+
+
 def score(documents: DataFrame, allowed: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row; learnt from rows for which ``allowed`` holds.
 
@@ -315,9 +321,7 @@ def score(documents: DataFrame, allowed: Column) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total)], names=["pair", "n"])
 
     table = _gathered(mapped(whole.where("learn").select("seq", "met"), transitions, "pair long, n long"), k)
-    # Transitions back off to the class's own share, which backs off to equal shares.
-    own = (table.sum(0) + ADD) / (table.sum() + ADD * k)
-    follow = np.log10((table + 5.0 * own[None, :]) / (table.sum(1, keepdims=True) + 5.0))
+    follow = np.log10(transitions_of(table))
 
     def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mapped, remainder
+from .common import checkpointed, mapped, remainder, sized
 
 ROLES = ("system", "user", "assistant")
 CHUNK = 512
@@ -111,14 +111,21 @@ def recovered(turns: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     A null or empty turn is an empty observation. Turns are taken in order of
     ``turn``; repeated turns are ordered by a hash of their text. Rows with a
-    null conv_id are one conversation, a null turn comes first. A transcript
-    in the text's first line markers is recognised and stripped.
+    null conv_id are one conversation. Rows without a turn come first, in
+    order of a hash of their text, which is rough where a conversation has
+    more than CHUNK of them: they are dealt over pieces then. A marker in the
+    text's first line is recognised and stripped.
     """
     spark = turns.sparkSession
     sent = spark.sparkContext.broadcast(model)
     rows = turns.select("conv_id", "turn", "text", observation(F.col("text")).alias("o"))
-    piece = F.floor(F.coalesce("turn", F.lit(0)) / CHUNK)
-    packed = rows.groupBy("conv_id", piece.alias("piece")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-1)).alias("k"), F.xxhash64("text").alias("h"), "turn", "text", "o"))).alias("turns"))
+    many = rows.where("turn is null").groupBy(F.col("conv_id").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("of", F.ceil(F.col("n") / CHUNK).alias("shares"))
+    many = checkpointed(many)
+    rows = rows.join(sized(many, many.count()), F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    # Without a turn: before all others, by hash and, as equal texts have equal hashes, by row.
+    dealt = F.coalesce(F.floor((F.shiftrightunsigned(F.xxhash64("text"), 1) / float(1 << 63)) * F.col("shares")) * 64 + F.pmod(F.monotonically_increasing_id(), F.lit(64)), F.lit(0))
+    piece = F.when(F.col("turn").isNull(), F.lit(-(1 << 60)) + dealt).otherwise(F.floor(F.col("turn") / CHUNK))
+    packed = rows.groupBy("conv_id", piece.cast("long").alias("piece")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h"), "turn", "text", "o"))).alias("turns"))
     packed = checkpointed(packed)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import checkpointed, importable, shared_folder  # noqa: F401  (part of this module's surface)
+
 #: Rows of a few dozen bytes that may be broadcast after they were counted.
 BROADCAST_ROWS = 1_000_000
 
@@ -20,20 +19,6 @@ BROADCAST_ROWS = 1_000_000
 HOT = 500
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage, its rows in the shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (tests,
-    a laptop) a folder of this machine is taken.
-    """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the counted ``rows`` are within ``limit``; else the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
@@ -78,14 +63,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def importable(spark: SparkSession) -> None:
-    """Let this machine's Python workers find the package; on a cluster it is shipped with --py-files."""
-    root = str(Path(__file__).parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
-
-
 def release() -> None:
     """Give a Python worker's free memory back to the system: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

@@ -95,14 +95,17 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 10, slop: in
     texts = documents.where("text is not null").select("doc_id", "text")
     texts = texts.join(sized(holders, n_holders), F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), words(folded(F.col("text"))).alias("w")).distinct()
-    placed = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("key")))
-    if slop == 0:
-        verified = placed.where(F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ") == F.col("phrase"))
-    else:
-        low = F.greatest(F.col("start") - slop, F.lit(0))
-        span = F.slice("w", low + 1, F.col("length") + F.col("start") + slop - low)
-        verified = placed.where(F.size(F.array_except(F.split("phrase", " "), span)) == 0)
-    return verified.select("doc_id", "text_hash", "start", "length", "phrase")
+    # A text meets all its candidates in one row, so its words are never copied.
+    wanted = candidates.groupBy("key").agg(F.collect_list(F.struct("start", "length", "phrase")).alias("c"))
+    placed = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("key")))
+
+    def occurs(c: Column) -> Column:
+        if slop == 0:
+            return F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["phrase"]
+        low = F.greatest(c["start"] - slop, F.lit(0))
+        return F.size(F.array_except(F.split(c["phrase"], " "), F.slice("w", low + 1, c["length"] + c["start"] + slop - low))) == 0
+
+    return placed.select("doc_id", "text_hash", F.explode(F.filter("c", occurs)).alias("x")).select("doc_id", "text_hash", "x.start", "x.length", "x.phrase")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0) -> DataFrame:
@@ -144,7 +147,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10, sl
 
 def clean(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns."""
-    hits = matches(documents, benchmark, size).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
+    hits = matches(documents, benchmark, size).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
     hits = checkpointed(hits)
-    same = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_hash"))
-    return documents.join(sized(hits, hits.count()), same, "left_anti")
+    same = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("row.text") == F.col("hit_hash"))
+    return documents.select(F.struct("*").alias("row")).join(sized(hits, hits.count()), same, "left_anti").select("row.*")

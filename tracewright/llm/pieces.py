@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import kernels as K
 from .common import mapped
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _MARK = MARK.encode()
 #: Stretches that are remembered, and the longest that is (in characters).
@@ -85,14 +85,19 @@ class Pieces:
         self.trie = DoubleArray([p[1].encode() for p in pieces])
         self.unknown = float(self.scores.min()) - 10.0
         self.byte_ids = np.array(byte_ids, np.int32)
+        if any(MARK in p.lstrip(MARK) for _, p, _ in pieces):
+            raise ValueError("a piece has a marker behind another character: stretches can't be segmented alone")
         spans = {int(i): p.replace(MARK, " ").encode() for i, p, _ in pieces} | {int(i): bytes([b]) for b, i in enumerate(byte_ids)}
         n = max(spans) + 1
+        spans[n] = "\ufffd".encode()  # what an id that the vocabulary lacks stands for
+        self.other, n = n, n + 1
         self.span_len = np.array([len(spans.get(i, b"")) for i in range(n)], np.int64)
         self.span_at = np.r_[0, np.cumsum(self.span_len)[:-1]]
         self.span = np.frombuffer(b"".join(spans.get(i, b"") for i in range(n)), np.uint8)
 
     @classmethod
-    def load(cls, path: str = MODEL) -> Pieces:
+    def load(cls, path: str) -> Pieces:
+        """A vocabulary file of the SentencePiece format."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -217,24 +222,28 @@ class Pieces:
         return np.array(joined, np.int32).tobytes()
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes and offsets of the texts, each without its leading space."""
+        """Bytes and offsets of the texts, each without the space that its first marker stands for; an unknown id becomes U+FFFD."""
+        ids = np.where((ids >= 0) & (ids < self.other), ids, self.other)
         sizes = self.span_len[ids]
         ends = np.cumsum(sizes)
         data = self.span[np.repeat(self.span_at[ids] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))] if len(ids) else np.zeros(0, np.uint8)
         cuts = np.r_[0, ends][offsets]
         some = np.diff(cuts) > 0
+        some[some] = data[cuts[:-1][some]] == 0x20
         keep = np.ones(len(data), bool)
         keep[cuts[:-1][some]] = False
         return data[keep], cuts - np.r_[0, np.cumsum(some)]
 
 
-def encoded(documents: DataFrame, pieces: Pieces | None = None, decoded: bool = False) -> DataFrame:
-    """doc_id, n_tokens, n_byte_tokens, ids and round_trip of each row; with ``decoded`` also the decoded text.
+def encoded(documents: DataFrame, pieces: Pieces, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_byte_tokens, ids and round_trip of each row; with ``decoded`` all columns, and ``text`` is the decoded one.
 
     A null or empty text has no tokens and decodes to the empty text.
-    Repeated rows are encoded alike.
+    Repeated rows are encoded alike. A column that has the name of one of the
+    made ones gives way to it.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(pieces or Pieces.load())
+    sent = documents.sparkSession.sparkContext.broadcast(pieces)
+    made_names = ("n_tokens", "n_byte_tokens", "ids", "round_trip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -256,26 +265,32 @@ def encoded(documents: DataFrame, pieces: Pieces | None = None, decoded: bool =
                 else:
                     whole &= [back[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(cuts, cuts[1:], offsets, offsets[1:], strict=False)]
                 bytes_ = np.r_[0, np.cumsum(is_byte[ids])][at]
-                made = [batch.column("doc_id").slice(i, n), pa.array(np.diff(at).astype(np.int64)), pa.array(np.diff(bytes_).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(ids)), pa.array(whole)]
-                names = ["doc_id", "n_tokens", "n_byte_tokens", "ids", "round_trip"]
+                made = [batch.column("row").slice(i, n), pa.array(np.diff(at).astype(np.int64)), pa.array(np.diff(bytes_).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(ids)), pa.array(whole)]
+                names = ["row", *made_names]
                 if decoded:
                     made.append(pa.array([back[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:], strict=False)], pa.string()))
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
-    schema = "doc_id long, n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean" + (", text string" if decoded else "")
-    return mapped(documents.select("doc_id", "text"), run, schema)
+    kept = [c for c in documents.columns if c != "text" and c.lower() not in made_names] if decoded else ["doc_id"]
+    given = documents.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "text")
+    made = StructType.fromDDL("n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean" + (", text string" if decoded else ""))
+    out = mapped(given, run, StructType([given.schema["row"], *made]))
+    row = {c: F.col("row").getField(c).alias(c) for c in kept}
+    if not decoded:
+        return out.select(*row.values(), *made_names)
+    return out.select(*(F.col("text") if c == "text" else row[c] for c in documents.columns if c == "text" or c in row), *made_names)
 
 
-def decode(tokens: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give the empty text, bytes that are no UTF-8 the replacement character."""
-    sent = tokens.sparkSession.sparkContext.broadcast(pieces or Pieces.load())
+def decode(tokens: DataFrame, pieces: Pieces) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids); null ids give the empty text, bytes that are no UTF-8 and ids that the vocabulary lacks (null ones too) the replacement character."""
+    sent = tokens.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")
             sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-            data, cuts = sent.value.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(sizes)])
+            data, cuts = sent.value.decode(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(sizes)])
             text = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
 

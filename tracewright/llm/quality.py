@@ -128,7 +128,8 @@ def classify(documents: DataFrame, labels: DataFrame, modulus: int = 5, held: in
 
     Rows whose crc32(doc_id) mod ``modulus`` is ``held`` are never learnt
     from; a null doc_id counts as empty text there. A null text is the empty
-    text and gets a score like any other.
+    text and gets a score like any other. Where a label has no document to
+    learn from there is no model: every score is 0.5, every prediction 1.
     """
     model = train(documents, labels, remainder("doc_id", modulus) != held)
     out = scores(documents, model)

@@ -10,12 +10,16 @@ from . import brown, chat, decontam, html, neardup, orderminhash, pieces, qualit
 from .common import remainder, table
 
 
+#: The public vocabulary that the queries encode with; the operator takes any path.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded(table(spark, sf_dir, "documents"))
+    return pieces.encoded(table(spark, sf_dir, "documents"), pieces.Pieces.load(TOKENIZER))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

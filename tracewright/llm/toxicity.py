@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import kernels as K
 from .common import mapped, remainder
@@ -76,8 +77,8 @@ def ftrl(examples: list[np.ndarray], labels: list[int], bits: int = BITS, epochs
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, allowed: Column, per_label: int) -> DataFrame:
-    """(text, label) of at most ``per_label`` labelled documents of each label, drawn by a hash of the id."""
-    marked = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["_id"])
+    """(text, label) of at most ``per_label`` labelled documents of each label, drawn by a hash of the id; of unlike labels of one document the smaller counts."""
+    marked = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     drawn = [marked.where(F.col("label") == x).orderBy(F.xxhash64("_id"), "_id").limit(per_label) for x in (0, 1)]
     sample = F.broadcast(drawn[0].union(drawn[1]))  # 2 * per_label rows at most
     found = documents.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
@@ -108,8 +109,8 @@ def train(documents: DataFrame, labels: DataFrame, allowed: Column, label: str =
     return at[1:], w[1:], float(w[0])
 
 
-def scores(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """All columns of ``documents`` and a ``score`` from 0 to 1; a null or empty text gets the bias alone."""
+def scores(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], row: Column) -> DataFrame:
+    """``row`` (a struct of the document's columns) and a ``score`` from 0 to 1; a null or empty text gets the bias alone."""
     at, w, bias = model
     sent = documents.sparkSession.sparkContext.broadcast((at, w))
 
@@ -118,15 +119,14 @@ def scores(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) ->
         table[sent.value[0]] = sent.value[1]
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, j, data, offsets in K.slices(batch.column("_text")):
+            for i, j, data, offsets in K.slices(batch.column("text")):
                 doc, where = features(data, offsets)
                 out[i:j] = np.bincount(doc, table[where], j - i)
             score = 1 / (1 + np.exp(-np.clip(out + bias, -35, 35)))
-            kept = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(score)], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], names=["row", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return mapped(documents.withColumn("_text", F.col("text")), run, f"{schema}, score double")
+    given = documents.select(row.alias("row"), "text")
+    return mapped(given, run, StructType([given.schema["row"], StructField("score", DoubleType())]))
 
 
 def classify(documents: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
@@ -134,18 +134,15 @@ def classify(documents: DataFrame, labels: DataFrame, modulus: int = 3, held: in
 
     Rows whose crc32(doc_id) mod ``modulus`` is ``held`` are never learnt
     from. A null doc_id counts as empty text there. Repeated rows get equal
-    scores; labels of unknown documents, null labels and second labels of a
-    document teach nothing.
+    scores; labels of unknown documents, null labels teach nothing, and of unlike labels of a document
+    the smaller counts.
     """
     model = train(documents, labels, remainder("doc_id", modulus) != held)
-    out = scores(documents.select("doc_id", "text"), model)
+    out = scores(documents, model, F.struct("doc_id")).select("row.doc_id", "score")
     return out.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that score under ``threshold``, with all their columns; learnt from all labelled rows."""
     model = train(documents, labels, F.lit(True))
-    name = "score" if "score" not in documents.columns else "_score"
-    renamed = documents if name == "score" else documents.withColumnRenamed("score", "_kept_score")
-    out = scores(renamed, model).where(F.col("score") < threshold).drop("score")
-    return out if name == "score" else out.withColumnRenamed("_kept_score", "score")
+    return scores(documents, model, F.struct("*")).where(F.col("score") < threshold).select("row.*")
