@@ -1,6 +1,7 @@
 """Single operators against hand-made values."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as X
 from tracewright.functions.vectors import cosine, hash_embedding
 from tracewright.operators import chunking, cluster, edges, ingest, retrieval, store, temporal, trace
+from tracewright.operators import edges as E
 
 
 def one(spark, column):
@@ -125,6 +127,154 @@ def test_head_is_compare_and_swap(spark, tmp_path):
         store.write_head(spark, path, 3, {"name": "c"}, first)
 
 
+def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/head"
+    store.write_head(spark, path, 1, {"writer": "a"}, None)
+    first = store.read_head(spark, path)
+    monkeypatch.setattr(store, "read_head", lambda *_: first)  # both have read the same head
+    store.write_head(spark, path, 2, {"writer": "a"}, first)
+    with pytest.raises(store.Conflict):
+        store.write_head(spark, path, 2, {"writer": "b"}, first)
+
+
+def test_blobs_are_verified(spark, tmp_path):
+    path = f"file://{tmp_path}/blobs"
+    rows = spark.createDataFrame([(b"one",), (b"two",), (b"one",)], "content binary")
+    ids = store.write_blobs(rows, path)
+    assert ids.count() == 2
+    wanted = ids.unionByName(spark.createDataFrame([("../secret",), ("0" * 64,)], "id string"))
+    got = {r.id: (r.content, r.verified) for r in store.read_blobs(spark, path, wanted).collect()}
+    assert sorted(bytes(c) for c, ok in got.values() if ok) == [b"one", b"two"]
+    assert got["../secret"] == (None, False) and got["0" * 64] == (None, False)
+    (tmp_path / "p").mkdir()
+    for name in ("a-1.json", "b.txt", "c d.json", "e_2.json"):
+        (tmp_path / "p" / name).write_text("{}")
+    assert store.projects(spark, f"file://{tmp_path}/p") == ["a-1", "e_2"]
+    assert store.projects(spark, f"file://{tmp_path}/none") == []
+
+
+def test_file_summaries(spark):
+    code = '"""What it does.\n\nMore."""\n# note\nimport os\nfrom a import b\n\ndef run():\n    pass\n\nclass C:\n    pass\n'
+    docs = spark.createDataFrame([("f1", "v", "a/b.py", code), ("f2", "v", "c.js", "// top\nconst x = require('y');\nfunction go() {}\n"), ("f3", "v", "d.md", "# T"), ("f4", "v", "e.go", "x"), ("f5", "v", "f.py", None)], "id string, version string, path string, content string")
+    got = {r.document_id: r.content for r in chunking.summaries(docs).collect()}
+    assert got == {
+        "f1": 'File: a/b.py\n\n"""What it does.\n\nMore."""\n# note\n\nImports:\nimport os\nfrom a import b\n\nSymbols:\n- run\n- C',
+        "f2": "File: c.js\n\n// top\n\nImports:\nconst x = require('y');\n\nSymbols:\n- x\n- go",
+    }
+
+
+def plain_trace(q, chunks, out, max_per_source, max_total, max_hops, min_score):
+    """One query by lists and recursion, without boosts."""
+    import math
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    near = sorted(((cosine(q, c["embedding"]), -c["id"]) for c in chunks.values()), reverse=True)
+    near = [(s, -i) for s, i in near]
+    hops, visited = [], set()
+
+    def follow(node, depth, at):
+        if depth >= max_hops:
+            return
+        for other, kind in out.get(node, ()):
+            if len(hops) >= max_total:
+                return
+            if other not in visited:
+                visited.add(other)
+                hops.append((other, at, kind))
+                follow(other, depth + 1, len(hops) - 1)
+
+    for score, i in near[:max_total]:
+        if score < min_score or i in visited:
+            continue
+        visited.add(i)
+        hops.append((i, -1, None))
+        follow(i, 0, len(hops) - 1)
+        if len(hops) >= max_total:
+            break
+    for kind in dict.fromkeys(chunks[i]["source_type"] for i in sorted(chunks)):
+        have = sum(chunks[h[0]]["source_type"] == kind for h in hops)
+        if len(hops) >= max_total or have >= max_per_source:
+            continue
+        for score, i in near[: max_per_source - have + len(visited)]:
+            if len(hops) >= max_total or have >= max_per_source:
+                break
+            if score >= min_score and i not in visited and chunks[i]["source_type"] == kind:
+                visited.add(i)
+                hops.append((i, -1, None))
+                have += 1
+    return hops
+
+
+@pytest.mark.parametrize(("max_total", "min_score"), [(15, 0.05), (15, 0.2), (6, -1.0), (60, 0.1)])
+def test_trace_equals_a_plain_walk(spark, max_total, min_score):
+    from tests.conftest import SF
+    from tracewright import registry  # noqa: F401  (it loads the plans in order)
+    from tracewright.plans.trace import trace_tables
+
+    queries, chunks, edges = trace_tables(spark, SF)
+    known = {r.id: r.asDict() for r in chunks.collect()}
+    out = {}
+    for r in edges.orderBy("seq", "type", "direction").collect():
+        out.setdefault(r.node, []).append((r.other, r.type))
+    got = {}
+    for r in trace.trace(queries, chunks, edges, max_total=max_total, min_score=min_score).orderBy("query_id", "hop_index").collect():
+        got.setdefault(r.query_id, []).append((r.node, r.parent_hop_index, r.edge_type))
+    for r in queries.collect():
+        assert got.get(r.query_id, []) == plain_trace(r.vector, known, out, 3, max_total, 3, min_score)
+
+
+def test_trace_filters_and_groups(spark):
+    vec = lambda x: [1.0, x]
+    chunks = spark.createDataFrame([(i, i, vec(i / 10), "ab"[i % 2], f"s{i}", None) for i in range(8)], "id long, ord long, embedding array<float>, source_type string, source string, ts timestamp")
+    edges = spark.createDataFrame([(0, 1, "t", "forward", 1, "e", 0.5), (0, 2, "t", "forward", 2, "e", 0.5)], "node long, other long, type string, direction string, seq long, evidence string, confidence double")
+    queries = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vector array<float>")
+    hops = trace.trace(queries, chunks, edges, max_per_source=2, max_total=5, exclude=["b"]).orderBy("hop_index").collect()
+    # Edges never reach an excluded type; the types that are filled up at the end are not filtered.
+    assert [(h.node, h.method, h.grouped) for h in hops] == [(0, "semantic", True), (2, "edge", True), (4, "semantic", False), (1, "semantic", True), (3, "semantic", True)]
+    assert trace.trace(queries, chunks, edges, include=[], max_total=4).where("method = 'edge'").count() == 0
+    assert trace.trace(queries.limit(0), chunks, edges).count() == 0
+    strongest = trace.insights(trace.trace(queries, chunks, edges), F.lit("2024-01-01").cast("timestamp"))
+    assert strongest.count() == 0  # two types converge on nothing
+
+
+def test_dotted_paths_of_any_depth(spark):
+    rows = [(1, i, i - 1, f"n{i}") for i in range(1, 41)] + [(2, 1, 0, "a"), (2, 2, 9, "lost"), (2, 3, 4, "x"), (2, 4, 3, "y")]
+    got = {(r.doc, r.i): r.path for r in trace.dotted(spark.createDataFrame(rows, "doc long, i int, parent int, name string")).collect()}
+    assert got == {(1, i): ".".join(f"n{k}" for k in range(1, i + 1)) for i in range(1, 41)} | {(2, 1): "a"}
+
+
+def test_first_rows(spark):
+    edges = spark.range(500).select(F.struct((F.col("id") % 37).alias("ord"), F.col("id").alias("place")).alias("seq"), F.col("id").alias("x"))
+    for most in (0, 1, 77, 499, 500, 900):
+        want = sorted(range(500), key=lambda i: (i % 37, i))[:most]
+        assert sorted(r.x for r in E.first_rows(edges, most, 10).collect()) == sorted(want)
+
+
+def test_sources_that_hold_a_probe(spark):
+    sources = ["acme/repo", "acme/repo-two", "x/y/z", "ab", "é/ü", ""]
+    probes = ["acme", "repo", "/", "y/", "é", "zz", "acme/repo-", "", "ab"]
+    rows = spark.createDataFrame([(s,) for s in sources], "norm string"), spark.createDataFrame([(p,) for p in probes], "probe string")
+    assert sorted(map(tuple, E.holders(*rows).collect())) == sorted((p, s) for p in probes for s in sources if p in s)
+
+
+def test_rejoined_pieces(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1000))
+    rows = [(1, k, text[a : a + 300]) for k, a in enumerate(range(0, 1000, 250))] + [(2, 1, "b c"), (2, 0, "a b "), (3, 0, "")]
+    got = {r.id: r.content for r in E.rejoined(spark.createDataFrame(rows, "id long, chunk_index int, content string")).collect()}
+    assert got == {1: text, 2: "a b c", 3: ""}
+
+
+def test_json_pages(spark):
+    pages = '[{"a":"see [docs][1]"},{"a":"q\\"][\\""}]\n[{"a":"x"}][]'
+    found = one(spark, F.from_json(X.json_pages(F.lit(pages)), "array<struct<a:string>>"))
+    assert [r.a for r in found][:3] == ["see [docs][1]", 'q"]["', "x"]
+    long = '[{"a":"' + "\\n" * 20_000 + '"}][{"a":"y"}]'
+    assert [len(r.a) for r in one(spark, F.from_json(X.json_pages(F.lit(long)), "array<struct<a:string>>"))] == [20_000, 1]
+
+
 def test_catalog_upsert_is_idempotent(spark):
     new = spark.createDataFrame([("d", "v1", ["c1"], "mutable-state", False)], "document_id string, version string, chunk_ids array<string>, mutability string, tombstone boolean")
     empty = spark.createDataFrame([], "document_id string, version string, chunk_ids array<string>, previous array<string>, superseded array<string>, state string, mutability string")

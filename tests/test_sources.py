@@ -15,6 +15,19 @@ def test_issues_drop_pull_requests(spark, tmp_path):
     assert (row.content, row.source, row.ts_raw) == ("# T\n\nB", "a/b#1", "2024-01-02")
 
 
+def test_pulls_comments_discussions(spark, tmp_path):
+    put = lambda name, rows: (tmp_path / name).write_text("\n".join(map(json.dumps, rows)))
+    put("p.json", [{"number": 2, "title": "P", "body": None, "updated_at": "2024-02-01T00:00:00Z"}, {"number": 3, "title": "old", "created_at": "2023-01-01T00:00:00Z"}, {"number": 4, "title": "", "body": ""}])
+    put("c.json", [{"id": 7, "body": "nit", "created_at": "2024-01-03T00:00:00Z", "pull_request_url": "https://x/pulls/2"}, {"id": 8, "body": "", "pull_request_url": "https://x/pulls/2"}])
+    put("d.json", [{"number": 5, "title": "D", "body": "why", "createdAt": "2024-01-04"}])
+    (pull,) = readers.pulls(spark, str(tmp_path / "p.json"), "a/b", "2024-01-01").collect()
+    assert (pull.content, pull.source, pull.source_type) == ("# P\n\n", "a/b#2", "github-pr")
+    (comment,) = readers.review_comments(spark, str(tmp_path / "c.json"), "a/b").collect()
+    assert (comment.content, comment.source, comment.ts_raw) == ("nit", "a/b#2/comment/7", "2024-01-03T00:00:00Z")
+    (talk,) = readers.discussions(spark, str(tmp_path / "d.json"), "a/b").collect()
+    assert (talk.content, talk.source, talk.ts_raw) == ("# D\n\nwhy", "a/b/discussions/5", "2024-01-04")
+
+
 def test_slack_groups_messages(spark, tmp_path):
     rows = [{"type": "message", "ts": str(t), "user": u, "text": x} for t, u, x in ((1, "a", "one"), (2, "a", "two"), (3, "b", "three"), (4, "b", " "))]
     (tmp_path / "s.json").write_text("\n".join(map(json.dumps, rows)))

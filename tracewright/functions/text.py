@@ -208,4 +208,5 @@ def json_pages(text: Column) -> Column:
     (with their escapes) and the runs between them, and strings stay as they are.
     """
     parts = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"]++'), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(F.regexp_replace(p, r"\]\s*\[", ","))), "")
+    joined = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\]\s*\[", ","), r"\[[\s,]*,", "["), r",[\s,]*\]", "]")  # noqa: E731  (empty pages leave no comma)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(joined(p))), "")

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import importable
@@ -23,6 +23,16 @@ _BOUNDARY = {
     "solidity": re.compile(r"^\s*(?:contract|library|interface|function|event|struct)\s+(\w+)", re.M),
     "java": re.compile(r"^\s*(?:public|private|protected)?\s*(?:static\s+)?(?:final\s+)?(?:class|interface|enum|record)\s+(\w+)", re.M),
 }
+_IMPORTS = {
+    "python": re.compile(r"^\s*(?:from\s+\S+\s+import|import)\b"),
+    "javascript": re.compile(r"^\s*import\b|^\s*export\b.*\bfrom\b|\brequire\("),
+    "go": re.compile(r"^\s*import\b|^\s+(?:\w+\s+)?\"[^\"]+\"\s*$"),
+    "rust": re.compile(r"^\s*(?:pub\s+)?use\b"),
+    "solidity": re.compile(r"^\s*import\b"),
+    "java": re.compile(r"^\s*import\b"),
+}
+_OPENING = re.compile(r"""\s*(?:/\*.*?(?:\*/|\Z)[ \t]*|//[^\n]*|\#[^\n]*|\"{3}.*?(?:\"{3}|\Z)[^\n]*|'{3}.*?(?:'{3}|\Z)[^\n]*)(?:\n|\Z)""", re.S)
+ISSUE_KINDS = {"github-issue": "issue", "github-pr": "PR", "github-discussion": "discussion"}
 LANGUAGES = {"py": "python", "ts": "javascript", "tsx": "javascript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "go": "go", "rs": "rust", "sol": "solidity", "java": "java"}
 
 
@@ -99,6 +109,60 @@ def split(documents: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
     return out.withColumn("id", F.sha2(F.concat_ws(":", "document_id", "version", "chunk_index", "content"), 256))
 
 
+def chunker_name(source_type: Column, path: Column) -> Column:
+    """Which chunker a document goes to."""
+    ending = F.lower(F.element_at(F.split(F.coalesce(path, F.lit("")), r"\."), -1))
+    return (
+        F.when(source_type.isin(list(ISSUE_KINDS)), "github-issue").when(ending.isin("md", "mdx") | (source_type == "markdown"), "markdown")
+        .when(ending.isin(list(LANGUAGES)), "hierarchical-code").otherwise("code-window")
+    )
+
+
+def opening_comment(text: str) -> str:
+    """The comments that a source file begins with."""
+    end = 0
+    while found := _OPENING.match(text, end):
+        end = found.end()
+    return "\n".join(line.rstrip() for line in text[:end].split("\n")).strip()
+
+
+def file_summary(source: str, text: str, language: str) -> str | None:
+    """A file's opening comment, imports and symbols; None if it has none of them."""
+    parts = [opening_comment(text)]
+    imports = [line.rstrip() for line in text.split("\n") if language in _IMPORTS and _IMPORTS[language].search(line)]
+    symbols = dict.fromkeys(s for _, _, s in code_pieces(text, language) if s)
+    parts += ["\n".join(["Imports:", *imports]) if imports else "", "\n".join(["Symbols:", *(f"- {s}" for s in symbols)]) if symbols else ""]
+    return "\n\n".join([f"File: {source}", *filter(None, parts)]) if any(parts) else None
+
+
+def summaries(documents: DataFrame) -> DataFrame:
+    """(document_id, version, id, content): the file-level chunk of each source file (id, version, path, content) that has something to tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, v, p, t in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "path", "content")), strict=True):
+                language = LANGUAGES.get((p or "").rpartition(".")[2].lower())
+                made = file_summary(p, t or "", language) if language and (t or "").strip() else None
+                if made:
+                    rows.append((i, v, made))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["document_id", "version", "content"])
+
+    importable(documents.sparkSession)
+    rows = documents.select(F.col("id").cast("string").alias("id"), F.col("version").cast("string").alias("version"), "path", "content")
+    out = rows.mapInArrow(run, "document_id string, version string, content string")
+    return out.select("document_id", "version", F.sha2(F.concat_ws(":", "document_id", "version", F.lit("summary"), "content"), 256).alias("id"), "content")
+
+
+def issue_context(source_type: Column, source: Column, number: Column, content: Column, labels: Column) -> Column:
+    """What stands above every chunk of an issue, pull request or discussion."""
+    repo = F.when(F.contains(source, F.lit("#")), F.substring_index(source, "#", 1)).otherwise(F.substring_index(source, "/discussions/", 1))
+    title = F.coalesce(F.nullif(F.regexp_extract(content, r"^#\s+(.+)", 1), F.lit("")), source)
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in ISSUE_KINDS.items() for x in kv)), source_type), F.lit("issue"))
+    marks = F.when(F.coalesce(labels, F.lit("")) == "", "").otherwise(F.concat(F.lit("Labels: "), labels, F.lit("\n")))
+    return F.concat(repo, F.lit(" "), kind, F.lit(" "), F.coalesce(number, F.lit("")), F.lit(": "), title, F.lit("\n"), marks, F.lit("---\n"))
+
+
 def oversized(chunks: DataFrame, most: int = 4000) -> DataFrame:
     """Chunks of more than ``most`` characters cut in windows that keep the parent's id; the others as they are."""
     small = chunks.where(F.length("content") <= most).select("id", F.lit(None).cast("string").alias("parent_id"), "content")

@@ -182,6 +182,26 @@ def dependency_edges(manifests: DataFrame) -> DataFrame:
     return rows.select(F.lit("depends-on").alias("type"), F.col("id").alias("source_id"), F.lit("package").alias("target_type"), "target_id", F.concat(F.lit("depends on "), "target_id").alias("evidence"), F.lit(1.0).alias("confidence"))
 
 
+def resolved_import(target: Column, file: Column, repo: Column) -> Column:
+    """A relative import below its file's folder in the repository (``/./`` is dropped, ``..`` stays); others as they are."""
+    folder = F.regexp_replace(file, r"/?[^/]*$", "")
+    return F.when(target.startswith("."), F.replace(F.concat_ws("/", repo, folder, target), F.lit("/./"), F.lit("/"))).otherwise(target)
+
+
+def rejoined(pieces: DataFrame, most: int = 200) -> DataFrame:
+    """(id, content): a document's pieces (id, chunk_index, content) in order, each without the longest start, of ``most`` characters at most, that the piece before ends with."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"])
+
+    def joined(done: Column, piece: Column) -> Column:
+        size = F.least(F.char_length(done["last"]), F.char_length(piece), F.lit(most))
+        sizes = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+        shared = F.coalesce(F.array_max(F.filter(sizes, lambda n: F.endswith(done["last"], F.substring(piece, F.lit(1), n)))), F.lit(0))
+        return F.struct(F.concat(done["text"], F.substring(piece, shared + 1, F.char_length(piece))).alias("text"), piece.alias("last"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("last"))
+    return pieces.groupBy("id").agg(F.aggregate(parts, start, joined, lambda x: x["text"]).alias("content"))
+
+
 def composite_edges(parts: list[DataFrame], chunk_count: int) -> DataFrame:
     """Union of extractors' edges with provenance, merged, and at most 100 edges for each chunk in all."""
     return first_rows(checkpointed(merged(reduce(DataFrame.unionByName, parts))), 100 * chunk_count)

@@ -6,12 +6,16 @@ method ("semantic" or "edge"), edge_type, confidence.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed, importable
+from ..session import checkpointed, importable, sized
+from . import retrieval as R
 
 MAX_HOPS, MAX_TOTAL = 3, 15
 
@@ -30,53 +34,185 @@ def reachable(seeds: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataF
     return seen
 
 
+def _within(starts: DataFrame, edges: DataFrame, hops: int, fan: int) -> DataFrame:
+    """(query_id, node, other, type, direction, seq and the other columns of ``edges``): what a walk from each query's starts may take.
+
+    A walk of at most ``fan / 2`` hops meets at most as many visited targets
+    at a node as it has hops and takes at most as many new ones, so the first
+    ``fan`` distinct targets of a node are all that it can use, each by its
+    first edge. Only edges of nodes that were reached are looked at.
+    """
+    keys = ["type", "direction", *(c for c in edges.columns if c not in ("node", "other", "type", "direction", "seq"))]
+    level = seen = checkpointed(starts.select("query_id", "node").distinct())
+    out = None
+    for _ in range(hops):
+        front = checkpointed(level.select("node").distinct())
+        found = edges.join(sized(front, front.count()), "node", "left_semi")
+        first = found.groupBy("node", "other").agg(F.min(F.struct("seq", *keys)).alias("e"))
+        order = Window.partitionBy("node").orderBy("e", "other")
+        first = first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= fan)
+        step = checkpointed(level.join(first, "node").select("query_id", "node", "other", *(f"e.{k}" for k in keys), "e.seq"))
+        out = step if out is None else out.unionByName(step)
+        level = checkpointed(step.select("query_id", F.col("other").alias("node")).distinct().join(seen, ["query_id", "node"], "left_anti"))
+        seen = seen.unionByName(level)
+    return out
+
+
+def _walk(starts: list[tuple], out: dict, max_hops: int, max_total: int) -> tuple[list[tuple], set]:
+    """Hops (node, parent, edge or None, score or None) in depth-first order and the visited nodes; ``starts`` are (node, score), ``out`` lists (other, edge) by node."""
+    hops: list[tuple] = []
+    visited: set = set()
+    for start, score in starts:
+        if len(hops) >= max_total:
+            break
+        if start in visited:
+            continue
+        visited.add(start)
+        hops.append((start, -1, None, score))
+        stack = [(len(hops) - 1, 0, iter(out.get(start, ())))]
+        while stack:
+            parent, depth, rest = stack[-1]
+            if depth >= max_hops or len(hops) >= max_total:
+                stack.pop()
+                continue
+            found = next(rest, None)
+            if found is None:
+                stack.pop()
+            elif found[0] not in visited:
+                visited.add(found[0])
+                hops.append((found[0], parent, found[1], None))
+                stack.append((len(hops) - 1, depth + 1, iter(out.get(found[0], ()))))
+    return hops, visited
+
+
 def depth_first(seeds: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, max_total: int = MAX_TOTAL) -> DataFrame:
     """The exact depth-first hops of each query: seeds (query_id, node, ord), edges (node, other, type, direction, seq).
 
-    The graph is cut to what is within reach first, so a group holds one
-    query's neighbourhood. Visited nodes are shared by a query's seeds; edges
-    go in order of ``seq``; each (direction, type, target) counts once a node;
-    a query stops at ``max_total`` hops, seeds included.
+    Visited nodes are shared by a query's seeds; edges go in order of
+    ``seq``; a query stops at ``max_total`` hops, seeds included. A group
+    holds what one query's walk may take, which no hub can swell.
     """
-    near = reachable(seeds, edges, max_hops).select("query_id", "node")
-    within = near.join(edges, "node").select("query_id", F.lit(1).alias("kind"), "node", "other", "type", "direction", "seq")
-    starts = seeds.select("query_id", F.lit(0).alias("kind"), "node", F.lit(None).cast("string").alias("other"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("direction"), F.col("ord").alias("seq"))
+    within = _within(seeds, edges, max_hops, 2 * max_total).withColumn("kind", F.lit(1))
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    starts = seeds.select("query_id", "node", none("other"), none("type"), none("direction"), F.col("ord").alias("seq"), F.lit(0).alias("kind"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["kind", "seq", "other"], kind="stable")
         out: dict[str, list] = {}
         for r in rows[rows.kind == 1].itertuples(index=False):
-            out.setdefault(r.node, []).append((r.direction, r.type, r.other))
-        hops: list[tuple] = []
-        visited: set = set()
-        for start in rows[rows.kind == 0].node:
-            if len(hops) >= max_total:
-                break
-            if start in visited:
-                continue
-            visited.add(start)
-            hops.append((start, -1, "semantic", None, None))
-            stack = [(len(hops) - 1, 0, iter(dict.fromkeys(out.get(start, ()))))]
-            while stack:
-                parent, depth, rest = stack[-1]
-                if depth >= max_hops or len(hops) >= max_total:
-                    stack.pop()
-                    continue
-                found = next(rest, None)
-                if found is None:
-                    stack.pop()
-                elif found[2] not in visited:
-                    visited.add(found[2])
-                    hops.append((found[2], parent, "edge", found[1], found[0]))
-                    stack.append((len(hops) - 1, depth + 1, iter(dict.fromkeys(out.get(found[2], ())))))
-        frame = pd.DataFrame(hops, columns=["node", "parent_hop_index", "method", "edge_type", "direction"])
+            out.setdefault(r.node, []).append((r.other, (r.type, r.direction)))
+        hops, _ = _walk([(n, None) for n in rows[rows.kind == 0].node], out, max_hops, max_total)
+        frame = pd.DataFrame([(n, p, "edge" if e else "semantic", *(e or (None, None))) for n, p, e, _ in hops], columns=["node", "parent_hop_index", "method", "edge_type", "direction"])
         frame.insert(0, "hop_index", range(len(frame)))
         frame.insert(0, "query_id", rows.query_id.iloc[0])
         return frame
 
     importable(seeds.sparkSession)
     schema = "query_id long, hop_index int, node string, parent_hop_index int, method string, edge_type string, direction string"
-    return within.unionByName(starts).groupBy("query_id").applyInPandas(walk, schema)
+    return within.select(starts.columns).unionByName(starts).groupBy("query_id").applyInPandas(walk, schema)
+
+
+def trace(
+    queries: DataFrame, chunks: DataFrame, edges: DataFrame, max_per_source: int = 3, max_total: int = MAX_TOTAL, max_hops: int = MAX_HOPS, min_score: float = 0.3,
+    include: list[str] | None = None, exclude: list[str] | None = None, type_boosts: dict[str, float] | None = None, diverse: bool = False,
+) -> DataFrame:
+    """The hops of a batch of queries: seeds by similarity, edges depth first, then the types that are still short.
+
+    queries: query_id, vector; chunks: id, ord, embedding, source_type,
+    source, ts; edges between chunk ids: node, other, type, direction, seq,
+    evidence, confidence. Boosts and diversity widen the candidates five
+    times and only reorder. An include list, even an empty one, decides alone
+    what seeds and edges may reach; the types that are filled up at the end,
+    in order of their first chunk, are not filtered. ``grouped`` marks the
+    first ``max_per_source`` hops of each type. A group holds one query's
+    candidates and what its walk may take: parameters bound both.
+    """
+    width = max_total * (5 if type_boosts or diverse else 1)
+    near = R.top_k(queries, chunks.select("id", "embedding", "source_type"), max(width, max_per_source + max_total))
+    near = checkpointed(near.withColumn("source_type", F.coalesce("source_type", F.lit("unknown"))))
+    seeds = near.where(F.col("rank") <= width).withColumn("retrieval", R.composite(F.col("score"), None, type_boosts, F.col("source_type"))).drop("rank")
+    seeds = seeds.withColumn("score", F.col("retrieval"))
+    seeds = R.diversified(seeds, max_total) if diverse else R.ranked(seeds, max_total)
+    allowed = lambda c: R.trace_allowed(c, include, exclude)
+    seeds = checkpointed(seeds.where((F.col("score") >= min_score) & allowed(F.col("source_type"))).select("query_id", F.col("id").alias("node"), "rank", "score", "source_type"))
+    kinds = chunks.select(F.col("id").alias("other"), F.coalesce("source_type", F.lit("unknown")).alias("source_type"))
+    if include is not None or exclude:
+        edges = edges.join(kinds.where(allowed(F.col("source_type"))).select("other"), "other", "left_semi")
+    within = _within(seeds, edges, max_hops, 2 * max_total).join(kinds, "other")
+    columns = ["query_id", "kind", "place", "node", "other", "source_type", "type", "direction", "evidence", "score"]
+
+    def shaped(df: DataFrame, kind: int, **given: Column) -> DataFrame:
+        none = {"node": "long", "other": "long", "source_type": "string", "type": "string", "direction": "string", "evidence": "string", "score": "double", "place": "long"}
+        empty = {c: F.lit(None).cast(t) for c, t in none.items() if c not in given and c not in df.columns}
+        return df.withColumns({"kind": F.lit(kind), **given, **empty}).select("query_id", "kind", F.col("place").cast("long").alias("place"), *columns[3:])
+
+    order = chunks.groupBy(F.coalesce("source_type", F.lit("unknown")).alias("source_type")).agg(F.min("ord").alias("place"))
+    parts = [
+        shaped(seeds, 0, place=F.col("rank")),
+        shaped(within, 1, place=F.col("seq"), score=F.col("confidence")),
+        shaped(near.where(F.col("rank") <= max_per_source + max_total), 2, place=F.col("rank"), node=F.col("id")),
+        shaped(queries.select("query_id").crossJoin(sized(order, limit=10_000)), 3),
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["kind", "place", "node", "other"], kind="stable")
+        part = {k: list(g.itertuples(index=False)) for k, g in rows.groupby("kind")}
+        kind_of, out = {}, {}
+        for r in part.get(0, ()):
+            kind_of[r.node] = r.source_type
+        for r in part.get(1, ()):
+            kind_of[r.other] = r.source_type
+            out.setdefault(r.node, []).append((r.other, (r.type, r.direction, r.evidence, r.score)))
+        hops, visited = _walk([(r.node, r.score) for r in part.get(0, ())], out, max_hops, max_total)
+        found = Counter(kind_of[h[0]] for h in hops)
+        for t in part.get(3, ()):
+            if len(hops) >= max_total:
+                break
+            if found[t.source_type] >= max_per_source:
+                continue
+            most = max_per_source - found[t.source_type] + len(visited)
+            for c in [c for c in part.get(2, ()) if c.place <= most]:
+                if len(hops) >= max_total or found[t.source_type] >= max_per_source:
+                    break
+                if c.score >= min_score and c.node not in visited and c.source_type == t.source_type:
+                    visited.add(c.node)
+                    kind_of[c.node] = c.source_type
+                    hops.append((c.node, -1, None, c.score))
+                    found[c.source_type] += 1
+        made, count = [], Counter()
+        for i, (node, parent, edge, score) in enumerate(hops):
+            kind = kind_of[node]
+            made.append((rows.query_id.iloc[0], i, int(node), parent, "edge" if edge else "semantic", edge[0] if edge else None, edge[1] if edge else None, edge[2] if edge else None, edge[3] if edge else score, kind, count[kind] < max_per_source))
+            count[kind] += 1
+        return pd.DataFrame(made, columns=["query_id", "hop_index", "node", "parent_hop_index", "method", "edge_type", "direction", "evidence", "confidence", "source_type", "grouped"])
+
+    importable(chunks.sparkSession)
+    hops = rows.groupBy("query_id").applyInPandas(run, "query_id long, hop_index int, node long, parent_hop_index int, method string, edge_type string, direction string, evidence string, confidence double, source_type string, grouped boolean")
+    return hops.join(chunks.select(F.col("id").alias("node"), "source", "ts"), "node")
+
+
+def insights(hops: DataFrame, since: Column) -> DataFrame:
+    """(query_id, place, kind, detail, strength): convergence, evidence chains and temporal clusters of each trace, the strongest first.
+
+    ``since`` is where the recent days begin. Ties stay in that order of kinds.
+    """
+    from .upkeep import evidence_chains
+
+    types = hops.groupBy("query_id").agg(F.array_sort(F.collect_set("source_type")).alias("types"))
+    one = types.select("query_id", F.lit(0).alias("n"), F.lit("convergence").alias("kind"), F.array_join("types", ",").alias("detail"), convergence(F.size("types")).alias("strength"))
+    chains = evidence_chains(lineage(hops)).select("query_id", F.lit(1).alias("n"), F.lit("evidence-chain").alias("kind"), F.col("label").alias("detail"), "strength")
+    dated = hops.groupBy("query_id").agg(F.count("ts").alias("dated"), F.count_if(F.col("ts") >= since).alias("recent"))
+    near = dated.select("query_id", F.lit(2).alias("n"), F.lit("temporal-cluster").alias("kind"), F.concat_ws("/", "recent", "dated").alias("detail"), recency(F.col("dated"), F.col("recent")).alias("strength"))
+    every = one.unionByName(chains).unionByName(near).where("strength is not null")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("strength").desc(), "n", "detail"))
+    return every.withColumn("place", place).drop("n")
+
+
+def ranked_chains(chains: DataFrame) -> DataFrame:
+    """Lineage chains with their ``place``: the longest first, then the most varied, then in order of their leaves."""
+    best = Window.partitionBy("query_id").orderBy(F.col("length").desc(), F.col("variety").desc(), "leaf")
+    return chains.withColumn("place", F.row_number().over(best))
 
 
 def chronological(hops: DataFrame) -> DataFrame:

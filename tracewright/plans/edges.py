@@ -207,3 +207,52 @@ def edge_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.sql(f"WITH {_RAW.replace('FROM documents', 'FROM _documents')} SELECT * FROM r").withColumn("confidence", F.col("confidence").cast("double"))
     edges = E.validated(raw.withColumn("type", E.normalized_type(F.col("raw"))))
     return edges.groupBy("type", F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"), F.count_if("downgraded").alias("downgraded"))
+
+
+@query("changed_files", "SELECT 'changes' AS type, l_orderkey AS source_id, 'file' AS target_type, concat('acme/r', l_suppkey % 3, ':src/f', l_partkey, '.ts@', l_linenumber) AS target_id, concat('Changed file: src/f', l_partkey, '.ts') AS evidence, 1.0::DOUBLE AS confidence FROM lineitem")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    files = rows.select(F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("acme/r"), F.col("l_suppkey") % 3).alias("repo"), F.concat(F.lit("src/f"), "l_partkey", F.lit(".ts")).alias("path"), F.col("l_linenumber").cast("string").alias("sha"))
+    return E.changed_file_edges(files)
+
+
+@query(
+    "code_imports",
+    """WITH d AS (SELECT doc_id AS id, doc_id % 4 AS k FROM documents), i AS (
+  SELECT id, unnest(CASE k WHEN 0 THEN ['lodash', concat('./m', id), '../b', 'fs'] WHEN 1 THEN [concat('pkg.m', id), 'os'] WHEN 2 THEN ['fmt', concat('example.com/m', id)] ELSE [concat('./A', id, '.sol')] END) AS t FROM d)
+SELECT id AS source_id, CASE WHEN t LIKE '.%' THEN 'file' ELSE 'package' END AS target_type, t AS target_id FROM i""",
+)
+def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files whose text is a whole document behind its imports, which alone are edges."""
+    d = F.col("doc_id")
+    n = d.cast("string")
+    prose = F.regexp_replace(F.coalesce("text", F.lit("")), r"['\"\n]|import|require|from|use", " ")
+    code = (
+        F.when(d % 4 == 0, F.concat(F.lit("import _ from 'lodash';\nimport { a,\n  b } from './m"), n, F.lit("';\nexport * from '../b';\nconst fs = require('fs');\nimport 'lodash';\n// "), prose))
+        .when(d % 4 == 1, F.concat(F.lit("from pkg.m"), n, F.lit(" import x\nimport os\n# "), prose))
+        .when(d % 4 == 2, F.concat(F.lit('package p\nimport (\n\t"fmt"\n\tm "example.com/m'), n, F.lit('"\n)\n// '), prose))
+        .otherwise(F.concat(F.lit("pragma solidity;\nimport {A} from \"./A"), n, F.lit('.sol";\n// '), prose))
+    )
+    path = F.concat(F.lit("src/f"), n, F.get(F.array(F.lit(".ts"), F.lit(".py"), F.lit(".go"), F.lit(".sol")), (d % 4).cast("int")))
+    return E.import_edges(table(spark, sf_dir, "documents").select(d.alias("id"), path.alias("path"), code.alias("content"))).select("source_id", "target_type", "target_id")
+
+
+@query("manifest_dependencies", "WITH d AS (SELECT doc_id AS id, unnest(CASE doc_id % 3 WHEN 0 THEN ['left-pad', concat('p', doc_id), 'vitest'] WHEN 1 THEN ['numpy', concat('q', doc_id), 'requests'] ELSE ['github.com/acme/x', concat('github.com/acme/m', doc_id)] END) AS target_id FROM documents) SELECT id AS source_id, 'package' AS target_type, target_id FROM d")
+def manifest_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    n = d.cast("string")
+    content = (
+        F.when(d % 3 == 0, F.concat(F.lit('{"name":"a","dependencies":{"left-pad":"1","p'), n, F.lit('":"^2"},"devDependencies":{"vitest":"3"}}')))
+        .when(d % 3 == 1, F.concat(F.lit("# needed\nnumpy==1.2\nq"), n, F.lit(">=2 ; python_version > '3'\nrequests\n")))
+        .otherwise(F.concat(F.lit("module m\n\nrequire (\n\tgithub.com/acme/x v1.0.0\n\tgithub.com/acme/m"), n, F.lit(" v0.1.0 // indirect\n)\n")))
+    )
+    path = F.get(F.array(F.lit("a/package.json"), F.lit("requirements-dev.txt"), F.lit("go.mod")), (d % 3).cast("int"))
+    return E.dependency_edges(table(spark, sf_dir, "documents").select(d.alias("id"), path.alias("path"), content.alias("content"))).select("source_id", "target_type", "target_id")
+
+
+@query("import_paths", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('acme/r/src/d', doc_id, '/util') WHEN 1 THEN concat('acme/r/src/d', doc_id, '/../x') ELSE 'react' END AS path FROM documents")
+def import_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    target = F.when(d % 3 == 0, "./util").when(d % 3 == 1, "../x").otherwise("react")
+    return table(spark, sf_dir, "documents").select("doc_id", E.resolved_import(target, F.concat(F.lit("src/d"), d, F.lit("/f.ts")), F.lit("acme/r")).alias("path"))
+

@@ -161,3 +161,62 @@ def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_to_end(deduplicated(rows.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "60 days"), f"{folder}/out", f"{folder}/state")
     out = spark.read.schema(events.schema).parquet(f"{folder}/out")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query(
+    "mounted_collection",
+    """WITH c AS (SELECT o_orderkey AS id, o_custkey % 20 AS seg FROM orders), r AS (SELECT seg, 'a' AS collection FROM (SELECT DISTINCT seg FROM c) WHERE seg % 3 <> 0 UNION ALL SELECT seg, 'b' FROM (SELECT DISTINCT seg FROM c) WHERE seg < 12),
+m AS (SELECT collection, c.id, c.seg FROM r JOIN c ON c.seg = r.seg WHERE NOT (collection = 'b' AND c.seg IN (3, 4)))
+SELECT collection, count(*) AS chunks, CAST(count(*) FILTER (WHERE id % 11 <> 0) AS BIGINT) AS searched, CASE WHEN collection = 'a' THEN (SELECT count(*) FROM c WHERE seg % 3 = 0) ELSE 0 END AS orphans FROM m GROUP BY collection""",
+)
+def mounted_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection a is mounted by its revision and reconciled; b by its head without two segments, so it is not."""
+    from ..operators import store as S
+
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("segment_id"))
+    all_ = list(range(20))
+    heads = spark.createDataFrame([("a", "r1", all_), ("b", "none", [k for k in all_ if k < 12])], "collection string, revision string, segments array<bigint>")
+    revisions = spark.createDataFrame([("r1", [k for k in all_ if k % 3])], "revision string, segments array<bigint>")
+    refs = S.segment_refs(heads, revisions)
+    out = []
+    for name, skip in (("a", None), ("b", spark.createDataFrame([(3,), (4,)], "segment_id bigint"))):
+        rows, searched = S.mounted(chunks, refs.where(F.col("collection") == name), skip, chunks.where("id % 11 = 0"))
+        gone = S.reconciled(chunks.select("id"), rows, skip is not None)
+        counts = [rows.agg(F.count("*").alias("chunks")), searched.agg(F.count("*").alias("searched")), gone.agg(F.count("*").alias("orphans"))]
+        out.append(counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select(F.lit(name).alias("collection"), "*"))  # one row each
+    return out[0].unionByName(out[1])
+
+
+@query(
+    "layer_ids",
+    """WITH h AS (SELECT sha256(concat('{"source_id":', l_orderkey, ',"target_id":', l_partkey, ',"type":"references"}')) AS h FROM lineitem)
+SELECT sha256(concat_ws(':', 'c1', 'x1', count(*), sum(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)), sum(CAST(concat('0x', substr(h, 16, 15)) AS BIGINT)), sum(CAST(concat('0x', substr(h, 31, 15)) AS BIGINT)), sum(CAST(concat('0x', substr(h, 46, 15)) AS BIGINT)))) AS layer_id, count(*) AS edges FROM h""",
+)
+def layer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as S
+
+    edges = table(spark, sf_dir, "lineitem").select(F.lit("references").alias("type"), F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"))
+    return S.layer_id(edges, "c1", "x1")
+
+
+@query("chunker_routing", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'github-issue' WHEN doc_id % 7 < 2 OR doc_id % 5 = 1 THEN 'markdown' WHEN doc_id % 7 < 4 THEN 'hierarchical-code' ELSE 'code-window' END AS chunker FROM documents")
+def chunker_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import chunking
+
+    d = F.col("doc_id")
+    kind = F.when(d % 5 == 0, "github-pr").when(d % 5 == 1, "markdown").otherwise("code")
+    path = F.get(F.array(*map(F.lit, ("a/b.md", "README.MDX", "src/x.py", "y.TSX", "z.c", "Makefile"))), (d % 7).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.chunker_name(kind, path).alias("chunker"))
+
+
+@query("issue_contexts", r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('acme/r PR ', doc_id, ': ', coalesce(nullif(regexp_extract(concat('# ', text), '^#\s+(.+)', 1), ''), concat('acme/r#', doc_id)), chr(10), '---', chr(10)) WHEN 1 THEN concat('acme/r issue ', doc_id, ': acme/r#', doc_id, chr(10), 'Labels: a,b', chr(10), '---', chr(10))
+  ELSE concat('acme/r discussion ', doc_id, ': acme/r/discussions/', doc_id, chr(10), '---', chr(10)) END AS context FROM documents""")
+def issue_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import chunking
+
+    d = F.col("doc_id")
+    n = d.cast("string")
+    kind = F.when(d % 3 == 0, "github-pr").when(d % 3 == 1, "github-issue").otherwise("github-discussion")
+    source = F.when(d % 3 == 2, F.concat(F.lit("acme/r/discussions/"), n)).otherwise(F.concat(F.lit("acme/r#"), n))
+    content = F.when(d % 3 == 0, F.concat(F.lit("# "), "text")).otherwise(F.lit("no heading"))
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.issue_context(kind, source, n, content, F.when(d % 3 == 1, "a,b")).alias("context"))

@@ -111,3 +111,38 @@ def temporal_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops of the 30 days before 2024-02-13; the reference time is a parameter, never the clock."""
     rows = table(spark, sf_dir, "events").withColumn("d", F.when(F.col("event_id") % 4 != 0, F.col("ts"))).groupBy("user_id").agg(F.count("d").alias("dated"), F.count_if(F.col("d") >= F.lit("2024-01-14 00:00:00").cast("timestamp")).alias("recent"))
     return rows.withColumn("strength", F.round(T.recency(F.col("dated"), F.col("recent")), 6)).where("strength is not null")
+
+
+@query("chain_ranking", f"""WITH RECURSIVE {_HOPS}, p(query_id, leaf, above, kinds) AS (
+  SELECT query_id, hop_index, parent_hop_index, [source_type] FROM h WHERE NOT EXISTS (SELECT 1 FROM h c WHERE c.query_id = h.query_id AND c.parent_hop_index = h.hop_index)
+  UNION ALL SELECT p.query_id, p.leaf, u.parent_hop_index, list_concat([u.source_type], p.kinds) FROM p JOIN h u ON u.query_id = p.query_id AND u.hop_index = p.above)
+SELECT query_id, CAST(leaf AS INTEGER) AS leaf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY len(kinds) DESC, len(list_distinct(kinds)) DESC, leaf) AS INTEGER) AS place FROM p WHERE above < 0""")
+def chain_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.ranked_chains(T.lineage(_hops(spark, sf_dir))).select("query_id", "leaf", "place")
+
+
+def trace_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, chunks (vectors with their document's language and source) and edges: each vector cites two others, both ways."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source_type"), "source", F.to_timestamp(F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))).alias("ts"))
+    chunks = vectors.join(docs, "id").withColumn("ord", F.col("id"))
+    n = chunks.count()
+    both = F.array(F.struct(F.lit("references").alias("type"), ((F.col("id") * 7 + 3) % n).alias("to")), F.struct(F.lit("closes").alias("type"), ((F.col("id") * 13 + 5) % n).alias("to")))
+    cited = chunks.select("id", F.posexplode(both).alias("k", "x")).select("id", "x.type", "x.to", (F.col("id") * 2 + F.col("k")).alias("seq"))
+    forward = cited.select(F.col("id").alias("node"), F.col("to").alias("other"), "type", F.lit("forward").alias("direction"), "seq")
+    back = cited.select(F.col("to").alias("node"), F.col("id").alias("other"), "type", F.lit("reverse").alias("direction"), "seq")
+    edges = forward.unionByName(back).withColumns({"evidence": F.concat_ws(" ", "type", "other"), "confidence": F.lit(0.9)})
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return queries, chunks, edges
+
+
+@query("trace")
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, traced through all chunks; tests hold it against a plain walk."""
+    return T.trace(*trace_tables(spark, sf_dir), min_score=0.05, type_boosts={"en": 0.8}, diverse=True)
+
+
+@query("trace_insights")
+def trace_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hops = T.trace(*trace_tables(spark, sf_dir), min_score=0.05)
+    return T.insights(hops, F.lit("2024-01-10").cast("timestamp"))

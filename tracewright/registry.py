@@ -28,5 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("retrieval", "edges", "trace", "temporal", "text", "ingest", "evaluation", "statistics", "upkeep"):
+for _module in ("retrieval", "edges", "trace", "temporal", "text", "ingest", "evaluation", "statistics", "upkeep", "experiments"):
     importlib.import_module(f"tracewright.plans.{_module}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,10 +36,36 @@ def files(spark: SparkSession, path: str, repo: str, glob: str = "*", most: int
 
 def issues(spark: SparkSession, path: str, repo: str) -> DataFrame:
     """Issues (pull requests left out): title as a heading, then the body; the time is the last update."""
-    rows = spark.read.schema(_ISSUE).json(path).where("pull_request is null and number is not null")
-    key = F.concat(F.lit(f"{repo}#"), "number")
-    text = F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), F.nullif("body", F.lit("")))
-    return _identified(rows.select(text.alias("content"), F.lit("github-issue").alias("source_type"), key.alias("source"), F.coalesce("updated_at", "created_at").alias("ts_raw"), key.alias("document_id")))
+    return _threads(spark.read.schema(_ISSUE).json(path).where("pull_request is null"), "github-issue", F.concat(F.lit(f"{repo}#"), "number"))
+
+
+def _threads(rows: DataFrame, kind: str, key: Column, since: str | None = None) -> DataFrame:
+    time = F.coalesce(F.nullif("updated_at", F.lit("")), F.nullif("created_at", F.lit("")))
+    rows = rows.where(F.col("number").isNotNull() & ((F.coalesce("title", F.lit("")) != "") | (F.coalesce("body", F.lit("")) != "")))
+    rows = rows.where(F.to_timestamp(time) >= F.lit(since).cast("timestamp")) if since else rows
+    text = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
+    return _identified(rows.select(text.alias("content"), F.lit(kind).alias("source_type"), key.alias("source"), time.alias("ts_raw"), key.alias("document_id")))
+
+
+def pulls(spark: SparkSession, path: str, repo: str, since: str | None = None) -> DataFrame:
+    """Pull requests like issues; ``since`` is applied here, as their listing has no such filter."""
+    return _threads(spark.read.schema(_ISSUE).json(path), "github-pr", F.concat(F.lit(f"{repo}#"), "number"), since)
+
+
+def discussions(spark: SparkSession, path: str, repo: str) -> DataFrame:
+    """Discussions like issues; they are dated by their creation."""
+    rows = spark.read.schema("number long, title string, body string, createdAt string").json(path)
+    rows = rows.withColumns({"updated_at": F.lit(None).cast("string"), "created_at": F.col("createdAt")})
+    return _threads(rows, "github-discussion", F.concat(F.lit(f"{repo}/discussions/"), "number"))
+
+
+def review_comments(spark: SparkSession, path: str, repo: str, since: str | None = None) -> DataFrame:
+    """Comments on pull requests, each a document below its request; empty ones are left out."""
+    rows = spark.read.schema("id long, body string, created_at string, updated_at string, pull_request_url string").json(path).where("coalesce(body, '') <> ''")
+    time = F.coalesce(F.nullif("updated_at", F.lit("")), F.nullif("created_at", F.lit("")))
+    rows = rows.where(F.to_timestamp(time) >= F.lit(since).cast("timestamp")) if since else rows
+    key = F.concat(F.lit(f"{repo}#"), F.regexp_extract("pull_request_url", r"(\d+)$", 1), F.lit("/comment/"), "id")
+    return _identified(rows.select(F.col("body").alias("content"), F.lit("github-pr-comment").alias("source_type"), key.alias("source"), time.alias("ts_raw"), key.alias("document_id")))
 
 
 def _grouped(messages: DataFrame, kind: str) -> DataFrame:
@@ -92,4 +118,4 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 #: Adapters by source type.
-ADAPTERS: dict[str, Callable[..., DataFrame]] = {"repo": files, "github-issue": issues, "slack-message": slack, "discord-message": discord, "hn-story": stories, "doc-page": website}
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {"repo": files, "github-issue": issues, "github-pr": pulls, "github-pr-comment": review_comments, "github-discussion": discussions, "slack-message": slack, "discord-message": discord, "hn-story": stories, "doc-page": website}
