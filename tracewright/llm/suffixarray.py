@@ -34,8 +34,8 @@ from . import kernels as K
 from .common import checkpointed, grouped, mapped, partitions, sized
 
 GRAM = 26
-#: Bits of the tables of shared and of common anchors: their size is 2**BITS / 8 bytes each whatever the input.
-BITS = 27
+#: Bits of the table of shared anchors, whose size is 2**BITS / 8 bytes whatever the input, and how many fewer that of common ones has.
+BITS, FEWER = 28, 4
 #: An anchor is common if one map task's share holds it in MANY rows or SHARES such shares hold it.
 MANY, SHARES = 256, 1024
 #: Bytes of text for each bucket of anchors, and contexts refined at once.
@@ -142,8 +142,9 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, text: K.Text, length: int, q
 
 
 def _span(buckets: int, bits: int) -> int:
-    """Slots of the bit table that a bucket holds, a multiple of eight."""
-    return -(-(1 << bits) // (8 * buckets)) * 8
+    """Slots of the bit table that a bucket holds: whole bytes in the table of common anchors too."""
+    whole = 8 << FEWER
+    return -(-(1 << bits) // (whole * buckets)) * whole
 
 
 def _packed(h: np.ndarray) -> bytes:
@@ -211,12 +212,12 @@ def _shared(buckets: int, bits: int):
         held, h = np.diff(np.r_[start, len(h)]), h[start]
         bucket, span = table.column("bucket")[0].as_py(), _span(buckets, bits)
 
-        def part(hashes: list[np.ndarray]) -> pa.Array:
-            out = np.zeros(span, bool)
-            out[(np.concatenate(hashes) >> np.uint64(48 - bits)).astype(np.int64) - bucket * span] = True
+        def part(hashes: list[np.ndarray], fewer: int) -> pa.Array:
+            out = np.zeros(span >> fewer, bool)
+            out[((np.concatenate(hashes) >> np.uint64(48 - bits)).astype(np.int64) - bucket * span) >> fewer] = True
             return pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())
 
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "part": part([h[held > 1], *lists[1]]), "common": part([h[held >= SHARES], *lists[2]])})
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "part": part([h[held > 1], *lists[1]], 0), "common": part([h[held >= SHARES], *lists[2]], FEWER)})
 
     return run
 
@@ -303,7 +304,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int, q: int, bits: i
             if not len(doc):
                 continue
             c = _contexts(doc, at, h, data, offsets, length, q)
-            split = marked(common, slot)
+            split = marked(common, slot >> FEWER)
             for kind, (low, high) in enumerate(_ranges(length - q)):
                 of = np.flatnonzero(split if kind else ~split)
                 if len(of):
@@ -435,20 +436,23 @@ def _classes(length: int, q: int):
 def repeated_spans(documents: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, th, start, end): the maximal runs of bytes covered by windows that a document with a smaller id holds.
 
-    ``th`` is the text's xxhash64; it tells rows with the same doc_id apart.
+    ``th`` is the text's xxhash64 where some doc_id has several texts, which
+    it tells apart, and else 0, which costs nothing to send.
     """
     spark = documents.sparkSession
     q = min(GRAM, length // 2 + 1)
-    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("th")).where(F.octet_length("text") >= length)
-    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    rows = documents.select("doc_id", "text").where(F.octet_length("text") >= length)
+    ids = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    volume, several = ids.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count_if(F.col("a") != F.col("b"))).first()
+    rows = rows.withColumn("th", F.xxhash64("text") if several else F.lit(0).cast("long"))
     buckets = min(max(8, 4 * partitions(spark), volume // BUCKET), 1 << 17)
     hashed = mapped(rows.select("text"), _hashed(length, q, buckets, BITS), "bucket int, once binary, twice binary, many binary")
     parts = grouped(hashed, "bucket", _shared(buckets, BITS), "bucket int, part binary, common binary")
     span = _span(buckets, BITS) // 8
-    tables = bytearray(span * buckets), bytearray(span * buckets)
+    tables = bytearray(span * buckets), bytearray((span >> FEWER) * buckets)
     for row in parts.collect():  # the bit tables, whose size is fixed
-        for table, part in zip(tables, (row["part"], row["common"]), strict=True):
-            table[row["bucket"] * span : (row["bucket"] + 1) * span] = part
+        for table, part, size in zip(tables, (row["part"], row["common"]), (span, span >> FEWER), strict=True):
+            table[row["bucket"] * size : (row["bucket"] + 1) * size] = part
     how = (length, q, BITS, spark.sparkContext.broadcast(tuple(map(bytes, tables))))
     distinct = mapped(rows, _distinct(*how, buckets), "bucket int, size long, contexts binary")
     classes = grouped(distinct, "bucket", _classes(length, q), "n1 long, n2 long, low short, high short, least long")
@@ -499,8 +503,8 @@ def _with_spans(documents: DataFrame, length: int, row: Column) -> DataFrame:
     """row, n_bytes, n_removed, n_spans, kept_sha256, kept_text and spans of each row of ``documents``."""
     spans = repeated_spans(documents, length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = checkpointed(spans.select(F.struct("doc_id", "th").alias("of"), "spans"))
-    total = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"]
-    rows = documents.select(row.alias("row"), "text", F.struct("doc_id", F.xxhash64("text").alias("th")).alias("own"))
+    total, told = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)), F.coalesce(F.bool_or(F.col("of.th") != 0), F.lit(False))).first()
+    rows = documents.select(row.alias("row"), "text", F.struct("doc_id", (F.xxhash64("text") if told else F.lit(0).cast("long")).alias("th")).alias("own"))
     rows = rows.join(sized(spans, total, 2_000_000), F.col("own") == F.col("of"), "left").select("row", "text", "spans")
     made = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start:int,end:int>>")
     return mapped(rows, _cut, StructType([rows.schema["row"], *made]))
