@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..session import importable
+from ..session import checkpointed, importable
 
 THRESHOLD = 0.72
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = 8) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = 4096) -> DataFrame:
     """(a, b, score): pairs a < b of (id, embedding) with cosine of at least ``threshold``.
 
-    Rows are dealt to blocks; a task multiplies two blocks and emits only the
-    pairs over the threshold. Quadratic in the number of vectors by nature.
+    Rows are dealt to blocks of some ``block`` vectors; a task multiplies two
+    blocks and emits only the pairs over the threshold. Quadratic in the
+    number of vectors by nature.
     """
     importable(vectors.sparkSession)
+    blocks = max(1, -(-vectors.count() // block))
     dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("block <= other").select(F.col("block").alias("x"), F.col("other").alias("y"), F.lit(True).alias("left"), "id", "embedding")
     right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("other <= block").select(F.col("other").alias("x"), F.col("block").alias("y"), F.lit(False).alias("left"), "id", "embedding")
@@ -41,21 +43,36 @@ def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int
 def greedy(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, cluster): in order of id each free vector takes all later free ones that are similar to it; singletons are noise (null).
 
-    The order makes the last step sequential: it runs in one task over the
-    sparse pairs, whose number the caller bounds by the threshold.
+    The same result in rounds: a vector is a head once all smaller ones that
+    are similar to it are taken, and heads take what is similar to them. A
+    taken vector belongs to its smallest head. Clusters are numbered in order
+    of their heads. The rounds are as many as the longest chain of decisions
+    that wait for each other, on most data a few.
     """
+    pairs = checkpointed(similar_pairs(vectors, threshold).select("a", "b"))
+    left, heads = pairs, vectors.select(F.col("id").alias("a")).limit(0)
+    open_ = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    while not open_.isEmpty():
+        new = checkpointed(open_.join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
+        taken = left.join(new.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        heads = heads.union(new.select("id"))
+        open_ = checkpointed(open_.join(new, "id", "left_anti").join(taken, "id", "left_anti"))
+        free = open_.select("id")
+        left = checkpointed(left.join(free.withColumnRenamed("id", "a"), "a", "left_semi").join(free.withColumnRenamed("id", "b"), "b", "left_semi"))
+    heads = checkpointed(heads)
+    members = checkpointed(pairs.join(heads, "a", "left_semi").join(heads.withColumnRenamed("a", "b"), "b", "left_anti").groupBy("b").agg(F.min("a").alias("head")))
+    numbers = numbered(members.select("head").distinct(), "head")
+    found = members.select(F.col("b").alias("id"), "head").union(members.select("head", "head").distinct()).join(numbers, "head").select("id", F.col("number").alias("cluster"))
+    return vectors.select("id").join(found, "id", "left")
 
-    def run(pairs: pd.DataFrame) -> pd.DataFrame:
-        later: dict[int, list[int]] = {}
-        for a, b in pairs[["a", "b"]].sort_values(["a", "b"]).itertuples(index=False):
-            later.setdefault(int(a), []).append(int(b))
-        taken: dict[int, int] = {}
-        n = 0
-        for a in sorted(later):
-            if a not in taken and (free := [b for b in later[a] if b not in taken]):
-                taken |= dict.fromkeys([a, *free], n)
-                n += 1
-        return pd.DataFrame({"id": list(taken), "cluster": list(taken.values())})
-
-    clusters = similar_pairs(vectors, threshold).groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: run(pdf), "id long, cluster long")
-    return vectors.select("id").join(clusters, "id", "left")
+
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with their ``number`` from 0 in order of a column, by ranges: no task sorts them all."""
+    ranged = checkpointed(rows.repartitionByRange(F.col(column)).withColumn("part", F.spark_partition_id()))
+    before, offsets = 0, []
+    for part, n in sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    first = rows.sparkSession.createDataFrame(offsets, "part int, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(column))
+    return ranged.withColumn("place", place).join(F.broadcast(first), "part").select(*rows.columns, (F.col("before") + F.col("place") - 1).alias("number"))  # a row for each partition

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
-from ..registry import query, table
+from ..registry import ORACLE_SQL, query, table
 
 #: Derived text, the same on both sides.
 CONTENT = (
@@ -64,13 +64,18 @@ def heuristic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.heuristic_edges(derived_chunks(spark, sf_dir)).select("source_id", "target_type", "target_id", "confidence")
 
 
-@query("composite_edges")
+@query(
+    "composite_edges",
+    f"""WITH r AS ({ORACLE_SQL["regex_edges"]}), h AS ({ORACLE_SQL["heuristic_edges"]}),
+e AS (SELECT type, source_id, 'issue' AS target_type, target_id, confidence, 'regex' AS x FROM r UNION ALL SELECT 'references', source_id, target_type, target_id, confidence, 'heuristic' FROM h)
+SELECT type, source_id, target_type, target_id, round(least(1.0, max(confidence) + 0.05 * (count(DISTINCT x) - 1)), 4)::DOUBLE AS confidence, string_agg(DISTINCT x, ',' ORDER BY x DESC) AS provenance FROM e GROUP BY type, source_id, target_type, target_id""",
+)
 def composite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = derived_chunks(spark, sf_dir)
     parts = [E.regex_edges(chunks).withColumn("extractor", F.lit("regex")), E.heuristic_edges(chunks).withColumn("extractor", F.lit("heuristic"))]
     parts = [p.withColumn("seq", F.struct(F.col("source_id").alias("ord"), F.lit(i).alias("extractor"), F.col("seq").alias("place"))) for i, p in enumerate(parts)]
     out = E.composite_edges(parts, table(spark, sf_dir, "documents").count())
-    return out.select("type", "source_id", "target_type", "target_id", F.round("confidence", 4).alias("confidence"), F.array_join("provenance", ",").alias("provenance"), "evidence")
+    return out.select("type", "source_id", "target_type", "target_id", F.round("confidence", 4).alias("confidence"), F.array_join("provenance", ",").alias("provenance"))
 
 
 def _line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,16 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(unit, ",").alias("unit"))
 
 
-@query("greedy_clusters")
+@query(
+    "greedy_clusters",
+    """WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3),
+l AS MATERIALIZED (SELECT a, list(b) AS bs FROM p GROUP BY a), o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS head, []::BIGINT[] AS got UNION ALL
+  SELECT i, done, id, CASE WHEN list_contains(done, id) THEN [] ELSE list_filter(bs, lambda b: NOT list_contains(done, b)) END FROM (SELECT o.i, o.id, list_concat(s.taken, s.got) AS done, coalesce(l.bs, []) AS bs FROM s JOIN o ON o.i = s.i + 1 LEFT JOIN l ON l.a = o.id) x),
+c AS (SELECT head, got, row_number() OVER (ORDER BY head) - 1 AS cluster FROM s WHERE len(got) > 0),
+m AS (SELECT head AS id, cluster FROM c UNION ALL SELECT unnest(got), cluster FROM c)
+SELECT e.vec_id AS id, m.cluster FROM embeddings e LEFT JOIN m ON m.id = e.vec_id""",
+)
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.cluster import greedy
 
