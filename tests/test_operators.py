@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
 from tracewright.functions.vectors import cosine, hash_embedding
-from tracewright.operators import chunking, cluster, edges, ingest, retrieval, store, temporal, trace
+from tracewright.operators import chunking, cluster, edges, ingest, jobs, retrieval, store, temporal, trace
 from tracewright.operators import edges as E
 
 
@@ -307,3 +307,38 @@ def test_evidence_chains_read_every_event(spark):
     assert hops.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 15
     later = registry.QUERIES["evidence_chains"](spark, SF).where("query_id not like '%-0'")
     assert later.count() > 0
+
+
+def test_published_stops_at_a_wrong_checksum(spark):
+    rows = spark.createDataFrame([("segment", "a", b"x", None), ("raw-source-blob", "b", b"y", "0" * 64)], "kind string, id string, content binary, recorded string")
+    addresses = spark.createDataFrame([("a", "c1"), ("b", "c2")], "id string, address string")
+    assert jobs.published(rows.where("id = 'a'"), addresses).first().address == "c1"
+    for wrong in (jobs.published(rows, addresses), jobs.published(rows.where("id = 'a'"), addresses.where("id = 'b'"))):
+        with pytest.raises(Exception, match="checksum of b|no address for a"):
+            wrong.collect()
+
+
+def test_phases_are_guarded(spark, tmp_path):
+    path = f"file://{tmp_path}/phase.json"
+    assert jobs.read_phase(spark, path, "search", "f1") is None
+    (tmp_path / "phase.json").write_text(json.dumps({"schemaVersion": 1, "phase": "search", "runConfigFingerprint": "f1", "x": 3}, indent=1))
+    assert jobs.read_phase(spark, path, "search", "f1")["x"] == 3
+    for phase, print_ in (("themes", "f1"), ("search", "f2")):
+        with pytest.raises(jobs.Mismatch):
+            jobs.read_phase(spark, path, phase, print_)
+
+
+def test_stages(spark):
+    row = lambda v: lambda: spark.createDataFrame([(v,)], "verdict string")
+    stages = [("ingest", row("pass")), ("storage", row("warn")), ("search", row("fail"))]
+    assert jobs.staged(stages) == ([("ingest", "pass"), ("storage", "warn"), ("search", "fail")], "fail")
+    assert jobs.staged(stages, frozenset(["search"])) == ([("ingest", "pass"), ("storage", "warn"), ("search", "skipped")], "warn")
+
+
+def test_a_flushed_batch(spark):
+    batch = spark.createDataFrame([(1, "fixes acme/x#7 broken", "github-issue", "acme/r#1", "2024-01-01", None, "s1"), (2, "see #3", "slack-message", "#dev", "2024-01-02", None, "s1")], "id long, content string, source_type string, source string, ts_raw string, repo string, segment_id string")
+    parts = [p.withColumns({"extractor": F.lit(n), "seq": F.struct(F.col("source_id").alias("ord"), F.lit(i).alias("e"), F.col("seq").alias("place"))}) for i, (n, p) in enumerate((("regex", E.regex_edges(batch)), ("heuristic", E.heuristic_edges(batch))))]
+    stored, merged, summary = jobs.flushed(batch, parts, lambda c: hash_embedding(c, 3))
+    assert {r.id: dict(r.signal_scores) for r in stored.collect()} == {1: {"pain": 20}, 2: {}}
+    assert {(r.type, r.target_id) for r in merged.collect()} == {("closes", "acme/x#7"), ("references", "acme/r#3")}
+    assert summary.first().chunks == 2

@@ -165,6 +165,6 @@ def issue_context(source_type: Column, source: Column, number: Column, content:
 
 def oversized(chunks: DataFrame, most: int = 4000) -> DataFrame:
     """Chunks of more than ``most`` characters cut in windows that keep the parent's id; the others as they are."""
-    small = chunks.where(F.length("content") <= most).select("id", F.lit(None).cast("string").alias("parent_id"), "content")
+    small = chunks.where(F.length("content") <= most).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent_id"), "content")
     big = windows(chunks.where(F.length("content") > most), most, 0)
     return small.unionByName(big.select(F.sha2(F.concat_ws(":", "id", "chunk_index", "content"), 256).alias("id"), F.col("id").cast("string").alias("parent_id"), "content"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import sized
+from ..session import checkpointed, sized
 
 
 def bootstrap_deltas(pairs: DataFrame, iterations: int) -> DataFrame:
@@ -47,19 +47,35 @@ def pareto(rows: DataFrame, key: str, quality: str, *costs: str) -> DataFrame:
     return rows.join(beaten, key, "left").withColumn("dominators", F.coalesce("dominators", F.lit(0)))
 
 
+def positions(rows: DataFrame, value: str, *by: str, ranges: int = 64) -> DataFrame:
+    """``rows`` with ``_i`` (place from 1 within ``by`` in rising order of a value) and ``_n`` (how many the group has).
+
+    A group is cut at its approximate quantiles; rows are ranked within a
+    range and ranges are added up from a small table, so no task sorts a
+    whole group. Rows without a value have none of both and are left out.
+    """
+    rows = rows.where(F.col(value).isNotNull()).withColumn("_key", F.struct(*by) if by else F.lit(0))
+    quantiles = [i / ranges for i in range(1, ranges)]
+    cuts = checkpointed(rows.groupBy("_key").agg(F.percentile_approx(value, quantiles, 10 * ranges).alias("_cuts"), F.count("*").alias("_n")))
+    dealt = rows.join(sized(cuts), "_key").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sizes = dealt.groupBy("_key", "_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = checkpointed(sizes.select("_key", "_range", before.alias("_before")))
+    place = F.row_number().over(Window.partitionBy("_key", "_range").orderBy(value))
+    return dealt.join(sized(starts), ["_key", "_range"]).withColumn("_i", F.col("_before") + place).drop("_key", "_range", "_before")
+
+
 def gini(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """sum((2i - n - 1) x) / (n sum x) over values in rising order."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    ranked = positions(rows, value, *by)
     return ranked.groupBy(*by).agg((F.sum((2 * F.col("_i") - F.col("_n") - 1) * F.col(value)) / F.nullif(F.max("_n") * F.sum(value), F.lit(0))).alias("gini"))
 
 
 def trimmed_mean(rows: DataFrame, value: str, share: float, *by: str) -> DataFrame:
     """The mean without floor(share * n) rows at each end."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
+    ranked = positions(rows, value, *by)
     cut = F.floor(F.col("_n") * share)
-    return ranked.where((F.col("_i") >= cut) & (F.col("_i") < F.col("_n") - cut)).groupBy(*by).agg(F.avg(value).alias("trimmed"))
+    return ranked.where((F.col("_i") > cut) & (F.col("_i") <= F.col("_n") - cut)).groupBy(*by).agg(F.avg(value).alias("trimmed"))
 
 
 def stratified(rows: DataFrame, key: str, n: int, *by: str) -> DataFrame:

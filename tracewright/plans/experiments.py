@@ -215,3 +215,80 @@ def _resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def storage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("storage_id"), F.col("l_orderkey").alias("document_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     return E.documents_of(rows)
+
+
+@query(
+    "reindexed_chunks",
+    """WITH d AS (SELECT doc_id, text, doc_id % 3 <> 0 AS has FROM documents), s AS (SELECT doc_id, text, length(text) <= 3000 AS short, has FROM d),
+w AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 0, 1), 3000)) AS o FROM s WHERE NOT short)
+SELECT CAST(doc_id AS VARCHAR) AS id, NULL AS parent_id, length(text) AS n, has AS preserved FROM s WHERE short
+UNION ALL SELECT sha256(concat_ws(':', doc_id, o // 3000, substr(text, o + 1, 3000))), CAST(doc_id AS VARCHAR), length(substr(text, o + 1, 3000)), FALSE FROM w WHERE regexp_matches(substr(text, o + 1, 3000), '\\S')""",
+)
+def reindexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.vectors import hash_embedding
+    from ..operators import jobs
+
+    vector = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit(1.0).cast("float")))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), vector.alias("embedding"))
+    out = jobs.reindexed(chunks, True, lambda c: hash_embedding(F.substring(c, 1, 64), 4), 3000)
+    return out.select("id", "parent_id", F.length("content").cast("long").alias("n"), "preserved")
+
+
+@query("segmented_chunks", "WITH s AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 37 AS segment FROM documents) SELECT segment, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM s GROUP BY segment")
+def segmented_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import jobs
+
+    rows = jobs.segmented(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 37)
+    return rows.groupBy("segment").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+@query("published_refs", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'segment' ELSE 'raw-source-blob' END AS kind, concat('a', doc_id) AS id, concat('cid', doc_id) AS address, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents")
+def published_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import jobs
+
+    docs = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 2 == 0, "segment").otherwise("raw-source-blob")
+    artifacts = docs.select(kind.alias("kind"), F.concat(F.lit("a"), "doc_id").alias("id"), F.col("text").cast("binary").alias("content"), F.sha2("text", 256).alias("recorded"))
+    return jobs.published(artifacts, docs.select(F.concat(F.lit("a"), "doc_id").alias("id"), F.concat(F.lit("cid"), "doc_id").alias("address")))
+
+
+@query(
+    "reingested_chunks",
+    """WITH b AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS document_id, CASE WHEN conv_id % 2 = 0 THEN concat('u', conv_id) ELSE 'f' END AS ts, CASE WHEN conv_id % 2 = 0 THEN 'updated' ELSE 'ingested' END AS timestamp_kind, CASE WHEN conv_id % 4 < 2 THEN 'own' ELSE 'old' END AS author FROM b""",
+)
+def reingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived conversations cut anew: one row for each document that gave chunks, with its date and completed metadata."""
+    from ..operators import jobs
+
+    c = F.col("conv_id")
+    texts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    updated = F.when(c % 2 == 0, F.concat(F.lit("u"), c)).otherwise("")
+    own = F.create_map(F.lit("author"), F.lit("own"), F.lit("updated"), updated)
+    archive = texts.select(c.cast("string").alias("document_id"), F.lit("v1").alias("version"), F.lit("a.md").alias("path"), F.lit("github-issue").alias("source_type"), F.when(c % 4 < 2, own).alias("metadata"), F.lit("f").alias("fetched"), "content")
+    old = texts.select(c.cast("string").alias("document_id"), F.lit(0).alias("ord"), F.create_map(F.lit("author"), F.lit("old"), F.lit("updated"), updated).alias("metadata"))
+    out = jobs.reingested(archive, old)
+    return out.select("document_id", "ts", "timestamp_kind", F.element_at("metadata", "author").alias("author")).distinct()
+
+
+@query(
+    "planned_samples",
+    """WITH RECURSIVE s AS (SELECT lang AS source_type, source AS query_type, count(*) AS artifacts FROM documents WHERE lang <> 'es' GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY artifacts DESC, source_type, query_type) AS k FROM s),
+c AS (SELECT lang AS source_type, doc_id AS artifact, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM documents WHERE lang <> 'de'), n AS (SELECT source_type, count(*) AS n FROM c GROUP BY source_type),
+p AS (SELECT o.source_type, o.query_type, o.artifacts, n.n, row_number() OVER (ORDER BY o.k) AS k FROM o JOIN n ON n.source_type = o.source_type),
+g AS (SELECT 1 AS k, CAST((1 * 9301 + 49297) % 233280 AS BIGINT) AS x UNION ALL SELECT k + 1, (x * 9301 + 49297) % 233280 FROM g WHERE k < 200),
+d AS (SELECT p.source_type, p.query_type, p.k, CAST(floor(g.x / 233280 * p.n) AS BIGINT) % p.n AS place FROM p JOIN g ON g.k = p.k),
+t AS (SELECT d.*, c.artifact FROM d JOIN c ON c.source_type = d.source_type AND c.place = d.place WHERE d.query_type NOT IN ('src1', 'src2'))
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS place, source_type, query_type, artifact FROM t QUALIFY row_number() OVER (ORDER BY k) <= 15""",
+)
+def planned_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    from ..operators import jobs
+
+    docs = table(spark, sf_dir, "documents")
+    strata = docs.where("lang <> 'es'").groupBy(F.col("lang").alias("source_type"), F.col("source").alias("query_type")).agg(F.count("*").alias("artifacts")).withColumn("ord", F.struct("source_type", "query_type"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
+    candidates = docs.where("lang <> 'de'").select(F.col("lang").alias("source_type"), place.cast("long").alias("place"), F.col("doc_id").alias("artifact"))
+    templates = strata.where("query_type NOT IN ('src1', 'src2')").select("source_type", "query_type", F.lit("t").alias("template"))
+    return jobs.planned(strata, candidates, templates, 5).drop("template")
