@@ -84,6 +84,11 @@ def test_op4_equals_sql(agree):
     agree(queries.QUERIES["op4_near_dedup"], queries.OP4_SQL)
 
 
+@pytest.mark.parametrize("name", ["op9_suffix_array", "lm_base_scores", "edited_texts"])
+def test_equals_sql(agree, name):
+    agree(queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -117,6 +122,14 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_joined_components(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(70)]
+    frame = lambda p: spark.createDataFrame(p, "u long, v long")
+    got = dict(map(tuple, neardup.joined(components.components(frame(pairs[:40])), frame(pairs[40:])).collect()))
+    assert got == dict(map(tuple, components.components(frame(pairs)).collect()))
+
+
 def brute_removed(docs, length):
     first = {}
     for d, t in docs:

@@ -94,6 +94,57 @@ def test_long_text(spark):
         assert 0 <= both[5000] <= 1
 
 
+def test_ftrl_equals_the_update_by_hand(monkeypatch):
+    """Each coordinate's own rate and soft threshold, one feature at a time."""
+    monkeypatch.setattr(toxicity, "L1", 0.5)
+    rng = random.Random(9)
+    x = [sorted(rng.sample(range(40), rng.randint(1, 8))) for _ in range(60)]
+    y = [int(3 in e or rng.random() < 0.2) for e in x]
+    z, n, bz, bn = [0.0] * 64, [0.0] * 64, 0.0, 0.0
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((b + math.sqrt(n[k])) / a + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(x)):
+            w = {i: weight(i) for i in x[k]}
+            bias = -bz / ((b + math.sqrt(bn)) / a)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y[k]
+            for i in x[k]:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a * w[i]
+                n[i] += g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / a * bias
+            bn += g * g
+    at, got, bias = toxicity.ftrl([np.array(e) for e in x], y, bits=6, epochs=2)
+    assert list(at) == [i for i in range(64) if abs(z[i]) > l1]
+    assert list(got) == pytest.approx([weight(i) for i in at])
+    assert bias == pytest.approx(-bz / ((b + math.sqrt(bn)) / a))
+
+
+def test_bradley_terry_ranks_and_cuts():
+    """Better ones score higher, the loss is near its least value, and no other quantile divides the labels better."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(300) < 0.4).astype(int)
+    x = rng.normal(size=(300, 4)) + np.outer(y, [2.0, 0.0, -1.0, 0.0])
+    w, cut, scale = quality.bradley_terry(x, y)
+    s = x @ w
+    assert w[0] > 0 > w[2] and scale > 0
+    right = lambda c: (s[y == 1] >= c).mean() + (s[y == 0] < c).mean()
+    assert right(cut) >= max(right(c) for c in s) - 0.02
+    good, bad = s[y == 1], s[y == 0]
+
+    def loss(v):
+        d = (x[y == 1] @ v)[:, None] - (x[y == 0] @ v)[None, :]
+        return np.log1p(np.exp(-d)).mean() + quality.RIDGE / 2 * ((v * (x.std(0) + 1e-6)) ** 2).sum()
+
+    assert (good[:, None] > bad[None, :]).mean() > 0.9
+    for k in range(4):  # a step in any direction does not help
+        for step in (-0.2, 0.2):
+            assert loss(w + step * np.eye(4)[k]) > loss(w) - 2e-3
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(0)
     x = [np.unique(np.r_[rng.integers(10, 5000, 30), 3 if i % 2 else 4]) for i in range(200)]
@@ -146,6 +197,16 @@ def test_class_model_is_a_distribution_and_beats_the_base(spark):
     assert brown.score(d.limit(0), F.lit(True)).count() == 0
 
 
+def test_more_equal_words_than_may_be_frequent(spark, monkeypatch):
+    """Every word once: some are frequent nonetheless, and all are counted."""
+    monkeypatch.setattr(brown, "FREQUENT", 10)
+    monkeypatch.setattr(brown, "M", 4)
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(20)], "doc_id long, text string")
+    rows = brown.score(docs, F.lit(True)).collect()
+    want = 3 * math.log10(1.1 / (80 + 0.1 * 62)) + math.log10(20.1 / (80 + 0.1 * 62))
+    assert all(r.base_score == pytest.approx(want) and r.n_known == 4 and r.score < 0 for r in rows)
+
+
 @pytest.mark.parametrize("frequent", [10, 10_000])
 def test_rare_words_have_the_class_of_their_neighbours(spark, monkeypatch, frequent):
     monkeypatch.setattr(brown, "FREQUENT", frequent)
@@ -430,6 +491,16 @@ def test_many_rows_without_a_turn(spark, monkeypatch):
     assert Counter((r.conv_id, r.text) for r in out) == Counter((c, t) for c, _, t in rows)
 
 
+def test_raw_transcripts(spark):
+    """Rendered turns in several notations come back with their roles and texts."""
+    model = chat.train(spark.read.parquet(f"{SF}/conversations.parquet"))
+    raw = [(1, "User: How do I\nsort it?\nAssistant: Call sort.\nUser: Thanks"), (2, "### System\nBe brief.\n### Human\nhi?\n### Assistant\nhello"), (3, None), (4, "no marker at all"), (5, "[user] a\n[assistant] b")]
+    rows = chat.from_transcripts(spark.createDataFrame(raw, "conv_id long, text string"), model).orderBy("conv_id", "turn").collect()
+    assert [(r.conv_id, r.role) for r in rows if r.conv_id != 4] == [(1, "user"), (1, "assistant"), (1, "user"), (2, "system"), (2, "user"), (2, "assistant"), (5, "user"), (5, "assistant")]
+    assert rows[0].rendered == "<|user|>\nHow do I\nsort it?\n<|end|>"
+    assert [r.conv_id for r in rows].count(4) == 1
+
+
 def test_markers_decide(spark):
     d = spark.createDataFrame([(1, 0, "user", "Assistant: hello there"), (1, 1, "user", "User: hi")], "conv_id long, turn long, role string, text string")
     model = chat.train(spark.read.parquet(f"{SF}/conversations.parquet"))
@@ -443,6 +514,8 @@ def test_markers_decide(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_whole_tables(spark, name):
     rows = queries.QUERIES[name](spark, SF).count()
+    if not name.startswith("op"):
+        return  # held against SQL
     tables = {"op6_html_extraction": "pages", "op7_chat_format": "conversations"}
     assert rows == spark.read.parquet(f"{SF}/{tables.get(name, 'documents')}.parquet").count()
 

@@ -252,7 +252,11 @@ def score(documents: DataFrame, allowed: Column) -> DataFrame:
         if sizes[s] > room:
             break
         least, room = s, room - sizes[s]
-    top = words.where(step >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    common = step >= least
+    if sizes and least > max(sizes):  # more words than FREQUENT share the highest step: the first ones by count and hash
+        edge = words.orderBy(F.col("c").desc(), "h").limit(FREQUENT).agg(F.min(F.struct("c", (-F.col("h")).alias("h"))).alias("x")).first()["x"]
+        common = (F.col("c") > edge["c"]) | ((F.col("c") == edge["c"]) & (F.col("h") <= -edge["h"]))
+    top = words.where(common).toPandas().sort_values(["c", "h"], ascending=[False, True])
     top_h, top_c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     # The M commonest by exchange; all other words are one unit meanwhile.
     m = min(M, len(top_h))
@@ -266,7 +270,7 @@ def score(documents: DataFrame, allowed: Column) -> DataFrame:
         found = assigned(texts, Known(np.r_[top_h[:m], END], np.r_[top_cls, 0], k), member.T @ pairs @ member, np.sort(top_h[m:])).toPandas()
         top_cls = np.r_[top_cls, found.set_index("h")["cls"].reindex(top_h[m:]).to_numpy(np.int64)]
     known = Known(np.r_[top_h, END], np.r_[top_cls, 0], k)
-    tail = words.where(step < least)
+    tail = words.where(~common)
     if distinct - (n_end > 0) > len(top_h):
         tail = tail.join(assigned(texts, known, bigrams(texts, known, k + 1)), "h")
     else:

@@ -192,6 +192,12 @@ def parse_transcript(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\n(?=" + (_MARKER % names).removeprefix("^") + ")"), lambda x: F.trim(x) != "")
 
 
+def from_transcripts(raw: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """``recovered`` over the turns of raw transcripts (conv_id, text): cut at speaker markers, numbered from 0. A text without markers is one turn, a blank one none."""
+    turns = raw.select("conv_id", F.posexplode(parse_transcript(F.col("text"))).alias("turn", "text"))
+    return recovered(turns.withColumn("turn", F.col("turn").cast("long")), model)
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """``recovered`` with a model counted over the conversations whose crc32(conv_id) mod 5 is not 0."""
     return recovered(turns, train(turns, remainder("conv_id", 5) != 0))

@@ -187,15 +187,23 @@ def links(nodes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataF
     star = spread(large.select("band", F.col("node").alias("u")), pivots, ["band"], hot, "u").where("u != v").select("u", "v")
 
     sets = _sets_of(nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), documents, k)
-    found = checkpointed(_verified(checkpointed(pairs.union(star).distinct()), sets, percent))
-    labels = checkpointed(components(found))
+    labels = checkpointed(components(_verified(checkpointed(pairs.union(star).distinct()), sets, percent)))
     now = checkpointed(large.select("band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     split = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     rest = checkpointed(spread(now, split, ["band"], hot, "node").select("node", "component").distinct())
     if rest.isEmpty():
         return labels
     new = checkpointed(_verified(checkpointed(_prefix_pairs(rest, sets, percent)), sets, percent))
-    return labels if new.isEmpty() else checkpointed(components(found.union(new)))
+    return labels if new.isEmpty() else joined(labels, new)
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after further ``links`` (u, v): only the components that these touch are joined again."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    tops = checkpointed(components(between))
+    moved = labels.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return checkpointed(moved.union(tops.join(labels, "node", "left_anti").select("node", "component")))
 
 
 def _classes(rows: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import brown, chat, decontam, html, neardup, orderminhash, pieces, quality, suffixarray, toxicity
 from .common import remainder, table
@@ -58,6 +59,17 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express."""
+    out = op5_brown_lm(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    return op10_order_minhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -69,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_array": op9_suffix_array,
     "op10_order_minhash": op10_order_minhash,
+    "lm_base_scores": lm_base_scores,
+    "edited_texts": edited_texts,
 }
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,4 +124,37 @@ SELECT d.doc_id, CAST(coalesce(len(s.g), 0) AS BIGINT) AS n_shingles, l.c AS com
 FROM d JOIN least_of l ON l.u = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL}
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, o, substr(h, 2 * o + 1, 498) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 200)) AS o FROM d WHERE len(h) >= 100)),
+w AS (SELECT doc_id, o + i AS i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, o, h, unnest(range(0, least(len(h) // 2 - 49, 200))) AS i FROM k)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN m ON m.s = w.s WHERE m.least < w.doc_id),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, k),
+piece AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+kept AS (SELECT d.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS s, sum(b - a) AS gone, count(*) AS n, max(b) AS last FROM piece JOIN d ON d.doc_id = piece.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE concat(s, substr(h, 2 * last + 1)) END)) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+#: crc32 of a doc_id's digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [1000 + ord(c), 0, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda s, x: CASE WHEN x > 0 THEN xor(s, x - 1000) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295::BIGINT)"""
+
+BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, list_append(regexp_extract_all(coalesce({_FOLD}, ''), '[^\x20\x09-\x0D]+'), NULL) AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS t FROM d),
+c AS (SELECT t, count(*) AS c FROM t WHERE NOT held_out GROUP BY t), s AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT t.doc_id, any_value(t.held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(s.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1) / (s.n + 0.1 * (s.v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c ON c.t IS NOT DISTINCT FROM t.t, s GROUP BY t.doc_id
+"""
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first(text) OVER (ORDER BY doc_id DESC)) AS next FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(concat(substr(text, 1, n - n // 3), substr(next, 1, n // 3))) AS edited_sha256 FROM o
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL, "op9_suffix_array": OP9_SQL, "lm_base_scores": BASE_SQL, "edited_texts": EDITED_SQL}
