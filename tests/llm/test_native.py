@@ -124,6 +124,69 @@ def test_occurrences_count(spark):
     assert len({r.fingerprint for r in rows}) == 2
 
 
+def spark_hash64(*values):
+    """The engine's 64-bit hash of a row: each value is the next one's seed, nulls are passed over."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def spark_hash32(*longs):
+    """The engine's 32-bit hash (Murmur3) of longs, as unsigned."""
+    rotl = lambda x, r: ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
+    h = 42
+    for v in longs:
+        for part in (v & 0xFFFFFFFF, (v >> 32) & 0xFFFFFFFF):
+            k = rotl(part * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+            h = (rotl(h ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+        h ^= 8
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> shift)) * factor & 0xFFFFFFFF
+        h ^= h >> 16
+    return h
+
+
+def brute_fingerprint(text):
+    """Numbered k-mers on the circle, one point after the other."""
+    w = re.findall(r"[^\x20\x09-\x0D]{1,24}", text or "")
+    if not w:
+        return "0" * 512
+    found, seen = [], {}
+    for i in range(max(len(w) - 2, 1)):
+        kmer = spark_hash64(*(w[i : i + 3])) >> 24
+        seen[kmer] = seen.get(kmer, -1) + 1
+        found.append((spark_hash64((kmer, 8), (seen[kmer], 4)) >> 24, i))
+    found.sort()
+    out = ""
+    for point in range(-32, 32):
+        at = next((k for k, (h, _) in enumerate(found) if h >> 34 >= point), 0)
+        x, y = found[at], found[(at + 1) % len(found)]
+        first, second = (x, y) if x[1] <= y[1] else (y, x)
+        out += f"{spark_hash32(first[0], second[0]):08x}"
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    texts = ["", "one", "two words", "a b c a b c a b c", "é ü  ß\t\n x", "x" * 60] + [" ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(rng.randint(3, 200))) for _ in range(25)]
+    docs = list(enumerate(texts))
+    rows = {r.doc_id: r for r in orderminhash.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    like = lambda a, b: 1.0 if a == b else sum(a[k : k + 8] == b[k : k + 8] for k in range(0, 512, 8)) / 64
+    for i, t in docs:
+        nxt = texts[(i - 1) % len(texts)]
+        n = len(t) // 3
+        own, changed = brute_fingerprint(t), brute_fingerprint(t[: len(t) - n] + nxt[:n])
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (own, changed)
+        assert (rows[i].near_edited, rows[i].near_next) == (like(own, changed), like(own, brute_fingerprint(nxt)))
+
+
 def test_fingerprint_edge_cases(spark):
     docs = [(1, ""), (2, None), (3, "   "), (4, "one"), (4, "one"), (None, "x"), (None, "y")]
     rows = orderminhash.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()

@@ -243,7 +243,7 @@ def _mixed(rows: np.ndarray, seed: int, *more: np.ndarray) -> np.ndarray:
 
 
 class Contexts:
-    """Rows of anchors with their surroundings: two hashes of the anchor, kind, bytes around, real bytes before and after."""
+    """Rows of anchors with their surroundings: a hash of the anchor of 64 and one of 32 bits, kind, bytes around, real bytes before and after."""
 
     FIELDS = ("h", "h2", "kind", "around", "before", "after")
 
@@ -284,7 +284,7 @@ def _contexts(doc: np.ndarray, at: np.ndarray, h: np.ndarray, data: np.ndarray,
     around = np.concatenate([view[:, :side], view[:, side + q :]], 1)
     column = np.arange(2 * side)
     around[(column < (side - before)[:, None]) | (column >= (side + after)[:, None])] = 0
-    return Contexts(h, _mixed(view[:, side : side + q], 5001), np.zeros(len(h), np.uint8), around, before.astype(np.uint8), after.astype(np.uint8))
+    return Contexts(h, (_mixed(view[:, side : side + q], 5001) >> np.uint64(32)).astype(np.uint32), np.zeros(len(h), np.uint8), around, before.astype(np.uint8), after.astype(np.uint8))
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], length: int, q: int, bits: int, table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Contexts, np.ndarray]]:
@@ -336,6 +336,7 @@ def _distinct(length: int, q: int, bits: int, table, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        packer = pa.Codec("zstd", compression_level=5)
 
         def merged(parts: list[tuple]) -> tuple:
             c, names = Contexts.joined([p[0] for p in parts]), tuple(np.concatenate([p[1][k] for p in parts]) for k in (0, 1))
@@ -352,9 +353,9 @@ def _distinct(length: int, q: int, bits: int, table, buckets: int):
             for i in range(buckets):
                 at = order[cuts[i] : cuts[i + 1]]
                 if len(at):
-                    parts = (np.uint64(len(at)), c.h[at], c.h2[at], doc[at], several[at].astype(np.uint8), c.kind[at], c.before[at], c.after[at], c.around[at])
+                    parts = (np.uint64(len(at)), c.h[at], doc[at], c.h2[at], several[at].astype(np.uint8), c.kind[at], c.before[at], c.after[at], c.around[at])
                     whole = b"".join(x.tobytes() for x in parts)
-                    rows.append((i, len(whole), pa.compress(whole, codec="zstd", asbytes=True)))
+                    rows.append((i, len(whole), packer.compress(whole, asbytes=True)))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "size", "contexts"])
 
         total = 0
@@ -383,10 +384,10 @@ def _classes(length: int, q: int):
         for x, size in zip(table.column("contexts"), table.column("size").to_pylist(), strict=True):
             b = np.frombuffer(pa.decompress(x.as_buffer(), size, codec="zstd"), np.uint8)
             n = int(b[:8].view(np.uint64)[0])
-            cuts = np.cumsum([8, 8 * n, 8 * n, 8 * n, n, n, n, n, 2 * side * n])
+            cuts = np.cumsum([8, 8 * n, 8 * n, 4 * n, n, n, n, n, 2 * side * n])
             f = [b[cuts[k] : cuts[k + 1]] for k in range(8)]
-            parts.append(Contexts(f[0].view(np.uint64), f[1].view(np.uint64), f[4], f[7].reshape(n, -1), f[5], f[6]))
-            docs.append(f[2].view(np.int64))
+            parts.append(Contexts(f[0].view(np.uint64), f[2].view(np.uint32), f[4], f[7].reshape(n, -1), f[5], f[6]))
+            docs.append(f[1].view(np.int64))
             flags.append(f[3].astype(bool))
         c, doc, several = Contexts.joined(parts), np.concatenate(docs), np.concatenate(flags)
         parts.clear()
@@ -518,8 +519,8 @@ def removed(documents: DataFrame, length: int = 50) -> DataFrame:
     the empty text. A row with a null doc_id neither loses bytes nor makes
     others lose them. Rows with one doc_id do not count as smaller than each
     other. ``kept_text`` keeps a character that is covered in part only; the
-    other columns are about bytes. Anchors and contexts are told apart by 128
-    bits, the bytes beside an anchor by themselves.
+    other columns are about bytes. Anchors are told apart by 96 bits, the
+    bytes beside them by themselves, and a context has a name of 128 bits.
     """
     out = _with_spans(documents, length, F.struct("doc_id"))
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans")
