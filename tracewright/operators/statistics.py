@@ -18,7 +18,7 @@ def bootstrap_deltas(pairs: DataFrame, iterations: int) -> DataFrame:
     within a counted limit and joined beyond it.
     """
     n = pairs.count()
-    drawn = pairs.sparkSession.range(iterations).withColumnRenamed("id", "iteration").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
+    drawn = pairs.sparkSession.range(iterations * n).select(F.floor(F.col("id") / max(n, 1)).alias("iteration"), (F.col("id") % max(n, 1)).alias("draw"))
     at = F.conv(F.substring(F.sha2(F.concat_ws(":", "iteration", "draw"), 256), 1, 13), 16, 10).cast("long") % max(n, 1)
     rows = drawn.withColumn("pos", at).join(sized(pairs.select("pos", (F.col("b") - F.col("a")).alias("d")), n), "pos")
     return rows.groupBy("iteration").agg((F.sum("d") / n).alias("delta"))

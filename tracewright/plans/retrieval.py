@@ -40,8 +40,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("vector_topk_deep", f"{_SCORED} SELECT query_id, id, round(score, 6) AS score, r AS rank FROM f WHERE r <= 100")
-def vector_topk_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("vector_topk_batch", f"{_SCORED} SELECT query_id, id, round(score, 6) AS score, r AS rank FROM f WHERE r <= 100")
+def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 100).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import statistics as S
+from ..operators.cluster import numbered
 from ..registry import query, table
 
 _ITER = 500
@@ -20,8 +20,8 @@ x AS (SELECT i, sum(b - a) / (SELECT count(*) FROM labels) AS delta FROM d JOIN
 SELECT round(avg(delta), 6) AS mean, round(list_sort(list(delta))[13], 6) AS low, round(list_sort(list(delta))[488], 6) AS high, round(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_better FROM x""",
 )
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "labels")
-    pairs = first.select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("pos"), F.col("quality").cast("double").alias("a"), F.when(F.col("doc_id") % 3 == 0, 1.0).otherwise(F.col("quality")).alias("b"))
+    first = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("a"), F.when(F.col("doc_id") % 3 == 0, 1.0).otherwise(F.col("quality")).alias("b"))
+    pairs = numbered(first, "doc_id").select(F.col("number").cast("long").alias("pos"), "a", "b")
     out = S.bootstrap_summary(S.bootstrap_deltas(pairs, _ITER), _ITER)
     return out.select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p_better")))
 
