@@ -46,10 +46,10 @@ _IMPLIED = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 #: Words of class, id and role, by what they name on the labelled pages.
-MENUS = "nav navbar navigation menu toolbar breadcrumb breadcrumbs pagination pager skip masthead sidebar side rail widget related recommended recommendations trending share sharing social follow".split()
-NOTICES = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup copyright footer".split()
+MENUS = "header topbar nav navbar navigation menu toolbar breadcrumb breadcrumbs pagination pager skip masthead sidebar side rail widget related recommended recommendations trending share sharing social follow".split()
+NOTICES = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup copyright disclaimer legal footer".split()
 FORMS = "signin login search form respond reply".split()
-REMARKS = "comment comments replies disqus discussion".split()
+REMARKS = "comment comments replies responses feedback disqus discussion".split()
 TOPICS = "prices history items guide music weather recipe letters garden river table colour winter school theatre market health travel science family village animals".split()
 BODIES = "content main article post entry story text body page container wrapper column figure caption quote section chapter lead intro summary".split()
 
@@ -163,6 +163,7 @@ def labelled() -> list[str]:
     for x in BODIES:
         pages += [f"<body>{loose}<div class='{x}'>{text}{junk[k % len(junk)]}{more}</div><div class='menu'>{_LINKS}</div></body>" for k in range(3)]
         pages.append(f"<body><nav>{_LINKS}</nav><div id='{x}-text'>{plain}</div></body>")
+    pages += [f"<body><div class='header'>{_MIDDLE}</div><article><div class='{x}-header'><h1>{{{_SHORT}}}</h1></div>{text}</article></body>" for x in ("article", "post", "entry", "section", "story")]
     # A name on the main text's own elements, in which a word is the same as one of a menu's.
     pages += [f"<body>{top}<article>{text}<div class='{x}-{y}'><p>{{{_LONG}}}</p></div>{more}</article></body>" for k, x in enumerate((*MENUS, *FORMS, *NOTICES)) for y in (TOPICS[k % len(TOPICS)], TOPICS[7 * k % len(TOPICS)])]
     return pages
