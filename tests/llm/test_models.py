@@ -375,6 +375,8 @@ PAGES = [
     (f"<div><p>{LONG}</p><aside>{LONG}</aside><p>{LONG}</p></div><footer>{LONG}</footer>", f"{LONG} {LONG}"),
     (f"<article><p>{LONG}</p><section class='comment-section'><p>{LONG}</p></section><div class='post-footer'>Filed under trees</div></article>", LONG),
     (f"<article><p>{LONG}<p>No end tags<ul><li>one<li>two</ul><form><p>Name</form></article>", f"{LONG} No end tags one two"),
+    (f"<body><div class='wrapper'><div class='header'>Site title and <a>links</a></div><div class='content'><div class='entry-header'><h2>Title</h2></div><p>{LONG}</p></div><div class='footer'>{LONG}</div></div></body>", f"Title {LONG}"),
+    (f"<body><div id='header'><h1>My site</h1></div><div id='main'><h2>Title</h2><p>{LONG}</p><div id='respond'><h3>Leave a reply</h3><form><textarea>x</textarea></form></div></div><div id='feedback'>{LONG}</div></body>", f"Title {LONG}"),
     ("<nav>x</nav>", ""),
     ("", ""),
     (None, ""),

@@ -163,7 +163,7 @@ def labelled() -> list[str]:
     for x in BODIES:
         pages += [f"<body>{loose}<div class='{x}'>{text}{junk[k % len(junk)]}{more}</div><div class='menu'>{_LINKS}</div></body>" for k in range(3)]
         pages.append(f"<body><nav>{_LINKS}</nav><div id='{x}-text'>{plain}</div></body>")
-    pages += [f"<body><div class='header'>{_MIDDLE}</div><article><div class='{x}-header'><h1>{{{_SHORT}}}</h1></div>{text}</article></body>" for x in ("article", "post", "entry", "section", "story")]
+    pages += [f"<body><div class='header'>{_MIDDLE}</div><article><div class='{x}-header'><h1>{{{_SHORT}}}</h1><p>{{{_LONG}}}</p></div>{text}</article></body>" for x in ("article", "entry", "story", "content", "text")]
     # A name on the main text's own elements, in which a word is the same as one of a menu's.
     pages += [f"<body>{top}<article>{text}<div class='{x}-{y}'><p>{{{_LONG}}}</p></div>{more}</article></body>" for k, x in enumerate((*MENUS, *FORMS, *NOTICES)) for y in (TOPICS[k % len(TOPICS)], TOPICS[7 * k % len(TOPICS)])]
     return pages
