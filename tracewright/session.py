@@ -27,8 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="checkpoints-"))
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        folder = _LOCAL[app]
     return folder.rstrip("/")
 
 
