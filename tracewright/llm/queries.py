@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, decontam, html, neardup, orderminhash, pieces, quality, suffixarray, toxicity
+from . import alignment, brown, chat, decontam, html, lines, neardup, orderminhash, pieces, quality, resample, suffixarray, toxicity
 from .common import remainder, table
 
 
 #: The public vocabulary that the queries encode with; the operator takes any path.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,20 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), alignment.Vocabularies.load(BYTE_TOKENIZER, TOKENIZER))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op5 that SQL can express."""
     out = op5_brown_lm(spark, sf_dir)
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_array": op9_suffix_array,
     "op10_order_minhash": op10_order_minhash,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
     "lm_base_scores": lm_base_scores,
     "edited_texts": edited_texts,
 }
@@ -157,4 +175,35 @@ o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first(text) OVE
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(concat(substr(text, 1, n - n // 3), substr(next, 1, n // 3))) AS edited_sha256 FROM o
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL, "op9_suffix_array": OP9_SQL, "lm_base_scores": BASE_SQL, "edited_texts": EDITED_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, i, l[i] AS line, translate(trim(l[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+c AS (SELECT k, max(doc_id) AS lead FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT l.*, c.k IS NOT NULL AND l.doc_id <> c.lead AS gone FROM l LEFT JOIN c ON c.k = l.k)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+OP13_SQL = rf"""
+WITH texts AS (SELECT 'd' AS side, doc_id AS id, coalesce(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+  UNION ALL SELECT 'b', item_id, coalesce(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) FROM benchmark),
+f AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])))) AS f FROM texts),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, len(x) // 2), lambda i: [1000 + CAST(concat('0x', substr(x, 2 * i + 1, 2)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda s, y: CASE WHEN y > 0 THEN xor(s, y - 1000) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295::BIGINT) % 10000 AS b FROM h),
+n AS (SELECT b, count_if(side = 'd') AS s, count_if(side = 'b') AS t FROM f JOIN b USING (f) GROUP BY b),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM n),
+gain AS (SELECT b, CAST(floor(1000 * ln(CAST(n.t + 1 AS DOUBLE) * CAST(total.s + 10000 AS DOUBLE) / (CAST(n.s + 1 AS DOUBLE) * CAST(total.t + 10000 AS DOUBLE)))) AS BIGINT) AS g FROM n, total),
+w AS (SELECT id AS doc_id, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS g FROM f JOIN b USING (f) JOIN gain USING (b) WHERE side = 'd' GROUP BY id),
+d AS (SELECT id AS doc_id, len(texts.w) AS n_words, coalesce(n_features, 0) AS n_features, CASE WHEN g IS NULL THEN 0 WHEN g % n_features < 0 THEN g // n_features - 1 ELSE g // n_features END AS weight,
+  CAST(concat('0x', substr(sha256(concat('7:', CAST(id AS VARCHAR))), 1, 8)) AS BIGINT) AS h
+  FROM texts LEFT JOIN w ON w.doc_id = id WHERE side = 'd'),
+s AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d),
+r AS (SELECT *, n_words >= 20 AS able, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count_if(n_words >= 20) OVER () AS able_docs FROM s)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CAST(CASE WHEN able AND place <= (25 * able_docs) // 100 THEN place END AS BIGINT) AS rank
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_line_dedup": OP12_SQL, "op13_importance_resampling": OP13_SQL, "op3_decontamination": OP3_SQL, "op4_near_dedup": OP4_SQL, "op9_suffix_array": OP9_SQL, "lm_base_scores": BASE_SQL, "edited_texts": EDITED_SQL}
