@@ -165,7 +165,8 @@ def resampled(documents: DataFrame, target: DataFrame, percent: int = 25, least_
     """
     digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8)
     noise = F.floor(-1000 * F.log(-F.log((F.conv(digits, 16, 10).cast("double") + 0.5) / 4294967296.0)))
-    scored = weighted(documents, gains(documents, target, most, buckets), most).withColumn("score", F.col("weight") + noise)
+    # Written before it is dealt by ranges: their sampling would read all texts once more.
+    scored = checkpointed(weighted(documents, gains(documents, target, most, buckets), most).withColumn("score", F.col("weight") + noise))
     falling = [F.col("score").desc(), F.col("doc_id").asc_nulls_first()]
     able = F.col("n_words") >= least_words
     ranged = checkpointed(scored.withColumn("able", able).repartitionByRange(F.col("able").desc(), *falling).withColumn("part", F.spark_partition_id()))
