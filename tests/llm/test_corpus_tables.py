@@ -72,11 +72,28 @@ def test_vocabularies_give_the_libraries_ids(files):
     assert made.fast is not None
     for t in HARD:
         if t:
-            assert made.encode_a(" " + t).tolist() == made.slow.encode(" " + t, add_special_tokens=False).ids
-    blank = " " * 200_000  # more than the faster encoder takes
+            assert made.encode_a(" " + t) == made.slow.encode(" " + t, add_special_tokens=False).ids
+    for t in (" " * 2500 + "x", "a\n" + " \n" * 1500 + "b c", "x" + "\t" * 1200):
+        assert made._blank(t) == made.encode_a(t) == made.slow.encode(t, add_special_tokens=False).ids
+    blank = "a " + " " * 1_500_000 + "b"  # more than the pattern takes
     assert b"".join(made.bytes_a[i] for i in made.encode_a(blank)) == blank.encode()
 
 
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.one_of(st.sampled_from(HARD), st.text("a b\n\t.\xa0é\u2028\x1c\x851", max_size=30), st.text(max_size=20)), min_size=1, max_size=5))
+def test_words_are_encoded_as_within_their_text(files, texts):
+    made = alignment.encoders(files)
+    whole = lambda t: made.slow.encode(" " + t, add_special_tokens=False).ids
+    for _ in range(2):  # the second time from memory
+        for t, (a, b, label) in zip(texts, made.encode(texts), strict=True):
+            ids_b = made.pieces_b.encode(t or "")
+            want = (" " + t).encode() if t else None
+            if t and b"".join(made.bytes_b[i] for i in ids_b) == want and b"".join(made.bytes_a[i] for i in whole(t)) == want:
+                assert np.frombuffer(a, np.int32).tolist() == whole(t) and np.frombuffer(b, np.int32).tolist() == ids_b and len(label) == len(want)
+            else:
+                assert (a, b, label) == (b"", b"", b"")
+
+
 @pytest.mark.parametrize("room", [1_000_000, 150, 0])
 def test_op11_equals_brute_force(spark, files, room, monkeypatch):
     monkeypatch.setattr(alignment, "EXPANDED", 64)

@@ -29,7 +29,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -43,10 +42,13 @@ NONE, A_END, B_END, BOTH = 0, 1, 2, 3
 _SPAN = re.compile(rb"[^\x03]*\x03")
 #: Fixed value: how a byte-level BPE of this kind cuts a text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 #: Sums of pairs that a task holds before it merges them, and before it writes them.
 MERGE, HELD = 2_000_000, 4_000_000
 #: Pairs that are expanded at once, spans that are remembered.
-EXPANDED, SPANS = 1 << 20, 100_000
+EXPANDED, SPANS = 1 << 18, 100_000
+#: Words that a worker remembers, and the longest of them.
+MEMORY, LONGEST = 150_000, 40
 
 
 def byte_characters() -> dict[str, int]:
@@ -74,57 +76,117 @@ class Vocabularies:
 
 
 class Encoders:
-    """Ids and token bytes of both sides."""
+    """Ids, token bytes and labels of both sides.
+
+    No token of either side crosses a space between two characters that are
+    no white space: A cuts there before it merges, and no piece of B has a
+    marker behind another character. So what lies between such spaces is
+    encoded and labelled once and remembered (a bounded memory).
+    """
 
     def __init__(self, files: Vocabularies):
         import sentencepiece
 
-        model = json.loads(files.a)["model"]
-        byte = byte_characters()
-        size, self.pieces_b = max(model["vocab"].values()) + 1, sentencepiece.SentencePieceProcessor(model_proto=files.b)
-        self.bytes_a = [b""] * size
-        for token, i in model["vocab"].items():
+        self.file, model = files.a, json.loads(files.a)
+        byte, self.pieces_b = byte_characters(), sentencepiece.SentencePieceProcessor(model_proto=files.b)
+        vocabulary, b = model["model"]["vocab"], self.pieces_b
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(byte[c] for c in token)
-        b = self.pieces_b
         self.bytes_b = [bytes([int(b.id_to_piece(i)[1:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(MARK, " ").encode() for i in range(b.get_piece_size())]
-        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.slow, self.fast = self._byte_level(files.a, model)
+        self.crossing = any(MARK in b.id_to_piece(i).lstrip(MARK) for i in range(b.get_piece_size()))
+        self.fast, self._slow = self._byte_level(model), None
+        self.memory: dict[str, tuple[bytes, bytes, bytes] | None] = {}
 
-    def _byte_level(self, file: bytes, model: dict):
-        """The file's own encoder, and a faster one with the same results if its merges stand in the order of their ids."""
+    def _byte_level(self, file: dict):
+        """A faster encoder with the file's results, if its merges stand in the order of their ids and its cuts are the usual ones."""
         import tiktoken
-        from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_str(file.decode())
-        slow.encode_special_tokens = True
-        merged = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+        vocabulary, merges = file["model"]["vocab"], file["model"]["merges"]
+        merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in merges]
         ordered = None not in merged and all(x < y for x, y in zip(merged, merged[1:], strict=False)) and len({x for x in self.bytes_a if len(x) == 1}) == 256
-        plain = ordered and json.loads(file)["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        return slow, tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.bytes_a) if t}, special_tokens={}) if plain else None
+        plain = file["normalizer"] is None and file["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.bytes_a) if t}, special_tokens={}) if ordered and plain else None
+
+    @property
+    def slow(self):
+        """The file's own encoder."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
 
-    def encode_a(self, text: str) -> np.ndarray:
+            self._slow = Tokenizer.from_str(self.file.decode())
+            self._slow.encode_special_tokens = True
+        return self._slow
+
+    def encode_a(self, text: str) -> list[int]:
         if self.fast is not None:
             try:
-                return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
-            except ValueError:  # its pattern gives up on very long runs of white space
-                pass
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int64)
-
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both sides; none where a text is empty or where one side's bytes are not the text's."""
-        none = np.zeros(0, np.int64)
-        a, b = [], []
-        for text, ids_b in zip(texts, self.pieces_b.encode([t or "" for t in texts], num_threads=1), strict=True):
-            if not text:
-                a.append(none)
-                b.append(none)
+                return self.fast.encode(text, disallowed_special=())
+            except ValueError:  # the pattern gives up on very long runs of white space
+                return self._blank(text)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
+    def _blank(self, text: str) -> list[int]:
+        """The ids of a text with very long runs of white space: the pattern makes a run one stretch, but for its last character if another follows."""
+        whole, out, last = type(self.fast)("whole", pat_str=r"[\s\S]+", mergeable_ranks=self.fast._mergeable_ranks, special_tokens={}), [], 0
+        for run in _BLANK.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self.fast.encode_ordinary(text[last : run.start()]) + whole.encode_ordinary(text[run.start() : end])
+            last = end
+        return out + self.fast.encode_ordinary(text[last:])
+
+    def _new(self, words: list[str]) -> Iterator[tuple[bytes, bytes, bytes] | None]:
+        for word, ids_b in zip(words, self.pieces_b.encode(words, num_threads=1), strict=True):
+            ids_a, want = self.encode_a(" " + word), (" " + word).encode()
+            token_a, token_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
+            if b"".join(token_a) != want or b"".join(token_b) != want:
+                yield None
+                continue
+            ends = (np.cumsum([len(x) for x in t]) for t in (token_a, token_b))
+            yield np.array(ids_a, np.int32).tobytes(), np.array(ids_b, np.int32).tobytes(), labels(*ends, len(want))
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes, bytes]]:
+        """Packed ids of both sides and the labels; none where a text is empty or where one side's bytes are not the text's."""
+        none, get = (b"", b"", b""), self.memory.get
+        cut, new = [], {}
+        for text in texts:
+            if not text or MARK in text:  # B reads a marker as a space
+                cut.append(None)
                 continue
-            want = (" " + text).encode()
-            ids_a = self.encode_a(" " + text)
-            same = b"".join([self.bytes_b[i] for i in ids_b]) == want and b"".join([self.bytes_a[i] for i in ids_a.tolist()]) == want
-            a.append(ids_a if same else none)
-            b.append(np.array(ids_b, np.int64) if same else none)
-        return a, b
+            words = [text] if self.crossing or self.fast is None else text.split(" ")
+            if None in map(get, words):
+                words = [text] if len(words) == 1 else between(words)
+                new.update(dict.fromkeys(w for w in words if w not in self.memory))
+            cut.append(words)
+        new = dict(zip(new, self._new(list(new)), strict=True))
+        out = []
+        for words in cut:
+            found = [get(w) or new.get(w) for w in words] if words else [None]
+            out.append(none if None in found else tuple(b"".join(x) for x in zip(*found, strict=True)))
+        for word, made in new.items():
+            if len(self.memory) >= MEMORY:
+                break
+            if made is not None and len(word) <= LONGEST and clean(word):
+                self.memory[word] = made
+        return out
+
+
+def clean(word: str) -> bool:
+    """Whether a word between spaces is cut off by them on both sides."""
+    return bool(word) and " " not in word and not word[0].isspace() and not word[-1].isspace()
+
+
+def between(words: list[str]) -> list[str]:
+    """The words of a text split at spaces, those put together again that a space does not cut off."""
+    out, now = [], [words[0]]
+    for w in words[1:]:
+        if not w or w[0].isspace() or not now[-1] or now[-1][-1].isspace():
+            now.append(w)
+        else:
+            out.append(" ".join(now))
+            now = [w]
+    out.append(" ".join(now))
+    return out
 
 
 _made: tuple[bytes, Encoders] | None = None
@@ -222,12 +284,12 @@ def digests(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, grou
     return [hashlib.sha256(view[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
-def _lists(values: np.ndarray, sizes: list[int] | np.ndarray, kind=np.int32) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.astype(kind)))
+def _narrow(vocabulary: int):
+    return np.uint16 if vocabulary <= 1 << 16 else np.int32
 
 
 _MADE = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-_KEPT = "a array<int>, b array<int>, g array<int>, pair long, docs long"
+_KEPT = "a binary, b binary, ends binary, pair long, docs long"
 
 
 def _aligned(files, vocabulary: tuple[int, int]):
@@ -235,24 +297,24 @@ def _aligned(files, vocabulary: tuple[int, int]):
         made = encoders(files.value)
         names = _names(vocabulary[0], b",", b"|"), _names(vocabulary[1], b",", b";")
         memory, sums, held, kind = _Counts(), [], 0, pa.null()
-        columns = ["row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "g", "pair", "docs"]
+        columns = ["row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "ends", "pair", "docs"]
+        narrow = [_narrow(v) for v in vocabulary]
 
         def written() -> pa.RecordBatch:
             pair, docs = summed(sums)
             n = len(pair)
             sums.clear()
-            nothing = [pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, pa.string())] + [pa.nulls(n, pa.list_(pa.int32()))] * 3
+            nothing = [pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, pa.string())] + [pa.nulls(n, pa.binary())] * 3
             return pa.RecordBatch.from_arrays([pa.nulls(n, kind), *nothing, pa.array(pair), pa.array(docs)], names=columns)
 
         for batch in batches:
             kind = batch.schema.field("row").type
             for i, j, _, _ in K.slices(batch.column("text"), rows=2000):
                 n = j - i
-                ids_a, ids_b = made.encode(batch.column("text").slice(i, n).to_pylist())
-                len_a, len_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-                a, b = np.concatenate(ids_a), np.concatenate(ids_b)
-                ends_a, ends_b = np.cumsum(made.size_a[a]), np.cumsum(made.size_b[b])
-                n_a, n_b = groups(labels(ends_a, ends_b, int(ends_a[-1]) if len(a) else 0), memory)  # a text's end is a label "both"
+                packed_a, packed_b, label = zip(*made.encode(batch.column("text").slice(i, n).to_pylist()), strict=True)
+                len_a, len_b = (np.array([len(x) // 4 for x in packed], np.int64) for packed in (packed_a, packed_b))
+                a, b = (np.frombuffer(b"".join(packed), np.int32).astype(np.int64) for packed in (packed_a, packed_b))
+                n_a, n_b = groups(b"".join(label), memory)  # a text's end is a label "both"
                 doc = np.searchsorted(np.cumsum(len_a), starts(n_a), "right")
                 groups_of = np.bincount(doc, minlength=n)
                 links = np.zeros(n, np.int64)
@@ -269,11 +331,10 @@ def _aligned(files, vocabulary: tuple[int, int]):
                         if held > HELD // 2:
                             yield written()
                             held = 0
-                counts = np.empty(2 * len(n_a), np.int64)
-                counts[::2], counts[1::2] = n_a, n_b
                 out = [batch.column("row").slice(i, n), *(pa.array(x) for x in (len_a, len_b, groups_of, links)), pa.array(digests(a, b, n_a, n_b, groups_of, names))]
-                kept = [_lists(a, len_a), _lists(b, len_b), _lists(counts, 2 * groups_of)]
-                yield pa.RecordBatch.from_arrays([*out, *kept, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=columns)
+                kept = [pa.array([np.frombuffer(x, np.int32).astype(t).tobytes() for x in packed], pa.binary()) for packed, t in zip((packed_a, packed_b), narrow, strict=True)]
+                ends = pa.array([x.translate(None, b"\0") for x in label], pa.binary())
+                yield pa.RecordBatch.from_arrays([*out, *kept, ends, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=columns)
         if sums:
             yield written()
 
@@ -283,17 +344,17 @@ def _aligned(files, vocabulary: tuple[int, int]):
 def _looked_up(sent, vocabulary: tuple[int, int]):
     """Links to a commonest pair of their A id, sums of counts, and what pairs were not among the broadcast ones."""
 
-    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return column.flatten().to_numpy().astype(np.int64), column.value_lengths().to_numpy().astype(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, docs, best = sent.value
+        (known, docs, best), memory = sent.value, _Counts()
         for whole in batches:
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)
                 n = batch.num_rows
-                (a, _), (b, _), (g, sizes) = (flat(batch.column(c)) for c in ("a", "b", "g"))
-                doc, pair, links = summed(list(pairs(a, b, g[::2], g[1::2], np.repeat(np.arange(n), sizes // 2), vocabulary)) or [(np.zeros(0, np.int64),) * 3])
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _narrow(v)).astype(np.int64) for c, v in zip("ab", vocabulary, strict=True))
+                ends = batch.column("ends").to_pylist()
+                n_a, n_b = groups(b"".join(ends), memory)
+                doc = np.repeat(np.arange(n), [x.count(BOTH) for x in ends])
+                doc, pair, links = summed(list(pairs(a, b, n_a, n_b, doc, vocabulary)) or [(np.zeros(0, np.int64),) * 3])
                 at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
                 hit = known[at] == pair if len(known) else np.zeros(len(pair), bool)
                 d, at, w = doc[hit], at[hit], links[hit]
@@ -307,12 +368,13 @@ def _looked_up(sent, vocabulary: tuple[int, int]):
     return run
 
 
-def aligned(documents: DataFrame, files: Vocabularies, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def aligned(documents: DataFrame, files: Vocabularies) -> tuple[DataFrame, DataFrame]:
     """The alignment table and the pair table, both in the shared folder.
 
     The first has for each row of ``documents`` all its columns but the text
-    (as ``row``), n_a, n_b, n_groups, n_links, groups_sha256, the ids ``a`` and ``b``,
-    and ``g``, the numbers of A and B tokens of each group in turn. A text
+    (as ``row``), n_a, n_b, n_groups, n_links, groups_sha256, the ids ``a``
+    and ``b`` (packed, of two bytes each, four for more than 65,536 ids), and
+    ``ends``, the labels of the bytes where a token ends. A text
     that is null or empty, or that one of the tokenizers does not give back
     byte for byte, has no tokens. The second has for each linked id pair a, b
     the number of documents that link it and whether no other pair of its A
@@ -360,7 +422,7 @@ def scored(documents: DataFrame, files: Vocabularies, broadcast_rows: int = BROA
     order = np.argsort(columns[0])
     sent = spark.sparkContext.broadcast(tuple(c[order] for c in columns))
     made = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    given = texts.select(F.struct("row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", F.monotonically_increasing_id().alias("id")).alias("made"), "a", "b", "g")
+    given = texts.select(F.struct("row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", F.monotonically_increasing_id().alias("id")).alias("made"), "a", "b", "ends")
     looked = StructType([given.schema["made"], *StructType.fromDDL("n_best long, count_sum long, others array<struct<pair: long, links: long>>")])
     out = mapped(given, _looked_up(sent, vocabulary), looked)
     if sum(sizes.values()) > common.num_rows:
