@@ -21,7 +21,9 @@ model. The files are read on the driver and broadcast.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import operator
 import re
 import uuid
 from collections.abc import Iterator
@@ -42,13 +44,18 @@ NONE, A_END, B_END, BOTH = 0, 1, 2, 3
 _SPAN = re.compile(rb"[^\x03]*\x03")
 #: Fixed value: how a byte-level BPE of this kind cuts a text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PARTS = [operator.itemgetter(i) for i in range(3)]
+#: A space between two characters that are no white space.
+_CUT = re.compile(r" (?<=\S )(?=\S)")
 _BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 #: Sums of pairs that a task holds before it merges them, and before it writes them.
 MERGE, HELD = 2_000_000, 4_000_000
-#: Pairs that are expanded at once, spans that are remembered.
-EXPANDED, SPANS = 1 << 18, 100_000
+#: Pairs that are expanded at once.
+EXPANDED = 1 << 18
 #: Words that a worker remembers, and the longest of them.
 MEMORY, LONGEST = 150_000, 40
+#: New words that are encoded at once.
+TOGETHER = 5000
 
 
 def byte_characters() -> dict[str, int]:
@@ -76,12 +83,12 @@ class Vocabularies:
 
 
 class Encoders:
-    """Ids, token bytes and labels of both sides.
+    """Ids, token bytes and groups of both sides.
 
     No token of either side crosses a space between two characters that are
     no white space: A cuts there before it merges, and no piece of B has a
     marker behind another character. So what lies between such spaces is
-    encoded and labelled once and remembered (a bounded memory).
+    encoded, labelled and grouped once and remembered (a bounded memory).
     """
 
     def __init__(self, files: Vocabularies):
@@ -135,60 +142,60 @@ class Encoders:
             last = end
         return out + self.fast.encode_ordinary(text[last:])
 
-    def _new(self, words: list[str]) -> Iterator[tuple[bytes, bytes, bytes] | None]:
-        for word, ids_b in zip(words, self.pieces_b.encode(words, num_threads=1), strict=True):
-            ids_a, want = self.encode_a(" " + word), (" " + word).encode()
-            token_a, token_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            if b"".join(token_a) != want or b"".join(token_b) != want:
-                yield None
-                continue
-            ends = (np.cumsum([len(x) for x in t]) for t in (token_a, token_b))
-            yield np.array(ids_a, np.int32).tobytes(), np.array(ids_b, np.int32).tobytes(), labels(*ends, len(want))
+    def _made(self, words: list[str], ids_a: list[int], ids_b: list[int]) -> list[tuple[bytes, bytes, bytes]] | None:
+        """The packed ids and group sizes of each word, from those of the words joined by spaces; None if their bytes are not the words'."""
+        want = [(" " + w).encode() for w in words]
+        token_a, token_b, joined = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b], b"".join(want)
+        if b"".join(token_a) != joined or b"".join(token_b) != joined:
+            return None
+        ends_a, ends_b = (np.cumsum(np.fromiter(map(len, t), np.int64, len(t))) for t in (token_a, token_b))
+        last = np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))
+        sizes = np.stack(groups(labels(ends_a, ends_b, len(joined))), 1)  # a word's end is a label "both"
+        ends_g = ends_a[np.cumsum(sizes[:, 0]) - 1]
+        columns = []
+        for row, ends, each in ((ids_a, ends_a, 1), (ids_b, ends_b, 1), (sizes, ends_g, 2)):
+            packed = np.array(row, np.int32).tobytes()
+            cuts = [0, *(4 * each * np.searchsorted(ends, last, "right")).tolist()]
+            columns.append([packed[x:y] for x, y in zip(cuts, cuts[1:], strict=False)])
+        return list(zip(*columns, strict=True))
+
+    def _new(self, words: list[str]) -> dict[str, tuple[bytes, bytes, bytes] | None]:
+        """Words that spaces cut off are encoded together, the others and those that a tokenizer does not give back one by one."""
+        out, alone, together = {}, [], []
+        for w in words:
+            (alone if self.crossing or self.fast is None or w[0].isspace() or w[-1].isspace() else together).append(w)
+        for i in range(0, len(together), TOGETHER):
+            part = together[i : i + TOGETHER]
+            text = " ".join(part)
+            made = self._made(part, self.encode_a(" " + text), self.pieces_b.encode(text))
+            if made is None:
+                alone += part
+            else:
+                out.update(zip(part, made, strict=True))
+        for w in alone:
+            made = self._made([w], self.encode_a(" " + w), self.pieces_b.encode(w))
+            out[w] = made[0] if made else None
+        return out
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes, bytes]]:
-        """Packed ids of both sides and the labels; none where a text is empty or where one side's bytes are not the text's."""
-        none, get = (b"", b"", b""), self.memory.get
-        cut, new = [], {}
-        for text in texts:
-            if not text or MARK in text:  # B reads a marker as a space
-                cut.append(None)
-                continue
-            words = [text] if self.crossing or self.fast is None else text.split(" ")
-            if None in map(get, words):
-                words = [text] if len(words) == 1 else between(words)
-                new.update(dict.fromkeys(w for w in words if w not in self.memory))
-            cut.append(words)
-        new = dict(zip(new, self._new(list(new)), strict=True))
+        """Packed ids of both sides and group sizes (A, B, A, B, ...); none where a text is empty or where one side's bytes are not the text's."""
+        memory, whole = self.memory, self.crossing or self.fast is None
+        cut = [None if not text or MARK in text else [text] if whole else _CUT.split(text) for text in texts]  # B reads a marker as a space
+        new = dict.fromkeys(itertools.filterfalse(memory.__contains__, itertools.chain.from_iterable(words for words in cut if words)))
+        memory.update(self._new(list(new)))
         out = []
         for words in cut:
-            found = [get(w) or new.get(w) for w in words] if words else [None]
-            out.append(none if None in found else tuple(b"".join(x) for x in zip(*found, strict=True)))
-        for word, made in new.items():
-            if len(self.memory) >= MEMORY:
-                break
-            if made is not None and len(word) <= LONGEST and clean(word):
-                self.memory[word] = made
+            found = list(map(memory.__getitem__, words)) if words else [None]
+            out.append((b"", b"", b"") if None in found else tuple(b"".join(map(part, found)) for part in _PARTS))
+        room = MEMORY - (len(memory) - len(new))
+        for word in new:  # the first ones, among them the frequent ones, stay
+            if room > 0 and len(word) <= LONGEST:
+                room -= 1
+            else:
+                del memory[word]
         return out
 
 
-def clean(word: str) -> bool:
-    """Whether a word between spaces is cut off by them on both sides."""
-    return bool(word) and " " not in word and not word[0].isspace() and not word[-1].isspace()
-
-
-def between(words: list[str]) -> list[str]:
-    """The words of a text split at spaces, those put together again that a space does not cut off."""
-    out, now = [], [words[0]]
-    for w in words[1:]:
-        if not w or w[0].isspace() or not now[-1] or now[-1][-1].isspace():
-            now.append(w)
-        else:
-            out.append(" ".join(now))
-            now = [w]
-    out.append(" ".join(now))
-    return out
-
-
 _made: tuple[bytes, Encoders] | None = None
 
 
@@ -209,24 +216,12 @@ def labels(ends_a: np.ndarray, ends_b: np.ndarray, n: int) -> bytes:
     return out.tobytes()
 
 
-class _Counts(dict):
-    """A span's numbers of A and B tokens, packed; spans that were seen are remembered."""
-
-    def __missing__(self, span: bytes) -> int:
-        both = span.count(BOTH)
-        packed = (span.count(A_END) + both) << 32 | (span.count(B_END) + both)
-        if len(self) >= SPANS:
-            self.clear()
-        if len(span) < 100:
-            self[span] = packed
-        return packed
-
-
-def groups(label: bytes, memory: _Counts) -> tuple[np.ndarray, np.ndarray]:
+def groups(label: bytes) -> tuple[np.ndarray, np.ndarray]:
     """How many A and B tokens each group has."""
     spans = _SPAN.findall(label)
-    packed = np.fromiter(map(memory.__getitem__, spans), np.int64, len(spans))
-    return packed >> 32, packed & 0xFFFFFFFF
+    both = len(spans)
+    n_a, n_b = (np.fromiter(map(bytes.count, spans, itertools.repeat(c)), np.int64, both) + 1 for c in (A_END, B_END))
+    return n_a, n_b
 
 
 def starts(sizes: np.ndarray) -> np.ndarray:
@@ -289,15 +284,15 @@ def _narrow(vocabulary: int):
 
 
 _MADE = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-_KEPT = "a binary, b binary, ends binary, pair long, docs long"
+_KEPT = "a binary, b binary, g binary, pair long, docs long"
 
 
 def _aligned(files, vocabulary: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoders(files.value)
         names = _names(vocabulary[0], b",", b"|"), _names(vocabulary[1], b",", b";")
-        memory, sums, held, kind = _Counts(), [], 0, pa.null()
-        columns = ["row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "ends", "pair", "docs"]
+        sums, held, kind = [], 0, pa.null()
+        columns = ["row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "g", "pair", "docs"]
         narrow = [_narrow(v) for v in vocabulary]
 
         def written() -> pa.RecordBatch:
@@ -311,12 +306,12 @@ def _aligned(files, vocabulary: tuple[int, int]):
             kind = batch.schema.field("row").type
             for i, j, _, _ in K.slices(batch.column("text"), rows=2000):
                 n = j - i
-                packed_a, packed_b, label = zip(*made.encode(batch.column("text").slice(i, n).to_pylist()), strict=True)
+                packed_a, packed_b, sizes = zip(*made.encode(batch.column("text").slice(i, n).to_pylist()), strict=True)
                 len_a, len_b = (np.array([len(x) // 4 for x in packed], np.int64) for packed in (packed_a, packed_b))
                 a, b = (np.frombuffer(b"".join(packed), np.int32).astype(np.int64) for packed in (packed_a, packed_b))
-                n_a, n_b = groups(b"".join(label), memory)  # a text's end is a label "both"
-                doc = np.searchsorted(np.cumsum(len_a), starts(n_a), "right")
-                groups_of = np.bincount(doc, minlength=n)
+                n_a, n_b = np.frombuffer(b"".join(sizes), np.int32).astype(np.int64).reshape(-1, 2).T
+                groups_of = np.array([len(x) // 8 for x in sizes], np.int64)
+                doc = np.repeat(np.arange(n), groups_of)
                 links = np.zeros(n, np.int64)
                 np.add.at(links, doc, n_a * n_b)
                 parts = list(pairs(a, b, n_a, n_b, doc, vocabulary))
@@ -333,8 +328,7 @@ def _aligned(files, vocabulary: tuple[int, int]):
                             held = 0
                 out = [batch.column("row").slice(i, n), *(pa.array(x) for x in (len_a, len_b, groups_of, links)), pa.array(digests(a, b, n_a, n_b, groups_of, names))]
                 kept = [pa.array([np.frombuffer(x, np.int32).astype(t).tobytes() for x in packed], pa.binary()) for packed, t in zip((packed_a, packed_b), narrow, strict=True)]
-                ends = pa.array([x.translate(None, b"\0") for x in label], pa.binary())
-                yield pa.RecordBatch.from_arrays([*out, *kept, ends, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=columns)
+                yield pa.RecordBatch.from_arrays([*out, *kept, pa.array(sizes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=columns)
         if sums:
             yield written()
 
@@ -345,15 +339,15 @@ def _looked_up(sent, vocabulary: tuple[int, int]):
     """Links to a commonest pair of their A id, sums of counts, and what pairs were not among the broadcast ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, docs, best), memory = sent.value, _Counts()
+        known, docs, best = sent.value
         for whole in batches:
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)
                 n = batch.num_rows
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _narrow(v)).astype(np.int64) for c, v in zip("ab", vocabulary, strict=True))
-                ends = batch.column("ends").to_pylist()
-                n_a, n_b = groups(b"".join(ends), memory)
-                doc = np.repeat(np.arange(n), [x.count(BOTH) for x in ends])
+                sizes = batch.column("g").to_pylist()
+                n_a, n_b = np.frombuffer(b"".join(sizes), np.int32).astype(np.int64).reshape(-1, 2).T
+                doc = np.repeat(np.arange(n), [len(x) // 8 for x in sizes])
                 doc, pair, links = summed(list(pairs(a, b, n_a, n_b, doc, vocabulary)) or [(np.zeros(0, np.int64),) * 3])
                 at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
                 hit = known[at] == pair if len(known) else np.zeros(len(pair), bool)
@@ -374,7 +368,8 @@ def aligned(documents: DataFrame, files: Vocabularies) -> tuple[DataFrame, DataF
     The first has for each row of ``documents`` all its columns but the text
     (as ``row``), n_a, n_b, n_groups, n_links, groups_sha256, the ids ``a``
     and ``b`` (packed, of two bytes each, four for more than 65,536 ids), and
-    ``ends``, the labels of the bytes where a token ends. A text
+    ``g``, the numbers of A and B tokens of each group in turn (of four bytes
+    each). A text
     that is null or empty, or that one of the tokenizers does not give back
     byte for byte, has no tokens. The second has for each linked id pair a, b
     the number of documents that link it and whether no other pair of its A
@@ -422,7 +417,7 @@ def scored(documents: DataFrame, files: Vocabularies, broadcast_rows: int = BROA
     order = np.argsort(columns[0])
     sent = spark.sparkContext.broadcast(tuple(c[order] for c in columns))
     made = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    given = texts.select(F.struct("row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", F.monotonically_increasing_id().alias("id")).alias("made"), "a", "b", "ends")
+    given = texts.select(F.struct("row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", F.monotonically_increasing_id().alias("id")).alias("made"), "a", "b", "g")
     looked = StructType([given.schema["made"], *StructType.fromDDL("n_best long, count_sum long, others array<struct<pair: long, links: long>>")])
     out = mapped(given, _looked_up(sent, vocabulary), looked)
     if sum(sizes.values()) > common.num_rows:
