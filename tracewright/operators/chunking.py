@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,3 +169,24 @@ def oversized(chunks: DataFrame, most: int = 4000) -> DataFrame:
     small = chunks.where(F.length("content") <= most).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent_id"), "content")
     big = windows(chunks.where(F.length("content") > most), most, 0)
     return small.unionByName(big.select(F.sha2(F.concat_ws(":", "id", "chunk_index", "content"), 256).alias("id"), F.col("id").cast("string").alias("parent_id"), "content"))
+
+
+def rechunked(chunks: DataFrame, most: int = 4000) -> DataFrame:
+    """Chunks (id, document_id, version, content, fingerprint and others) with those of more than ``most`` characters cut where Markdown allows.
+
+    A piece gets a new id and fingerprint, and ``parent_id`` names the chunk
+    it comes from; ``piece`` counts from 0; the other columns stay. Only long chunks go through Python.
+    """
+    importable(chunks.sparkSession)
+
+    @F.pandas_udf("array<struct<start: int, end: int>>")
+    def cuts(content: pd.Series) -> pd.Series:
+        return content.map(lambda t: [{"start": a, "end": b} for a, b in markdown_pieces(t, most, 0)])
+
+    long = F.coalesce(F.length("content"), F.lit(0)) > most
+    small = chunks.where(~long).withColumns({"parent_id": F.lit(None).cast("string"), "piece": F.lit(0)})
+    pieces = chunks.where(long).select("*", F.posexplode(cuts("content")).alias("piece", "_p"))
+    content = F.substring("content", F.col("_p.start") + 1, F.col("_p.end") - F.col("_p.start"))
+    cut = pieces.withColumn("parent_id", F.col("id")).withColumn("content", content)
+    cut = cut.withColumn("id", F.sha2(F.concat_ws(":", "document_id", "version", "piece", "content"), 256)).withColumn("fingerprint", F.sha2("content", 256))
+    return small.unionByName(cut.drop("_p"))

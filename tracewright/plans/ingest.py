@@ -220,3 +220,85 @@ def issue_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(d % 3 == 2, F.concat(F.lit("acme/r/discussions/"), n)).otherwise(F.concat(F.lit("acme/r#"), n))
     content = F.when(d % 3 == 0, F.concat(F.lit("# "), "text")).otherwise(F.lit("no heading"))
     return table(spark, sf_dir, "documents").select("doc_id", chunking.issue_context(kind, source, n, content, F.when(d % 3 == 1, "a,b")).alias("context"))
+
+
+#: Both runs of ``ingest_runs`` as one SQL statement. A chunk is a window of 2000 characters.
+_RUNS = """WITH v AS (SELECT 1 AS run, doc_id, lang, 'v1' AS version, coalesce(text, '') AS text, false AS gone FROM documents WHERE doc_id % 4 <> 3
+  UNION ALL SELECT 2, doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN 'v2' ELSE 'v1' END, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 3 = 0 THEN concat('new ', coalesce(text, '')) ELSE coalesce(text, '') END, doc_id % 11 = 0 FROM documents WHERE doc_id % 5 <> 4),
+w AS (SELECT *, unnest(range(0, greatest(length(text), 1), 2000)) AS o FROM v),
+c AS (SELECT run, doc_id, lang, version, gone, o, substr(text, o + 1, 2000) AS content FROM w),
+h AS (SELECT *, sha256(concat_ws(':', doc_id, version, o, content)) AS id, sha256(content) AS fp FROM c),
+donor AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 4 = 3 AND doc_id % 7 = 0),
+known AS (SELECT id, fp FROM h WHERE run = 1 UNION ALL SELECT sha256(concat_ws(':', doc_id, 'v1', o, s)), sha256(s) FROM (SELECT doc_id, o, substr(text, o + 1, 2000) AS s FROM (SELECT *, unnest(range(0, greatest(length(text), 1), 2000)) AS o FROM donor))),
+stored AS (SELECT * FROM h WHERE run = 1 UNION ALL SELECT * FROM h WHERE run = 2 AND id NOT IN (SELECT id FROM known) AND fp NOT IN (SELECT fp FROM known)),
+n AS (SELECT doc_id, count(*) AS stored, CAST(count(*) FILTER (WHERE run = 2) AS BIGINT) AS fresh FROM stored GROUP BY doc_id),
+a AS (SELECT doc_id, count(DISTINCT version) AS archived FROM (SELECT doc_id, version FROM v WHERE text <> '' UNION ALL SELECT doc_id, 'v1' FROM donor WHERE text <> '') GROUP BY doc_id),
+d AS (SELECT run, doc_id, any_value(lang) AS lang, any_value(version) AS version, any_value(gone) AS gone, list(id) AS ids FROM h GROUP BY run, doc_id),
+j AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, x.version AS ov, y.version AS nv, x.ids AS oi, y.ids AS ni, coalesce(y.gone, false) AS gone, y.doc_id IS NULL AS absent, coalesce(x.lang, y.lang) = 'de' AS app FROM (SELECT * FROM d WHERE run = 1) x FULL JOIN (SELECT * FROM d WHERE run = 2) y ON x.doc_id = y.doc_id),
+k AS (SELECT *, absent OR gone OR (ov = nv AND NOT app) AS keep FROM j WHERE NOT (ov IS NULL AND gone)),"""
+
+
+@query(
+    "ingest_runs",
+    f"""{_RUNS}
+m AS (SELECT doc_id, CASE WHEN ov IS NULL THEN nv WHEN keep THEN ov ELSE nv END AS version, CAST(CASE WHEN ov IS NULL THEN len(ni) WHEN keep THEN len(oi) WHEN app THEN len(list_distinct(list_concat(oi, ni))) ELSE len(ni) END AS BIGINT) AS chunks,
+  CASE WHEN ov IS NULL OR keep OR app THEN '' ELSE ov END AS previous, CAST(CASE WHEN ov IS NULL OR keep OR app THEN 0 ELSE len(list_filter(oi, lambda i: NOT list_contains(ni, i))) END AS BIGINT) AS superseded, CASE WHEN gone OR doc_id % 13 = 0 THEN 'archived' ELSE 'active' END AS state FROM k)
+SELECT m.*, coalesce(n.stored, 0) AS stored, coalesce(n.fresh, 0) AS fresh, coalesce(a.archived, 0) AS archived FROM m LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id)""",
+)
+def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a collection, the second with donors, tombstones and renames; one of its batches is killed before its commit, another comes twice."""
+    import uuid
+
+    from pyspark.errors import StreamingQueryException
+
+    from ..streaming import job as J
+    from ..streaming.ingest import stream
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    folder = f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    gone, new = F.col("doc_id") % 11 == 0, F.col("doc_id") % 3 == 0
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        windows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(2000))))
+        content = F.substring("text", F.col("o") + 1, F.lit(2000))
+        cut = windows.withColumn("content", content).withColumn("document_id", F.col("doc_id").cast("string"))
+        return cut.select(F.sha2(F.concat_ws(":", "document_id", "version", "o", "content"), 256).alias("id"), "document_id", "version", "source_type", "content", F.when(F.col("o") == 0, F.col("text")).alias("raw"), F.sha2("content", 256).alias("fingerprint"), F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")).alias("ts"), (F.col("doc_id") * 100_000 + F.col("o")).alias("ord"))
+
+    kind = F.when(F.col("lang") == "de", "hn-story").otherwise("doc-page")
+    runs = {
+        "first": chunked(docs.where("doc_id % 4 <> 3").select("doc_id", "text", F.lit("v1").alias("version"), kind.alias("source_type"))),
+        "second": chunked(docs.where("doc_id % 5 <> 4").select("doc_id", F.when(gone, "").when(new, F.concat(F.lit("new "), "text")).otherwise(F.col("text")).alias("text"), F.when(new, "v2").otherwise("v1").alias("version"), F.when(gone, "tombstone").otherwise(kind).alias("source_type"))),
+    }
+    others = chunked(docs.where("doc_id % 4 = 3 AND doc_id % 7 = 0").select("doc_id", "text", F.lit("v1").alias("version"), kind.alias("source_type")))
+    archives = others.where("raw is not null").select(F.lit("other").alias("collection"), F.lit("blob").alias("storage_id"), F.lit("docs").alias("source_key"), "document_id", "version", "source_type", F.lit(None).cast("map<string,string>").alias("metadata"), F.col("raw").alias("content"))
+    catalogs = others.groupBy(F.lit("other").alias("collection"), "document_id").agg(F.collect_list("id").alias("chunk_ids"), F.collect_list("fingerprint").alias("fingerprints"))
+
+    class Killed(J.IngestJob):
+        """Dies before the second batch's commit."""
+
+        def commit(self, name: str, body: dict) -> None:
+            if name.endswith("-000000001"):
+                raise RuntimeError("killed")
+            super().commit(name, body)
+
+    for name, rows in runs.items():
+        landing = f"{folder}/landing/{name}"
+        rows.repartition(3, "ord").write.parquet(landing)
+        start = lambda kind: kind(spark, f"{folder}/collection", name, "docs", append_only=("hn-story",))  # noqa: B023, E731
+        if name == "second":
+            try:
+                job = start(Killed)
+                job.reuse_donors(archives, catalogs)
+                job.stream(stream(spark, landing, rows.schema)).awaitTermination()
+            except StreamingQueryException as e:
+                if "killed" not in str(e):
+                    raise
+        job = start(J.IngestJob)
+        job.stream(stream(spark, landing, rows.schema)).awaitTermination()
+        job.step(spark.read.schema(rows.schema).parquet(landing).limit(1), 0)  # a batch that was committed changes nothing
+        job.finish(docs.where("doc_id % 13 = 0").select(F.col("doc_id").cast("string").alias("document_id")) if name == "second" else None)
+    count = lambda t, of: job.table(t).groupBy("document_id").agg(*of)
+    second = job.table("chunks", own=True).groupBy("document_id").agg(F.count("*").alias("fresh"))
+    out = job.table("catalog").join(count("chunks", [F.count("*").alias("stored")]), "document_id", "left").join(second, "document_id", "left").join(count("archive", [F.count("*").alias("archived")]), "document_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(F.col("document_id").cast("long").alias("doc_id"), "version", F.size("chunk_ids").cast("long").alias("chunks"), F.array_join("previous", ",").alias("previous"), F.size("superseded").cast("long").alias("superseded"), "state", zero("stored"), zero("fresh"), zero("archived"))
