@@ -1,26 +1,22 @@
 """Ranked retrieval: exact top-k, over-fetch, filters, boosts and source-type diversity.
 
 Chunks have id, embedding, source_type, source; queries have query_id and
-vector. The unit is a batch of queries: their unit vectors are a matrix of
-bounded size on every worker, chunks are scanned once in Arrow batches, a
-batch gives its own best k of each query, and a window limit ranks those.
+vector. The unit is a batch of queries: blocks of queries meet blocks of
+chunks, a task gives its own best k of each query, and a window ranks those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..session import importable
 
-#: Queries whose vectors a worker holds at once.
+#: Rows of a block, of queries or of chunks.
 BLOCK = 10_000
 
 #: Over-fetch factors and the floor of reserved slots.
@@ -50,53 +46,81 @@ def _best(ids: np.ndarray, scores: np.ndarray, group: np.ndarray | None, k: int)
     return order[place - np.maximum.accumulate(np.where(start, place, 0)) < k]
 
 
-def _scored(queries: list, chunks: DataFrame, k: int, by: str | None) -> DataFrame:
-    """Each Arrow batch's k best chunks of each query (and value of ``by``)."""
-    ids = [r["query_id"] for r in queries]
-    vectors = np.array([r["vector"] for r in queries], np.float64)
-    length = np.sqrt((vectors * vectors).sum(1))
-    kept = [f for f in chunks.schema.fields if f.name != "embedding"]
+def vectors_of(column: pa.ChunkedArray, at: np.ndarray) -> np.ndarray:
+    """The rows ``at`` of a column of vectors; of unlike lengths it is an error."""
+    lists = column.take(pa.array(at)).combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if len(size) and (size != size[0]).any():
+        raise ValueError("dimension mismatch")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("embedding")
-            size = np.diff(lists.offsets.to_numpy())
-            if len(size) and not (size == vectors.shape[1]).all():
-                raise ValueError("dimension mismatch")
-            m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, vectors.shape[1])
-            both = np.sqrt((m * m).sum(1))[:, None] * length[None, :]
-            scores = np.divide(m @ vectors.T, both, out=np.zeros_like(both), where=both > 0)
-            number = batch.column("id").to_numpy(zero_copy_only=False)
-            group = np.unique(batch.column(by).to_numpy(zero_copy_only=False), return_inverse=True)[1] if by else None
-            for q, name in enumerate(ids):
-                at = _best(number, scores[:, q], group, k)
-                out = batch.select([f.name for f in kept]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([name] * len(at)), pa.array(scores[at, q])], names=[*out.schema.names, "query_id", "score"])
 
+def best_of_blocks(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int, by: str | None = None) -> DataFrame:
+    """The k best chunks of each query (and value of ``by``) within each block; blocks are equal ``keys``.
+
+    queries: keys, query_id, vector and floor (null, or the score below which
+    nothing counts); chunks: keys, id, embedding and others, which stay. A
+    task holds one block of both sides; the caller bounds it.
+    """
     importable(chunks.sparkSession)
-    schema = StructType([*kept, StructField("query_id", LongType()), StructField("score", DoubleType())])
-    return chunks.mapInArrow(run, schema)
+    kept = [f for f in chunks.schema.fields if f.name not in ("embedding", *keys)]
+    row = F.struct(*(F.col(f"`{f.name}`") for f in kept))
+    name = queries.schema["query_id"].dataType
+    left = queries.select(*keys, F.lit(True).alias("asks"), F.col("vector").cast("array<double>").alias("vector"), "query_id", F.col("floor").cast("double").alias("floor"))
+    right = chunks.select(*keys, F.lit(False).alias("asks"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(None).cast(name).alias("query_id"), F.lit(None).cast("double").alias("floor"), row.alias("row"))
+    left = left.withColumn("row", F.lit(None).cast(right.schema["row"].dataType))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
+        rows = table.column("row").combine_chunks().take(pa.array(c))
+        names, floors = table.column("query_id").take(pa.array(q)), np.nan_to_num(table.column("floor").to_numpy()[q].astype(np.float64), nan=-np.inf)
+        at, asked, found = [], [], []
+        if len(q) and len(c):
+            m, v = vectors_of(table.column("vector"), c), vectors_of(table.column("vector"), q)
+            if m.shape[1] != v.shape[1]:
+                raise ValueError("dimension mismatch")
+            ids = rows.field("id").to_numpy(zero_copy_only=False)
+            group = np.unique(rows.field(by).to_numpy(zero_copy_only=False), return_inverse=True)[1] if by else None
+            length, own = np.sqrt((m * m).sum(1)), np.sqrt((v * v).sum(1))
+            for low in range(0, len(q), 128):
+                both = own[low : low + 128, None] * length[None, :]
+                scores = np.divide(v[low : low + 128] @ m.T, both, out=np.zeros_like(both), where=both > 0)
+                for i in range(len(scores)):
+                    best = _best(ids, scores[i], group, k)
+                    best = best[scores[i, best] >= floors[low + i]]
+                    at.append(best)
+                    asked.append(np.full(len(best), low + i))
+                    found.append(scores[i, best])
+        at, asked = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at, asked))
+        taken = rows.take(pa.array(at))
+        columns = {f.name: taken.field(f.name) for f in kept}
+        return pa.table(columns | {"query_id": names.take(pa.array(asked)), "score": np.concatenate(found) if found else np.zeros(0)})
+
+    schema = StructType([*kept, StructField("query_id", name), StructField("score", DoubleType())])
+    return left.unionByName(right).groupBy(*keys).applyInArrow(run, schema)
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """query_id, id, score, rank and the chunk's other columns: the k most alike chunks by cosine, of each value of ``by`` if given.
 
     k <= 0 gives no rows; a zero vector is alike to nothing (0); vectors of
-    unlike length raise an error. Queries come in blocks of BLOCK, of a scan
-    of the chunks each.
+    unlike length raise an error. Both sides are dealt into blocks of at most
+    some BLOCK rows by their counts; every pair of blocks meets in one task,
+    which gives its own best k of each query, and a window ranks those. No
+    vector passes through the driver. ``index.VectorIndex`` skips blocks.
     """
     chunks, wanted = chunks.where("embedding is not null"), queries.select("query_id", "vector").where("vector is not null")
-    blocks, block = [], []
-    for row in wanted.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            blocks.append(_scored(block, chunks, max(k, 0), by))
-            block = []
-    if block or not blocks:
-        blocks.append(_scored(block, chunks, max(k, 0), by) if block else chunks.drop("embedding").select("*", F.lit(0).cast("long").alias("query_id"), F.lit(0.0).alias("score")).limit(0))
-    scored = reduce(DataFrame.unionByName, blocks)
+    if k <= 0:
+        return chunks.drop("embedding").select("*", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    x, y = (max(1, -(-side.count() // BLOCK)) for side in (wanted, chunks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = wanted.withColumn("_x", deal("query_id", x)).withColumn("_y", every(y)).withColumn("floor", F.lit(None).cast("double"))
+    right = chunks.withColumn("_y", deal("id", y)).withColumn("_x", every(x))
+    scored = best_of_blocks(left, right, ["_x", "_y"], k, by)
     if by is None:
-        return ranked(scored, max(k, 0))
+        return ranked(scored, k)
     best = Window.partitionBy("query_id", by).orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -187,3 +187,27 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.cluster import similar_pairs as pairs
 
     return pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.3).withColumn("score", F.round("score", 5))
+
+
+@query(
+    "indexed_topk",
+    """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS e, label FROM embeddings WHERE vec_id % 11 <> 0),
+s AS (SELECT q.vec_id AS query_id, v.id, v.label, list_cosine_similarity(v.e, q.embedding::DOUBLE[]) AS score FROM v, embeddings q WHERE q.vec_id % 50 = 0)
+SELECT query_id, id, label, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10""",
+)
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of two thirds of the vectors, the rest upserted, one in seven turned round, one in eleven deleted, then compacted and changed once more."""
+    import uuid
+
+    from ..operators.index import VectorIndex
+    from ..session import shared_folder
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    turned = rows.where("id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    index = VectorIndex.create(rows.where("id % 3 <> 0"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.upsert(rows.where("id % 3 = 0"))
+    index.upsert(turned.where("id % 2 = 0"))
+    index.delete(rows.where("id % 11 = 0"))
+    index.compact()
+    index.upsert(turned.where("id % 2 = 1 AND id % 11 <> 0"))
+    return index.search(_queries(spark, sf_dir), 10).select("query_id", "id", "label", F.round("score", 6).alias("score"), "rank")
