@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tracewright.operators import retrieval
+from tracewright.operators import cluster, retrieval
 from tracewright.operators.index import DimensionMismatch, VectorIndex
 
 SCHEMA = "id long, embedding array<float>, kind string, n int"
@@ -99,3 +99,18 @@ def test_top_k_over_blocks(spark, monkeypatch):
     assert {q: [s for _, s in x] for q, x in got.items()} == {q: [s for _, s in x] for q, x in scan(rows, queries, 9).items()}
     of_kind = retrieval.top_k(asked, spark.createDataFrame(rows, SCHEMA), 2, by="kind").groupBy("query_id", "kind").count().collect()
     assert len(of_kind) == 3 * len(queries) and {r["count"] for r in of_kind} == {2}
+
+
+@pytest.mark.parametrize(("threshold", "cells", "block"), [(0.9, 12, 4096), (0.72, None, 41), (-0.5, 3, 60), (0.99, 1, 4096)])
+def test_similar_pairs_equal_all_pairs(spark, threshold, cells, block):
+    rows = rows_of(9, n=250)
+    m = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = m @ m.T
+    want = {(i, j): round(float(scores[i, j]), 9) for i in range(250) for j in range(i + 1, 250) if scores[i, j] >= threshold}
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = cluster.similar_pairs(frame, threshold, block, cells).collect()
+    assert {(r.a, r.b): round(r.score, 9) for r in got} == want and len(got) == len(want)
+    if cells == 12:
+        assert cluster.compared(frame, threshold, cells) < 0.5
+    assert cluster.similar_pairs(frame.limit(0), threshold).collect() == []

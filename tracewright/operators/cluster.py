@@ -2,42 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 from pyspark.sql.window import Window
 
-from ..session import checkpointed, importable
+from ..session import checkpointed, importable, sized
+from .index import CELLS, SLACK, ZERO, bounds, placed, sample_pivots
 
 THRESHOLD = 0.72
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = 4096) -> DataFrame:
+def _visits(vectors: DataFrame, threshold: float, cells: int | None) -> DataFrame:
+    """(id, embedding, cell, visits): each vector with its cell and the cells from its own on that can hold a vector as alike as ``threshold``."""
+    rows = vectors.select("id", "embedding").where("embedding is not null")
+    most = min(cells or max(1, int(rows.count() ** 0.5)), CELLS)
+    pivots = np.array([r["vector"] for r in sample_pivots(rows, most).orderBy("cell").collect()], np.float64)  # CELLS vectors at most
+    rows = checkpointed(placed(rows, pivots))
+    if threshold > 0:  # zero vectors are alike to nothing
+        rows = rows.where(F.col("cell") != ZERO)
+    sent = rows.sparkSession.sparkContext.broadcast((pivots, bounds(rows)))
+    limit = np.arccos(min(max(threshold, -1.0), 1.0)) + SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, (number, low, high, _) = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                m = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                length = np.maximum(np.linalg.norm(m, axis=1), 1e-300)
+                own = part.column("cell").to_numpy()
+                reach = number[None, :] >= own[:, None]
+                if threshold > 0:
+                    angle = np.arccos(np.clip((m / length[:, None]) @ pivots.T, -1, 1))[:, number]
+                    reach &= np.maximum(angle - high, low - angle) <= limit
+                row, cell = np.nonzero(reach)
+                offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=part.num_rows))].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[cell].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("embedding"), part.column("cell"), lists], names=["id", "embedding", "cell", "visits"])
+
+    schema = StructType([*rows.select("id", "embedding").schema.fields]).add("cell", IntegerType()).add("visits", ArrayType(IntegerType()))
+    return rows.drop("angle").mapInArrow(run, schema)
+
+
+def compared(vectors: DataFrame, threshold: float = THRESHOLD, cells: int | None = None) -> float:
+    """The share of all pairs that ``similar_pairs`` compares."""
+    visits = checkpointed(_visits(vectors, threshold, cells))
+    sizes = visits.groupBy("cell").agg(F.count("*").alias("n"))
+    met = visits.select("cell", F.explode("visits").alias("to")).groupBy("cell", "to").agg(F.count("*").alias("v")).join(sizes.withColumnRenamed("cell", "to"), "to")
+    pairs = met.agg(F.sum(F.when(F.col("cell") == F.col("to"), F.col("v") * (F.col("n") - 1) / 2).otherwise(F.col("v") * F.col("n")))).first()[0] or 0
+    n = vectors.count()
+    return pairs / max(n * (n - 1) / 2, 1)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = 4096, cells: int | None = None) -> DataFrame:
     """(a, b, score): pairs a < b of (id, embedding) with cosine of at least ``threshold``.
 
-    Rows are dealt to blocks of some ``block`` vectors; a task multiplies two
-    blocks and emits only the pairs over the threshold. Quadratic in the
-    number of vectors by nature.
+    Vectors lie in cells around pivots (``cells`` of them, the root of the
+    number of vectors if not given). By the triangle inequality a vector
+    meets only the cells that can hold one alike enough to it, its own and
+    those of a higher number; a cell's members and its visitors are dealt
+    into blocks by their counts, and a task multiplies two blocks. Nothing is
+    missed; vectors that no cells separate meet all others.
     """
     importable(vectors.sparkSession)
-    blocks = max(1, -(-vectors.count() // block))
-    dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("block <= other").select(F.col("block").alias("x"), F.col("other").alias("y"), F.lit(True).alias("left"), "id", "embedding")
-    right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("other <= block").select(F.col("other").alias("x"), F.col("block").alias("y"), F.lit(False).alias("left"), "id", "embedding")
+    visits = checkpointed(_visits(vectors, threshold, cells))
+    members = visits.select(F.col("cell").alias("at"), "cell", "id", "embedding")
+    guests = visits.select(F.explode("visits").alias("at"), "cell", "id", "embedding")
+    parts = lambda d, n: d.groupBy("at").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    sizes = sized(checkpointed(parts(members, "x").join(parts(guests, "y"), "at")), 1)  # one row a cell
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    columns = ["at", "_x", "_y", "own", "cell", "id", "embedding"]
+    left = members.join(sizes, "at").withColumn("_x", deal("x")).withColumn("_y", every("y")).withColumn("own", F.lit(True)).select(columns)
+    right = guests.join(sizes, "at").withColumn("_y", deal("y")).withColumn("_x", every("x")).withColumn("own", F.lit(False)).select(columns)
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("left").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
-        m = np.array(table.column("embedding").to_pylist(), np.float64)
+        own = table.column("own").to_numpy()
+        ids, cell = table.column("id").to_numpy(), table.column("cell").to_numpy()
+        m = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        scores = m[side] @ m[~side].T
-        i, j = np.nonzero(scores >= threshold)
-        a, b, s = ids[side][i], ids[~side][j], scores[i, j]
-        keep = a != b
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[keep]})
+        i, j = np.flatnonzero(own), np.flatnonzero(~own)
+        found = []
+        for low in range(0, len(i), 512):
+            p = i[low : low + 512]
+            scores = m[p] @ m[j].T
+            x, y = np.nonzero(scores >= threshold)
+            p, q, s = p[x], j[y], scores[x, y]
+            once = (cell[q] < cell[p]) | ((cell[q] == cell[p]) & (ids[q] < ids[p]))
+            found.append((p[once], q[once], s[once]))
+        p, q, s = (np.concatenate(c) if found else np.zeros(0) for c in (zip(*found, strict=True) if found else ((), (), ())))
+        p, q = p.astype(np.int64), q.astype(np.int64)
+        return pa.table({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q]), "score": s})
 
-    return left.unionByName(right).groupBy("x", "y").applyInArrow(run, "a long, b long, score double").dropDuplicates(["a", "b"])
+    return left.unionByName(right).groupBy("at", "_x", "_y").applyInArrow(run, "a long, b long, score double").dropDuplicates(["a", "b"]).where("a < b")
 
 
 def greedy(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 from pyspark.sql.window import Window
 
 from ..session import checkpointed, importable, sized
@@ -40,13 +40,51 @@ class DimensionMismatch(ValueError):
     """Vectors of another length than the index has."""
 
 
+def sample_pivots(rows: DataFrame, most: int) -> DataFrame:
+    """(cell, vector): the unit vectors of ``most`` ids that a hash picks."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = rows.select("id", F.col("embedding").cast("array<double>").alias("v")).withColumn("n", norm).where("n > 0").withColumn("v", F.transform("v", lambda x: x / F.col("n")))
+    order = [F.xxhash64("id"), F.col("id")]
+    picked = unit.orderBy(*order).limit(most).withColumn("cell", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+    return picked.select("cell", F.col("v").alias("vector"))
+
+
+def placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``rows`` with their ``cell``, that of the most alike pivot, and their ``angle`` to it; zero vectors have the cell ZERO."""
+    importable(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)  # CELLS vectors at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = sent.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2048):
+                part = batch.slice(low, 2048)
+                m = part.column("_v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                length = np.sqrt((m * m).sum(1))
+                cosines = (m / np.maximum(length, 1e-300)[:, None]) @ pivots.T if len(pivots) else np.zeros((len(m), 1))
+                cell = cosines.argmax(1)
+                angle = np.arccos(np.clip(cosines[np.arange(len(m)), cell], -1, 1))
+                zero = length == 0
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.where(zero, ZERO, cell).astype(np.int32)), pa.array(np.where(zero, 0.0, angle))], names=["row", "cell", "angle"])
+
+    given = rows.select(F.struct("*").alias("row"), F.col("embedding").cast("array<double>").alias("_v"))
+    schema = StructType().add("row", given.schema["row"].dataType).add("cell", IntegerType()).add("angle", DoubleType())
+    return given.mapInArrow(run, schema).select("row.*", "cell", "angle")
+
+
+def bounds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of placed rows, their least and greatest angles and their sizes: one row a cell."""
+    found = rows.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).orderBy("cell").collect()
+    return tuple(np.array([r[c] for r in found], t) for c, t in (("cell", np.int64), ("low", float), ("high", float), ("n", np.int64)))
+
+
 class VectorIndex:
     """The index in a folder; ``create`` makes one, the constructor opens it."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         rows = spark.read.parquet(f"{self.folder}/pivots").orderBy("cell").collect()  # CELLS rows at most
-        self.pivots = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+        self.pivots = np.array([r["vector"] for r in rows], np.float64)
 
     @classmethod
     def create(cls, chunks: DataFrame, folder: str, cells: int | None = None, order: str | None = None) -> VectorIndex:
@@ -57,10 +95,7 @@ class VectorIndex:
         least, greatest = cls._sizes(rows, "embedding")
         if least != greatest:
             raise DimensionMismatch(f"{least} and {greatest}")
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        unit = rows.select("id", F.col("embedding").cast("array<double>").alias("v")).withColumn("n", norm).where("n > 0").withColumn("v", F.transform("v", lambda x: x / F.col("n")))
-        picked = unit.orderBy(F.xxhash64("id"), "id").limit(most).withColumn("cell", (F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")) - 1).cast("int"))
-        picked.select("cell", F.col("v").alias("vector")).write.parquet(f"{folder.rstrip('/')}/pivots")
+        sample_pivots(rows, most).write.parquet(f"{folder.rstrip('/')}/pivots")
         index = cls(spark, folder)
         index.upsert(chunks, order)
         return index
@@ -91,28 +126,6 @@ class VectorIndex:
         files, at = _files(self.spark, f"{base}/_SUCCESS")
         return base if files.exists(at) else f"{self.folder}/segments/{number:09d}"
 
-    def _placed(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with their cell and their angle to its pivot."""
-        importable(self.spark)
-        sent = self.spark.sparkContext.broadcast(self.pivots)  # CELLS vectors at most
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivots = sent.value
-            for batch in batches:
-                for low in range(0, batch.num_rows, 2048):
-                    part = batch.slice(low, 2048)
-                    m = part.column("_v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    length = np.sqrt((m * m).sum(1))
-                    cosines = (m / np.maximum(length, 1e-300)[:, None]) @ pivots.T if len(pivots) else np.zeros((len(m), 1))
-                    cell = cosines.argmax(1)
-                    angle = np.arccos(np.clip(cosines[np.arange(len(m)), cell], -1, 1))
-                    zero = length == 0
-                    yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.where(zero, ZERO, cell).astype(np.int32)), pa.array(np.where(zero, 0.0, angle))], names=["row", "cell", "angle"])
-
-        given = rows.select(F.struct("*").alias("row"), F.col("embedding").cast("array<double>").alias("_v"))
-        schema = StructType().add("row", given.schema["row"].dataType).add("cell", "integer").add("angle", "double")
-        return given.mapInArrow(run, schema).select("row.*", "cell", "angle")
-
     def _append(self, rows: DataFrame, number: int | None = None, name: str = "") -> int:
         number = number or max(self.segments(), default=0) + 1
         target = f"{self.folder}/segments/{number:09d}{name}"
@@ -132,7 +145,7 @@ class VectorIndex:
             rows = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
         else:
             rows = rows.dropDuplicates(["id"])
-        return self._append(self._placed(rows).withColumn("gone", F.lit(False)))
+        return self._append(placed(rows, self.pivots).withColumn("gone", F.lit(False)))
 
     def delete(self, ids: DataFrame) -> int:
         """Take the rows with these ids out."""
@@ -168,8 +181,7 @@ class VectorIndex:
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.union(p)
-        found = rows.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).orderBy("cell").collect()  # one row a cell
-        return tuple(np.array([r[c] for r in found], t) for c, t in (("cell", np.int64), ("low", float), ("high", float), ("n", np.int64)))
+        return bounds(rows)
 
     def _wanted(self, queries: DataFrame, k: int, first: bool) -> DataFrame:
         """(query_id, vector, floor, cell): the cells that hold a query's first k rows, or those left that its floor does not rule out."""
@@ -196,7 +208,7 @@ class VectorIndex:
                     rows = part.take(pa.array(q))
                     yield pa.RecordBatch.from_arrays([rows.column("query_id"), rows.column("vector"), rows.column("floor"), pa.array(cells[c].astype(np.int32)), pa.array(n[c])], names=["query_id", "vector", "floor", "cell", "members"])
 
-        schema = StructType([*queries.select("query_id", "vector", "floor").schema.fields]).add("cell", "integer").add("members", "long")
+        schema = StructType([*queries.select("query_id", "vector", "floor").schema.fields]).add("cell", IntegerType()).add("members", LongType())
         return queries.select("query_id", "vector", "floor").mapInArrow(run, schema)
 
     def _visited(self, wanted: DataFrame, k: int) -> DataFrame:
