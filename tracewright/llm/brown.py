@@ -168,7 +168,8 @@ def assigned(texts: DataFrame, known: Known, table: np.ndarray, wanted: np.ndarr
             # neither the end's class nor the number of the words without one
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array((gain[:, 1:-1].argmax(1) + 1).astype(np.int32))], names=["h", "cls"])
 
-    near = mapped(texts, gather, "h long, x int, n int").groupBy("h").agg(F.collect_list(F.struct("x", "n")).alias("near"))
+    # Summed by (word, neighbours) first: a word that every task has is then one row of n * n pairs at most.
+    near = mapped(texts, gather, "h long, x int, n int").groupBy("h", "x").agg(F.sum("n").cast("int").alias("n")).groupBy("h").agg(F.collect_list(F.struct("x", "n")).alias("near"))
     return mapped(near, choose, "h long, cls int")
 
 
