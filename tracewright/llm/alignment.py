@@ -49,11 +49,11 @@ _PARTS = [operator.itemgetter(i) for i in range(3)]
 _CUT = re.compile(r" (?<=\S )(?=\S)")
 _BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 #: Sums of pairs that a task holds before it merges them, and before it writes them.
-MERGE, HELD = 2_000_000, 4_000_000
+MERGE, HELD = 400_000, 1_600_000
 #: Pairs that are expanded at once.
 EXPANDED = 1 << 18
 #: Words that a worker remembers, and the longest of them.
-MEMORY, LONGEST = 150_000, 40
+MEMORY, LONGEST = 60_000, 40
 #: New words that are encoded at once.
 TOGETHER = 5000
 
@@ -381,7 +381,7 @@ def aligned(documents: DataFrame, files: Vocabularies) -> tuple[DataFrame, DataF
     folder = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
     kept = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     given = documents.select(F.struct(*kept).alias("row"), "text")
-    mapped(given, _aligned(sent, vocabulary), StructType([StructField("row", given.schema["row"].dataType), *StructType.fromDDL(f"{_MADE}, {_KEPT}")])).write.option("compression", "zstd").parquet(folder)
+    mapped(given, _aligned(sent, vocabulary), StructType([StructField("row", given.schema["row"].dataType), *StructType.fromDDL(f"{_MADE}, {_KEPT}")])).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     table = spark.read.parquet(folder)
