@@ -35,7 +35,7 @@ def pareto(rows: DataFrame, key: str, quality: str, *costs: str) -> DataFrame:
     """``rows`` with ``dominators``: how many others are at least as good in quality and in all costs (null: infinite) and better in one.
 
     A self theta join: rows are variants of an experiment, of which there are
-    some hundred; it is no operator for data.
+    some hundred; it is no operator for data. ``frontier`` is.
     """
     cost = lambda c: F.coalesce(F.col(c), F.lit(float("inf")))
     a = rows.select(key, F.col(quality).alias("q"), *(cost(c).alias(f"a{i}") for i, c in enumerate(costs)))
@@ -47,6 +47,25 @@ def pareto(rows: DataFrame, key: str, quality: str, *costs: str) -> DataFrame:
     return rows.join(beaten, key, "left").withColumn("dominators", F.coalesce("dominators", F.lit(0)))
 
 
+def frontier(rows: DataFrame, quality: str, cost: str) -> DataFrame:
+    """``rows`` that no other dominates in quality and one cost (null: infinite), by a sweep over ranges.
+
+    Rows are dealt by ranges of falling quality. A row is beaten by a cheaper
+    one of higher quality, or as good a one of lower cost: the least cost of
+    the ranges before (one number a range) and of the rows before in its own
+    range tell. Distinct (quality, cost) pairs are swept, so ties are few.
+    """
+    c = F.coalesce(F.col(cost).cast("double"), F.lit(float("inf")))
+    points = rows.where(F.col(quality).isNotNull()).groupBy(F.col(quality).alias("_q")).agg(F.min(c).alias("_c"))
+    ranged = checkpointed(points.repartitionByRange(F.col("_q").desc()).withColumn("_part", F.spark_partition_id()))
+    least = ranged.groupBy("_part").agg(F.min("_c").alias("_least"))
+    before = F.min("_least").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    heads = F.broadcast(least.select("_part", before.alias("_before")))  # a row a range
+    own = F.min("_c").over(Window.partitionBy("_part").orderBy(F.col("_q").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    kept = ranged.withColumn("_own", own).join(heads, "_part").where(F.least("_own", "_before").isNull() | (F.col("_c") < F.least("_own", "_before")))
+    return rows.withColumn("_c", c).join(kept.select(F.col("_q"), F.col("_c").alias("_m")), (F.col(quality) == F.col("_q")) & (F.col("_c") == F.col("_m")), "left_semi").drop("_c")
+
+
 def positions(rows: DataFrame, value: str, *by: str, ranges: int = 64) -> DataFrame:
     """``rows`` with ``_i`` (place from 1 within ``by`` in rising order of a value) and ``_n`` (how many the group has).
 
@@ -65,6 +84,21 @@ def positions(rows: DataFrame, value: str, *by: str, ranges: int = 64) -> DataFr
     return dealt.join(sized(starts), ["_key", "_range"]).withColumn("_i", F.col("_before") + place).drop("_key", "_range", "_before")
 
 
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """For each name the exact percentile at its share: between the values at the places around (n - 1) * share, in proportion.
+
+    Places come from ``positions``: no task and no buffer holds a group's values.
+    """
+    ranked = positions(rows, value, *by)
+    out = []
+    for name, share in shares.items():
+        at = (F.col("_n") - 1) * F.lit(share) + 1
+        low = F.floor(at)
+        weight = F.when(F.col("_i") == low, 1 - (at - low)).when(F.col("_i") == low + 1, at - low)
+        out.append(F.sum(F.col(value) * weight).alias(name))
+    return ranked.groupBy(*by).agg(*out)
+
+
 def gini(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """sum((2i - n - 1) x) / (n sum x) over values in rising order."""
     ranked = positions(rows, value, *by)

@@ -261,3 +261,42 @@ def import_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.when(d % 3 == 0, "./util").when(d % 3 == 1, "../x").otherwise("react")
     return table(spark, sf_dir, "documents").select("doc_id", E.resolved_import(target, F.concat(F.lit("src/d"), d, F.lit("/f.ts")), F.lit("acme/r")).alias("path"))
 
+
+
+def _pretended(message: str) -> str:
+    """A model's stand-in: it fails on some batches, answers some without JSON, and else finds an edge or two for each chunk."""
+    import json
+
+    chunks = json.loads(message)
+    first = int(chunks[0]["chunk_id"])
+    if first % 5 == 0:
+        raise TimeoutError("no answer")
+    if first % 7 == 0:
+        return "I found nothing."
+    out = []
+    for c in chunks:
+        n = int(c["chunk_id"])
+        out.append({"type": "fixes" if n % 2 else "requires", "sourceId": c["chunk_id"] if n % 3 else "elsewhere", "targetType": "issue", "targetId": f"acme/x#{n}", "evidence": f"this fixes the {len(c['text'])} characters above" if n % 4 else " ", "confidence": n % 10 / 10})
+    return "Here they are:\n```json\n" + json.dumps({"edges": out}) + "\n```"
+
+
+@query(
+    "model_edges",
+    """WITH RECURSIVE c AS (SELECT source, doc_id, length(coalesce(text, '')) AS n, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) + 15 AS need, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+b(source, k, doc_id, n, used, first) AS (SELECT source, k, doc_id, n, need, doc_id FROM c WHERE k = 1
+  UNION ALL SELECT c.source, c.k, c.doc_id, c.n, CASE WHEN b.used + c.need > 2000 THEN c.need ELSE b.used + c.need END, CASE WHEN b.used + c.need > 2000 THEN c.doc_id ELSE b.first END FROM b JOIN c ON c.source = b.source AND c.k = b.k + 1),
+r AS (SELECT CASE WHEN first % 5 = 0 THEN 'TimeoutError: no answer' WHEN first % 7 = 0 THEN 'no JSON' ELSE '' END AS error, *, first % 5 <> 0 AND first % 7 <> 0 AS told FROM b),
+e AS (SELECT doc_id, n, CASE WHEN doc_id % 2 = 1 THEN 'addresses' ELSE 'depends-on' END AS type, least(0.8, greatest(0.3, CAST(doc_id % 10 AS DOUBLE) / 10)) AS confidence FROM r WHERE told AND doc_id % 3 <> 0 AND doc_id % 4 <> 0)
+SELECT 'batch' AS kind, error AS name, count(DISTINCT (source, first)) AS n, count(*) AS chunks, 0.0::DOUBLE AS confidence FROM r GROUP BY error
+UNION ALL SELECT 'edge', type, count(*), count(DISTINCT doc_id), round(sum(confidence), 6) FROM e GROUP BY type""",
+)
+def model_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source in batches of 2000 tokens; what became of each batch, and the edges that pass the gates."""
+    from ..operators.extract import model_edges as extracted
+
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("source").alias("context"), F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.lit("doc-page").alias("source_type"), "source", F.col("text").alias("content"))
+    edges, batches = extracted(chunks, _pretended, 2000)
+    told = batches.groupBy(F.coalesce("error", F.lit("")).alias("name")).agg(F.count("*").alias("n"), F.sum(F.size("ids")).cast("long").alias("chunks")).select(F.lit("batch").alias("kind"), "name", "n", "chunks", F.lit(0.0).alias("confidence"))
+    kept = edges.where("reason is null").groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("chunks"), F.round(F.sum("confidence"), 6).alias("confidence"))
+    return told.unionByName(kept.select(F.lit("edge").alias("kind"), "name", "n", "chunks", "confidence"))

@@ -9,7 +9,7 @@ from ..operators import statistics as S
 from ..operators.cluster import numbered
 from ..registry import query, table
 
-_ITER = 500
+_ITER = 10_000
 
 
 @query(
@@ -17,7 +17,7 @@ _ITER = 500
     f"""WITH p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, CAST(quality AS DOUBLE) AS a, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE quality END AS b FROM labels),
 d AS (SELECT i, j, CAST(concat('0x', substr(sha256(concat_ws(':', i, j)), 1, 13)) AS BIGINT) % (SELECT count(*) FROM labels) AS pos FROM range({_ITER}) t(i), range((SELECT count(*) FROM labels)) u(j)),
 x AS (SELECT i, sum(b - a) / (SELECT count(*) FROM labels) AS delta FROM d JOIN p USING (pos) GROUP BY i)
-SELECT round(avg(delta), 6) AS mean, round(list_sort(list(delta))[13], 6) AS low, round(list_sort(list(delta))[488], 6) AS high, round(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_better FROM x""",
+SELECT round(avg(delta), 6) AS mean, round(list_sort(list(delta))[251], 6) AS low, round(list_sort(list(delta))[9751], 6) AS high, round(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_better FROM x""",
 )
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("a"), F.when(F.col("doc_id") % 3 == 0, 1.0).otherwise(F.col("quality")).alias("b"))
@@ -36,6 +36,17 @@ def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pareto(s, "id", "q", "c", "l").select("id", "dominators")
 
 
+@query(
+    "quality_cost_frontier",
+    """WITH o AS (SELECT o_orderkey AS id, floor(o_totalprice / 10) AS q, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_custkey * 7 % 5000 AS DOUBLE) END AS c FROM orders)
+SELECT a.id, CAST(a.q AS DOUBLE) AS q, a.c FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.q >= a.q AND coalesce(b.c, 1e300) <= coalesce(a.c, 1e300) AND (b.q > a.q OR coalesce(b.c, 1e300) < coalesce(a.c, 1e300)))""",
+)
+def quality_cost_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 10).cast("double").alias("q"), F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_custkey") * 7 % 5000).cast("double")).alias("c"))
+    return S.frontier(rows, "q", "c")
+
+
 @query("gini_coverage", """WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n) AS i, count(*) OVER (PARTITION BY lang) AS k FROM c)
 SELECT lang, round(sum((2 * i - k - 1) * n) / (max(k) * sum(n)), 6)::DOUBLE AS gini FROM r GROUP BY lang""")
 def gini_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +67,10 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("timing_percentiles", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def timing_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.percentile("value", [0.5, 0.95])
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(p[0], 6).alias("p50"), F.round(p[1], 6).alias("p95"))
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    total = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    p = S.percentiles(events, "value", {"p50": 0.5, "p95": 0.95}, "event_type")
+    return total.join(p, "event_type", "left").select("event_type", "n", "total", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query(

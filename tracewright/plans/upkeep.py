@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import statistics
 from ..operators import trace as T
 from ..operators import upkeep as U
 from ..registry import query, table
@@ -162,9 +163,10 @@ def source_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latency_calibration", "SELECT user_id % 4 AS variant, round(max(value) FILTER (WHERE event_type = 'view'), 4) AS view_max, round(quantile_cont(value, 0.95) FILTER (WHERE event_type = 'click'), 6) AS click_p95, count(*) AS n FROM events GROUP BY 1")
 def latency_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = lambda k: F.when(F.col("event_type") == k, F.col("value"))
-    rows = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("variant"))
-    return rows.agg(F.round(F.max(kind("view")), 4).alias("view_max"), F.round(F.percentile(kind("click"), F.lit(0.95)), 6).alias("click_p95"), F.count("*").alias("n"))
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("variant"), "event_type", "value")
+    rows = events.groupBy("variant").agg(F.round(F.max(F.when(F.col("event_type") == "view", F.col("value"))), 4).alias("view_max"), F.count("*").alias("n"))
+    p95 = statistics.percentiles(events.where("event_type = 'click'"), "value", {"click_p95": 0.95}, "variant")
+    return rows.join(p95, "variant", "left").select("variant", "view_max", F.round("click_p95", 6).alias("click_p95"), "n")
 
 
 @query("next_knob", "WITH k AS (SELECT p_partkey AS knob, p_size AS phase, p_retailprice AS probe FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)) SELECT knob, phase, probe FROM k ORDER BY phase, knob LIMIT 1")
