@@ -32,6 +32,10 @@ def hash_embedding(text: Column, dimensions: int = 3) -> Column:
     """A deterministic stand-in for an embedder: character codes summed by place modulo ``dimensions``, at unit length."""
     letters = F.filter(F.split(text, ""), lambda c: c != "")
     places = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    codes = F.transform(letters, lambda c, i: F.struct((i % dimensions).alias("p"), F.ascii(c).cast("double").alias("v")))
-    sums = F.transform(places, lambda p: F.aggregate(F.filter(codes, lambda x: x["p"] == p), F.lit(0.0), lambda s, x: s + x["v"]).cast("float"))
-    return normalized(sums)
+
+    def sums(own: Column) -> Column:
+        at = lambda p: F.filter(own, lambda _, i: i % dimensions == p)
+        return F.transform(places, lambda p: F.aggregate(at(p), F.lit(0.0), lambda s, c: s + F.ascii(c).cast("double")).cast("float"))
+
+    # An array of one binds the letters, which are then split off once and not for each place.
+    return normalized(F.get(F.transform(F.array(letters), sums), F.lit(0)))

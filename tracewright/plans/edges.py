@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..operators import edges as E
 from ..registry import ORACLE_SQL, query, table
 
-#: Derived text, the same on both sides.
+#: References, the same on both sides, and the whole text behind them.
 CONTENT = (
     "concat(CASE WHEN doc_id % 3 = 0 THEN concat('fixes acme/repo', CAST(doc_id % 7 AS VARCHAR(9)), '#', CAST(doc_id AS VARCHAR(9))) ELSE concat('closes #', CAST(doc_id % 11 AS VARCHAR(9))) END,"
     " ' see https://github.com/acme/repo', CAST(doc_id % 5 AS VARCHAR(9)), '/issues/', CAST(doc_id % 50 AS VARCHAR(9)), ' and #', CAST(doc_id % 13 AS VARCHAR(9)),"
     " ' or PROJ-', CAST(doc_id % 20 AS VARCHAR(9)), ' UTF-8 [guide](https://docs.example.com/p', CAST(doc_id % 9 AS VARCHAR(9)), ')"
-    " https://team.slack.com/archives/C0', CAST(doc_id % 4 AS VARCHAR(9)), '/p17000', CAST(doc_id AS VARCHAR(9)))"
+    " https://team.slack.com/archives/C0', CAST(doc_id % 4 AS VARCHAR(9)), '/p17000', CAST(doc_id AS VARCHAR(9)), ' ', coalesce(text, ''))"
 )
 _SOURCE = "concat('acme/repo', CAST(doc_id % 6 AS VARCHAR(9)), '#', CAST(doc_id AS VARCHAR(9)))"
 
@@ -300,3 +300,11 @@ def model_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = batches.groupBy(F.coalesce("error", F.lit("")).alias("name")).agg(F.count("*").alias("n"), F.sum(F.size("ids")).cast("long").alias("chunks")).select(F.lit("batch").alias("kind"), "name", "n", "chunks", F.lit(0.0).alias("confidence"))
     kept = edges.where("reason is null").groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("chunks"), F.round(F.sum("confidence"), 6).alias("confidence"))
     return told.unionByName(kept.select(F.lit("edge").alias("kind"), "name", "n", "chunks", "confidence"))
+
+
+@query("edge_cap", "SELECT l_orderkey AS source_id, l_partkey AS target_id, seq FROM (SELECT *, l_orderkey * 10 + l_linenumber AS seq, row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem) WHERE r <= 2 * (SELECT count(*) FROM orders)")
+def edge_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cap on a batch's edges in all: here two for each order, in order of extraction."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    kept = E.first_rows(edges.withColumn("seq", F.struct(F.col("at").alias("ord"))), 2 * table(spark, sf_dir, "orders").count())
+    return kept.select("source_id", "target_id", F.col("at").alias("seq"))

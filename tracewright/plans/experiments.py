@@ -220,9 +220,13 @@ def storage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "reindexed_chunks",
     """WITH d AS (SELECT doc_id, text, doc_id % 3 <> 0 AS has FROM documents), s AS (SELECT doc_id, text, length(text) <= 3000 AS short, has FROM d),
-w AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 0, 1), 3000)) AS o FROM s WHERE NOT short)
-SELECT CAST(doc_id AS VARCHAR) AS id, NULL AS parent_id, length(text) AS n, has AS preserved FROM s WHERE short
-UNION ALL SELECT sha256(concat_ws(':', doc_id, o // 3000, substr(text, o + 1, 3000))), CAST(doc_id AS VARCHAR), length(substr(text, o + 1, 3000)), FALSE FROM w WHERE regexp_matches(substr(text, o + 1, 3000), '\\S')""",
+w AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 0, 1), 3000)) AS o FROM s WHERE NOT short),
+p AS (SELECT CAST(doc_id AS VARCHAR) AS id, NULL AS parent_id, text, has AS preserved FROM s WHERE short
+  UNION ALL SELECT sha256(concat_ws(':', doc_id, o // 3000, substr(text, o + 1, 3000))), CAST(doc_id AS VARCHAR), substr(text, o + 1, 3000), FALSE FROM w WHERE regexp_matches(substr(text, o + 1, 3000), '\\S')),
+c AS (SELECT id, (i - 1) % 4 AS p, sum(unicode(c))::DOUBLE AS v FROM (SELECT id, unnest(s) AS c, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, string_split(text, '') AS s FROM p WHERE NOT preserved)) GROUP BY ALL),
+f AS (SELECT k.id, k.p, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT id, t.p FROM c, range(4) t(p)) k LEFT JOIN c ON c.id = k.id AND c.p = k.p),
+v AS (SELECT id, string_agg(CAST(round(1000 * v / n) AS BIGINT), ',' ORDER BY p) AS v FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY id)) AS n FROM f) GROUP BY id)
+SELECT id, parent_id, length(text) AS n, preserved, CASE WHEN preserved THEN '1000' ELSE v END AS vector FROM p LEFT JOIN v USING (id)""",
 )
 def reindexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.vectors import hash_embedding
@@ -230,8 +234,9 @@ def reindexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vector = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit(1.0).cast("float")))
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), vector.alias("embedding"))
-    out = jobs.reindexed(chunks, True, lambda c: hash_embedding(F.substring(c, 1, 64), 4), 3000)
-    return out.select("id", "parent_id", F.length("content").cast("long").alias("n"), "preserved")
+    out = jobs.reindexed(chunks, True, lambda c: hash_embedding(c, 4), 3000)
+    vector = F.array_join(F.transform("embedding", lambda x: F.round(1000 * x.cast("double")).cast("long").cast("string")), ",")
+    return out.select("id", "parent_id", F.length("content").cast("long").alias("n"), "preserved", vector.alias("vector"))
 
 
 @query("segmented_chunks", "WITH s AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 37 AS segment FROM documents) SELECT segment, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM s GROUP BY segment")

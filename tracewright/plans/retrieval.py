@@ -146,14 +146,14 @@ def cluster_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hash_embedder",
-    """WITH c AS (SELECT page_id, i % 8 AS p, unicode(substr(url, i + 1, 1))::DOUBLE AS v FROM (SELECT page_id, url, unnest(range(0, length(url))) AS i FROM pages)),
+    """WITH c AS (SELECT page_id, (i - 1) % 8 AS p, unicode(c)::DOUBLE AS v FROM (SELECT page_id, unnest(s) AS c, unnest(range(1, len(s) + 1)) AS i FROM (SELECT page_id, string_split(concat(url, html), '') AS s FROM pages))),
 b AS (SELECT page_id, p, sum(v) AS v FROM c GROUP BY ALL), n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY page_id)) AS n FROM b)
 SELECT page_id, string_agg(CAST(round(1000 * v / n) AS BIGINT), ',' ORDER BY p) AS embedding FROM n GROUP BY page_id""",
 )
 def hash_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deterministic embedder over titles (the first words of each page's URL)."""
+    """The deterministic embedder over whole pages, their address first."""
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.array_join(F.transform(hash_embedding(F.col("url"), 8), lambda x: F.round(1000 * x.cast("double")).cast("long").cast("string")), ",").alias("embedding"))
+    return pages.select("page_id", F.array_join(F.transform(hash_embedding(F.concat("url", F.coalesce("html", F.lit(""))), 8), lambda x: F.round(1000 * x.cast("double")).cast("long").cast("string")), ",").alias("embedding"))
 
 
 @query("unit_vectors", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(1000 * x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS BIGINT)), ',') AS unit FROM embeddings")
