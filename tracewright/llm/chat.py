@@ -24,7 +24,7 @@ from .common import checkpointed, mapped, remainder, sized
 
 ROLES = ("system", "user", "assistant")
 CHUNK = 512
-#: Words that name a role in a marker.
+#: Words that name a role in a marker.
 _NAMES = {"system": "system|instructions?|sys", "user": "user|human|question|q|customer|me", "assistant": "assistant|ai|bot|model|answer|a|gpt|agent"}
 _MARKER = r"^\s*(?:<\|(?:im_start\|>)?|#{1,4}|\*\*|\[|>)?\s*(?i:%s)\s*(?:\|>|\*\*|\])?\s*(?:[:>\-|\]]+|\*\*|$|\n)\s*(?:\*\*)?"
 _OBSERVED = 4 * 8 * 3 * 2

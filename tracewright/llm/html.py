@@ -45,7 +45,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _IMPLIED = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-#: Words of class, id and role, by what they name on the labelled pages.
+#: Words of class, id and role that the labelled pages are built with, by what they name there.
 MENUS = "header topbar nav navbar navigation menu toolbar breadcrumb breadcrumbs pagination pager skip masthead sidebar side rail widget related recommended recommendations trending share sharing social follow".split()
 NOTICES = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup copyright disclaimer legal footer".split()
 FORMS = "signin login search form respond reply".split()
