@@ -103,6 +103,50 @@ def snapshot_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return out.unionByName(rest)
 
 
+def _lines(files: DataFrame) -> DataFrame:
+    """(path, line, n, bytes): a file's distinct lines by hash, how often it has them and their bytes with the line end."""
+    each = files.select("path", F.explode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("t"))
+    return each.groupBy("path", F.md5("t").alias("line")).agg(F.count("*").alias("n"), (F.max(F.octet_length("t")) + 1).cast("long").alias("bytes"))
+
+
+def renames(gone: DataFrame, come: DataFrame, least: float = 0.5) -> DataFrame:
+    """(from_path, path, likeness): removed files (path, content) matched one to one with added ones.
+
+    Likeness is the bytes of shared lines over the larger file's, ``least``
+    or more. Pairs are taken from the most alike on, ties by the removed
+    path, then by the added one. Only pairs that can be alike enough are
+    compared: a removed file's lines are ordered from the one that fewest
+    added files have, and a pair must share one of the first of them, as the
+    rest alone is too little. The order of pairs is followed in rounds: each
+    round takes the pairs that are the best of both their files. Files with
+    equal contents are matched first, in order of their paths.
+    """
+    place = F.row_number().over(Window.partitionBy("h").orderBy("path"))
+    named = lambda files: files.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("h")).withColumn("k", place)
+    same = checkpointed(named(gone).withColumnRenamed("path", "from_path").join(named(come), ["h", "k"]).select("from_path", "path"))
+    gone = gone.join(same.select(F.col("from_path").alias("path")), "path", "left_anti")
+    come = come.join(same.select("path"), "path", "left_anti")
+    a, b = checkpointed(_lines(gone)), checkpointed(_lines(come))
+    size = lambda d, name: d.groupBy("path").agg(F.sum(F.col("n") * F.col("bytes")).alias(name))
+    holders = b.groupBy("line").agg(F.count("*").alias("holders"))
+    shared = a.join(holders, "line").join(size(a, "whole"), "path").withColumn("w", F.col("n") * F.col("bytes"))
+    of_file = Window.partitionBy("path")
+    rare_first = of_file.orderBy("holders", "line").rowsBetween(Window.unboundedPreceding, -1)
+    first = shared.withColumn("spare", F.sum("w").over(of_file) - least * F.col("whole")).withColumn("before", F.coalesce(F.sum("w").over(rare_first), F.lit(0))).where(F.col("before") <= F.col("spare"))
+    met = first.select(F.col("path").alias("from_path"), "line").join(b.select("path", "line"), "line").select("from_path", "path").distinct()
+    common = met.join(a.select(F.col("path").alias("from_path"), "line", F.col("n").alias("m")), "from_path").join(b, ["path", "line"]).groupBy("from_path", "path").agg(F.sum(F.least("m", "n") * F.col("bytes")).alias("common"))
+    sizes = common.join(size(a, "x").withColumnRenamed("path", "from_path"), "from_path").join(size(b, "y"), "path")
+    pairs = checkpointed(sizes.select("from_path", "path", (F.col("common") / F.greatest("x", "y")).alias("likeness")).where(F.col("likeness") >= least))
+    out = same.withColumn("likeness", F.lit(1.0))
+    while not pairs.isEmpty():
+        order = F.struct((-F.col("likeness")).alias("s"), "from_path", "path")
+        best = lambda c: pairs.groupBy(c).agg(F.min(order).alias("x")).select("x.from_path", "x.path")  # noqa: B023, E731
+        taken = checkpointed(best("from_path").join(best("path"), ["from_path", "path"]).join(pairs, ["from_path", "path"]))
+        out = out.unionByName(taken)
+        pairs = checkpointed(pairs.join(taken.select("from_path"), "from_path", "left_anti").join(taken.select("path"), "path", "left_anti"))
+    return out
+
+
 def archived_once(archive: DataFrame, incoming: DataFrame) -> DataFrame:
     """Raw sources (document_id, version, content) that the archive lacks, with checksum and size, once each."""
     new = incoming.join(archive.select("document_id", "version"), ["document_id", "version"], "left_anti").dropDuplicates(["document_id", "version"])

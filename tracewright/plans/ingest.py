@@ -302,3 +302,27 @@ def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = job.table("catalog").join(count("chunks", [F.count("*").alias("stored")]), "document_id", "left").join(second, "document_id", "left").join(count("archive", [F.count("*").alias("archived")]), "document_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(F.col("document_id").cast("long").alias("doc_id"), "version", F.size("chunk_ids").cast("long").alias("chunks"), F.array_join("previous", ",").alias("previous"), F.size("superseded").cast("long").alias("superseded"), "state", zero("stored"), zero("fresh"), zero("archived"))
+
+
+@query(
+    "renamed_files",
+    """WITH RECURSIVE g AS (SELECT concat('old/', lpad(CAST(doc_id AS VARCHAR), 9, '0')) AS path, coalesce(text, '') AS t FROM documents WHERE doc_id % 3 = 0),
+c AS (SELECT concat('new/', lpad(CAST(doc_id AS VARCHAR), 9, '0')) AS path, CASE WHEN doc_id % 2 = 0 THEN concat(coalesce(text, ''), chr(10), 'a line more') ELSE coalesce(text, '') END AS t FROM documents WHERE doc_id % 9 < 4),
+same AS (SELECT a.path AS from_path, b.path FROM (SELECT path, t, row_number() OVER (PARTITION BY t ORDER BY path) AS k FROM g) a JOIN (SELECT path, t, row_number() OVER (PARTITION BY t ORDER BY path) AS k FROM c) b ON a.t = b.t AND a.k = b.k),
+x AS (SELECT path, l, count(*) AS n FROM (SELECT path, unnest(string_split(t, chr(10))) AS l FROM g WHERE path NOT IN (SELECT from_path FROM same)) GROUP BY ALL),
+y AS (SELECT path, l, count(*) AS n FROM (SELECT path, unnest(string_split(t, chr(10))) AS l FROM c WHERE path NOT IN (SELECT path FROM same)) GROUP BY ALL),
+sx AS (SELECT path, sum(n * (strlen(l) + 1)) AS s FROM x GROUP BY path), sy AS (SELECT path, sum(n * (strlen(l) + 1)) AS s FROM y GROUP BY path),
+m AS (SELECT x.path AS from_path, y.path, sum(least(x.n, y.n) * (strlen(x.l) + 1)) AS common FROM x JOIN y ON x.l = y.l GROUP BY ALL),
+p AS MATERIALIZED (SELECT from_path, m.path, common / greatest(sx.s, sy.s) AS likeness, row_number() OVER (ORDER BY common / greatest(sx.s, sy.s) DESC, from_path, m.path) AS k FROM m JOIN sx ON sx.path = from_path JOIN sy ON sy.path = m.path WHERE common / greatest(sx.s, sy.s) >= 0.5),
+w(k, froms, tos) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT p.k, CASE WHEN list_contains(froms, from_path) OR list_contains(tos, path) THEN froms ELSE list_append(froms, from_path) END,
+  CASE WHEN list_contains(froms, from_path) OR list_contains(tos, path) THEN tos ELSE list_append(tos, path) END FROM w JOIN p ON p.k = w.k + 1),
+z AS (SELECT unnest(froms) AS from_path, unnest(tos) AS path FROM (SELECT froms, tos FROM w ORDER BY k DESC LIMIT 1))
+SELECT from_path, path, 1.0::DOUBLE AS likeness FROM same UNION ALL SELECT z.from_path, z.path, round(likeness, 6) FROM z JOIN p ON p.from_path = z.from_path AND p.path = z.path""",
+)
+def renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the documents removed; others, copies of them among these, added, every second with a line more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    path = lambda folder: F.concat(F.lit(folder), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path")
+    gone = docs.where("doc_id % 3 = 0").select(path("old/"), F.col("t").alias("content"))
+    come = docs.where("doc_id % 9 < 4").select(path("new/"), F.when(F.col("doc_id") % 2 == 0, F.concat("t", F.lit("\na line more"))).otherwise(F.col("t")).alias("content"))
+    return I.renames(gone, come).withColumn("likeness", F.round("likeness", 6))
