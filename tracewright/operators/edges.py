@@ -6,6 +6,7 @@ An edge has type, source_id, target_type, target_id, evidence, confidence;
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,8 @@ KEY = ["type", "source_id", "target_type", "target_id"]
 # The patterns and word lists below define the edge formats.
 REPO = r"[a-zA-Z0-9._-]+/[a-zA-Z0-9._-]+"
 CLOSES = rf"(?i)\b(?:closes|close|closed|fix|fixes|fixed|resolve|resolves|resolved)\s+(?:({REPO})#(\d+)|#(\d+))"
-CROSS = rf"({REPO})#(\d+)"
+#: ({REPO})#(\d+), told not to try again within a run of letters that it has failed at the start of.
+CROSS = r"(?:\G|(?<![a-zA-Z0-9._-]))([a-zA-Z0-9._-]++/[a-zA-Z0-9._-]++)#(\d+)"
 LOCAL = r"#(\d+)"
 URL = rf"https?://github\.com/({REPO})/(?:issues|pull)/(\d+)"
 SLACK = r"https?://([a-zA-Z0-9-]+)\.slack\.com/archives/([A-Z0-9]+)/p(\d+)"
@@ -67,10 +69,19 @@ def all_matches(text: Column, pattern: str, *groups: int) -> Column:
     return F.arrays_zip(*(p.alias(f"g{g}") for p, g in zip(parts, (0, *groups), strict=True)))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, though ``use`` has it within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _mode(repos: Column) -> Column:
     """The commonest element of an array, the first seen on ties; null for an empty one."""
-    counted = F.transform(F.array_distinct(repos), lambda r, i: F.struct(F.size(F.filter(repos, lambda x: x == r)).alias("n"), (-i).alias("i"), r.alias("r")))
-    return F.array_max(counted)["r"]
+
+    def of(own: Column) -> Column:
+        counted = F.transform(F.array_distinct(own), lambda r, i: F.struct(F.size(F.filter(own, lambda x: x == r)).alias("n"), (-i).alias("i"), r.alias("r")))
+        return F.array_max(counted)["r"]
+
+    return _bound(repos, of)
 
 
 def mentioned_repos(text: Column) -> Column:
@@ -118,7 +129,7 @@ def regex_edges(chunks: DataFrame) -> DataFrame:
         F.transform(F.regexp_extract_all(c, F.lit(CROSS), F.lit(0)), lambda m: reference(m, m, F.lit(1.0))),
         F.transform(F.regexp_extract_all(bare, F.lit(LOCAL), F.lit(1)), lambda n: reference(scoped(n), F.concat(F.lit("#"), n), sureness)),
     )
-    refs = F.filter(refs, lambda r: ~F.array_contains(F.transform("closing", lambda x: x["target_id"]), r["target_id"]))
+    refs = _bound(F.transform("closing", lambda x: x["target_id"]), lambda closed: F.filter(refs, lambda r: ~F.array_contains(closed, r["target_id"])))
     urls = F.transform(all_matches(c, URL, 1, 2), lambda m: reference(F.concat(m["g1"], F.lit("#"), m["g2"]), m["g0"], F.lit(1.0)))
     every = rows.select("id", F.posexplode(F.concat("closing", refs, urls)).alias("seq", "e"))
     return every.select("seq", "e.type", F.col("id").alias("source_id"), F.lit("issue").alias("target_type"), "e.target_id", "e.evidence", "e.confidence")
