@@ -117,18 +117,20 @@ def setting(*sources: Column) -> Column:
 
 
 def excerpts(chunks: DataFrame, most: int = 4000) -> DataFrame:
-    """(document_id, excerpt): a document's chunks in order, cut at ``most`` characters.
+    """(document_id, excerpt): a document's chunks in order, joined by line ends and cut at ``most`` characters.
 
     A chunk and its separator are a character at least, so a document's first
-    ``most`` chunks are enough (the limit is pushed below the shuffle), and of
-    these the ones that begin before the cut are joined.
+    ``most + 1`` chunks are enough (the limit is pushed below the shuffle), and
+    of these the ones whose separator begins before the cut are joined. Null
+    contents come last and count for nothing; without any other the excerpt is null.
     """
-    order = Window.partitionBy("document_id").orderBy("ord")
+    order = Window.partitionBy("document_id").orderBy(F.col("content").isNull(), "ord")
     before = F.sum(F.char_length("content") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    chunks = chunks.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
-    chunks = chunks.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most)
+    chunks = chunks.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most + 1)
+    chunks = chunks.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= most)
     parts = F.array_sort(F.collect_list(F.struct("ord", "content")))
-    return chunks.groupBy("document_id").agg(F.substring(F.array_join(F.transform(parts, lambda x: x["content"]), "\n"), 1, most).alias("excerpt"))
+    text = F.substring(F.array_join(F.transform(parts, lambda x: x["content"]), "\n"), 1, most)
+    return chunks.groupBy("document_id").agg(F.when(F.count("content") > 0, text).alias("excerpt"))
 
 
 def authored_problems(queries: DataFrame, known: DataFrame) -> DataFrame:
