@@ -22,20 +22,33 @@ def cosine(a: Column, b: Column) -> Column:
     return checked.otherwise(F.when(size == 0, 0.0).otherwise(dot(a, b) / size))
 
 
+def unit(a: Column, scale: float = 1.0) -> Column:
+    """``scale`` times the unit vector, in double; the zero vector stays.
+
+    The length is taken once a vector, not once an element.
+    """
+    scaled = lambda b: F.transform(b["v"], lambda x: F.when(b["n"] == 0, x.cast("double")).otherwise(F.lit(scale) * x.cast("double") / b["n"]))
+    return F.get(F.transform(F.array(F.struct(a.alias("v"), norm(a).alias("n"))), scaled), F.lit(0))
+
+
 def normalized(a: Column) -> Column:
     """Unit length, stored as float; the zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, x).otherwise((x.cast("double") / n).cast("float")))
+    return unit(a).cast("array<float>")
 
 
-def hash_embedding(text: Column, dimensions: int = 3) -> Column:
-    """A deterministic stand-in for an embedder: character codes summed by place modulo ``dimensions``, at unit length."""
+def character_sums(text: Column, dimensions: int) -> Column:
+    """Character codes summed by place modulo ``dimensions``: whole numbers, in double."""
     letters = F.filter(F.split(text, ""), lambda c: c != "")
     places = F.sequence(F.lit(0), F.lit(dimensions - 1))
 
     def sums(own: Column) -> Column:
         at = lambda p: F.filter(own, lambda _, i: i % dimensions == p)
-        return F.transform(places, lambda p: F.aggregate(at(p), F.lit(0.0), lambda s, c: s + F.ascii(c).cast("double")).cast("float"))
+        return F.transform(places, lambda p: F.aggregate(at(p), F.lit(0.0), lambda s, c: s + F.ascii(c).cast("double")))
 
     # An array of one binds the letters, which are then split off once and not for each place.
-    return normalized(F.get(F.transform(F.array(letters), sums), F.lit(0)))
+    return F.get(F.transform(F.array(letters), sums), F.lit(0))
+
+
+def hash_embedding(text: Column, dimensions: int = 3) -> Column:
+    """A deterministic stand-in for an embedder: ``character_sums`` at unit length, stored as float."""
+    return normalized(character_sums(text, dimensions))

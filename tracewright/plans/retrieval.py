@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import dot, hash_embedding, norm, normalized
+from ..functions.vectors import character_sums, dot, norm, normalized, unit
 from ..operators import retrieval as R
 from ..registry import query, table
 
@@ -30,6 +30,11 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def _thousandths(vector: Column) -> Column:
+    """A vector's direction in thousandths, comma-joined; rounded from doubles, as a unit vector stored as float can lie on the other side of a half."""
+    return F.array_join(F.transform(unit(vector, 1000.0), lambda x: F.round(x).cast("long").cast("string")), ",")
+
+
 _SCORED = f"""
 WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s)"""
@@ -153,7 +158,7 @@ SELECT page_id, string_agg(CAST(round(1000 * v / n) AS BIGINT), ',' ORDER BY p)
 def hash_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deterministic embedder over whole pages, their address first."""
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.array_join(F.transform(hash_embedding(F.concat("url", F.coalesce("html", F.lit(""))), 8), lambda x: F.round(1000 * x.cast("double")).cast("long").cast("string")), ",").alias("embedding"))
+    return pages.select("page_id", _thousandths(character_sums(F.concat("url", F.coalesce("html", F.lit(""))), 8)).alias("embedding"))
 
 
 @query("unit_vectors", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(1000 * x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS BIGINT)), ',') AS unit FROM embeddings")
