@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import character_sums, dot, norm, normalized, unit
+from ..functions.vectors import character_sums, dot, norm, unit
 from ..operators import retrieval as R
 from ..registry import query, table
 
@@ -164,8 +164,7 @@ def hash_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unit_vectors", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(1000 * x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS BIGINT)), ',') AS unit FROM embeddings")
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit vectors in thousandths."""
-    unit = F.transform(normalized(F.col("embedding")), lambda x: F.round(1000 * x.cast("double")).cast("long").cast("string"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(unit, ",").alias("unit"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", _thousandths(F.col("embedding")).alias("unit"))
 
 
 @query(
