@@ -229,13 +229,14 @@ v AS (SELECT id, string_agg(CAST(round(1000 * v / n) AS BIGINT), ',' ORDER BY p)
 SELECT id, parent_id, length(text) AS n, preserved, CASE WHEN preserved THEN '1000' ELSE v END AS vector FROM p LEFT JOIN v USING (id)""",
 )
 def reindexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.vectors import hash_embedding
+    """Vectors are kept in thousandths and in double, so that they are rounded once."""
+    from ..functions.vectors import character_sums, unit
     from ..operators import jobs
 
-    vector = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit(1.0).cast("float")))
+    vector = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit(1000.0)))
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), vector.alias("embedding"))
-    out = jobs.reindexed(chunks, True, lambda c: hash_embedding(c, 4), 3000)
-    vector = F.array_join(F.transform("embedding", lambda x: F.round(1000 * x.cast("double")).cast("long").cast("string")), ",")
+    out = jobs.reindexed(chunks, True, lambda c: unit(character_sums(c, 4), 1000.0), 3000)
+    vector = F.array_join(F.transform("embedding", lambda x: F.round(x).cast("long").cast("string")), ",")
     return out.select("id", "parent_id", F.length("content").cast("long").alias("n"), "preserved", vector.alias("vector"))
 
 
