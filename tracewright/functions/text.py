@@ -165,18 +165,36 @@ def is_placeholder_repo(repo: Column) -> Column:
     return F.lower(repo).isin(PLACEHOLDER_REPOS) | repo.rlike(r"^[^/]*/.*\.\w{1,6}$")
 
 
-def label(text: Column, least: int = 5, most: int = 7) -> Column:
-    """The first seven words that are no stop words; all first seven if under five are left."""
+def label(text: Column, least: int = 5, most: int = 7, head: int = 64) -> Column:
+    """The first seven words that are no stop words; all first seven if under five are left.
+
+    The first ``head`` words are tried before all others: mostly they have
+    enough. A pattern runs only on texts that have a character it needs.
+    """
     out = text
-    for p in (r"(?s)```.*?```", "`[^`]*`", "<[^>]+>", "&[a-z]+;", r"[#*_~>|\[\](){}]", r"https?://\S+", r"\s+"):
-        out = F.regexp_replace(out, p, " ")
-    words = F.filter(F.split(F.trim(out), " "), lambda w: F.length(w) > 0)
+    for sign, p in (("`", r"(?s)```.*?```"), ("`", "`[^`]*`"), ("<", "<[^>]+>"), ("&", "&[a-z]+;"), (None, r"[#*_~>|\[\](){}]+"), ("://", r"https?://\S+")):
+        changed = F.regexp_replace(out, p, " ")
+        out = changed if sign is None else F.when(F.contains(text, F.lit(sign)), changed).otherwise(out)
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  (worked out once)
     bare = lambda w: F.regexp_replace(w, "[^a-zA-Z0-9-]", "")
     lower = lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9-]", "")
-    told = F.slice(F.filter(words, lambda w: (F.length(lower(w)) > 0) & ~lower(w).isin(STOP_WORDS)), 1, most)
-    plain = F.filter(F.transform(F.slice(words, 1, most), bare), lambda w: F.length(w) > 0)
-    chosen = F.when(F.size(told) >= least, F.array_join(F.transform(told, bare), " ")).otherwise(F.array_join(plain, " "))
-    return F.when(chosen == "", "unlabelled cluster").otherwise(chosen)
+    useful = lambda w: bound(lower(w), lambda x: (F.length(x) > 0) & ~x.isin(STOP_WORDS))
+    told = lambda words: F.slice(F.filter(words, useful), 1, most)
+    written = lambda words: F.filter(words, lambda w: F.length(w) > 0)
+
+    def of(clean: Column) -> Column:
+        # What stands behind the first words is the last element, where there are more.
+        first = bound(F.split(clean, r"\s+", head + 1), lambda parts: F.struct(written(F.slice(parts, 1, head)).alias("words"), (F.size(parts) > head).alias("more")))
+        return bound(first, from_words)
+
+    def from_words(h: Column) -> Column:
+        def chosen(t: Column) -> Column:
+            plain = F.filter(F.transform(F.slice(h["words"], 1, most), bare), lambda w: F.length(w) > 0)
+            return F.when(F.size(t) >= least, F.array_join(F.transform(t, bare), " ")).otherwise(F.array_join(plain, " "))
+
+        return bound(bound(told(h["words"]), lambda t: F.when(~h["more"] | (F.size(t) == most), t).otherwise(told(written(F.split(out, r"\s+"))))), chosen)
+
+    return bound(of(out), lambda chosen: F.when(chosen == "", "unlabelled cluster").otherwise(chosen))
 
 
 def _looked_up(table: dict[str, str], key: Column) -> Column:

@@ -218,26 +218,33 @@ def composite_edges(parts: list[DataFrame], chunk_count: int) -> DataFrame:
     return first_rows(checkpointed(merged(reduce(DataFrame.unionByName, parts))), 100 * chunk_count)
 
 
-def first_rows(edges: DataFrame, most: int, ranges: int = 1000) -> DataFrame:
-    """The ``most`` first edges by ``seq`` (its first field is a number) without a global order.
+def first_rows(edges: DataFrame, most: int, ranges: int = 4096, size: int = 100_000) -> DataFrame:
+    """The ``most`` first edges by ``seq`` (its first field is a whole number) without a global order.
 
-    Ranges of that number are counted; those that fit stay whole, and only
-    within the one that the limit cuts are edges ranked.
+    Equal spans of that number are counted, and the span that the limit cuts
+    is divided and counted again until it holds at most ``size`` edges or one
+    number. Edges before it stay; only within it are edges ranked.
     """
-    total = edges.count()
+    place = F.col("seq.ord")
+    total, placed, low, high = edges.agg(F.count("*"), F.count(place), F.min(place).cast("long"), F.max(place).cast("long")).first()
     if total <= most:
         return edges
-    place = F.col("seq.ord")
-    cuts = sorted(set(edges.agg(F.percentile_approx(place, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]))
-    low = edges.withColumn("range", F.aggregate(F.array(*(F.lit(c).cast("long") for c in cuts)), F.lit(0), lambda n, c: n + (c < place).cast("int")))
-    room, last = most, None
-    for number, n in sorted(tuple(r) for r in low.groupBy("range").count().collect()):
-        if n > room:
-            last = number
+    if placed <= most:  # those without a number come last
+        return edges.where(place.isNotNull()).unionByName(edges.where(place.isNull()).orderBy("seq").limit(most - placed))
+    room = most
+    while True:
+        step = (high - low) // ranges + 1
+        span = F.floor((place - low) / step).cast("long") if step > 1 else (place - low).cast("long")
+        counts = edges.where(place.between(low, high)).groupBy(span.alias("span")).count().collect()  # ``ranges`` rows at most
+        for number, n in sorted(tuple(r) for r in counts):
+            if n > room:
+                break
+            room -= n
+        low, high = low + number * step, min(low + (number + 1) * step - 1, high)
+        if n <= size or low == high:
             break
-        room -= n
-    ranked = low.where(F.col("range") == last).withColumn("r", F.row_number().over(Window.partitionBy("range").orderBy("seq"))).where(F.col("r") <= room)
-    return low.where(F.col("range") < last).drop("range").unionByName(ranked.drop("range", "r"))
+    ranked = edges.where(place.between(low, high)).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq"))).where(F.col("r") <= room)
+    return edges.where(place < low).unionByName(ranked.drop("r"))
 
 
 def normalized_type(c: Column) -> Column:
