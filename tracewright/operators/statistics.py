@@ -2,26 +2,67 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed, sized
+from ..session import checkpointed, importable, sized
+
+
+#: Families whose differences are sent to all tasks (eight bytes each).
+FAMILIES = 4_000_000
 
 
-def bootstrap_deltas(pairs: DataFrame, iterations: int) -> DataFrame:
+def bootstrap_deltas(pairs: DataFrame, iterations: int, most: int = FAMILIES, piece: int = 50_000) -> DataFrame:
     """(iteration, delta): the mean of b - a over n families drawn with replacement.
 
     pairs has n rows (pos 0..n-1, a, b). Draws come from a hash of (iteration,
     draw), the same in any engine: the first thirteen hex digits of a
-    sha256, modulo n. A family set is a list of test queries: it is broadcast
-    within a counted limit and joined beyond it.
+    sha256, modulo n. Up to ``most`` families the differences are sent to all
+    tasks as one array, and a task adds up ``piece`` draws of an iteration at
+    once; beyond it draws meet the families by a join. Families without a
+    difference count in n alone.
     """
     n = pairs.count()
-    drawn = pairs.sparkSession.range(iterations * n).select(F.floor(F.col("id") / max(n, 1)).alias("iteration"), (F.col("id") % max(n, 1)).alias("draw"))
-    at = F.conv(F.substring(F.sha2(F.concat_ws(":", "iteration", "draw"), 256), 1, 13), 16, 10).cast("long") % max(n, 1)
-    rows = drawn.withColumn("pos", at).join(sized(pairs.select("pos", (F.col("b") - F.col("a")).alias("d")), n), "pos")
-    return rows.groupBy("iteration").agg((F.sum("d") / n).alias("delta"))
+    d = pairs.select("pos", (F.col("b") - F.col("a")).cast("double").alias("d"))
+    spark = pairs.sparkSession
+    if not 0 < n <= most:
+        drawn = spark.range(iterations * n).select(F.floor(F.col("id") / max(n, 1)).alias("iteration"), (F.col("id") % max(n, 1)).alias("draw"))
+        at = F.conv(F.substring(F.sha2(F.concat_ws(":", "iteration", "draw"), 256), 1, 13), 16, 10).cast("long") % max(n, 1)
+        return drawn.withColumn("pos", at).join(d, "pos").groupBy("iteration").agg((F.sum("d") / n).alias("delta"))
+    importable(spark)
+    known = d.where("d is not null").toArrow()
+    values, has = np.zeros(n), np.zeros(n, bool)
+    values[known["pos"].to_numpy()], has[known["pos"].to_numpy()] = known["d"].to_numpy(), True
+    sent = spark.sparkContext.broadcast((values, has))
+    pieces = math.ceil(n / piece)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, has = sent.value
+        own, draws = None, []
+        for batch in batches:
+            parts, iterated = np.divmod(batch.column("id").to_numpy(), iterations)
+            sums, counts = [], []
+            for part, iteration in zip(parts.tolist(), iterated.tolist(), strict=True):
+                if part != own:  # neighbours are iterations of the same draws
+                    own, draws = part, [b":%d" % j for j in range(part * piece, min((part + 1) * piece, n))]
+                start = b"%d" % iteration
+                hashes = np.frombuffer(b"".join([sha256(start + draw).digest() for draw in draws]), np.uint8).reshape(-1, 32)
+                first = np.ascontiguousarray(hashes[:, :8]).view(">u8")[:, 0]
+                at = ((first >> 12) % np.uint64(n)).astype(np.int64)  # 52 bits: thirteen hex digits
+                sums.append(float(values[at].sum()))
+                counts.append(int(np.count_nonzero(has[at])))
+            yield pa.RecordBatch.from_arrays([pa.array(iterated, pa.int64()), pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], names=["iteration", "d", "has"])
+
+    tasks = max(1, min(iterations * pieces, spark.sparkContext.defaultParallelism * 8))
+    parts = spark.range(0, iterations * pieces, 1, tasks).mapInArrow(run, "iteration long, d double, has long")
+    return parts.groupBy("iteration").agg(F.when(F.sum("has") > 0, F.sum("d") / n).alias("delta"))
 
 
 def bootstrap_summary(deltas: DataFrame, iterations: int) -> DataFrame:
