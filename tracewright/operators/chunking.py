@@ -34,6 +34,8 @@ _IMPORTS = {
 }
 _OPENING = re.compile(r"""\s*(?:/\*.*?(?:\*/|\Z)[ \t]*|//[^\n]*|\#[^\n]*|\"{3}.*?(?:\"{3}|\Z)[^\n]*|'{3}.*?(?:'{3}|\Z)[^\n]*)(?:\n|\Z)""", re.S)
 ISSUE_KINDS = {"github-issue": "issue", "github-pr": "PR", "github-discussion": "discussion"}
+#: Documents whose pieces a worker holds at once.
+PIECES = 64
 LANGUAGES = {"py": "python", "ts": "javascript", "tsx": "javascript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "go": "go", "rs": "rust", "sol": "solidity", "java": "java"}
 
 
@@ -93,16 +95,21 @@ def split(documents: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
     A chunk's id is the sha256 of id:version:index:content. Null content gives no chunk.
     """
 
+    names = ["document_id", "version", "chunk_index", "total_chunks", "start", "end", "symbol", "content", "line"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, v, p, t in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "path", "content")), strict=True):
-                language = LANGUAGES.get((p or "").rpartition(".")[2].lower())
-                pieces = code_pieces(t or "", language) if language else [(a, b, None) for a, b in markdown_pieces(t or "", size, overlap)]
-                rows += [(i, v, k, len(pieces), a, b, s, t[a:b], t.count("\n", 0, a) + 1) for k, (a, b, s) in enumerate(pieces)]
-            names = ["document_id", "version", "chunk_index", "total_chunks", "start", "end", "symbol", "content", "line"]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+            for at in range(0, batch.num_rows, PIECES):
+                rows = []
+                for i, v, p, t in zip(*(batch.slice(at, PIECES).column(c).to_pylist() for c in ("id", "version", "path", "content")), strict=True):
+                    language = LANGUAGES.get((p or "").rpartition(".")[2].lower())
+                    pieces = code_pieces(t or "", language) if language else [(a, b, None) for a, b in markdown_pieces(t or "", size, overlap)]
+                    line, seen = 1, 0
+                    for k, (a, b, s) in enumerate(pieces):
+                        line, seen = line + t.count("\n", seen, a), a  # each line end is counted once
+                        rows.append((i, v, k, len(pieces), a, b, s, t[a:b], line))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     importable(documents.sparkSession)
     schema = "document_id string, version string, chunk_index int, total_chunks int, start int, end int, symbol string, content string, line int"
