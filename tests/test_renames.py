@@ -47,3 +47,16 @@ def test_renames_equal_a_walk(spark, seed, least):
     got = ingest.renames(*frames, least).collect()
     assert {r.from_path: (r.path, round(r.likeness, 9)) for r in got} == walk(gone, come, least) and len({r.path for r in got}) == len(got)
     assert ingest.renames(frames[0].limit(0), frames[1]).collect() == []
+
+
+@pytest.mark.parametrize("most", [1 << 20, 30])
+def test_near_copies_do_not_take_a_round_each(spark, monkeypatch, most):
+    """Twelve near copies on each side, all equally alike: before, each round took one pair of them."""
+    gone = [(f"a{i:02}", "a common line\nand another\n" + f"old {i:02}") for i in range(12)]
+    come = [(f"b{i:02}", "a common line\nand another\n" + f"new {i:02}") for i in range(12)]
+    rounds = []
+    kept = ingest.checkpointed
+    monkeypatch.setattr(ingest, "checkpointed", lambda d: (rounds.append(1), kept(d))[1])
+    got = ingest.renames(*(spark.createDataFrame(f, "path string, content string") for f in (gone, come)), most=most).collect()
+    assert {r.from_path: (r.path, round(r.likeness, 9)) for r in got} == walk(gone, come, 0.5) and len(got) == 12
+    assert len(rounds) <= (10 if most > 1000 else 20)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed, sized
+from ..llm.components import components
+from ..session import checkpointed, importable, sized
 
 
 def unseen(chunks: DataFrame, known_ids: DataFrame, known_fingerprints: DataFrame) -> DataFrame:
@@ -109,17 +113,32 @@ def _lines(files: DataFrame) -> DataFrame:
     return each.groupBy("path", F.md5("t").alias("line")).agg(F.count("*").alias("n"), (F.max(F.octet_length("t")) + 1).cast("long").alias("bytes"))
 
 
-def renames(gone: DataFrame, come: DataFrame, least: float = 0.5) -> DataFrame:
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (from_path, path, likeness) in order those whose files no earlier pair took."""
+    taken: tuple[set, set] = (set(), set())
+    for batch in batches:
+        kept = []
+        for i, (a, b) in enumerate(zip(batch.column("from_path").to_pylist(), batch.column("path").to_pylist(), strict=True)):
+            if a not in taken[0] and b not in taken[1]:
+                taken[0].add(a)
+                taken[1].add(b)
+                kept.append(i)
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
+def renames(gone: DataFrame, come: DataFrame, least: float = 0.5, most: int = 1 << 20) -> DataFrame:
     """(from_path, path, likeness): removed files (path, content) matched one to one with added ones.
 
     Likeness is the bytes of shared lines over the larger file's, ``least``
     or more. Pairs are taken from the most alike on, ties by the removed
     path, then by the added one. Only pairs that can be alike enough are
-    compared: a removed file's lines are ordered from the one that fewest
-    added files have, and a pair must share one of the first of them, as the
-    rest alone is too little. The order of pairs is followed in rounds: each
-    round takes the pairs that are the best of both their files. Files with
-    equal contents are matched first, in order of their paths.
+    compared: lines are ordered from the one that fewest added files have, and
+    a pair must share one that is among the first of both files, as the rest
+    of either alone is too little; nor may one file be too large for the other. Files that pairs connect, however far, lie in one
+    task, which follows the order of their pairs; of more than ``most`` of
+    them it follows the first, and the others wait without the files taken for
+    another round. Files with equal contents are matched first, in order of
+    their paths.
     """
     place = F.row_number().over(Window.partitionBy("h").orderBy("path"))
     named = lambda files: files.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("h")).withColumn("k", place)
@@ -128,20 +147,30 @@ def renames(gone: DataFrame, come: DataFrame, least: float = 0.5) -> DataFrame:
     come = come.join(same.select("path"), "path", "left_anti")
     a, b = checkpointed(_lines(gone)), checkpointed(_lines(come))
     size = lambda d, name: d.groupBy("path").agg(F.sum(F.col("n") * F.col("bytes")).alias(name))
-    holders = b.groupBy("line").agg(F.count("*").alias("holders"))
-    shared = a.join(holders, "line").join(size(a, "whole"), "path").withColumn("w", F.col("n") * F.col("bytes"))
+    lines = checkpointed(b.groupBy("line").agg(F.count("*").alias("holders")).join(a.select("line").distinct(), "line", "left_semi"))
     of_file = Window.partitionBy("path")
     rare_first = of_file.orderBy("holders", "line").rowsBetween(Window.unboundedPreceding, -1)
-    first = shared.withColumn("spare", F.sum("w").over(of_file) - least * F.col("whole")).withColumn("before", F.coalesce(F.sum("w").over(rare_first), F.lit(0))).where(F.col("before") <= F.col("spare"))
-    met = first.select(F.col("path").alias("from_path"), "line").join(b.select("path", "line"), "line").select("from_path", "path").distinct()
+
+    def first(files: DataFrame) -> DataFrame:
+        shared = files.join(lines, "line").join(size(files, "whole"), "path").withColumn("w", F.col("n") * F.col("bytes"))
+        marked = shared.withColumn("spare", F.sum("w").over(of_file) - least * F.col("whole")).withColumn("before", F.coalesce(F.sum("w").over(rare_first), F.lit(0)))
+        return marked.where(F.col("before") <= F.col("spare")).select("path", "line", "whole")
+
+    like = F.least("x", "y") >= least * F.greatest("x", "y")
+    met = first(a).select(F.col("path").alias("from_path"), "line", F.col("whole").alias("x")).join(first(b).withColumnRenamed("whole", "y"), "line").where(like).select("from_path", "path").distinct()
     common = met.join(a.select(F.col("path").alias("from_path"), "line", F.col("n").alias("m")), "from_path").join(b, ["path", "line"]).groupBy("from_path", "path").agg(F.sum(F.least("m", "n") * F.col("bytes")).alias("common"))
     sizes = common.join(size(a, "x").withColumnRenamed("path", "from_path"), "from_path").join(size(b, "y"), "path")
     pairs = checkpointed(sizes.select("from_path", "path", (F.col("common") / F.greatest("x", "y")).alias("likeness")).where(F.col("likeness") >= least))
     out = same.withColumn("likeness", F.lit(1.0))
+    if pairs.isEmpty():
+        return out
+    importable(pairs.sparkSession)
+    ends = pairs.withColumn("u", F.concat(F.lit("<"), "from_path")).withColumn("v", F.concat(F.lit(">"), "path"))
+    pairs = checkpointed(ends.join(components(ends.select("u", "v")).withColumnRenamed("node", "u"), "u").select("from_path", "path", "likeness", "component"))
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.col("likeness").desc(), "from_path", "path"))
     while not pairs.isEmpty():
-        order = F.struct((-F.col("likeness")).alias("s"), "from_path", "path")
-        best = lambda c: pairs.groupBy(c).agg(F.min(order).alias("x")).select("x.from_path", "x.path")  # noqa: B023, E731
-        taken = checkpointed(best("from_path").join(best("path"), ["from_path", "path"]).join(pairs, ["from_path", "path"]))
+        first = pairs.repartition("component").withColumn("r", place).where(F.col("r") <= most)
+        taken = checkpointed(first.select("from_path", "path", "likeness").mapInArrow(_walked, "from_path string, path string, likeness double"))
         out = out.unionByName(taken)
         pairs = checkpointed(pairs.join(taken.select("from_path"), "from_path", "left_anti").join(taken.select("path"), "path", "left_anti"))
     return out
