@@ -112,13 +112,11 @@ def shingles(text: Column, size: int = 5) -> Column:
     return F.get(F.transform(F.array(words), runs), F.lit(0))  # the words are split once, not once a shingle
 
 
-def shingle_hashes(text: Column, size: int = 5) -> Column:
-    """``shingles`` as distinct 64-bit hashes of their words: no string is built for each."""
+def word_hashes(text: Column) -> Column:
+    """The words that ``shingles`` are runs of as 64-bit hashes, in order; none without text."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\]\([^)]*\)", "]"), r"https?://\S+", "")
     words = F.filter(F.split(bare, r"[^a-z0-9_]+"), lambda w: w != "")
-    places = lambda w: F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
-    runs = lambda w: F.array_distinct(F.transform(places(w), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))))
-    return F.get(F.transform(F.array(words), runs), F.lit(0))
+    return F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
 
 
 def terms(text: Column) -> Column:

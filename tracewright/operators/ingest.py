@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 from pyspark.sql.window import Window
 
 from ..llm.components import components
@@ -207,19 +210,60 @@ def extraction_contexts(chunks: DataFrame, status: DataFrame, extractor: str) ->
     return rows.where(F.coalesce(stale, F.lit(True))).select("context", "digest")
 
 
+def shingled(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(doc_id, source, x): the distinct 64-bit hashes of each document's runs of ``size`` words, from its words' hashes (docs: doc_id, source, words)."""
+    importable(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor = np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            words = batch.column("words")
+            lengths = words.value_lengths().to_numpy()
+            v = words.flatten().to_numpy().view(np.uint64)
+            n = max(len(v) - size + 1, 0)
+            h = np.zeros(n, np.uint64)
+            for k in range(size):
+                h = h * factor + v[k : k + n]  # modulo 2 ** 64
+            ends = np.cumsum(lengths)
+            found = [np.unique(h[e - m : e - size + 1].view(np.int64)) if m >= size else h[:0].view(np.int64) for e, m in zip(ends, lengths, strict=True)]
+            offsets = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
+            x = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), x], names=["doc_id", "source", "x"])
+
+    given = docs.select("doc_id", "source", "words")
+    return given.mapInArrow(run, StructType([*given.schema.fields[:2]]).add("x", ArrayType(LongType())))
+
+
+def _often(docs: DataFrame, share: float) -> DataFrame:
+    """(source, x) that a ``share`` of the source's documents of any batch hold: all that hold it of the whole are among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source in batch.column("source").drop_null().unique():
+                lists = batch.column("x").filter(pc.equal(batch.column("source"), source))
+                x, n = np.unique(lists.flatten().to_numpy(), return_counts=True)
+                x = x[n >= share * len(lists) - 1e-6]
+                yield pa.RecordBatch.from_arrays([pa.array([source.as_py()] * len(x), pa.string()), pa.array(x, pa.int64())], names=["source", "x"])
+
+    return docs.select("source", "x").mapInArrow(run, "source string, x long").distinct()
+
+
 def common_shingles(docs: DataFrame, share: float, least: int = 2) -> DataFrame:
     """(doc_id, shingles, common): how many of a document's distinct shingles (docs: doc_id, source, x) are in ceil(share * n) or more of its source's n documents, in ``least`` at least.
 
-    Counts are combined map-side. The common ones are few and meet the
-    documents by broadcast after a count; beyond the limit by a shuffle in
-    which AQE splits the common keys.
+    What reaches the share of the whole reaches it in one of the batches that
+    tasks read, so only shingles that do are counted: they meet the documents
+    by broadcast after a count; beyond the limit by a shuffle in which AQE
+    splits the common keys.
     """
+    importable(docs.sparkSession)
     docs = checkpointed(docs)
-    each = docs.select("doc_id", "source", F.explode("x").alias("x"))
     total = docs.groupBy("source").agg(F.count("*").alias("total"))
-    counts = each.groupBy("source", "x").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    held = docs.select("doc_id", "source", F.explode("x").alias("x")).join(sized(checkpointed(_often(docs, share))), ["source", "x"], "left_semi")
+    held = checkpointed(held)
+    counts = held.groupBy("source", "x").agg(F.count("*").alias("c")).where(F.col("c") >= least)
     common = checkpointed(counts.join(sized(total), "source").where(F.col("c") >= F.ceil(share * F.col("total"))).select("source", "x"))
-    hits = each.join(sized(common), ["source", "x"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("common"))
+    hits = held.join(sized(common), ["source", "x"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("common"))
     return docs.select("doc_id", F.size("x").cast("long").alias("shingles")).join(hits, "doc_id", "left").withColumn("common", F.coalesce("common", F.lit(0)))
 
 

@@ -28,8 +28,8 @@ SELECT u.doc_id, count(*) AS shingles, CAST(count(*) FILTER (WHERE n.c >= greate
 )
 def shingle_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles that many documents of a source share."""
-    docs = _docs(spark, sf_dir).select("doc_id", "source", X.shingle_hashes(F.col("text")).alias("x"))
-    return I.common_shingles(docs, 0.02).where("shingles > 0")
+    docs = _docs(spark, sf_dir).select("doc_id", "source", X.word_hashes(F.col("text")).alias("words"))
+    return I.common_shingles(I.shingled(docs), 0.02).where("shingles > 0")
 
 
 @query("term_extract", r"SELECT doc_id, CAST(len(list_distinct(list_filter(string_split_regex(lower(text), '[\s\p{P}]+'), lambda w: length(w) > 2))) AS INTEGER) AS n_terms FROM documents")
