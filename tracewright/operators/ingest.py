@@ -17,10 +17,17 @@ from ..session import checkpointed, importable, sized
 
 
 def unseen(chunks: DataFrame, known_ids: DataFrame, known_fingerprints: DataFrame) -> DataFrame:
-    """Chunks (id, fingerprint) whose id and fingerprint (else id) are not known; repeats within the batch stay, as each run knows only earlier ones."""
-    mark = F.coalesce(F.col("fingerprint"), F.col("id").cast("string"))
-    left = chunks.join(known_ids.select("id").distinct(), "id", "left_anti").withColumn("_mark", mark)
-    return left.join(known_fingerprints.select(F.col("fingerprint").alias("_mark")).distinct(), "_mark", "left_anti").drop("_mark")
+    """Chunks (id, fingerprint) whose id and fingerprint (else id) are not known; repeats within the batch stay, as each run knows only earlier ones.
+
+    Ids and fingerprints meet what is known without the chunks, which then
+    leave out those found: by broadcast after a count, beyond the limit by a shuffle.
+    """
+    marked = chunks.withColumn("_mark", F.coalesce(F.col("fingerprint"), F.col("id").cast("string")))
+    keys = checkpointed(marked.select("id", "_mark").distinct())
+    ids = checkpointed(keys.select("id").distinct().join(known_ids.select("id"), "id", "left_semi"))
+    left = keys.join(ids, "id", "left_anti").select("_mark").distinct()
+    marks = checkpointed(left.join(known_fingerprints.select(F.col("fingerprint").alias("_mark")), "_mark", "left_semi"))
+    return marked.join(sized(ids), "id", "left_anti").join(sized(marks), "_mark", "left_anti").drop("_mark")
 
 
 def document_filter(chunks: DataFrame, ids: list[str] | None = None, paths: list[str] | None = None, since: str | None = None) -> DataFrame:

@@ -283,18 +283,21 @@ def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     for name, rows in runs.items():
         landing = f"{folder}/landing/{name}"
-        rows.repartition(3, "ord").write.parquet(landing)
+        rows.write.parquet(landing)
+        if len(spark.read.parquet(landing).inputFiles()) < 3:  # too few for the batch that is killed
+            rows.repartition(3, "ord").write.mode("overwrite").parquet(landing)
+        batch = -(-len(spark.read.parquet(landing).inputFiles()) // 3)
         start = lambda kind: kind(spark, f"{folder}/collection", name, "docs", append_only=("hn-story",))  # noqa: B023, E731
         if name == "second":
             try:
                 job = start(Killed)
                 job.reuse_donors(archives, catalogs)
-                job.stream(stream(spark, landing, rows.schema)).awaitTermination()
+                job.stream(stream(spark, landing, rows.schema, batch)).awaitTermination()
             except StreamingQueryException as e:
                 if "killed" not in str(e):
                     raise
         job = start(J.IngestJob)
-        job.stream(stream(spark, landing, rows.schema)).awaitTermination()
+        job.stream(stream(spark, landing, rows.schema, batch)).awaitTermination()
         job.step(spark.read.schema(rows.schema).parquet(landing).limit(1), 0)  # a batch that was committed changes nothing
         job.finish(docs.where("doc_id % 13 = 0").select(F.col("doc_id").cast("string").alias("document_id")) if name == "second" else None)
     count = lambda t, of: job.table(t).groupBy("document_id").agg(*of)

@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from ..operators import chunking, ingest, upkeep
 from ..operators.store import Conflict
+from ..session import checkpointed, sized
 
 _TEXTS, _PAIRS = ArrayType(StringType()), MapType(StringType(), StringType())
 
@@ -143,7 +144,12 @@ class IngestJob:
         key = ["document_id", "version"]
         rows = rows.where(F.col("raw").isNotNull() & (F.col("raw") != "") & F.col("document_id").isNotNull() & F.col("version").isNotNull())
         order = F.col("ord") if "ord" in rows.columns else F.sha2("raw", 256)
-        new = rows.join(self.table("archive").select(*key), key, "left_anti").groupBy(*key).agg(F.min_by(F.struct("source_type", "metadata", "raw"), order).alias("x"))
+        keys = checkpointed(rows.select(*key))  # contents stay where they are
+        held = checkpointed(keys.distinct().join(self.table("archive").select(*key), key, "left_semi"))
+        several = checkpointed(keys.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+        rows, x = rows.join(sized(held), key, "left_anti"), F.struct("source_type", "metadata", "raw")
+        new = rows.join(sized(several), key, "left_anti").select(*key, x.alias("x"))
+        new = new.unionByName(rows.join(sized(several), key, "left_semi").groupBy(*key).agg(F.min_by(x, order).alias("x")))
         self._write(new.select(*key, F.lit(self.source_key).alias("source_key"), "x.source_type", upkeep.archived_metadata(F.col("x.metadata")).alias("metadata"), F.sha2("x.raw", 256).alias("checksum"), F.octet_length("x.raw").alias("bytes"), F.col("x.raw").alias("content")), "archive", commit)
 
     def step(self, batch: DataFrame, number: int) -> None:
