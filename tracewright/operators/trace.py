@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed, importable, sized
+from ..session import BROADCAST_ROWS, checkpointed, importable, sized, tasks
 from . import retrieval as R
 
 MAX_HOPS, MAX_TOTAL = 3, 15
+#: Rows of the groups that one task walks.
+WALK_ROWS = 100_000
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
@@ -34,28 +36,42 @@ def reachable(seeds: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataF
     return seen
 
 
-def _within(starts: DataFrame, edges: DataFrame, hops: int, fan: int) -> DataFrame:
-    """(query_id, node, other, type, direction, seq and the other columns of ``edges``): what a walk from each query's starts may take.
+def _within(starts: DataFrame, edges: DataFrame, hops: int, fan: int) -> tuple[DataFrame, int]:
+    """(query_id, node, other, type, direction, seq and the other columns of ``edges``), and how many rows, starts included: what a walk from each query's starts may take.
 
     A walk of at most ``fan / 2`` hops meets at most as many visited targets
     at a node as it has hops and takes at most as many new ones, so the first
     ``fan`` distinct targets of a node are all that it can use, each by its
-    first edge. Only edges of nodes that were reached are looked at.
+    first edge. Only edges of nodes that were reached are looked at, and a
+    large front is hashed, so that no edge of others is sorted. What is
+    sorted is dealt by its count; a hub's targets are dealt too, and
+    ``fan`` of each part meet.
     """
     keys = ["type", "direction", *(c for c in edges.columns if c not in ("node", "other", "type", "direction", "seq"))]
     level = seen = checkpointed(starts.select("query_id", "node").distinct())
-    out = None
-    for _ in range(hops):
+    met = reached = last = level.count()
+    many, out = edges.count(), None
+    deals = tasks(many)
+    for hop in range(1, hops + 1):
         front = checkpointed(level.select("node").distinct())
-        found = edges.join(sized(front, front.count()), "node", "left_semi")
-        first = found.groupBy("node", "other").agg(F.min(F.struct("seq", *keys)).alias("e"))
-        order = Window.partitionBy("node").orderBy("e", "other")
-        first = first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= fan)
-        step = checkpointed(level.join(first, "node").select("query_id", "node", "other", *(f"e.{k}" for k in keys), "e.seq"))
-        out = step if out is None else out.unionByName(step)
-        level = checkpointed(step.select("query_id", F.col("other").alias("node")).distinct().join(seen, ["query_id", "node"], "left_anti"))
-        seen = seen.unionByName(level)
-    return out
+        small = front.count() <= BROADCAST_ROWS
+        found = edges.join(front.hint("broadcast" if small else "shuffle_hash"), "node", "left_semi")
+        found = found.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(deals))).repartition(deals, "node", "part")
+        first = found.groupBy("node", "part", "other").agg(F.min(F.struct("seq", *keys)).alias("e"))
+        place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("e", "other"))
+        n = tasks(many + last)
+        first = first.withColumn("r", place("node", "part")).where(F.col("r") <= fan).drop("part", "r").repartition(n, "node")
+        first = first.withColumn("r", place("node")).where(F.col("r") <= fan)
+        step = checkpointed(level.repartition(n, "node").join(first, "node").select("query_id", "node", "other", *(f"e.{k}" for k in keys), "e.seq"))
+        count = step.count()
+        out, met = step if out is None else out.unionByName(step), met + count
+        if hop < hops:
+            n = tasks(count + reached)
+            ends = step.select("query_id", F.col("other").alias("node")).repartition(n, "query_id", "node").distinct()
+            level = checkpointed(ends.join(seen.repartition(n, "query_id", "node"), ["query_id", "node"], "left_anti"))
+            last = level.count()
+            seen, reached = seen.unionByName(level), reached + last
+    return out, met
 
 
 def _walk(starts: list[tuple], out: dict, max_hops: int, max_total: int) -> tuple[list[tuple], set]:
@@ -92,7 +108,7 @@ def depth_first(seeds: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, ma
     ``seq``; a query stops at ``max_total`` hops, seeds included. A group
     holds what one query's walk may take, which no hub can swell.
     """
-    within = _within(seeds, edges, max_hops, 2 * max_total).withColumn("kind", F.lit(1))
+    within, met = _within(seeds, edges, max_hops, 2 * max_total)
     none = lambda c: F.lit(None).cast("string").alias(c)
     starts = seeds.select("query_id", "node", none("other"), none("type"), none("direction"), F.col("ord").alias("seq"), F.lit(0).alias("kind"))
 
@@ -109,7 +125,8 @@ def depth_first(seeds: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS, ma
 
     importable(seeds.sparkSession)
     schema = "query_id long, hop_index int, node string, parent_hop_index int, method string, edge_type string, direction string"
-    return within.select(starts.columns).unionByName(starts).groupBy("query_id").applyInPandas(walk, schema)
+    rows = within.withColumn("kind", F.lit(1)).select(starts.columns).unionByName(starts)
+    return rows.repartition(tasks(met, WALK_ROWS), "query_id").groupBy("query_id").applyInPandas(walk, schema)
 
 
 def trace(
@@ -138,7 +155,8 @@ def trace(
     kinds = chunks.select(F.col("id").alias("other"), F.coalesce("source_type", F.lit("unknown")).alias("source_type"))
     if include is not None or exclude:
         edges = edges.join(kinds.where(allowed(F.col("source_type"))).select("other"), "other", "left_semi")
-    within = _within(seeds, edges, max_hops, 2 * max_total).join(kinds, "other")
+    within, met = _within(seeds, edges, max_hops, 2 * max_total)
+    within = within.join(kinds, "other")
     columns = ["query_id", "kind", "place", "node", "other", "source_type", "type", "direction", "evidence", "score"]
 
     def shaped(df: DataFrame, kind: int, **given: Column) -> DataFrame:
@@ -188,7 +206,7 @@ def trace(
         return pd.DataFrame(made, columns=["query_id", "hop_index", "node", "parent_hop_index", "method", "edge_type", "direction", "evidence", "confidence", "source_type", "grouped"])
 
     importable(chunks.sparkSession)
-    hops = rows.groupBy("query_id").applyInPandas(run, "query_id long, hop_index int, node long, parent_hop_index int, method string, edge_type string, direction string, evidence string, confidence double, source_type string, grouped boolean")
+    hops = rows.repartition(tasks(met + near.count(), WALK_ROWS), "query_id").groupBy("query_id").applyInPandas(run, "query_id long, hop_index int, node long, parent_hop_index int, method string, edge_type string, direction string, evidence string, confidence double, source_type string, grouped boolean")
     return hops.join(chunks.select(F.col("id").alias("node"), "source", "ts"), "node")
 
 
