@@ -60,3 +60,18 @@ def test_depth_first_equals_a_walk_in_bounded_tasks(spark, monkeypatch, large):
     assert got == walks(seeds, edges)
     assert len(held) == trace.MAX_HOPS and max(held) < 0.25
     assert not any("SortMergeJoin" in line and "LeftSemi" in line for p in plans for line in p.splitlines())
+
+
+def test_few_rows_take_few_tasks(spark, monkeypatch):
+    """A single partition would be dealt anew to as many as shuffles have."""
+    one = spark.createDataFrame([("a", "b", "t", "forward", 1), ("b", "c", "t", "forward", 2)], "node string, other string, type string, direction string, seq long")
+    seeds = spark.createDataFrame([(0, "a")], "query_id long, node string")
+    kept, frames = trace.checkpointed, []
+    monkeypatch.setattr(trace, "checkpointed", lambda df: (frames.append(kept(df)), frames[-1])[1])
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        within, met = trace._within(seeds, one.unionByName(one), 3, 30)
+        assert met == 3 and within.count() == 2
+        assert max(f.rdd.getNumPartitions() for f in frames) <= 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
