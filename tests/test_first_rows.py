@@ -20,6 +20,21 @@ def test_first_rows_without_a_number_come_last(spark):
     assert sorted(r["i"] for r in edges.first_rows(frame, 3).select("i").collect()) == [0, 1, 3]
 
 
+def test_first_rows_of_one_place_do_not_follow_the_order_of_rows(spark):
+    for rows in ([(7, i) for i in range(20)], [(None, i) for i in range(20)]):
+        for given in (rows, rows[::-1]):
+            frame = spark.createDataFrame(given, "ord long, i int").select("i", F.struct("ord").alias("seq"))
+            assert sorted(r["i"] for r in edges.first_rows(frame, 3).select("i").collect()) == [0, 1, 2]
+
+
+def test_first_rows_of_far_places(spark):
+    step = 2**60 // 3 + 1
+    at = [0, step - 2, step - 1, step, step + 1, 2 * step - 1, 2 * step, 2**60]
+    frame = spark.createDataFrame([(a,) for a in at], "ord long").select("ord", F.struct("ord").alias("seq"))
+    for most in range(9):
+        assert sorted(r["ord"] for r in edges.first_rows(frame, most, ranges=3, size=1).select("ord").collect()) == at[:most]
+
+
 def test_first_rows_compares_no_row_with_each_cut(spark):
     frame = spark.range(1000).select("id", F.struct(F.col("id").alias("ord")).alias("seq"))
     plan = edges.first_rows(frame, 500)._jdf.queryExecution().optimizedPlan().toString()

@@ -223,18 +223,20 @@ def first_rows(edges: DataFrame, most: int, ranges: int = 4096, size: int = 100_
 
     Equal spans of that number are counted, and the span that the limit cuts
     is divided and counted again until it holds at most ``size`` edges or one
-    number. Edges before it stay; only within it are edges ranked.
+    number. Edges before it stay; only within it are edges ranked. Edges of
+    the same ``seq`` follow their other columns, whatever order tasks end in.
     """
     place = F.col("seq.ord")
+    order = ["seq", *(c for c in edges.columns if c != "seq")]
     total, placed, low, high = edges.agg(F.count("*"), F.count(place), F.min(place).cast("long"), F.max(place).cast("long")).first()
     if total <= most:
         return edges
     if placed <= most:  # those without a number come last
-        return edges.where(place.isNotNull()).unionByName(edges.where(place.isNull()).orderBy("seq").limit(most - placed))
+        return edges.where(place.isNotNull()).unionByName(edges.where(place.isNull()).orderBy(*order).limit(most - placed))
     room = most
     while True:
         step = (high - low) // ranges + 1
-        span = F.floor((place - low) / step).cast("long") if step > 1 else (place - low).cast("long")
+        span = F.call_function("div", place.cast("long") - low, F.lit(step))  # in whole numbers: as doubles, far places would fall into the next span
         counts = edges.where(place.between(low, high)).groupBy(span.alias("span")).count().collect()  # ``ranges`` rows at most
         for number, n in sorted(tuple(r) for r in counts):
             if n > room:
@@ -243,7 +245,7 @@ def first_rows(edges: DataFrame, most: int, ranges: int = 4096, size: int = 100_
         low, high = low + number * step, min(low + (number + 1) * step - 1, high)
         if n <= size or low == high:
             break
-    ranked = edges.where(place.between(low, high)).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq"))).where(F.col("r") <= room)
+    ranked = edges.where(place.between(low, high)).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("r") <= room)
     return edges.where(place < low).unionByName(ranked.drop("r"))
 
 
