@@ -35,6 +35,13 @@ def test_first_rows_of_far_places(spark):
         assert sorted(r["ord"] for r in edges.first_rows(frame, most, ranges=3, size=1).select("ord").collect()) == at[:most]
 
 
+def test_last_of_equal_places_does_not_follow_the_order_of_rows(spark):
+    rows = [("t", "a", "p", "b", 5, "N"), ("t", "a", "p", "b", 5, "A"), ("t", "a", "p", "b", 3, "R"), ("t", "a", "p", "b", 5, "B")]
+    for given in (rows, rows[::-1]):
+        frame = spark.createDataFrame(given, "type string, source_id string, target_type string, target_id string, seq long, evidence string").coalesce(1)
+        assert [(r["evidence"], r["place"]) for r in edges.last_wins(frame).collect()] == [("N", 3)]
+
+
 def test_first_rows_compares_no_row_with_each_cut(spark):
     frame = spark.range(1000).select("id", F.struct(F.col("id").alias("ord")).alias("seq"))
     plan = edges.first_rows(frame, 500)._jdf.queryExecution().optimizedPlan().toString()

@@ -275,9 +275,9 @@ def merged(edges: DataFrame) -> DataFrame:
 
 
 def last_wins(edges: DataFrame) -> DataFrame:
-    """Of each key the last edge, at the place of the first."""
+    """Of each key the last edge, by ``seq`` and then by its other columns, at the place of the first."""
     w = Window.partitionBy(*KEY)
-    ranked = edges.withColumn("_r", F.row_number().over(w.orderBy(F.col("seq").desc()))).withColumn("place", F.min("seq").over(w))
+    ranked = edges.withColumn("_r", F.row_number().over(w.orderBy(*(F.col(c).desc() for c in ["seq", *(x for x in edges.columns if x not in [*KEY, "seq"])])))).withColumn("place", F.min("seq").over(w))
     return ranked.where("_r = 1").drop("_r")
 
 
